@@ -4,21 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
+from .byte_bpe import bpe_digests
+from .packing import pack_documents
+from .quality import quality_verdicts
 from .shingle_join import shingle_components
+from .url_filter import rule_table, url_verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("block", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+URL_DEFAULT = "allow"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(table(spark, sf_dir, "documents"))
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES), URL_DEFAULT)
+
+
 def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_components(table(spark, sf_dir, "documents"), words=3, num=9, den=10)
 
 
-QUERIES: dict[str, Query] = {"op8_shingle_join": op8_shingle_join}
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_url_filter, op8_shingle_join, op9_best_fit_packing)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": oracles.quality_sql(),
+    "op3_url_filter": oracles.url_sql(URL_RULES, URL_DEFAULT),
+    "op8_shingle_join": oracles.shingle_sql(3, 9, 10),
+}
