@@ -101,3 +101,52 @@ reach(doc_id, other) AS (
 )
 SELECT d.doc_id, coalesce(max(s.n), 0)::BIGINT AS n_shingles, coalesce(min(r.other), d.doc_id)::BIGINT AS component_id
 FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN reach r USING (doc_id) GROUP BY d.doc_id"""
+
+
+def word_dedup_sql(size: int) -> str:
+    return rf"""
+WITH base AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+windows AS (
+  SELECT doc_id, pos, array_to_string(w[pos : pos + {size - 1}], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - {size - 2})) AS pos FROM base)
+),
+firsts AS (SELECT s, min((doc_id, pos)) AS first FROM windows GROUP BY s HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT doc_id, pos + k AS word
+  FROM (SELECT doc_id, pos FROM windows JOIN firsts USING (s) WHERE (doc_id, pos) <> first), unnest(range(0, {size})) AS u(k)
+),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM base),
+kept AS (
+  SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.pos) AS text, count(*) AS n
+  FROM words x ANTI JOIN gone g ON g.doc_id = x.doc_id AND g.word = x.pos GROUP BY x.doc_id
+)
+SELECT b.doc_id, len(b.w)::BIGINT AS n_words, (len(b.w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM base b LEFT JOIN kept k USING (doc_id)"""
+
+
+def byte_dedup_sql(size: int) -> str:
+    return rf"""
+WITH base AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (
+  SELECT doc_id, pos, substr(h, 2 * pos - 1, {2 * size}) AS s
+  FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - {size - 2})) AS pos FROM base)
+),
+firsts AS (SELECT s, min((doc_id, pos)) AS first FROM windows GROUP BY s HAVING count(*) > 1),
+again AS (SELECT doc_id, pos FROM windows JOIN firsts USING (s) WHERE (doc_id, pos) <> first),
+runs AS (
+  SELECT doc_id, min(pos) AS a, max(pos) + {size} AS b FROM (
+    SELECT doc_id, pos, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM (
+      SELECT doc_id, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) <= {size} THEN 0 ELSE 1 END AS fresh FROM again
+    )
+  ) GROUP BY doc_id, run
+),
+pieces AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 1) AS since FROM runs
+),
+kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * since - 1, 2 * (a - since)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) - 1) AS h, count(*) AS n, sum(b - a) AS gone
+  FROM pieces JOIN base USING (doc_id) GROUP BY doc_id
+)
+SELECT b.doc_id, (length(b.h) // 2)::BIGINT AS n_bytes, coalesce(k.gone, 0)::BIGINT AS n_removed, coalesce(k.n, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(k.h, b.h))) AS kept_sha256
+FROM base b LEFT JOIN kept k USING (doc_id)"""

@@ -11,7 +11,9 @@ from . import oracles
 from .byte_bpe import bpe_digests
 from .packing import pack_documents
 from .quality import quality_verdicts
+from .recompression import word_dedup_digests
 from .shingle_join import shingle_components
+from .suffix_dedup import substring_digests
 from .url_filter import rule_table, url_verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +44,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES), URL_DEFAULT)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_components(table(spark, sf_dir, "documents"), words=3, num=9, den=10)
 
@@ -50,10 +56,16 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_url_filter, op8_shingle_join, op9_best_fit_packing)}
+def op10_word_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_dedup_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_url_filter, op4_suffix_dedup, op8_shingle_join, op9_best_fit_packing, op10_word_dedup)}
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": oracles.quality_sql(),
     "op3_url_filter": oracles.url_sql(URL_RULES, URL_DEFAULT),
+    "op10_word_dedup": oracles.word_dedup_sql(20),
+    "op4_suffix_dedup": oracles.byte_dedup_sql(100),
     "op8_shingle_join": oracles.shingle_sql(3, 9, 10),
 }
