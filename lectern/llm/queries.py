@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
 from .byte_bpe import bpe_digests
+from .language_id import languages
+from .multi_index import nearest
 from .packing import pack_documents
 from .quality import quality_verdicts
 from .recompression import word_dedup_digests
 from .shingle_join import shingle_components
 from .suffix_dedup import substring_digests
+from .toxicity import toxicity
 from .url_filter import rule_table, url_verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +51,18 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_components(table(spark, sf_dir, "documents"), words=3, num=9, den=10)
 
@@ -60,7 +75,7 @@ def op10_word_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_dedup_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_url_filter, op4_suffix_dedup, op8_shingle_join, op9_best_fit_packing, op10_word_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_url_filter, op4_suffix_dedup, op5_multi_index, op6_toxicity, op7_language_id, op8_shingle_join, op9_best_fit_packing, op10_word_dedup)}
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": oracles.quality_sql(),
