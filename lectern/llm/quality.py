@@ -43,12 +43,13 @@ MOST_DISTANCE = 0.33
 WINDOW = 8
 
 
-def _windows(words: Column) -> Column:
-    """Hashes of the 8-word windows, by doubling: of 1, 2, 4 and 8 words."""
-    at = F.transform(words, lambda w: F.xxhash64(w))
+def _with_windows(t: DataFrame) -> DataFrame:
+    """Add the hashes of the 8-word windows, by doubling: of 1, 2, 4 and 8 words. Each length is a column of its own, as a nested expression would make each one twice for the next."""
+    t = t.withColumn("_h1", F.when(F.size("_words") > WINDOW, F.transform("_words", lambda w: F.xxhash64(w))))
     for step in (1, 2, 4):
-        at = F.zip_with(F.slice(at, 1, F.greatest(F.size(at) - step, F.lit(0))), F.slice(at, step + 1, F.greatest(F.size(at) - step, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    return at
+        of = F.col(f"_h{step}")
+        t = t.withColumn(f"_h{2 * step}", F.zip_with(F.slice(of, 1, F.size(of) - step), F.slice(of, step + 1, F.size(of) - step), lambda a, b: F.xxhash64(a, b)))
+    return t
 
 
 def _covered(windows: Column) -> Column:
@@ -84,8 +85,7 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     t = t.withColumn("_words", F.filter(F.split("_t", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     lines = F.filter(F.split("_t", "\n"), lambda x: F.translate(x, " \t\r\x0b\x0c", "") != "")
     t = t.withColumn("_lines", F.when(F.instr("_t", "\n") > 0, lines).otherwise(F.array().cast("array<string>")))
-    t = t.withColumn("_windows", F.when(F.size("_words") > WINDOW, _windows(F.col("_words"))))
-    t = t.withColumn("_repeats", F.col("_windows").isNotNull() & (F.size(F.array_distinct("_windows")) < F.size("_windows")))
+    t = _with_windows(t).withColumn("_repeats", F.coalesce(F.size(F.array_distinct("_h8")) < F.size("_h8"), F.lit(False)))
     lefts, left = [F.length("_t")], F.col("_t")
     for k, pattern in enumerate(CLASSES):
         t = t.withColumn(f"_left{k}", F.regexp_replace(left, pattern, ""))
@@ -97,10 +97,10 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     t = t.select(
         "doc_id",
         F.size("_words").cast("long").alias("n_words"),
-        F.length(F.translate("_t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length("_t") - F.length(F.translate("_t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        (F.length("_t") - F.length(F.regexp_replace("_t", "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.col("_repeats"), _covered(F.col("_windows"))).otherwise(0).cast("long").alias("n_repeat_words"),
+        F.when(F.col("_repeats"), _covered(F.col("_h8"))).otherwise(0).cast("long").alias("n_repeat_words"),
         F.length("_t").alias("_chars"),
         F.array(*[(a - b) for a, b in zip(lefts, lefts[1:] + [F.lit(0)], strict=True)]).alias("_classes"),
         F.transform(F.array(*[F.lit(f"|{w}|") for w in every]), lambda w: ((F.length("_common") - F.length(F.replace(F.col("_common"), w, F.lit("")))) / F.length(w)).cast("int")).alias("_counts"),
