@@ -74,14 +74,16 @@ def js_distance(shares: Column, reference: tuple[float, ...]) -> Column:
     return F.sqrt(F.greatest(F.aggregate(F.zip_with(shares, own, part), F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
 
 
-def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_distance: float = MOST_DISTANCE, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
+def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_distance: float = MOST_DISTANCE, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, carry: bool = False) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) for every row.
 
     A null text has no words and fails the base rules, as a blank one does.
     Null and repeated ids give a row for each row; other columns are not read;
-    an empty table gives no rows. No shuffle.
+    an empty table gives no rows. No shuffle. With ``carry`` the whole row stands
+    in a last column, ``row``.
     """
-    t = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    row = ["row"] if carry else []
+    t = docs.select(*[F.struct(*[docs[c] for c in docs.columns]).alias(c) for c in row], F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     t = t.withColumn("_words", F.filter(F.split("_t", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     lines = F.filter(F.split("_t", "\n"), lambda x: F.translate(x, " \t\r\x0b\x0c", "") != "")
     t = t.withColumn("_lines", F.when(F.instr("_t", "\n") > 0, lines).otherwise(F.array().cast("array<string>")))
@@ -95,6 +97,7 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     common = F.filter(F.transform("_words", lambda w: F.lower(F.rtrim(w, F.lit(".,;:!?")))), lambda w: w.isin(every))
     t = t.withColumn("_common", F.concat(F.lit("|"), F.array_join(common, "||"), F.lit("|")))
     t = t.select(
+        *row,
         "doc_id",
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
@@ -117,4 +120,4 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     judged = (F.col("_chars") >= min_chars) & (F.col("n_words") >= min_words)
     t = t.withColumn("_distance", F.when(judged & ~F.col("base_failed"), F.least(*each)))
     kept = ~F.col("base_failed") & (F.col("_distance").isNull() | (F.col("_distance") <= most_distance))
-    return t.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+    return t.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), *row)

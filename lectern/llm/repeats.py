@@ -85,21 +85,26 @@ def repeated_units(
     segments: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     compare: Callable[[DataFrame], DataFrame],
     finish: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-    schema: str,
+    schema,
     id_col: str = "doc_id",
     text_col: str = "text",
+    carry: bool = False,
 ) -> DataFrame:
-    """Run the four steps. ``compare`` takes (doc, text, asked: array of (key, place)) and returns (doc, place) of repeats; ``finish`` takes (doc, text, again: array of negative places) and makes the result's rows."""
+    """Run the four steps. ``compare`` takes (doc, text, asked: array of (key, place)) and returns (doc, place) of repeats; ``finish`` takes (doc, text, again: array of negative places), or with ``carry`` (row: the whole row, again), and makes the result's rows."""
     ready(docs.sparkSession)
     n = width(docs)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).alias("text"))
     rows = texts.mapInArrow(segments, SEGMENT).repartition(2 * n, "key").sortWithinPartitions("key", "content", "doc", "place")
     found = rows.mapInArrow(_resolve, ASKED).checkpoint()
+    if carry:
+        row = F.struct(*[docs[c] for c in docs.columns])
+        texts = docs.select(row.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"))
     by_id = texts.repartition(n, "doc")
+    text = F.col("row").getField(text_col) if carry else F.col("text")
     asked = found.filter("place >= 0").groupBy("doc").agg(F.collect_list(F.struct("key", "place")).alias("asked"))
-    again = compare(by_id.join(asked, "doc"))
+    again = compare(by_id.join(asked, "doc").select("doc", text.alias("text"), "asked"))
     spans = found.filter("place < 0").select("doc", "place").union(again).groupBy("doc").agg(F.collect_list("place").alias("again"))
-    return by_id.join(spans, "doc", "left").select("doc", "text", "again").mapInArrow(finish, schema)
+    return by_id.join(spans, "doc", "left").select(*(["row"] if carry else ["doc", "text"]), "again").mapInArrow(finish, schema)
 
 
 def covered(n: int, places: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -278,14 +278,14 @@ def substring_digests(docs: DataFrame, size: int = 100, id_col: str = "doc_id",
     return repeated_units(docs, _segments(size), _compare(size), _finish(size), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", id_col, text_col)
 
 
-def _texts(size: int):
+def _rows(size: int, text_col: str, chars_col: str | None, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs = batch.column(0).to_numpy(zero_copy_only=False)
-            texts, again = batch.column(1), batch.column(2)
+            again, row = batch.column(1), batch.column(0)
             flat, cuts = again.values.to_numpy(zero_copy_only=False), again.offsets.to_numpy()
+            texts = row.field(columns.index(text_col))
             kept = []
-            for i in range(len(docs)):
+            for i in range(len(texts)):
                 text = texts[i].as_py()
                 if text is not None and again[i].is_valid:
                     raw, at, parts = text.encode("utf-8"), 0, []
@@ -295,11 +295,21 @@ def _texts(size: int):
                     parts.append(raw[at:])
                     text = b"".join(parts).decode("utf-8", "ignore")  # a span can cut a character in two; its other half goes too
                 kept.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, mask=docs == NULL_ID), pa.array(kept, pa.string())], ["doc_id", "text"])
+            out = []
+            for k, c in enumerate(columns):
+                column = row.field(k)
+                if c == text_col:
+                    column = pa.array(kept, column.type)
+                elif c == chars_col:
+                    column = pa.array([None if t is None else len(t) for t in kept], column.type)
+                out.append(column)
+            yield pa.RecordBatch.from_arrays(out, columns)
 
     return run
 
 
-def without_repeats(docs: DataFrame, size: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text): every row's text without repeated ``size``-byte strings; null stays null. See ``substring_digests`` for ids."""
-    return repeated_units(docs, _segments(size), _compare(size), _texts(size), "doc_id long, text string", id_col, text_col)
+def without_repeats(docs: DataFrame, size: int = 100, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """All rows and columns, with texts without repeated ``size``-byte strings, and their lengths in ``chars_col`` if it exists; null stays null. See ``substring_digests`` for ids."""
+    columns = docs.columns
+    run = _rows(size, text_col, chars_col if chars_col in columns else None, columns)
+    return repeated_units(docs, _segments(size), _compare(size), run, docs.schema, id_col, text_col, carry=True)
