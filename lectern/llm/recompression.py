@@ -16,8 +16,9 @@ its runs. These words are its *context*, kept beside it. So a symbol whose
 context lies within a window arises in every copy of the window, at the same
 place. The highest-level symbol of that kind with the least name, leftmost of
 equals, is the window's anchor; single words, which need no context, are always
-there. Shared anchors reveal repeats, and windows are then compared by their
-words.
+there. An anchor's key holds the words of its context too, as the window fixes
+them as well, and few texts share that much by chance. Shared anchors reveal
+repeats, and windows are then compared by their words.
 """
 
 from __future__ import annotations
@@ -92,7 +93,8 @@ def anchors(names: np.ndarray, bounds: np.ndarray, size: int, rounds: int = ROUN
         rank = mix(s.name + U64(level))
         key = (U64(rounds - level) << U64(61)) | ((rank >> U64(35)) << U64(32)) | s.start.astype(U64)
         of_word = np.zeros(n, dtype=U64)
-        of_word[s.start] = rank
+        local = s.right - s.left < FAR >> 1
+        of_word[s.start[local]] = range_hashes(names, s.left[local], s.right[local]) + U64(level)
         level_names.append(of_word)
         room = size - (s.right - s.left)
         fits = np.flatnonzero(room >= 0)
