@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import id_array, text_chunks
+from .arrays import id_array, ragged, text_chunks
 from .pretokens import Vocabulary, list_ids
 from .session import ready
 
@@ -47,12 +47,38 @@ def tokenizer_ids(path: str) -> Vocabulary:
         tokenizer.no_truncation()
 
         def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            return list_ids([e.ids for e in tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)])
+            return encode_words(tokenizer, words)
 
-        _made[path] = Vocabulary(encode)
+        _made[path] = Vocabulary(encode, 500_000)
     return _made[path]
 
 
+def encode_words(tokenizer, words: list[bytes], together: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, number of ids of each pre-token). Those of a space and letters are encoded ``together``, as a text of them falls into the same pre-tokens again; the others one by one."""
+    texts = [w.decode("utf-8") for w in words]
+    spaced = [i for i, t in enumerate(texts) if t[0] == " " and t[1:].isalpha()]
+    sizes = np.zeros(len(words), dtype=np.int64)
+    parts: list[tuple[np.ndarray, np.ndarray]] = []  # (pre-tokens, their ids)
+    alone = set(range(len(texts))).difference(spaced)
+    for at in range(0, len(spaced), together):
+        some = np.array(spaced[at : at + together])
+        e = tokenizer.encode("".join([texts[i] for i in some.tolist()]), add_special_tokens=False)
+        each = np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(some))
+        if len(each) == len(some) and each.all():
+            sizes[some] = each
+            parts.append((some, np.array(e.ids, dtype=np.int32)))
+        else:
+            alone.update(some.tolist())
+    rest = np.array(sorted(alone), dtype=np.int64)
+    ids, sizes[rest] = list_ids([e.ids for e in tokenizer.encode_batch_fast([texts[i] for i in rest.tolist()], add_special_tokens=False)])
+    parts.append((rest, ids))
+    out = np.empty(int(sizes.sum()), dtype=np.int32)
+    starts = np.cumsum(sizes) - sizes
+    for some, ids in parts:
+        out[ragged(starts[some], sizes[some])] = ids
+    return out, sizes
+
+
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = tokenizer_ids(path)
