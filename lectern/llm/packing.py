@@ -4,9 +4,9 @@
    (only a longer document is cut, and only its first piece may be shorter).
 2. The pieces are dealt to partitions of bounded size by a hash. Each partition
    packs its own by best-fit decreasing and bounds its optimum from below with
-   dual-feasible functions. Where bins equal the bound, the count is certified
-   and the partition is done.
-3. A partition with a gap gives the documents of its emptiest bins away. These
+   dual-feasible functions. Where bins equal the bound, the count is certified.
+3. A partition with a gap gives the documents of its emptiest bins away, and a
+   certified one those of the last bins that its own rounding up may cost. They
    meet in fewer partitions, which repeat step 2, until a single one is left.
    What a partition gives away is bounded, so each next one is bounded too.
 """
@@ -145,10 +145,10 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 
 def given_away(room: np.ndarray, bins: np.ndarray, gap: int, capacity: int, most: int) -> np.ndarray:
-    """Which bins a partition with a gap opens again: the emptiest ones, until their room holds four times the gap, within ``most`` pieces."""
+    """Which bins a partition opens again: the emptiest ones, until their room holds two bins and four times the gap, within ``most`` pieces. Without a gap it is only what its rounding up may cost."""
     order = np.argsort(-room, kind="stable")
     pieces = np.bincount(bins, minlength=len(room))[order]
-    enough = np.cumsum(room[order]) - room[order] < 4 * gap * capacity
+    enough = np.cumsum(room[order]) - room[order] < (4 * gap + 2) * capacity
     keep = enough & (room[order] > 0) & (np.cumsum(pieces) <= most)
     out = np.zeros(len(room), dtype=bool)
     out[order[keep]] = True
@@ -164,7 +164,7 @@ def _pack(capacity: int, turn: int, last: bool, given: int):
         lengths = rows["length"].to_numpy()
         bins, offsets, room = best_fit(lengths, capacity)
         gap = len(room) - lower_bound(lengths, capacity)
-        reopened = given_away(room, bins, gap, capacity, given) if gap and not last else np.zeros(len(room), dtype=bool)
+        reopened = given_away(room, bins, gap, capacity, given) if not last else np.zeros(len(room), dtype=bool)
         first = (turn << 56) + (TaskContext.get().partitionId() << 28)
         for name, column in (("sequence_id", pa.array(bins + first)), ("offset", pa.array(offsets)), ("again", pa.array(reopened[bins]))):
             rows = rows.append_column(name, column)
@@ -186,7 +186,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int
     parts = max(1, math.ceil(pool.count() / rows))
     done, turn = [], 0
     while True:
-        packed = pool.repartition(parts, F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn))).mapInArrow(_pack(capacity, turn, parts == 1, min(GIVEN, rows // MEET)), f"{_PIECE}, sequence_id long, offset long, again boolean")
+        packed = pool.repartition(parts, F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn))).mapInArrow(_pack(capacity, turn, parts == 1, min(GIVEN, rows // 2)), f"{_PIECE}, sequence_id long, offset long, again boolean")
         packed = packed.checkpoint()  # read twice; both must see the same bins
         done.append(packed.filter("not again").drop("again"))
         if parts == 1:
