@@ -125,7 +125,8 @@ def citation_numbers(bracket: Column) -> Column:
 def uncited_entries(b: DataFrame, bibliography: DataFrame) -> DataFrame:
     """(doc_id, number) of numbered entries that no bracket outside the bibliography cites: an anti join."""
     entry = pattern(r"(?m)(?:^|\n|\s)(\d{1,3})[.)]\s+(?=[А-ЯЁA-Z])")
-    numbers = bibliography.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(entry), F.lit(1))).cast("int").alias("number")).distinct()
+    numbers = bibliography.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(entry), F.lit(1))).alias("number"))
+    numbers = numbers.select("doc_id", F.col("number").cast("int").alias("number")).distinct()
     outside = b.join(bibliography.select("doc_id", "block_pos"), ["doc_id", "block_pos"], "left_anti")
     brackets = outside.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\[([^\]]+)\]"), F.lit(1))).alias("_b"))
     cited = brackets.select("doc_id", F.explode(citation_numbers(F.col("_b"))).alias("number"))

@@ -29,7 +29,7 @@ KNOWN = [
 ]
 IGNORED = ("РФ", "СССР", "ИИ", "ГОСТ", "ВКР", "ГЛАВА", "ВВЕДЕНИЕ", "ЗАКЛЮЧЕНИЕ", "СПИСОК", "РЕФЕРАТ", "SYNOPSIS")
 TOKEN = r"(?<![\p{L}\p{N}_])(?:TF[–-]IDF|Recall@\d+|NDCG@[A-Z\d]+|GPT(?:-[\w.]+)?|Qwen\d[\w.-]*|MiniLM|[A-ZА-ЯЁ]{2,10}(?:\d+)?)(?![\p{L}\p{N}_])"
-ROMAN = r"^[IVXLCDM]+\z"
+ROMAN = r"^(?:I|II|III|IV|V|VI|VII|VIII|IX|X)\z"
 
 
 def known_terms(spark: SparkSession) -> DataFrame:
@@ -39,7 +39,7 @@ def known_terms(spark: SparkSession) -> DataFrame:
 def term_uses(b: DataFrame, token: str = TOKEN, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
     """(doc_id, block_pos, term, match_at, text) of every use of a term."""
     found = explode_matches(b, "text", pattern(token), ("doc_id", "block_pos", "text"))
-    return found.withColumn("term", F.rtrim("match", F.lit(".-"))).filter(~F.col("term").isin(*ignored) & ~F.col("term").rlike(ROMAN))
+    return found.withColumn("term", F.replace("match", F.lit("TF-IDF"), F.lit("TF–IDF"))).filter(~F.col("term").isin(*ignored) & ~F.col("term").rlike(ROMAN))
 
 
 def first_uses(uses: DataFrame) -> DataFrame:

@@ -204,7 +204,7 @@ def quote_style_mix(spark, sf_dir):
 @query(rf"""
 WITH {SQL_BLOCKS},
 uses AS (SELECT doc_id, block_pos, unnest(regexp_extract_all(text, '[A-Z]{{3,10}}[0-9]*')) AS term FROM blocks)
-SELECT doc_id, term, min(block_pos)::INTEGER AS block_pos FROM uses WHERE NOT regexp_matches(term, '^[IVXLCDM]+$') GROUP BY 1, 2""")
+SELECT doc_id, term, min(block_pos)::INTEGER AS block_pos FROM uses WHERE NOT regexp_matches(term, '^(?:I|II|III|IV|V|VI|VII|VIII|IX|X)$') GROUP BY 1, 2""")
 def acronym_first_use(spark, sf_dir):
     return T.first_uses(T.term_uses(lines(spark, sf_dir), "[A-Z]{3,10}[0-9]*", ())).select("doc_id", "term", "block_pos")
 
