@@ -63,6 +63,31 @@ def place_sections(raw: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
+def model_issues(answers: DataFrame, sections: DataFrame) -> DataFrame:
+    """(doc_id, code, severity, message, section_ids): a model's own remarks; its indexes are those of the sections as they came. Each (code, message) once."""
+    parsed = answers.select("doc_id", F.from_json(json_body(F.col("raw")), ANSWER).alias("a")).select("doc_id", F.posexplode("a.issues").alias("_i", "x"))
+    rows = parsed.select("doc_id", "_i", F.coalesce(F.nullif(F.trim("x.code"), F.lit("")), F.lit("model_issue")).alias("code"), F.when(F.col("x.severity") == "info", "info").otherwise("warning").alias("severity"), F.trim("x.message").alias("message"), F.explode_outer("x.sectionIndexes").alias("raw_idx"))
+    rows = rows.filter("message <> ''").join(sections.select("doc_id", "raw_idx", "section_id"), ["doc_id", "raw_idx"], "left")
+    return rows.groupBy("doc_id", "code", "message").agg(F.min_by("severity", "_i").alias("severity"), F.array_sort(F.collect_set("section_id")).alias("section_ids"))
+
+
+def hydrated(fields: DataFrame, sections: DataFrame, b: DataFrame) -> DataFrame:
+    """Fields (doc_id, field, block_pos, text) after a confirmed map: what the map places goes before what phrases told; conclusions are both."""
+    cut = trimmed(section_blocks(sections.filter(F.col("type").isin("tasks", "defense_statements", "bibliography")), b))
+    told = cut.select("doc_id", F.col("type").alias("field"), "block_pos", "text")
+    starts = sections.join(b.select("doc_id", F.col("block_pos").alias("start_pos"), F.col("text").alias("_t")), ["doc_id", "start_pos"])
+    kind = F.when(F.col("type") == "chapter", "chapter_headings").when(F.col("type").isin("chapter_conclusions", "conclusion"), "conclusion_headings").when(F.col("type") == "goal", "goal")
+    heads = starts.withColumn("field", kind).filter("field is not null").select("doc_id", "field", F.col("start_pos").alias("block_pos"), F.when(F.col("type") == "goal", F.coalesce(F.nullif(F.trim("quote"), F.lit("")), F.col("_t"))).otherwise(F.col("_t")).alias("text"))
+    mapped = told.unionByName(heads)
+    own = fields.join(mapped.filter("field <> 'conclusion_headings'").select("doc_id", "field").distinct(), ["doc_id", "field"], "left_anti")
+    return mapped.unionByName(own.select("doc_id", "field", "block_pos", "text")).dropDuplicates(["doc_id", "field", "block_pos"])
+
+
+def reusable(maps: DataFrame, version: int, provider: str, model: str, prompt: str) -> DataFrame:
+    """Maps that were made by the same version, provider, model and prompt."""
+    return maps.filter((F.col("version") == version) & (F.col("provider") == provider) & (F.col("model") == model) & (F.col("prompt_hash") == prompt_hash(F.lit(prompt))))
+
+
 def clamp(x: Column) -> Column:
     return F.when(x.isNull() | F.isnan(x), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 

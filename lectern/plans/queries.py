@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import STOP_WORDS, norm_text, tokens
+from lectern.functions.text import STOP_WORDS, compact, norm_text, tokens
 from lectern.operators import blocks as B
 from lectern.operators import detectors as D
 from lectern.operators import scopes as S
@@ -21,6 +21,7 @@ from lectern.operators import terms as T
 from lectern.plans import jobs as J
 from lectern.plans import results as R
 from lectern.plans import routing as P
+from lectern.sources.files import user_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -438,3 +439,117 @@ def detector_verdicts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     v = D.verdicts(docs, D.first_hits(found(spark, sf_dir)), [s[0] for s in NEUTRAL])
     return v.join(docs, "doc_id").groupBy("lang", "detector_id").agg(F.count_if(F.col("status") == "violation").alias("n_violation"), F.count_if(F.col("status") == "pass").alias("n_pass"))
+
+
+@query(rf"""
+WITH {SQL_BLOCKS}
+SELECT doc_id, length(m)::BIGINT AS n_chars, ceil(length(m) / 3.0)::BIGINT AS est_tokens, md5(m) AS message_md5
+FROM (SELECT doc_id, string_agg('BLOCK doc-b' || (block_pos + 1) || ' | Документ | - | ' || type || chr(10) || text, chr(10) || chr(10) ORDER BY block_pos) AS m FROM blocks GROUP BY 1)""")
+def structure_message(spark, sf_dir):
+    m = M.structure_message(lines(spark, sf_dir).withColumn("location", F.lit("Документ")))
+    return m.select("doc_id", F.length("message").cast("long").alias("n_chars"), "est_tokens", F.md5("message").alias("message_md5"))
+
+
+@query(r"""
+WITH c AS (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM conversations)
+SELECT conv_id, turn, CASE WHEN length(t) > 92 THEN rtrim(substr(t, 1, 91)) || '…' ELSE t END AS short FROM c""")
+def compact_text(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", compact(F.col("text"), 92).alias("short"))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))
+SELECT doc_id, 'USR-' || lpad(n::VARCHAR, 2, '0') AS rule_id, md5(t) AS requirement_md5 FROM (
+  SELECT doc_id, trim(t) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM l WHERE length(trim(t)) >= 8) WHERE n <= 30""")
+def user_rule_lines(spark, sf_dir):
+    return user_rules(table(spark, sf_dir, "documents")).select("doc_id", "rule_id", F.md5("requirement").alias("requirement_md5"))
+
+
+@query("""
+SELECT event_id, json_extract_string(props, '$.k') AS k, props IS NOT NULL AS parsed FROM events""")
+def json_answer_scan(spark, sf_dir):
+    raw = F.concat(F.lit("Here it is:\n```json\n"), "props", F.lit("\n```"))
+    body = M.json_body(raw)
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object(body, "$.k").alias("k"), body.isNotNull().alias("parsed"))
+
+
+@query(_SECTIONS + """, dim(type, code, severity) AS (VALUES ('introduction', 'missing_introduction', 'warning'), ('conclusion', 'missing_conclusion', 'warning'), ('goal', 'missing_goal', 'info'), ('tasks', 'missing_tasks', 'info'), ('defense_statements', 'missing_defense_statements', 'info')),
+have AS (SELECT DISTINCT doc_id FROM starts), all_issues AS (
+  SELECT d.doc_id, code, severity FROM documents d, dim UNION ALL
+  SELECT doc_id, 'missing_chapters', 'warning' FROM documents ANTI JOIN have USING (doc_id) UNION ALL
+  SELECT doc_id, 'empty_structure', 'warning' FROM documents ANTI JOIN have USING (doc_id))
+SELECT code, severity, count(*)::BIGINT AS n FROM all_issues GROUP BY 1, 2""")
+def map_issue_counts(spark, sf_dir):
+    issues = M.map_issues(table(spark, sf_dir, "documents").select("doc_id"), caps_sections(lines(spark, sf_dir)))
+    return issues.groupBy("code", "severity").agg(F.count("*").alias("n"))
+
+
+@query(_SECTIONS + " SELECT doc_id, section_id, block_pos FROM (SELECT s.doc_id, 'section-' || s.start_pos AS section_id, b.block_pos, row_number() OVER (PARTITION BY s.doc_id, s.start_pos ORDER BY b.block_pos) AS r FROM starts s JOIN blocks b ON b.doc_id = s.doc_id AND b.block_pos BETWEEN s.start_pos AND s.end_pos) WHERE r <= 5")
+def section_preview(spark, sf_dir):
+    b = lines(spark, sf_dir)
+    return J.preview(M.section_blocks(caps_sections(b), b), ("doc_id", "section_id"), "block_pos").select("doc_id", "section_id", "block_pos")
+
+
+@query(rf"""
+WITH {SQL_BLOCKS}, marks AS (SELECT doc_id, min((block_pos, instr(text, 'The '))) AS s FROM blocks WHERE contains(text, 'The ') GROUP BY 1),
+ends AS (SELECT b.doc_id, min((block_pos, instr(text, 'Of '))) AS e FROM blocks b JOIN marks m USING (doc_id) WHERE contains(text, 'Of ') AND (block_pos, instr(text, 'Of ')) > m.s GROUP BY 1),
+cut AS (
+  SELECT b.doc_id, b.block_pos, trim(substr(text, CASE WHEN b.block_pos = s[1] THEN s[2] ELSE 1 END, CASE WHEN e IS NOT NULL AND b.block_pos = e[1] THEN e[2] ELSE length(text) + 1 END - CASE WHEN b.block_pos = s[1] THEN s[2] ELSE 1 END)) AS t
+  FROM blocks b LEFT JOIN marks USING (doc_id) LEFT JOIN ends USING (doc_id) WHERE s IS NULL OR (b.block_pos >= s[1] AND (e IS NULL OR b.block_pos <= e[1])))
+SELECT doc_id, count(*)::BIGINT AS n_blocks, sum(length(t))::BIGINT AS n_chars FROM cut WHERE t <> '' GROUP BY 1""")
+def trimmed_ranges(spark, sf_dir):
+    rows = lines(spark, sf_dir).withColumns({"section_id": F.lit("s"), "type": F.lit("goal")})
+    return M.trimmed(rows, [("goal", "The ", "Of ")]).groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query("""
+SELECT l_orderkey AS doc_id, l_partkey % 40 AS number, l_linenumber FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey % 40 ORDER BY l_quantity DESC, l_linenumber) AS r FROM lineitem) WHERE r = 1""")
+def best_of_number(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") % 40).alias("number"), F.col("l_linenumber").alias("block_pos"), F.expr("repeat('a ', cast(l_quantity as int))").alias("text"))
+    return T.unique_items(rows).select("doc_id", "number", F.col("block_pos").alias("l_linenumber"))
+
+
+@query(_RESULTS + """, fresh AS (SELECT doc_id, rule_id, 'violation' AS status FROM results WHERE doc_id % 3 = 0 AND rule_id <> 'CORE-15')
+SELECT r.doc_id, r.rule_id, coalesce(f.status, r.status) AS status FROM results r LEFT JOIN fresh f USING (doc_id, rule_id)""")
+def result_merge(spark, sf_dir):
+    old = label_results(spark, sf_dir).select("doc_id", "rule_id", "status")
+    fresh = old.filter("doc_id % 3 = 0 and rule_id <> 'CORE-15'").withColumn("status", F.lit("violation")).unionByName(old.limit(0))
+    return R.merged(old, fresh)
+
+
+@query(_RESULTS + " SELECT s AS status, i::INTEGER AS place, count(r.status)::BIGINT AS n FROM (VALUES ('violation', 0), ('pass', 1), ('uncertain', 2), ('not_checked', 3), ('not_applicable', 4)) v(s, i) LEFT JOIN results r ON r.status = s GROUP BY 1, 2")
+def status_facets(spark, sf_dir):
+    return J.status_facet(label_results(spark, sf_dir), R.STATUSES)
+
+
+@query(_RESULTS + " SELECT doc_id, rule_id FROM results WHERE status = 'violation' AND severity IN ('critical', 'major')")
+def urgent_results(spark, sf_dir):
+    return J.urgent(label_results(spark, sf_dir)).select("doc_id", "rule_id")
+
+
+@query("""
+WITH f AS (SELECT url || '.pdf' AS name, (page_id % 7)::BIGINT AS size, page_id AS place FROM pages UNION ALL SELECT url || '.PDF', (page_id % 7)::BIGINT, page_id + 1000000 FROM pages UNION ALL SELECT url || '.txt', 1, page_id FROM pages)
+SELECT name, size, min(place) AS place FROM f WHERE regexp_matches(lower(name), '[.](pdf|docx)$') GROUP BY 1, 2 ORDER BY place LIMIT 30""")
+def upload_dedupe(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    f = p.select(F.concat("url", F.lit(".pdf")).alias("name"), (F.col("page_id") % 7).alias("size"), F.col("page_id").alias("place"))
+    f = f.unionByName(p.select(F.concat("url", F.lit(".PDF")).alias("name"), (F.col("page_id") % 7).alias("size"), (F.col("page_id") + 1000000).alias("place")))
+    f = f.unionByName(p.select(F.concat("url", F.lit(".txt")).alias("name"), F.lit(1).cast("long").alias("size"), F.col("page_id").alias("place")))
+    return J.accepted_uploads(f)
+
+
+@query("""
+SELECT user_id, next_id FROM (SELECT user_id, event_id AS next_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events WHERE event_type IN ('click', 'view')) WHERE r = 1""")
+def next_queued(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), "event_id")
+    rows = table(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "view")).withColumn("r", F.row_number().over(w))
+    return rows.filter("r = 1").select("user_id", F.col("event_id").alias("next_id"))
+
+
+@query("""
+SELECT event_id, CASE WHEN s IN (401, 402, 403) THEN 'fatal' WHEN s IN (408, 409, 425, 429) OR s >= 500 THEN 'retry' ELSE 'fail' END AS class, (1800 * power(2, event_id % 4))::BIGINT AS backoff_ms
+FROM (SELECT event_id, [200, 400, 401, 402, 403, 404, 408, 409, 425, 429, 500, 503][event_id % 12 + 1] AS s FROM events)""")
+def retry_classes(spark, sf_dir):
+    s = F.element_at(F.array(*[F.lit(x) for x in (200, 400, 401, 402, 403, 404, 408, 409, 425, 429, 500, 503)]), (F.col("event_id") % 12 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", R.retry_class(s, F.lit("")).alias("class"), R.backoff_ms(F.col("event_id") % 4 + 1, F.lit(0)).alias("backoff_ms"))

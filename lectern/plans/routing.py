@@ -150,6 +150,30 @@ def fragments(rows: DataFrame) -> DataFrame:
     return out
 
 
+IMPLEMENTED = r"(?iu)внедрен|использовани[ея]\s+результат|акт(?:а|ы|ов)?\s+внедрен|репозитор|github|gitlab|открыт(?:ое|ый)\s+по|программ(?:ное|ный)\s+средств"
+
+
+def implementation_context(b: DataFrame, rows: DataFrame) -> DataFrame:
+    """The virtual fragment on practical use: blocks that speak of it, the first two of each chapter, and the conclusion."""
+    first = F.row_number().over(Window.partitionBy("doc_id", "section_id").orderBy("block_pos"))
+    chapters = rows.filter("type = 'chapter'").withColumn("_n", first).filter("_n <= 2")
+    cols = ["doc_id", "block_pos", "block_id", "text"]
+    blocks = b.filter(F.col("text").rlike(pattern(IMPLEMENTED))).select(*cols).unionByName(chapters.select(*cols)).unionByName(rows.filter("type = 'conclusion'").select(*cols)).dropDuplicates(["doc_id", "block_id"])
+    return blocks.select("doc_id", F.lit("virtual-implementation_context").alias("fragment_id"), F.lit("implementation_context").alias("selector"), F.lit(True).alias("complete"), "block_pos", "block_id", "text")
+
+
+def defense_matrix(pairs: DataFrame, statements: DataFrame, rows: DataFrame) -> DataFrame:
+    """Fragments of one statement and its chapter each, with the kind of result that the statement claims."""
+    one = pairs.join(statements.select("doc_id", "number", "block_pos", "text"), ["doc_id", "number"])
+    name = F.concat(F.lit("virtual-defense-chapter-"), "pair")
+    head = one.select("doc_id", name.alias("fragment_id"), F.lit(None).cast("string").alias("state"), "block_pos", F.concat(F.lit("statement-"), "number").alias("block_id"), "text", result_kind(F.col("text")).alias("result_kind"))
+    body = one.select("doc_id", "pair", "section_id", result_kind(F.col("text")).alias("result_kind")).join(rows.select("doc_id", "section_id", "state", "block_pos", "block_id", "text"), ["doc_id", "section_id"])
+    body = body.select("doc_id", name.alias("fragment_id"), "state", "block_pos", "block_id", "text", "result_kind")
+    both = head.unionByName(body)
+    whole = F.coalesce(F.bool_and(F.col("state") == "confirmed").over(Window.partitionBy("doc_id", "fragment_id")), F.lit(False))
+    return both.select("doc_id", "fragment_id", F.lit("defense_chapter_matrix").alias("selector"), whole.alias("complete"), "block_pos", "block_id", "text", "result_kind")
+
+
 def paired_chapters(statements: DataFrame, chapters: DataFrame) -> DataFrame:
     """(doc_id, pair, number, section_id): statements and chapters by position; of more chapters than statements the last ones."""
     s = statements.select("doc_id", "number", F.row_number().over(Window.partitionBy("doc_id").orderBy("number")).alias("pair"), F.count("*").over(Window.partitionBy("doc_id")).alias("_n"))

@@ -12,6 +12,7 @@ from lectern.operators import structural as X
 from lectern.operators import terms as T
 from lectern.plans import jobs as J
 from lectern.plans import results as R
+from lectern.plans import provider as V
 from lectern.plans import routing as P
 from lectern.sources import files as files_
 
@@ -240,3 +241,43 @@ def test_rule_files_and_docx(spark, tmp_path):
     (tmp_path / "b.docx").write_bytes(b"not a zip file")
     got = {x.path[-6:]: x for x in files_.read_documents(spark, str(tmp_path)).collect()}
     assert got["a.docx"].text == "Раз\n\nДва" and got["b.docx"].warning
+
+
+def test_messages_and_answers(spark):
+    frags = spark.createDataFrame([(1, "f", True, 0, "b1", "первый блок"), (1, "f", True, 1, "b2", "второй блок")], "doc_id long, fragment_id string, complete boolean, block_pos int, block_id string, text string")
+    rules = spark.createDataFrame([("CORE-2-3", "Наука", "Назвать аналоги"), ("x", "Стиль", "Писать ясно")], "rule_id string, category string, requirement string")
+    assigned = P.packets(spark.createDataFrame([(1, "f", "CORE-2-3"), (1, "f", "x")], "doc_id long, fragment_id string, rule_id string"), 12)
+    asked = V.check_messages(assigned, frags, rules, R.required_items(spark))
+    text = asked.first()["message"]
+    assert text.index("BLOCK b1") < text.index("BLOCK b2") < text.index("RULE CORE-2-3") and "analogs, prototype" in text
+
+    def call(message):
+        if "BLOCK b1" not in message:
+            raise ValueError("no block")
+        return '{"results":[{"ruleId":"x","status":"violation","evidence":[{"blockId":"b2","quote":"Второй  блок"}]},{"ruleId":"CORE-2-3","status":"pass","absenceCheck":{"complete":true,"checkedBlockCount":2,"items":[{"name":"analogs","status":"found"}]}}]}'
+
+    got = V.answered(asked, call)
+    statuses, claims, cells = V.parse_checks(got, M.json_body)
+    assert {(r.rule_id, r.status) for r in statuses.collect()} == {("x", "violation"), ("CORE-2-3", "pass")}
+    assert R.verified_evidence(claims, frags).count() == 1 and cells.first()["item"] == "analogs"
+    bad = V.answered(asked.withColumn("message", F.lit("nothing")), call).first()
+    assert bad.raw is None and bad.error == "ValueError: no block"
+    body = asked.select(V.request_body(F.lit("m"), F.lit("s"), F.col("message"), F.lit("check")).alias("j")).first()["j"]
+    assert '"max_completion_tokens":8000' in body and '"response_format"' in body
+    assert one(spark, V.content_text(F.col("t")), t='[{"type":"text","text":"a"},{"type":"text","text":"b"}]') == "ab" and one(spark, V.content_text(F.col("t")), t="plain") == "plain"
+
+
+def test_hydration_matrix_and_model_issues(spark):
+    b = block_rows(spark, ["Цель работы: создать метод.", "Глава 1. Метод", "Используется внедрение результатов.", "Заключение"])
+    sections = spark.createDataFrame([(1, "section-1", 0, "goal", "", "confirmed", 0, 0, "создать метод"), (1, "section-2", 1, "chapter", "", "confirmed", 1, 2, None), (1, "section-3", 2, "conclusion", "", "confirmed", 3, 3, None)], "doc_id long, section_id string, raw_idx int, type string, label string, state string, start_pos int, end_pos int, quote string")
+    told = {(r.field, r.block_pos, r.text) for r in M.hydrated(B.fields(b), sections, b).collect()}
+    assert ("goal", 0, "создать метод") in told and ("chapter_headings", 1, "Глава 1. Метод") in told and ("conclusion_headings", 3, "Заключение") in told
+    rows = M.section_blocks(sections, b)
+    assert {r.block_pos for r in P.implementation_context(b, rows).collect()} == {1, 2, 3}
+    statements = spark.createDataFrame([(1, 1, "Метод анализа.", 0)], "doc_id long, number int, text string, block_pos int")
+    pairs = P.paired_chapters(statements, sections.filter("type = 'chapter'"))
+    matrix = P.defense_matrix(pairs, statements, rows).collect()
+    assert {r.fragment_id for r in matrix} == {"virtual-defense-chapter-1"} and {r.result_kind for r in matrix} == {"method"} and len(matrix) == 3 and all(r.complete for r in matrix)
+    raw = '{"sections":[],"issues":[{"message":"m","sectionIndexes":[1]},{"message":"m"},{"message":" "}]}'
+    got = M.model_issues(spark.createDataFrame([(1, raw)], "doc_id long, raw string"), sections).collect()
+    assert [(r.code, r.severity, r.section_ids) for r in got] == [("model_issue", "warning", ["section-2"])]
