@@ -32,16 +32,19 @@ def is_named_heading(text: Column) -> Column:
 
 
 def classify(text: Column) -> Column:
-    """The first type that fits: caption, heading, list, bibliography, formula, paragraph."""
-    t = collapse(text)
-    return (
-        F.when(t.rlike(pattern(CAPTION)), "caption")
-        .when(t.rlike(pattern(NUMBERED_HEADING)) | is_named_heading(t), "heading")
-        .when(t.rlike(pattern(LIST_ITEM)), "list")
-        .when(t.rlike(pattern(ENTRY)) & t.rlike(ENTRY_SIGN), "bibliography")
-        .when(t.rlike(FORMULA) & (F.length(t) < 700), "formula")
-        .otherwise("paragraph")
-    )
+    """The first type that fits: caption, heading, list, bibliography, formula, paragraph. The collapsed text is bound once, by a lambda."""
+
+    def kind(t: Column) -> Column:
+        return (
+            F.when(t.rlike(pattern(CAPTION)), "caption")
+            .when(t.rlike(pattern(NUMBERED_HEADING)) | is_named_heading(t), "heading")
+            .when(t.rlike(pattern(LIST_ITEM)), "list")
+            .when(t.rlike(pattern(ENTRY)) & t.rlike(ENTRY_SIGN), "bibliography")
+            .when(t.rlike(FORMULA) & (F.length(t) < 700), "formula")
+            .otherwise("paragraph")
+        )
+
+    return F.get(F.transform(F.array(collapse(text)), kind), F.lit(0))
 
 
 def packed_sentences(text: Column, long: int = LONG, most: int = PACKED) -> Column:
