@@ -21,7 +21,7 @@ from lectern.operators import terms as T
 from lectern.plans import jobs as J
 from lectern.plans import results as R
 from lectern.plans import routing as P
-from lectern.sources.files import user_rules
+from lectern.sources.files import spread, user_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,7 +57,8 @@ blocks AS (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 def lines(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:

@@ -76,6 +76,12 @@ def joined_pages(pages: DataFrame, key: str = "path") -> DataFrame:
     return pages.groupBy(key).agg(F.array_join(F.transform(rows, lambda p: F.concat(F.lit("<<<PAGE "), p["page"].cast("string"), F.lit(">>>\n"), p["text"])), "\n\n").alias("text"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over at least as many partitions as the cluster runs at once. A table of fewer is small, as scans cut files at a fixed size, so dealing it out anew costs little."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
+
+
 _CSV = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
 
 
