@@ -7,6 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.sources.files import spread
+
 from . import oracles
 from .byte_bpe import bpe_digests
 from .language_id import languages
@@ -32,7 +34,8 @@ URL_DEFAULT = "allow"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

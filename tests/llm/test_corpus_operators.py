@@ -6,7 +6,6 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
-import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -249,6 +248,3 @@ def test_nearest(spark):
     assert [(r.query_id, r.vec_id, r.score) for r in few] == [(100, 101, 1.0)]
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
-
-def test_packed_arrays_are_plain():
-    assert pa.types.is_int64(pa.array(np.arange(3)).type)
