@@ -202,7 +202,7 @@ def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _compare(size: int):
     def compare(asked: DataFrame) -> DataFrame:
-        rows = asked.select("doc", "text", "asked").mapInArrow(_windows(size), "key long, content long, doc long, place long")
+        rows = asked.mapInArrow(_windows(size), "key long, content long, doc long, place long")
         return rows.repartition(width(asked, 2), "key").sortWithinPartitions("key", "doc", "place").mapInArrow(_first_of_each, "doc long, place long")
 
     return compare

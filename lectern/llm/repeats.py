@@ -90,7 +90,7 @@ def repeated_units(
     text_col: str = "text",
     carry: bool = False,
 ) -> DataFrame:
-    """Run the four steps. ``compare`` takes (doc, text, asked: array of (key, place)) and returns (doc, place) of repeats; ``finish`` takes (doc, text, again: array of negative places), or with ``carry`` (row: the whole row, again), and makes the result's rows."""
+    """Run the four steps. ``compare`` takes (doc, text, asked: array of (key, place)) and returns (doc, place) of repeats; ``finish`` takes (doc, text, again: array of negative places), or with ``carry`` (row, again), and makes the result's rows. With ``carry`` the whole row stands for the text in both, as a struct (see ``text_of``), so that both still read one exchange."""
     ready(docs.sparkSession)
     n = width(docs)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).alias("text"))
@@ -100,13 +100,18 @@ def repeated_units(
         row = F.struct(*[docs[c] for c in docs.columns])
         texts = docs.select(row.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"))
     by_id = texts.repartition(n, "doc")
-    text = F.col("row").getField(text_col) if carry else F.col("text")
+    body = "row" if carry else "text"
     asked = found.filter("place >= 0").groupBy("doc").agg(F.collect_list(F.struct("key", "place")).alias("asked"))
-    again = compare(by_id.join(asked, "doc").select("doc", text.alias("text"), "asked"))
+    again = compare(by_id.join(asked, "doc").select("doc", body, "asked"))
     spans = found.filter("place < 0").select("doc", "place").union(again).groupBy("doc").agg(F.collect_list("place").alias("again"))
     return by_id.join(spans, "doc", "left").select(*(["row"] if carry else ["doc", "text"]), "again").mapInArrow(finish, schema)
 
 
+def text_of(column: pa.Array, text_col: str) -> pa.Array:
+    """The texts of a column that holds texts or whole rows."""
+    return column.field(text_col) if pa.types.is_struct(column.type) else column
+
+
 def covered(n: int, places: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Merged intervals [start, end) of the units that the windows at negative ``places`` cover, within n units."""
     at = -places - 1

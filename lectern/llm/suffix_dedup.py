@@ -32,10 +32,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .arrays import _BASE, _BASE_INV, NULL_ID, U64, byte_values, mix, powers, prefix_sums, text_chunks
-from .repeats import covered, repeated_units, segment_rows
+from .repeats import covered, repeated_units, segment_rows, text_of
 from .session import width
 
 GRAM = 32
@@ -103,16 +102,16 @@ def _segments(size: int):
     return run
 
 
-def _strings(size: int):
+def _strings(size: int, text_col: str):
     """The asked segments' bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, doc, place, raw = [], [], [], []
-            texts = batch.column(1).to_pylist()
+            texts = text_of(batch.column(1), text_col)
             asked = batch.column(2)
             for i, d in enumerate(batch.column(0).to_pylist()):
-                text = (texts[i] or "").encode("utf-8")
+                text = (texts[i].as_py() or "").encode("utf-8")
                 for x in asked[i].as_py():
                     p = x["place"]
                     start = p >> 16
@@ -259,9 +258,9 @@ def _finish(size: int):
     return run
 
 
-def _compare(size: int):
+def _compare(size: int, text_col: str):
     def compare(asked: DataFrame) -> DataFrame:
-        strings = asked.select("doc", "text", "asked").mapInArrow(_strings(size), "key long, doc long, place long, string binary")
+        strings = asked.mapInArrow(_strings(size, text_col), "key long, doc long, place long, string binary")
         return strings.repartition(width(asked), "key").sortWithinPartitions("key", "doc", "place").mapInArrow(_construct(size), "doc long, place long")
 
     return compare
@@ -275,7 +274,7 @@ def substring_digests(docs: DataFrame, size: int = 100, id_col: str = "doc_id",
     spans found for that id are removed from each (cut off at its end). An empty
     table gives no rows; other columns are not read.
     """
-    return repeated_units(docs, _segments(size), _compare(size), _finish(size), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", id_col, text_col)
+    return repeated_units(docs, _segments(size), _compare(size, text_col), _finish(size), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", id_col, text_col)
 
 
 def _rows(size: int, text_col: str, chars_col: str | None, columns: list[str]):
@@ -312,4 +311,4 @@ def without_repeats(docs: DataFrame, size: int = 100, id_col: str = "doc_id", te
     """All rows and columns, with texts without repeated ``size``-byte strings, and their lengths in ``chars_col`` if it exists; null stays null. See ``substring_digests`` for ids."""
     columns = docs.columns
     run = _rows(size, text_col, chars_col if chars_col in columns else None, columns)
-    return repeated_units(docs, _segments(size), _compare(size), run, docs.schema, id_col, text_col, carry=True)
+    return repeated_units(docs, _segments(size), _compare(size, text_col), run, docs.schema, id_col, text_col, carry=True)
