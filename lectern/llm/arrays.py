@@ -2,8 +2,9 @@
 
 Everything here works on one bounded chunk of documents at a time: the UTF-8
 bytes of some documents laid end to end (``data``) and their boundaries
-(``offs``). A chunk holds about ``CHUNK`` bytes; a longer document is a chunk
-of its own, so memory follows the longest document, never the partition.
+(``offs``). A chunk holds about ``CHUNK`` bytes, so that the 64-bit arrays made
+of it take a few dozen megabytes; a longer document is a chunk of its own, so
+memory follows the longest document, never the partition.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 NULL_ID = -(2**63)  # stands for a null id inside the operators
 
 U64 = np.uint64
@@ -44,10 +45,10 @@ def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2**64, kept between calls."""
     got = _POWERS.get(base)
     if got is None or len(got) < n:
-        steps = np.full(max(n, 2 * CHUNK if n > 4096 else 4096), base, dtype=U64)
+        steps = np.full(max(n, CHUNK + 4096 if n > 4096 else 4096), base, dtype=U64)
         steps[0] = 1
         got = np.cumprod(steps, dtype=U64)
-        if len(got) <= 8 * CHUNK:
+        if len(got) <= 4 * CHUNK:
             _POWERS[base] = got
     return got[:n]
 
@@ -133,16 +134,6 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def merged_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs covered by the given half-open intervals (overlapping or touching ones join)."""
-    if not len(starts):
-        return starts, ends
-    order = np.argsort(starts, kind="stable")
-    s, e = starts[order], np.maximum.accumulate(ends[order])
-    new = np.flatnonzero(np.concatenate(([True], s[1:] > e[:-1])))
-    return s[new], e[np.concatenate((new[1:] - 1, [len(s) - 1]))]
-
-
 def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == U64 else x.astype(np.int64, copy=False))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import U64, id_array, ragged, text_chunks
+from .arrays import CHUNK, U64, id_array, ragged, text_chunks
 from .pretokens import Vocabulary
 
 NONE = np.int32(2**31 - 1)
@@ -208,7 +208,7 @@ def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, vocabulary = codec(path)
         for batch in batches:
-            for _, _, ids, offs, data in text_chunks(batch):
+            for _, _, ids, offs, data in text_chunks(batch, limit=2 * CHUNK):
                 tokens, cuts = vocabulary.ids(data, offs)
                 text, at = bpe.decimals(tokens)
                 raw = bpe.decode(tokens)
@@ -219,6 +219,7 @@ def _digests(path: str):
                     shas.append(hashlib.sha256(text[at[a] : max(at[a], at[b] - 1)]).hexdigest())
                     back.append(hashlib.sha256(raw[raw_at[a] : raw_at[b]]).hexdigest())
                 yield pa.RecordBatch.from_arrays([id_array(ids), pa.array(np.diff(cuts)), pa.array(shas, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        vocabulary.clear()  # the process lives on for other tasks
 
     return run
 
@@ -238,7 +239,7 @@ def _tokens(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, vocabulary = codec(path)
         for batch in batches:
-            for _, _, ids, offs, data in text_chunks(batch):
+            for _, _, ids, offs, data in text_chunks(batch, limit=2 * CHUNK):
                 tokens, cuts = vocabulary.ids(data, offs)
                 yield pa.RecordBatch.from_arrays([id_array(ids), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(tokens))], ["doc_id", "ids"])
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import id_array, ragged, text_chunks
+from .arrays import CHUNK, id_array, ragged, text_chunks
 from .pretokens import Vocabulary, list_ids
 from .session import ready
 
@@ -49,7 +49,7 @@ def tokenizer_ids(path: str) -> Vocabulary:
         def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             return encode_words(tokenizer, words)
 
-        _made[path] = Vocabulary(encode, 500_000)
+        _made[path] = Vocabulary(encode)
     return _made[path]
 
 
@@ -83,7 +83,7 @@ def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = tokenizer_ids(path)
         for batch in batches:
-            for _, _, ids, offs, data in text_chunks(batch):
+            for _, _, ids, offs, data in text_chunks(batch, limit=2 * CHUNK):
                 tokens, cuts = vocabulary.ids(data, offs)
                 docs, piece, start, length, crc = [], [], [], [], []
                 for doc, a, b in zip(ids.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -98,6 +98,7 @@ def _pieces(path: str, capacity: int, end_id: int):
                         crc.append(zlib.crc32(own[at:to].tobytes()))
                         at, k = to, k + 1
                 yield pa.RecordBatch.from_arrays([id_array(np.array(docs, dtype=np.int64)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        vocabulary.clear()  # the process lives on for other tasks
 
     return run
 

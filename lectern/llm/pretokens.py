@@ -19,7 +19,7 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 
-from .arrays import U64, ragged, word_hashes
+from .arrays import ragged, word_hashes
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: White_Space of Unicode (fixed values).
@@ -150,5 +150,3 @@ def list_ids(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.diff(flat.offsets.to_numpy())
     return flat.values.to_numpy(zero_copy_only=False).astype(np.int32), sizes.astype(np.int64)
 
-
-__all__ = ["U64", "Vocabulary", "list_ids", "pretokens"]

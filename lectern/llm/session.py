@@ -6,9 +6,13 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of the batches that go to Python workers at most; the session's default is four times that, on both sides of the pipe.
+BATCH = 16 << 20
+
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Give the session a checkpoint folder: the cluster's ``spark.checkpoint.dir``; a local one only where that is unset, as in tests."""
+    """Bound the batches that go to Python, and give the session a checkpoint folder: the cluster's ``spark.checkpoint.dir``; a local one only where that is unset, as in tests."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
