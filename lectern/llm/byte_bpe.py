@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .arrays import CHUNK, U64, id_array, ragged, text_chunks
 from .pretokens import Vocabulary
+from .session import ready
 
 NONE = np.int32(2**31 - 1)
 LONGEST = 512
@@ -231,6 +232,7 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     repeated ids stay as they are, one row for each row; other columns are not
     read; an empty table gives no rows. No shuffle.
     """
+    ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -248,6 +250,7 @@ def _tokens(path: str):
 
 def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): the token ids of every row's text."""
+    ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_tokens(path), "doc_id long, ids array<int>")
 
@@ -264,5 +267,6 @@ def _bytes_of(path: str):
 
 def bpe_decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, bytes): the bytes that the ids stand for; null ids are none."""
+    ready(tokens.sparkSession)
     rows = tokens.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
     return rows.mapInArrow(_bytes_of(path), "doc_id long, bytes binary")

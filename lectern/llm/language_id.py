@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, id_array, text_chunks
+from .session import ready
 
 #: Families of closely related languages (fixed values); any other language is a family of its own.
 FAMILIES = {
@@ -185,6 +186,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, sample_all: int = SAMPLE_ALL) -> Model | None:
     """Fit on a sample of at most about ``sample`` rows of a language and ``sample_all`` in all, taken by a hash of the id among rows with a text and a language. Whole texts are read; the driver gets one vector of fixed length for each sampled row. None without any such row."""
+    ready(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample_all).collect()}
     if not counts:

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of the batches that go to Python workers at most; the session's default is four times that, on both sides of the pipe.
 BATCH = 16 << 20
+ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Bound the batches that go to Python, and give the session a checkpoint folder: the cluster's ``spark.checkpoint.dir``; a local one only where that is unset, as in tests."""
+    """Bound the batches that go to Python, let workers import the package from where the driver has it, and give the session a checkpoint folder: the cluster's ``spark.checkpoint.dir``; a local one only where that is unset, as in tests."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     sc = spark.sparkContext
+    paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in paths:
+        sc.environment["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
