@@ -89,8 +89,9 @@ def repeated_units(
     id_col: str = "doc_id",
     text_col: str = "text",
     carry: bool = False,
+    hot: int | None = None,
 ) -> DataFrame:
-    """Run the four steps. ``compare`` takes (doc, text, asked: array of (key, place)) and returns (doc, place) of repeats; ``finish`` takes (doc, text, again: array of negative places), or with ``carry`` (row, again), and makes the result's rows. With ``carry`` the whole row stands for the text in both, as a struct (see ``text_of``), so that both still read one exchange."""
+    """Run the four steps. ``compare`` takes (doc, text, asked: array of (key, place, and with ``hot`` whether more than so many segments of its key are asked)) and returns (doc, place) of repeats; ``finish`` takes (doc, text, again: array of negative places), or with ``carry`` (row, again), and makes the result's rows. With ``carry`` the whole row stands for the text in both, as a struct (see ``text_of``), so that both still read one exchange."""
     ready(docs.sparkSession)
     n = width(docs)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).alias("text"))
@@ -101,7 +102,11 @@ def repeated_units(
         texts = docs.select(row.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"))
     by_id = texts.repartition(n, "doc")
     body = "row" if carry else "text"
-    asked = found.filter("place >= 0").groupBy("doc").agg(F.collect_list(F.struct("key", "place")).alias("asked"))
+    asked = found.filter("place >= 0")
+    if hot is not None:
+        large = asked.groupBy("key").count().filter(F.col("count") > hot).select("key", F.lit(True).alias("hot"))
+        asked = asked.join(F.broadcast(large), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))  # at most one key for every ``hot`` rows
+    asked = asked.groupBy("doc").agg(F.collect_list(F.struct("key", "place", *(["hot"] if hot is not None else []))).alias("asked"))
     again = compare(by_id.join(asked, "doc").select("doc", body, "asked"))
     spans = found.filter("place < 0").select("doc", "place").union(again).groupBy("doc").agg(F.collect_list("place").alias("again"))
     return by_id.join(spans, "doc", "left").select(*(["row"] if carry else ["doc", "text"]), "again").mapInArrow(finish, schema)

@@ -21,6 +21,11 @@ stand at equal columns, so a suffix is ordered among those of its own column;
 the transform of the collection comes in parts by column, as a positional one
 (Durbin, 2014). The columns lie in a sequential scratch file that is read once,
 backwards; what each round finds is appended to another.
+
+An anchor with more than ``HOT`` strings, such as one in a footer with another
+context in every document, is not ordered: its windows go out as rows of (anchor,
+hash of the window), which spread over all tasks and stream by in order, so
+memory doesn't grow with them.
 """
 
 from __future__ import annotations
@@ -33,13 +38,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrays import _BASE, _BASE_INV, NULL_ID, U64, byte_values, mix, powers, prefix_sums, text_chunks
+from .arrays import _BASE, _BASE_INV, CHUNK, NULL_ID, U64, byte_values, mix, powers, prefix_sums, ragged, text_chunks
 from .repeats import covered, repeated_units, segment_rows, text_of
 from .session import width
 
 GRAM = 32
 #: Bytes of strings that are ordered together; the strings of one anchor always are.
 COLLECTION = 4 << 20
+#: Strings of one anchor that are ordered at most.
+HOT = 1 << 14
+#: key, content (the window's hash, 0 for strings), doc, place, string (null for windows)
+STRINGS = "key long, content long, doc long, place long, string binary"
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -103,11 +112,12 @@ def _segments(size: int):
 
 
 def _strings(size: int, text_col: str):
-    """The asked segments' bytes."""
+    """The asked segments' bytes; of segments with a hot anchor the windows, where of equal ones in a chunk the first stays and the others are known repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, doc, place, raw = [], [], [], []
+            hot, hot_raw, held = [], [], 0
             texts = text_of(batch.column(1), text_col)
             asked = batch.column(2)
             for i, d in enumerate(batch.column(0).to_pylist()):
@@ -115,16 +125,62 @@ def _strings(size: int, text_col: str):
                 for x in asked[i].as_py():
                     p = x["place"]
                     start = p >> 16
-                    string = text[start : start + ((p >> 8) & 255) - 1 + size]
-                    key.append(x["key"])
-                    doc.append(d)
-                    place.append(p)
-                    raw.append(string)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(place, pa.int64()), pa.array(raw, pa.binary())], ["key", "doc", "place", "string"])
+                    length = ((p >> 8) & 255) - 1 + size
+                    string = text[start : start + length]
+                    if not x["hot"]:
+                        key.append(x["key"])
+                        doc.append(d)
+                        place.append(p)
+                        raw.append(string)
+                    elif len(string) == length:
+                        hot.append((x["key"], d, p))
+                        hot_raw.append(string)
+                        held += length
+                        if held >= CHUNK:
+                            yield hot_windows(hot, hot_raw, size)
+                            hot, hot_raw, held = [], [], 0
+            if hot:
+                yield hot_windows(hot, hot_raw, size)
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(np.zeros(len(key), np.int64)), pa.array(doc, pa.int64()), pa.array(place, pa.int64()), pa.array(raw, pa.binary())], ["key", "content", "doc", "place", "string"])
 
     return run
 
 
+def hot_windows(rows: list[tuple[int, int, int]], raw: list[bytes], size: int) -> pa.RecordBatch:
+    """A row for every window of the strings at (key, doc, place)."""
+    key, doc, place = np.array(rows, dtype=np.int64).T
+    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    count = (place >> 8) & 255
+    lengths = count - 1 + size
+    starts = np.cumsum(lengths) - lengths
+    sums = prefix_sums(byte_values(data) * powers(_BASE, len(data)))
+    at, own = ragged(starts, count), np.repeat(np.arange(len(count)), count)
+    content = mix((sums[at + size] - sums[at]) * powers(_BASE_INV, len(data) + 1)[at])
+    out = segment_rows(key.view(U64)[own], content, doc[own], (((place >> 16)[own] + at - starts[own]) << 16) | (1 << 8))
+    return pa.RecordBatch.from_arrays([*out.columns, pa.nulls(len(out), pa.binary())], [*out.schema.names, "string"])
+
+
+def later_windows(rows: pa.RecordBatch, last: tuple | None) -> tuple[pa.RecordBatch, tuple | None]:
+    """For windows sorted by (key, content, doc, place), after the first one ``last`` of its content: the places of known repeats and of all but the first of each content, negative; and the new ``last``."""
+    key, content, doc, place = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+    known = place < 0
+    out_doc, out_place = [doc[known]], [place[known]]
+    key, content, doc, place = (x[~known] for x in (key, content, doc, place))
+    if len(key):
+        if last is not None:
+            key, content, doc, place = (np.concatenate(([v], x)) for v, x in zip(last, (key, content, doc, place), strict=True))
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
+        heads = np.flatnonzero(new)
+        first = heads[np.cumsum(new) - 1]
+        repeat = (doc != doc[first]) | (place != place[first])
+        out_doc.append(doc[repeat])
+        out_place.append(-place[repeat] - 1)
+        h = int(heads[-1])
+        last = key[h], content[h], doc[h], place[h]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_doc)), pa.array(np.concatenate(out_place))], ["doc", "place"]), last
+
+
 def repeated_columns(group: np.ndarray, anchor: np.ndarray, raw: list[bytes], size: int) -> np.ndarray:
     """For strings in order of (group, document, start): a matrix over (string, column) that is 1 where the window at the column equals one of an earlier string of its group. Strings are aligned at their anchors."""
     m = len(raw)
@@ -191,7 +247,7 @@ def range_min(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def _construct(size: int):
-    """Rows sorted by (key, doc, place): places of repeated windows, negative."""
+    """Rows sorted by (key, content, doc, place): places of repeated windows, negative."""
 
     def done(key: list[int], doc: list[int], place: list[int], raw: list[bytes]) -> pa.RecordBatch | None:
         k, d, p = (np.array(x, dtype=np.int64) for x in (key, doc, place))
@@ -216,8 +272,13 @@ def _construct(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, doc, place, raw, held = [], [], [], [], 0
+        last = None
         for b in batches:
-            for k, d, p, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            if b.column(4).null_count:
+                out, last = later_windows(b.filter(b.column(4).is_null()), last)
+                yield out
+                b = b.filter(b.column(4).is_valid())
+            for k, d, p, s in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
                 if held >= COLLECTION and k != key[-1]:
                     if (out := done(key, doc, place, raw)) is not None:
                         yield out
@@ -260,13 +321,13 @@ def _finish(size: int):
 
 def _compare(size: int, text_col: str):
     def compare(asked: DataFrame) -> DataFrame:
-        strings = asked.mapInArrow(_strings(size, text_col), "key long, doc long, place long, string binary")
-        return strings.repartition(width(asked), "key").sortWithinPartitions("key", "doc", "place").mapInArrow(_construct(size), "doc long, place long")
+        strings = asked.mapInArrow(_strings(size, text_col), STRINGS)
+        return strings.repartition(width(asked), "key", "content").sortWithinPartitions("key", "content", "doc", "place").mapInArrow(_construct(size), "doc long, place long")
 
     return compare
 
 
-def substring_digests(docs: DataFrame, size: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_digests(docs: DataFrame, size: int = 100, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row, after the bytes of repeated ``size``-byte strings are removed.
 
     A null text is an empty one. A null id is the least id. Rows that share an
@@ -274,7 +335,7 @@ def substring_digests(docs: DataFrame, size: int = 100, id_col: str = "doc_id",
     spans found for that id are removed from each (cut off at its end). An empty
     table gives no rows; other columns are not read.
     """
-    return repeated_units(docs, _segments(size), _compare(size, text_col), _finish(size), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", id_col, text_col)
+    return repeated_units(docs, _segments(size), _compare(size, text_col), _finish(size), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", id_col, text_col, hot=hot)
 
 
 def _rows(size: int, text_col: str, chars_col: str | None, columns: list[str]):
@@ -311,4 +372,4 @@ def without_repeats(docs: DataFrame, size: int = 100, id_col: str = "doc_id", te
     """All rows and columns, with texts without repeated ``size``-byte strings, and their lengths in ``chars_col`` if it exists; null stays null. See ``substring_digests`` for ids."""
     columns = docs.columns
     run = _rows(size, text_col, chars_col if chars_col in columns else None, columns)
-    return repeated_units(docs, _segments(size), _compare(size, text_col), run, docs.schema, id_col, text_col, carry=True)
+    return repeated_units(docs, _segments(size), _compare(size, text_col), run, docs.schema, id_col, text_col, carry=True, hot=HOT)

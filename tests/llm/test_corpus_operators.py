@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -17,7 +18,7 @@ from lectern.llm.multi_index import nearest
 from lectern.llm.packing import best_fit, lower_bound, pack_documents
 from lectern.llm.recompression import anchors, word_dedup_digests
 from lectern.llm.shingle_join import Bands, linked, set_keys, shingle_components
-from lectern.llm.suffix_dedup import range_min, repeated_columns, sliding_min, substring_digests
+from lectern.llm.suffix_dedup import _strings, range_min, repeated_columns, sliding_min, substring_digests
 
 DOCS = "doc_id long, text string, again string, key long, place int"
 TOKENIZER = P.path("byte_bpe_50k.json")
@@ -139,6 +140,21 @@ def test_substring_digests(spark, size):
     assert got == cut_bytes(rows, size)
 
 
+def test_hot_anchors_are_not_ordered(spark):
+    """A passage with another context in each document: the same result, and no string of its anchors is gathered."""
+    rng = np.random.default_rng(5)
+    near = ["".join(rng.choice(list("abcd"), 30)) for _ in range(4)]
+    texts = ["".join(rng.choice(list("abcdefgh"), 80)) + near[i % 4] + " All rights reserved by the makers of it. " + near[i % 3] + "".join(rng.choice(list("abcdefgh"), 80)) for i in range(90)]
+    rows = list(enumerate([*texts, *texts[:3]]))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_digests(documents(spark, rows).repartition(5), 60, hot=20).collect()}
+    assert got == cut_bytes(rows, 60)
+
+    row = pa.record_batch([pa.array([1, 2, 3]), pa.array([texts[0]] * 3), pa.array([[{"key": 7, "place": (5 << 16) | (9 << 8), "hot": i > 0}] for i in range(3)])], ["doc", "text", "asked"])
+    windows, strings = _strings(60, "text")(iter([row]))
+    assert windows.column(4).null_count == len(windows) == 18 and strings.column(4).null_count == 0 and len(strings) == 1
+    assert sorted(zip(windows.column(2).to_pylist(), windows.column(3).to_pylist())) == sorted([(2, (s << 16) | 256) for s in range(5, 14)] + [(3, -((s << 16) | 256) - 1) for s in range(5, 14)])
+
+
 def cut_words(rows, size):
     seen, out = set(), {}
     for i, t in sorted(rows):
