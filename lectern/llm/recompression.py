@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .arrays import NULL_ID, U64, mix, ragged, range_hashes, split_words, text_chunks, window_hashes, word_hashes
-from .repeats import covered, repeated_units, segment_rows
+from .repeats import AGAIN, SEGMENT, covered, later_rows, repeated_units, segment_rows
 from .session import width
 
 #: Rounds of recompression. The context of a symbol of the fourth round is longer than most windows.
@@ -131,7 +131,8 @@ def _segments(size: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
-            for _, _, ids, offs, data in text_chunks(batch, "doc", "text"):
+            twin = batch.column(batch.schema.get_field_index("twin")).to_numpy()
+            for a, b, ids, offs, data in text_chunks(batch, "doc", "text"):
                 starts, ends, bounds = split_words(data, offs)
                 at, doc = window_starts(bounds, size)
                 if not len(at):
@@ -145,7 +146,7 @@ def _segments(size: int, rounds: int):
                 first, windows = at[heads], np.diff(np.append(heads, len(at)))
                 content = range_hashes(names, first, first + windows - 1 + size)
                 own = doc[heads]
-                parts.append((key[heads], content, ids[own], ((first - bounds[own]) << 16) | (windows << 8)))
+                parts.append((key[heads], content, ids[own], twin[a:b][own], ((first - bounds[own]) << 16) | (windows << 8)))
             if parts:
                 yield segment_rows(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
@@ -157,7 +158,7 @@ def _windows(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            asked = batch.column(2)
+            twin, asked = batch.column(1).to_numpy(), batch.column(3)
             places, cuts = asked.values.field("place").to_numpy(zero_copy_only=False), asked.offsets.to_numpy()
             parts = []
             for a, b, ids, offs, data in text_chunks(batch, "doc", "text"):
@@ -168,9 +169,7 @@ def _windows(size: int):
                 count = (p >> 8) & 255
                 at = ragged((p >> 16) + bounds[own], count)
                 doc = np.repeat(own, count)
-                ok = at + size <= bounds[doc + 1]  # rows that share an id may be shorter
-                at, doc = at[ok], doc[ok]
-                parts.append((hashes[at], np.zeros(len(at), U64), ids[doc], ((at - bounds[doc]) << 16) | (1 << 8)))
+                parts.append((hashes[at], np.zeros(len(at), U64), ids[doc], twin[a:b][doc], ((at - bounds[doc]) << 16) | (1 << 8)))
             if parts:
                 yield segment_rows(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
@@ -178,32 +177,17 @@ def _windows(size: int):
 
 
 def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, doc, place): the places of known repeats and of all but the first of each key, negative."""
+    """Rows sorted by (key, doc, twin, place): the places of known repeats and of all but the first of each key, negative."""
     last = None
     for b in batches:
-        key, doc, place = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
-        known = place < 0
-        out_doc, out_place = [doc[known]], [place[known]]
-        key, doc, place = key[~known], doc[~known], place[~known]
-        if len(key):
-            if last is not None:
-                key, doc, place = (np.concatenate(([v], x)) for v, x in zip(last, (key, doc, place), strict=True))
-            new = np.ones(len(key), dtype=bool)
-            new[1:] = key[1:] != key[:-1]
-            heads = np.flatnonzero(new)
-            first = heads[np.cumsum(new) - 1]
-            repeat = (doc != doc[first]) | (place != place[first])
-            out_doc.append(doc[repeat])
-            out_place.append(-place[repeat] - 1)
-            h = int(heads[-1])
-            last = key[h], doc[h], place[h]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_doc)), pa.array(np.concatenate(out_place))], ["doc", "place"])
+        out, last = later_rows(tuple(b.column(i).to_numpy() for i in range(5)), last)
+        yield out
 
 
 def _compare(size: int):
     def compare(asked: DataFrame) -> DataFrame:
-        rows = asked.mapInArrow(_windows(size), "key long, content long, doc long, place long")
-        return rows.repartition(width(asked, 2), "key").sortWithinPartitions("key", "doc", "place").mapInArrow(_first_of_each, "doc long, place long")
+        rows = asked.mapInArrow(_windows(size), SEGMENT)
+        return rows.repartition(width(asked, 2), "key").sortWithinPartitions("key", "content", "doc", "twin", "place").mapInArrow(_first_of_each, AGAIN)
 
     return compare
 
@@ -240,9 +224,10 @@ def word_dedup_digests(docs: DataFrame, size: int = 20, rounds: int = ROUNDS, id
     """(doc_id, n_words, n_removed, kept_sha256) of every row, after the words of repeated ``size``-word windows are removed.
 
     A null text has no words. A null id is the least id. Rows that share an id
-    are the same document: none of them is earlier than the other, and the words
-    found for that id are removed from each. An empty table gives no rows; other
-    columns are not read.
+    and a text are the same document: none of them is earlier than the other.
+    Rows of one id with different texts are different documents, ordered by a
+    64-bit hash of the text; each loses its own repeats only. An empty table
+    gives no rows; other columns are not read.
     """
     return repeated_units(docs, _segments(size, rounds), _compare(size), _finish(size), "doc_id long, n_words long, n_removed long, kept_sha256 string", id_col, text_col)
 

@@ -17,6 +17,10 @@ places, and neighbouring windows that share one anchor form a *segment*:
 Steps 3 and 4 read the same exchange of the documents by id, which Spark writes
 once. Places are packed in one long: start << 16 | windows << 8 | anchor; a
 negative value marks a segment that is known to be repeated.
+
+Rows are told apart by (document id, ``twin``): the twin is a hash of the text
+if some id of the table, null included, stands for different texts, and else 0,
+which takes next to no room in the exchanges. Rows of one id are ordered by it.
 """
 
 from __future__ import annotations
@@ -25,59 +29,87 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import NULL_ID, U64, as_long, mix
 from .session import ready, width
 
-SEGMENT = "key long, content long, doc long, place long"
-ASKED = "doc long, key long, place long"
+SEGMENT = "key long, content long, doc long, twin long, place long"
+ASKED = "doc long, twin long, key long, place long"
+AGAIN = "doc long, twin long, place long"
 
 
-def segment_rows(key: np.ndarray, content: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """Rows of one batch, in order of (document, place): the first of equal segments, and the others as known repeats."""
-    order = np.lexsort((place, doc, content, key))
-    k, c, d, p = key[order], content[order], doc[order], place[order]
+def segment_rows(key: np.ndarray, content: np.ndarray, doc: np.ndarray, twin: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """Rows of one batch, in order of (document, twin, place): the first of equal segments, and the others as known repeats."""
+    order = np.lexsort((place, twin, doc, content, key))
+    k, c, d, t, p = key[order], content[order], doc[order], twin[order], place[order]
     again = np.zeros(len(k), dtype=bool)
     again[1:] = (k[1:] == k[:-1]) & (c[1:] == c[:-1])
     first = np.maximum.accumulate(np.where(again, 0, np.arange(len(k))))
-    same = again & (d == d[first]) & (p == p[first])  # the same row twice
-    k = np.where(again, mix(d.astype(U64) ^ p.astype(U64)), k)
+    same = again & (d == d[first]) & (t == t[first]) & (p == p[first])  # the same row twice
+    k = np.where(again, mix(d.astype(U64) ^ t.astype(U64) ^ p.astype(U64)), k)
     p = np.where(again, -p - 1, p)
     keep = ~same
-    return pa.RecordBatch.from_arrays([as_long(k[keep]), as_long(c[keep]), pa.array(d[keep]), pa.array(p[keep])], ["key", "content", "doc", "place"])
+    return pa.RecordBatch.from_arrays([as_long(k[keep]), as_long(c[keep]), pa.array(d[keep]), pa.array(t[keep]), pa.array(p[keep])], ["key", "content", "doc", "twin", "place"])
+
+
+def later_rows(rows: tuple[np.ndarray, ...], last: tuple | None) -> tuple[pa.RecordBatch, tuple | None]:
+    """For (key, content, doc, twin, place) in order, after the first row ``last`` of its content: the places of known repeats and of all but the first of each content, negative; and the new ``last``."""
+    place = rows[4]
+    known = place < 0
+    out = [tuple(x[known] for x in rows[2:])]
+    rows = tuple(x[~known] for x in rows)
+    if len(rows[0]):
+        if last is not None:
+            rows = tuple(np.concatenate(([v], x)) for v, x in zip(last, rows, strict=True))
+        key, content, doc, twin, place = rows
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
+        heads = np.flatnonzero(new)
+        first = heads[np.cumsum(new) - 1]
+        repeat = (doc != doc[first]) | (twin != twin[first]) | (place != place[first])
+        out.append((doc[repeat], twin[repeat], -place[repeat] - 1))
+        last = tuple(x[heads[-1]] for x in rows)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["doc", "twin", "place"]), last
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, content, doc, place): known repeats with a negative place, and asked segments. Holds one row between batches."""
-    last = None  # (key, content, doc, place, asked): the latest first-of-its-content
+    """Rows sorted by (key, content, doc, twin, place): known repeats with a negative place, and asked segments. Holds one row between batches."""
+    last = None  # (key, content, doc, twin, place, asked): the latest first-of-its-content
     for b in batches:
-        key, content, doc, place = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        key, content, doc, twin, place = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
         known = place < 0
-        out = [(doc[known], key[known], place[known])]
-        key, content, doc, place = (x[~known] for x in (key, content, doc, place))
+        out = [(doc[known], twin[known], key[known], place[known])]
+        key, content, doc, twin, place = (x[~known] for x in (key, content, doc, twin, place))
         if len(key):
             if last is not None:
-                key, content, doc, place = (np.concatenate(([v], x)) for v, x in zip(last, (key, content, doc, place), strict=False))
+                key, content, doc, twin, place = (np.concatenate(([v], x)) for v, x in zip(last, (key, content, doc, twin, place), strict=False))
             new = np.ones(len(key), dtype=bool)
             new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
             heads = np.flatnonzero(new)
             first = heads[np.cumsum(new) - 1]
-            repeat = ~new & ((doc != doc[first]) | (place != place[first]))
-            out.append((doc[repeat], key[repeat], -place[repeat] - 1))
+            repeat = ~new & ((doc != doc[first]) | (twin != twin[first]) | (place != place[first]))
+            out.append((doc[repeat], twin[repeat], key[repeat], -place[repeat] - 1))
             hk = key[heads]
             both = hk[1:] == hk[:-1]
             asked = np.zeros(len(heads), dtype=bool)
             asked[1:] |= both
             asked[:-1] |= both
-            was = bool(last is not None and last[4])
+            was = bool(last is not None and last[5])
             pick = heads[asked & ~(np.arange(len(heads)) == 0) if was else asked]
-            out.append((doc[pick], key[pick], place[pick]))
+            out.append((doc[pick], twin[pick], key[pick], place[pick]))
             h = int(heads[-1])
-            last = key[h], content[h], doc[h], place[h], bool(asked[-1]) or (was and len(heads) == 1)
-        d, k, p = (np.concatenate(x) for x in zip(*out, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(k), pa.array(p)], ["doc", "key", "place"])
+            last = key[h], content[h], doc[h], twin[h], place[h], bool(asked[-1]) or (was and len(heads) == 1)
+        d, t, k, p = (np.concatenate(x) for x in zip(*out, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(k), pa.array(p)], ["doc", "twin", "key", "place"])
+
+
+def twins(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, list[str]]:
+    """The column that tells rows of one id apart by their texts, 0 if every id has one text, and the columns to meet by; Spark would take a constant out of some of them and shuffle the documents twice. A null text is an empty one."""
+    text = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    mixed = docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("twin")).groupBy("doc").agg(F.min("twin").alias("a"), F.max("twin").alias("b")).filter("a <> b")
+    return (F.lit(0).cast("long"), ["doc"]) if mixed.isEmpty() else (text, ["doc", "twin"])
 
 
 def repeated_units(
@@ -91,25 +123,27 @@ def repeated_units(
     carry: bool = False,
     hot: int | None = None,
 ) -> DataFrame:
-    """Run the four steps. ``compare`` takes (doc, text, asked: array of (key, place, and with ``hot`` whether more than so many segments of its key are asked)) and returns (doc, place) of repeats; ``finish`` takes (doc, text, again: array of negative places), or with ``carry`` (row, again), and makes the result's rows. With ``carry`` the whole row stands for the text in both, as a struct (see ``text_of``), so that both still read one exchange."""
+    """Run the four steps. ``compare`` takes (doc, twin, text, asked: array of (key, place, and with ``hot`` whether more than so many segments of its key are asked)) and returns (doc, twin, place) of repeats; ``finish`` takes (doc, text, again: array of negative places), or with ``carry`` (row, again), and makes the result's rows. With ``carry`` the whole row stands for the text in both, as a struct (see ``text_of``), so that both still read one exchange."""
     ready(docs.sparkSession)
     n = width(docs)
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).alias("text"))
-    rows = texts.mapInArrow(segments, SEGMENT).repartition(2 * n, "key").sortWithinPartitions("key", "content", "doc", "place")
+    twin, keys = twins(docs, id_col, text_col)
+    row_key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), twin.alias("twin")
+    texts = docs.select(*row_key, F.col(text_col).alias("text"))
+    rows = texts.mapInArrow(segments, SEGMENT).repartition(2 * n, "key").sortWithinPartitions("key", "content", "doc", "twin", "place")
     found = rows.mapInArrow(_resolve, ASKED).checkpoint()
     if carry:
         row = F.struct(*[docs[c] for c in docs.columns])
-        texts = docs.select(row.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"))
-    by_id = texts.repartition(n, "doc")
+        texts = docs.select(row.alias("row"), *row_key)
+    by_id = texts.repartition(n, *keys)
     body = "row" if carry else "text"
     asked = found.filter("place >= 0")
     if hot is not None:
         large = asked.groupBy("key").count().filter(F.col("count") > hot).select("key", F.lit(True).alias("hot"))
         asked = asked.join(F.broadcast(large), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))  # at most one key for every ``hot`` rows
-    asked = asked.groupBy("doc").agg(F.collect_list(F.struct("key", "place", *(["hot"] if hot is not None else []))).alias("asked"))
-    again = compare(by_id.join(asked, "doc").select("doc", body, "asked"))
-    spans = found.filter("place < 0").select("doc", "place").union(again).groupBy("doc").agg(F.collect_list("place").alias("again"))
-    return by_id.join(spans, "doc", "left").select(*(["row"] if carry else ["doc", "text"]), "again").mapInArrow(finish, schema)
+    asked = asked.groupBy(*keys).agg(F.collect_list(F.struct("key", "place", *(["hot"] if hot is not None else []))).alias("asked"))
+    again = compare(by_id.join(asked, keys).select("doc", "twin", body, "asked"))
+    spans = found.filter("place < 0").select("doc", "twin", "place").union(again).groupBy(*keys).agg(F.collect_list("place").alias("again"))
+    return by_id.join(spans, keys, "left").select(*(["row"] if carry else ["doc", "text"]), "again").mapInArrow(finish, schema)
 
 
 def text_of(column: pa.Array, text_col: str) -> pa.Array:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .arrays import _BASE, _BASE_INV, CHUNK, NULL_ID, U64, byte_values, mix, powers, prefix_sums, ragged, text_chunks
-from .repeats import covered, repeated_units, segment_rows, text_of
+from .repeats import AGAIN, covered, later_rows, repeated_units, segment_rows, text_of
 from .session import width
 
 GRAM = 32
@@ -47,8 +47,8 @@ GRAM = 32
 COLLECTION = 4 << 20
 #: Strings of one anchor that are ordered at most.
 HOT = 1 << 14
-#: key, content (the window's hash, 0 for strings), doc, place, string (null for windows)
-STRINGS = "key long, content long, doc long, place long, string binary"
+#: key, content (the window's hash, 0 for strings), doc, twin, place, string (null for windows)
+STRINGS = "key long, content long, doc long, twin long, place long, string binary"
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -100,11 +100,12 @@ def _segments(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
-            for _, _, ids, offs, data in text_chunks(batch, "doc", "text"):
+            twin = batch.column(batch.schema.get_field_index("twin")).to_numpy()
+            for a, b, ids, offs, data in text_chunks(batch, "doc", "text"):
                 got = byte_segments(offs, data, size)
                 if got is not None:
                     key, content, doc, start, windows, anchor = got
-                    parts.append((key, content, ids[doc], (start << 16) | (windows << 8) | anchor))
+                    parts.append((key, content, ids[doc], twin[a:b][doc], (start << 16) | (windows << 8) | anchor))
             if parts:
                 yield segment_rows(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
@@ -116,11 +117,11 @@ def _strings(size: int, text_col: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, doc, place, raw = [], [], [], []
+            key, doc, twin, place, raw = [], [], [], [], []
             hot, hot_raw, held = [], [], 0
-            texts = text_of(batch.column(1), text_col)
-            asked = batch.column(2)
-            for i, d in enumerate(batch.column(0).to_pylist()):
+            texts = text_of(batch.column(2), text_col)
+            asked = batch.column(3)
+            for i, (d, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 text = (texts[i].as_py() or "").encode("utf-8")
                 for x in asked[i].as_py():
                     p = x["place"]
@@ -130,10 +131,11 @@ def _strings(size: int, text_col: str):
                     if not x["hot"]:
                         key.append(x["key"])
                         doc.append(d)
+                        twin.append(t)
                         place.append(p)
                         raw.append(string)
                     elif len(string) == length:
-                        hot.append((x["key"], d, p))
+                        hot.append((x["key"], d, t, p))
                         hot_raw.append(string)
                         held += length
                         if held >= CHUNK:
@@ -141,14 +143,14 @@ def _strings(size: int, text_col: str):
                             hot, hot_raw, held = [], [], 0
             if hot:
                 yield hot_windows(hot, hot_raw, size)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(np.zeros(len(key), np.int64)), pa.array(doc, pa.int64()), pa.array(place, pa.int64()), pa.array(raw, pa.binary())], ["key", "content", "doc", "place", "string"])
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(np.zeros(len(key), np.int64)), pa.array(doc, pa.int64()), pa.array(twin, pa.int64()), pa.array(place, pa.int64()), pa.array(raw, pa.binary())], ["key", "content", "doc", "twin", "place", "string"])
 
     return run
 
 
-def hot_windows(rows: list[tuple[int, int, int]], raw: list[bytes], size: int) -> pa.RecordBatch:
-    """A row for every window of the strings at (key, doc, place)."""
-    key, doc, place = np.array(rows, dtype=np.int64).T
+def hot_windows(rows: list[tuple[int, int, int, int]], raw: list[bytes], size: int) -> pa.RecordBatch:
+    """A row for every window of the strings at (key, doc, twin, place)."""
+    key, doc, twin, place = np.array(rows, dtype=np.int64).T
     data = np.frombuffer(b"".join(raw), dtype=np.uint8)
     count = (place >> 8) & 255
     lengths = count - 1 + size
@@ -156,33 +158,12 @@ def hot_windows(rows: list[tuple[int, int, int]], raw: list[bytes], size: int) -
     sums = prefix_sums(byte_values(data) * powers(_BASE, len(data)))
     at, own = ragged(starts, count), np.repeat(np.arange(len(count)), count)
     content = mix((sums[at + size] - sums[at]) * powers(_BASE_INV, len(data) + 1)[at])
-    out = segment_rows(key.view(U64)[own], content, doc[own], (((place >> 16)[own] + at - starts[own]) << 16) | (1 << 8))
+    out = segment_rows(key.view(U64)[own], content, doc[own], twin[own], (((place >> 16)[own] + at - starts[own]) << 16) | (1 << 8))
     return pa.RecordBatch.from_arrays([*out.columns, pa.nulls(len(out), pa.binary())], [*out.schema.names, "string"])
 
 
-def later_windows(rows: pa.RecordBatch, last: tuple | None) -> tuple[pa.RecordBatch, tuple | None]:
-    """For windows sorted by (key, content, doc, place), after the first one ``last`` of its content: the places of known repeats and of all but the first of each content, negative; and the new ``last``."""
-    key, content, doc, place = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-    known = place < 0
-    out_doc, out_place = [doc[known]], [place[known]]
-    key, content, doc, place = (x[~known] for x in (key, content, doc, place))
-    if len(key):
-        if last is not None:
-            key, content, doc, place = (np.concatenate(([v], x)) for v, x in zip(last, (key, content, doc, place), strict=True))
-        new = np.ones(len(key), dtype=bool)
-        new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
-        heads = np.flatnonzero(new)
-        first = heads[np.cumsum(new) - 1]
-        repeat = (doc != doc[first]) | (place != place[first])
-        out_doc.append(doc[repeat])
-        out_place.append(-place[repeat] - 1)
-        h = int(heads[-1])
-        last = key[h], content[h], doc[h], place[h]
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_doc)), pa.array(np.concatenate(out_place))], ["doc", "place"]), last
-
-
 def repeated_columns(group: np.ndarray, anchor: np.ndarray, raw: list[bytes], size: int) -> np.ndarray:
-    """For strings in order of (group, document, start): a matrix over (string, column) that is 1 where the window at the column equals one of an earlier string of its group. Strings are aligned at their anchors."""
+    """For strings in order of (group, document, twin, start): a matrix over (string, column) that is 1 where the window at the column equals one of an earlier string of its group. Strings are aligned at their anchors."""
     m = len(raw)
     lead = int(anchor.max())
     begin = lead - anchor
@@ -247,20 +228,15 @@ def range_min(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def _construct(size: int):
-    """Rows sorted by (key, content, doc, place): places of repeated windows, negative."""
-
-    def done(key: list[int], doc: list[int], place: list[int], raw: list[bytes]) -> pa.RecordBatch | None:
-        k, d, p = (np.array(x, dtype=np.int64) for x in (key, doc, place))
-        fresh = np.ones(len(k), dtype=bool)
-        fresh[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1])  # rows of repeated documents
-        whole = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) == ((p >> 8) & 255) - 1 + size
-        keep = np.flatnonzero(fresh & whole)
-        if len(keep) < 2:
+    """Rows sorted by (key, content, doc, twin, place): places of repeated windows, negative."""
+
+    def done(held: list[tuple], raw: list[bytes]) -> pa.RecordBatch | None:
+        if len(held) < 2:
             return None
-        k, d, p = k[keep], d[keep], p[keep]
+        k, d, t, p = np.array(held, dtype=np.int64).T
         group = np.cumsum(np.concatenate(([0], (k[1:] != k[:-1]).astype(np.int64))))
         anchor = p & 255
-        again = repeated_columns(group, anchor, [raw[i] for i in keep.tolist()], size)
+        again = repeated_columns(group, anchor, raw, size)
         lead = int(anchor.max())
         wide = np.zeros((len(k), again.shape[1] + 2), dtype=np.int8)
         wide[:, 1:-1] = again
@@ -268,27 +244,28 @@ def _construct(size: int):
         row, on = np.nonzero(step == 1)
         off = np.nonzero(step == -1)[1]
         start = (p[row] >> 16) + on - (lead - anchor[row])
-        return pa.RecordBatch.from_arrays([pa.array(d[row]), pa.array(-((start << 16) | ((off - on) << 8)) - 1)], ["doc", "place"])
+        return pa.RecordBatch.from_arrays([pa.array(d[row]), pa.array(t[row]), pa.array(-((start << 16) | ((off - on) << 8)) - 1)], ["doc", "twin", "place"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, doc, place, raw, held = [], [], [], [], 0
+        rows, raw, held = [], [], 0
         last = None
         for b in batches:
-            if b.column(4).null_count:
-                out, last = later_windows(b.filter(b.column(4).is_null()), last)
+            if b.column(5).null_count:
+                windows = b.filter(b.column(5).is_null())
+                out, last = later_rows(tuple(windows.column(i).to_numpy() for i in range(5)), last)
                 yield out
-                b = b.filter(b.column(4).is_valid())
-            for k, d, p, s in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
-                if held >= COLLECTION and k != key[-1]:
-                    if (out := done(key, doc, place, raw)) is not None:
+                b = b.filter(b.column(5).is_valid())
+            for *row, s in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4, 5)), strict=True):
+                if rows and row == rows[-1]:  # rows of one id and text
+                    continue
+                if held >= COLLECTION and row[0] != rows[-1][0]:
+                    if (out := done(rows, raw)) is not None:
                         yield out
-                    key, doc, place, raw, held = [], [], [], [], 0
-                key.append(k)
-                doc.append(d)
-                place.append(p)
+                    rows, raw, held = [], [], 0
+                rows.append(row)
                 raw.append(s)
                 held += len(s)
-        if len(key) > 1 and (out := done(key, doc, place, raw)) is not None:
+        if (out := done(rows, raw)) is not None:
             yield out
 
     return run
@@ -322,7 +299,7 @@ def _finish(size: int):
 def _compare(size: int, text_col: str):
     def compare(asked: DataFrame) -> DataFrame:
         strings = asked.mapInArrow(_strings(size, text_col), STRINGS)
-        return strings.repartition(width(asked), "key", "content").sortWithinPartitions("key", "content", "doc", "place").mapInArrow(_construct(size), "doc long, place long")
+        return strings.repartition(width(asked), "key", "content").sortWithinPartitions("key", "content", "doc", "twin", "place").mapInArrow(_construct(size), AGAIN)
 
     return compare
 
@@ -331,9 +308,10 @@ def substring_digests(docs: DataFrame, size: int = 100, id_col: str = "doc_id",
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row, after the bytes of repeated ``size``-byte strings are removed.
 
     A null text is an empty one. A null id is the least id. Rows that share an
-    id are the same document: none of them is earlier than the other, and the
-    spans found for that id are removed from each (cut off at its end). An empty
-    table gives no rows; other columns are not read.
+    id and a text are the same document: none of them is earlier than the other.
+    Rows of one id with different texts are different documents, ordered by a
+    64-bit hash of the text; each loses its own repeats only. An empty table
+    gives no rows; other columns are not read.
     """
     return repeated_units(docs, _segments(size), _compare(size, text_col), _finish(size), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", id_col, text_col, hot=hot)
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lectern.llm import packing
@@ -18,7 +19,7 @@ from lectern.llm.multi_index import nearest
 from lectern.llm.packing import best_fit, lower_bound, pack_documents
 from lectern.llm.recompression import anchors, word_dedup_digests
 from lectern.llm.shingle_join import Bands, linked, set_keys, shingle_components
-from lectern.llm.suffix_dedup import _strings, range_min, repeated_columns, sliding_min, substring_digests
+from lectern.llm.suffix_dedup import _strings, range_min, repeated_columns, sliding_min, substring_digests, without_repeats
 
 DOCS = "doc_id long, text string, again string, key long, place int"
 TOKENIZER = P.path("byte_bpe_50k.json")
@@ -149,10 +150,10 @@ def test_hot_anchors_are_not_ordered(spark):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_digests(documents(spark, rows).repartition(5), 60, hot=20).collect()}
     assert got == cut_bytes(rows, 60)
 
-    row = pa.record_batch([pa.array([1, 2, 3]), pa.array([texts[0]] * 3), pa.array([[{"key": 7, "place": (5 << 16) | (9 << 8), "hot": i > 0}] for i in range(3)])], ["doc", "text", "asked"])
+    row = pa.record_batch([pa.array([1, 2, 3]), pa.array([0, 0, 0]), pa.array([texts[0]] * 3), pa.array([[{"key": 7, "place": (5 << 16) | (9 << 8), "hot": i > 0}] for i in range(3)])], ["doc", "twin", "text", "asked"])
     windows, strings = _strings(60, "text")(iter([row]))
-    assert windows.column(4).null_count == len(windows) == 18 and strings.column(4).null_count == 0 and len(strings) == 1
-    assert sorted(zip(windows.column(2).to_pylist(), windows.column(3).to_pylist())) == sorted([(2, (s << 16) | 256) for s in range(5, 14)] + [(3, -((s << 16) | 256) - 1) for s in range(5, 14)])
+    assert windows.column(5).null_count == len(windows) == 18 and strings.column(5).null_count == 0 and len(strings) == 1
+    assert sorted(zip(windows.column(2).to_pylist(), windows.column(4).to_pylist())) == sorted([(2, (s << 16) | 256) for s in range(5, 14)] + [(3, -((s << 16) | 256) - 1) for s in range(5, 14)])
 
 
 def cut_words(rows, size):
@@ -186,6 +187,23 @@ def test_dedup_of_odd_rows(spark):
     assert substring_digests(df.limit(0)).count() == 0 and word_dedup_digests(df.limit(0)).count() == 0
 
 
+def test_dedup_of_different_texts_under_one_id(spark):
+    """Rows of one id, or of null, lose their own repeats only; rows of one id and text are one document."""
+    texts = [t for _, t in corpus(7, 40) if t]
+    table = documents(spark, [*((None if i % 3 else 4 + i % 2, t) for i, t in enumerate(texts)), *((50 + i, t) for i, t in enumerate(texts[::5])), (4, texts[1])])
+    rows = sorted({(r.doc_id is not None, r.doc_id or 0, r.twin, r.text) for r in table.select("doc_id", F.xxhash64("text").alias("twin"), "text").collect()})
+    want = cut_bytes([(i, r[3]) for i, r in enumerate(rows)], 20)
+    named = {(r[1] if r[0] else None, *want[i]) for i, r in enumerate(rows)}
+    got = substring_digests(table.repartition(5), 20).collect()
+    assert len(got) == table.count() and {tuple(r) for r in got} == named
+    assert {tuple(r) for r in substring_digests(table.repartition(5), 20, hot=5).collect()} == named
+    want = cut_words([(i, r[3]) for i, r in enumerate(rows)], 5)
+    assert {tuple(r) for r in word_dedup_digests(table.repartition(5), 5).collect()} == {(r[1] if r[0] else None, *want[i]) for i, r in enumerate(rows)}
+    a, b = "the first text under null " * 3, "another text without a repeat in it, but quite as long as that"
+    kept = without_repeats(documents(spark, [(None, a), (None, b)]), 20).collect()
+    assert b in {r.text for r in kept}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=60), st.integers(1, 12))
 def test_equal_windows_have_equal_anchors(letters, size):
