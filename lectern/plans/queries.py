@@ -248,7 +248,7 @@ _NORM = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
 
 @query(f"SELECT i.item_id, count(*)::BIGINT AS n_docs FROM benchmark i JOIN documents d ON contains({_NORM.format('d.text')}, {_NORM.format('i.text')}) WHERE length(i.text) >= 4 GROUP BY 1")
 def exact_quote_semi(spark, sf_dir):
-    return quoted(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+    return quoted(spark, sf_dir, "length(text) >= 4").groupBy("item_id").agg(F.count("*").alias("n_docs"))
 
 
 @query(f"SELECT item_id FROM benchmark i WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains({_NORM.format('d.text')}, {_NORM.format('i.text')}))")
@@ -256,15 +256,31 @@ def quote_anti(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id").join(quoted(spark, sf_dir).select("item_id").distinct(), "item_id", "left_anti")
 
 
-def quoted(spark: SparkSession, sf_dir: str, words: int = 5) -> DataFrame:
-    """(item_id, doc_id) where a document holds a benchmark passage. Both sides meet by the hash of the passage's first words, an equi join; containment then decides. Shorter passages meet by all their words."""
+def quoted(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    """(item_id, doc_id) where a document holds a benchmark passage."""
+    return quotes_in(table(spark, sf_dir, "benchmark").filter(where), table(spark, sf_dir, "documents"))
+
+
+def quotes_in(items: DataFrame, docs: DataFrame, words: int = 4) -> DataFrame:
+    """(item_id, doc_id) where a document holds a passage. Both sides meet by the hash of the passage's inner words, ``words`` at most, an equi join; containment then decides. The first and the last word can be parts of a document's words, so passages of one or two words are looked for by containment alone. A benchmark is a fixed, small set of passages."""
     norm = norm_text(F.col("text"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", norm.alias("quote")).withColumn("_w", F.split("quote", " "))
-    items = items.select("item_id", "quote", F.least(F.lit(words), F.size("_w")).alias("n"), F.xxhash64(F.array_join(F.slice("_w", 2, words - 1), " ")).alias("h"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", norm.alias("body")).withColumn("_w", F.split("body", " "))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - (words - 1), F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice("_w", i + 1, words - 1), " "))))
-    hits = docs.select("doc_id", F.explode(grams).alias("h")).join(F.broadcast(items.select("item_id", "h")), "h").select("doc_id", "item_id").distinct()  # a benchmark is a fixed, small set of passages
-    return hits.join(docs.select("doc_id", "body"), "doc_id").join(items.select("item_id", "quote"), "item_id").filter(F.contains("body", "quote")).select("item_id", "doc_id")
+    items = items.select("item_id", norm.alias("quote")).withColumn("_w", F.split("quote", " ")).withColumn("k", F.least(F.lit(words), F.size("_w") - 2))
+    docs = docs.select("doc_id", norm.alias("body"))
+    short = items.filter("k < 1").select("item_id", "quote")
+    found = docs.join(F.broadcast(short), F.contains("body", "quote")).select("item_id", "doc_id")
+    items = items.filter("k >= 1").select("item_id", "quote", "k", F.xxhash64(F.array_join(F.expr("slice(_w, 2, k)"), " ")).alias("h"))
+    lengths = sorted(r.k for r in items.select("k").distinct().collect())
+    if not lengths:
+        return found
+    w = docs.withColumn("_w", F.split("body", " "))
+
+    def grams(k: int):
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - k, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice("_w", i + 1, k), " ")))
+
+    every = F.array_distinct(F.concat(*[grams(k) for k in lengths]))
+    hits = w.select("doc_id", F.explode(every).alias("h")).join(F.broadcast(items.select("item_id", "h")), "h").select("doc_id", "item_id").distinct()
+    longer = hits.join(docs, "doc_id").join(items.select("item_id", "quote"), "item_id").filter(F.contains("body", "quote"))
+    return longer.select("item_id", "doc_id").union(found)
 
 
 @query("""

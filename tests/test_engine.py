@@ -281,3 +281,16 @@ def test_hydration_matrix_and_model_issues(spark):
     raw = '{"sections":[],"issues":[{"message":"m","sectionIndexes":[1]},{"message":"m"},{"message":" "}]}'
     got = M.model_issues(spark.createDataFrame([(1, raw)], "doc_id long, raw string"), sections).collect()
     assert [(r.code, r.severity, r.section_ids) for r in got] == [("model_issue", "warning", ["section-2"])]
+
+
+def test_short_quotes(spark):
+    """Passages of one to seven words, whose first and last words can be parts of a document's words."""
+    from lectern.plans.queries import quotes_in
+
+    texts = ["The quick brown fox jumps over the lazy dogs.", "A brown fox, and foxes", "word", "quick  brown\nfoxes jumped over it"]
+    passages = ["fox", "brown fox", "quick brown fox", "ick brown fox", "the quick brown fox", "e quick brown fox jump", "quick brown fox jumps over", "brown fox jumps over the la", "quick brown fox jumps over the lazy dog", "cat", "two cats", "no such brown fox here", "wor"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    want = sorted((i, d) for i, p in enumerate(passages) for d, t in enumerate(texts) if " ".join(p.lower().split()) in " ".join(t.lower().split()))
+    assert sorted(map(tuple, quotes_in(items, docs).collect())) == want
+    assert quotes_in(items.limit(0), docs).count() == 0
