@@ -20,6 +20,7 @@ NULL_ID = -(2**63)  # stands for a null id inside the operators
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 2**64)
+_STEP = 0xC2B2AE3D27D4EB4F
 _WORD_BASE = 0xD6E8FEB86659FD93 | 1
 _WORD_INV = pow(_WORD_BASE, -1, 2**64)
 
@@ -59,27 +60,38 @@ def prefix_sums(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def text_chunks(batch: pa.RecordBatch, id_col: str = "doc_id", text_col: str = "text", limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Yield (first row, end row, ids, offs, data) for runs of rows of at most ``limit`` bytes; null ids become NULL_ID, null texts are empty."""
+def text_arrays(batch: pa.RecordBatch, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, offs, data) of a batch: row k's text is data[offs[k]:offs[k+1]]. Null ids become NULL_ID, null texts are empty."""
     ids = batch.column(batch.schema.get_field_index(id_col)).cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
     text = batch.column(batch.schema.get_field_index(text_col))
     n = len(text)
     if not n:
-        return
+        return ids, np.zeros(1, np.int64), np.zeros(0, np.uint8)
     if text.null_count:
         text = text.fill_null("")
     wide = pa.types.is_large_string(text.type)
     _, off_buf, data_buf = text.buffers()
     offs = np.frombuffer(off_buf, dtype=np.int64 if wide else np.int32)[text.offset : text.offset + n + 1].astype(np.int64)
     data = np.frombuffer(data_buf, dtype=np.uint8) if data_buf is not None else np.zeros(0, np.uint8)
-    i = 0
+    return ids, offs, data
+
+
+def runs(offs: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """(first row, end row) of runs of rows of at most ``limit`` bytes, or of one longer row."""
+    i, n = 0, len(offs) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offs, offs[i] + limit, "right")) - 1)
-        j = min(j, n)
-        yield i, j, ids[i:j], offs[i : j + 1] - offs[i], data[offs[i] : offs[j]]
+        j = min(n, max(i + 1, int(np.searchsorted(offs, offs[i] + limit, "right")) - 1))
+        yield i, j
         i = j
 
 
+def text_chunks(batch: pa.RecordBatch, id_col: str = "doc_id", text_col: str = "text", limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Yield (first row, end row, ids, offs, data) for runs of rows of at most ``limit`` bytes."""
+    ids, offs, data = text_arrays(batch, id_col, text_col)
+    for i, j in runs(offs, limit):
+        yield i, j, ids[i:j], offs[i : j + 1] - offs[i], data[offs[i] : offs[j]]
+
+
 def split_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, bounds): the words of the chunk; document k has words bounds[k]:bounds[k+1]. No word crosses documents."""
     n = len(data)
@@ -101,9 +113,51 @@ def split_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, the same wherever the word stands."""
-    sums = prefix_sums(_BYTE_VALUES[data] * powers(_BASE, len(data)))
-    return mix((sums[ends] - sums[starts]) * powers(_BASE_INV, len(data) + 1)[starts] + (ends - starts).astype(U64))
+    """A 64-bit hash of each word's bytes, the same wherever the word stands. Eight bytes at a time go through a bijection of their own, so no algebra of the places makes long words meet; still, whoever needs equality compares the bytes (``same_bytes``)."""
+    if not len(starts):
+        return np.zeros(0, U64)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+    sizes = ends - starts
+    out = np.zeros(len(starts), dtype=U64)
+    some, turn = np.arange(len(starts)), 0
+    if int(sizes.max()) > 64:  # long words: all their blocks at once
+        long = np.flatnonzero(sizes > 64)
+        blocks = (sizes[long] + 7) >> 3
+        own = np.repeat(np.arange(len(long)), blocks)
+        k = ragged(np.zeros(len(long), np.int64), blocks)
+        values = _block(eight, starts[long][own] + 8 * k, sizes[long][own] - 8 * k) + (k + 1).astype(U64) * U64(_STEP)
+        out[long] = np.add.reduceat(mix(values), np.cumsum(blocks) - blocks)
+        some = np.flatnonzero(sizes <= 64)
+    while len(some):
+        values = _block(eight, starts[some] + 8 * turn, sizes[some] - 8 * turn) + U64((turn + 1) * _STEP & (2**64 - 1))
+        out[some] += mix(values)
+        turn += 1
+        some = some[sizes[some] > 8 * turn]
+    return mix(out + sizes.astype(U64) * U64(_BASE))
+
+
+def _block(eight: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Up to eight bytes at each place, as many as are left."""
+    shift = (8 * np.maximum(0, 8 - left)).astype(U64)
+    return (eight[at] << shift) >> shift
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray, other: np.ndarray | None = None, step: int = CHUNK) -> np.ndarray:
+    """Whether data[a:a+size] equals other[b:b+size] (``data`` itself by default) for each triple."""
+    other = data if other is None else other
+    out = np.ones(len(a), dtype=bool)
+    todo = np.flatnonzero(sizes > 0)
+    total = np.cumsum(sizes[todo])
+    at = 0
+    while at < len(todo):
+        done = total[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(total, done + step, "right")))
+        some = todo[at:to]
+        equal = data[ragged(a[some], sizes[some])] == other[ragged(b[some], sizes[some])]
+        out[some] = np.logical_and.reduceat(equal, total[at:to] - sizes[some] - done)
+        at = to
+    return out
 
 
 def window_hashes(values: np.ndarray, k: int) -> np.ndarray:

@@ -5,16 +5,16 @@ length and padded with -1. A parallel matrix holds the rank of every adjacent
 pair. Each round takes every row's leftmost minimum, merges that pair, closes
 the gap (compaction) and looks up the two pairs that are new, in an
 open-addressing table of pairs; rows without a pair left leave the matrix. A
-pre-token above ``LONGEST`` bytes, for which a row's rounds would grow with the
-square of its length, is merged by a heap over a linked list instead, in the
-same order.
+pre-token above ``WIDEST`` bytes is a row of its own, in which a round takes the
+minimum pair at all its places from the left, up to the first one whose merge
+makes a pair of a lower rank, and closes the gaps when half of the row is gone;
+the merges and their order are the same.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +27,8 @@ from .pretokens import Vocabulary
 from .session import ready
 
 NONE = np.int32(2**31 - 1)
-LONGEST = 512
-_BUCKETS = (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256, LONGEST)
+WIDEST = 512
+_BUCKETS = (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256, WIDEST)
 
 
 class PairTable:
@@ -118,10 +118,10 @@ class ByteBPE:
                 some = rows[i : i + step]
                 parts += self._merge(some, flat, begins[some], lengths[some], sizes)
             low = high
-        for i in np.flatnonzero((whole < 0) & (lengths > LONGEST)).tolist():
-            ids = self._by_heap(flat[begins[i] : begins[i] + lengths[i]].tolist())
+        for i in np.flatnonzero((whole < 0) & (lengths > WIDEST)).tolist():
+            ids = self._merge_row(flat[begins[i] : begins[i] + lengths[i]])
             sizes[i] = len(ids)
-            parts.append((np.full(len(ids), i), np.arange(len(ids)), np.array(ids)))
+            parts.append((np.full(len(ids), i), np.arange(len(ids)), ids))
         out = np.empty(int(sizes.sum()), dtype=np.int32)
         starts = np.cumsum(sizes) - sizes
         for word, place, ids in parts:
@@ -162,27 +162,43 @@ class ByteBPE:
             left = np.flatnonzero(best > 0)
             ranks[left, best[left] - 1] = self.table(ids[left, best[left] - 1], ids[left, best[left]])
 
-    def _by_heap(self, ids: list[int]) -> list[int]:
-        n = len(ids)
-        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        get = self.pairs.get
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get((ids[i], ids[i + 1]))) is not None]
-        heapq.heapify(heap)
-        dead = [False] * n
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if dead[i] or j < 0 or ids[i] != a or ids[j] != b:
-                continue
-            ids[i], dead[j] = rank, True
-            after[i] = k = after[j]
-            if k >= 0:
-                before[k] = i
-                if (r := get((rank, ids[k]))) is not None:
-                    heapq.heappush(heap, (r, i, rank, ids[k]))
-            if (h := before[i]) >= 0 and (r := get((ids[h], rank))) is not None:
-                heapq.heappush(heap, (r, h, ids[h], rank))
-        return [x for x, gone in zip(ids, dead, strict=True) if not gone]
+    def _merge_row(self, ids: np.ndarray) -> np.ndarray:
+        """One long row. Places that are merged away stay as holes (rank NONE) between links until half of the row is holes."""
+        while True:
+            n = len(ids)
+            if n < 2:
+                return ids
+            ids = np.append(ids, -1)  # the end, where links stop
+            after, before = np.arange(1, n + 2), np.arange(-1, n)
+            ranks = np.append(self.table(ids[:-1], ids[1:]), NONE)
+            alive, live = np.ones(n + 1, dtype=bool), n
+            while 2 * live > n:
+                rank = ranks.min()
+                if rank == NONE:
+                    return ids[:n][alive[:n]]
+                at = np.flatnonzero(ranks == rank)
+                fresh = np.ones(len(at), dtype=bool)  # places that share a symbol, as in a run of one letter, are taken in turn
+                fresh[1:] = after[at[:-1]] != at[1:]
+                head = np.flatnonzero(fresh)
+                at = at[(np.arange(len(at)) - head[np.cumsum(fresh) - 1]) % 2 == 0]
+                gone = after[at]
+                right, left = after[gone], before[at]
+                joined = np.zeros(len(at), dtype=bool)  # the left neighbour is merged just before
+                joined[1:] = left[1:] == gone[:-1]
+                new = np.full(len(at), rank, dtype=ids.dtype)
+                first = np.where(left < 0, -1, np.where(joined, rank, ids[np.maximum(left, 0)])).astype(ids.dtype)
+                lower = np.flatnonzero((self.table(first, new) < rank) | (self.table(new, ids[right]) < rank))
+                if len(lower):
+                    at, gone, right, left = (x[: lower[0] + 1] for x in (at, gone, right, left))
+                ids[at], ranks[gone], alive[gone] = rank, NONE, False
+                after[at] = right
+                before[right] = at
+                ranks[at] = self.table(ids[at], ids[right])
+                left = before[at]
+                at, left = at[left >= 0], left[left >= 0]
+                ranks[left] = self.table(ids[left], ids[at])
+                live -= len(gone)
+            ids = ids[:n][alive[:n]]
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of the ids, end to end."""

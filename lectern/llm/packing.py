@@ -33,23 +33,50 @@ MEET = 8
 GIVEN = 5_000
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_made: dict[str, Vocabulary] = {}
+_NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
+_made: dict[str, TextIds] = {}
 
 
-def tokenizer_ids(path: str) -> Vocabulary:
-    """Ids by the library tokenizers, made once in each process. Strings of special tokens in a text are ordinary text."""
-    if path not in _made:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        tokenizer.no_padding()
-        tokenizer.no_truncation()
+class TextIds:
+    """Ids by the library tokenizers, as it gives them for whole texts. A text without a string of an added token falls into pre-tokens, of which each distinct one is encoded once; one with such a string is encoded as it is."""
 
-        def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            return encode_words(tokenizer, words)
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-        _made[path] = Vocabulary(encode)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_padding()
+        self.tokenizer.no_truncation()
+        self.added = [t.content.encode("utf-8") for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.vocabulary = Vocabulary(lambda words: encode_words(self.tokenizer, words))
+
+    def ids(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds) of a chunk of texts."""
+        raw = data.tobytes()
+        whole = set()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                k = int(np.searchsorted(offs, at, "right")) - 1
+                if at + len(token) <= offs[k + 1]:
+                    whole.add(k)
+                at = raw.find(token, at + 1)
+        ids, bounds = self.vocabulary.ids(data, offs)
+        if not whole:
+            return ids, bounds
+        parts = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        for k in whole:
+            text = raw[offs[k] : offs[k + 1]].decode("utf-8")
+            parts[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32)
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
+    def clear(self) -> None:
+        self.vocabulary.clear()
+
+
+def tokenizer_ids(path: str) -> TextIds:
+    """Made once in each process."""
+    if path not in _made:
+        _made[path] = TextIds(path)
     return _made[path]
 
 
@@ -161,13 +188,14 @@ def _pack(capacity: int, turn: int, last: bool, given: int):
         rows = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
         if rows is None or not rows.num_rows:
             return
-        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        rows = rows.select(_NAMES).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         lengths = rows["length"].to_numpy()
         bins, offsets, room = best_fit(lengths, capacity)
-        gap = len(room) - lower_bound(lengths, capacity)
-        reopened = given_away(room, bins, gap, capacity, given) if not last else np.zeros(len(room), dtype=bool)
+        bound = lower_bound(lengths, capacity)
+        reopened = given_away(room, bins, len(room) - bound, capacity, given) if not last else np.zeros(len(room), dtype=bool)
         first = (turn << 56) + (TaskContext.get().partitionId() << 28)
-        for name, column in (("sequence_id", pa.array(bins + first)), ("offset", pa.array(offsets)), ("again", pa.array(reopened[bins]))):
+        same = lambda n: pa.array(np.full(len(lengths), n))
+        for name, column in (("sequence_id", pa.array(bins + first)), ("offset", pa.array(offsets)), ("partition_bins", same(len(room))), ("partition_bound", same(bound)), ("again", pa.array(reopened[bins]))):
             rows = rows.append_column(name, column)
         yield from rows.combine_chunks().to_batches()
 
@@ -175,11 +203,13 @@ def _pack(capacity: int, turn: int, last: bool, given: int):
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): a row for every piece of every document.
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset, partition_bins, partition_bound): a row for every piece of every document.
 
-    A null or empty text is one piece that holds the end id alone. Null and
-    repeated ids are documents like others. An empty table gives no rows; other
-    columns are not read.
+    The last two tell how many bins the partition that packed the piece made, and
+    how many any packing of its pieces needs; where they are equal, its count is
+    certified. A null or empty text is one piece that holds the end id alone. Null
+    and repeated ids are documents like others. An empty table gives no rows;
+    other columns are not read.
     """
     ready(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -187,12 +217,14 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int
     parts = max(1, math.ceil(pool.count() / rows))
     done, turn = [], 0
     while True:
-        packed = pool.repartition(parts, F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn))).mapInArrow(_pack(capacity, turn, parts == 1, min(GIVEN, rows // 2)), f"{_PIECE}, sequence_id long, offset long, again boolean")
+        # the pool lies in files, so the numbers of its rows stay the same when a task runs again; pieces that are equal in every column spread as well
+        dealt = pool.withColumn("_n", F.monotonically_increasing_id()).repartition(parts, F.xxhash64("_n", F.lit(turn)))
+        packed = dealt.mapInArrow(_pack(capacity, turn, parts == 1, min(GIVEN, rows // 2)), f"{_PIECE}, sequence_id long, offset long, partition_bins long, partition_bound long, again boolean")
         packed = packed.checkpoint()  # read twice; both must see the same bins
         done.append(packed.filter("not again").drop("again"))
         if parts == 1:
             break
-        pool = packed.filter("again").select("doc_id", "piece", "start", "length", "ids_crc32")
+        pool = packed.filter("again").select(*_NAMES)
         parts, turn = math.ceil(parts / MEET), turn + 1
     out = done[0]
     for more in done[1:]:

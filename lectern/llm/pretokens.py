@@ -19,7 +19,7 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 
-from .arrays import ragged, word_hashes
+from .arrays import ragged, same_bytes, word_hashes
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: White_Space of Unicode (fixed values).
@@ -95,53 +95,88 @@ def _endings(points: np.ndarray, cls: np.ndarray, run: np.ndarray, first: np.nda
 
 
 class Vocabulary:
-    """Ids of pre-tokens: each distinct one is encoded once and kept, up to ``most`` of them at a time."""
+    """Ids of pre-tokens: each distinct one is encoded once and kept, with its bytes, up to ``most`` of them (or ``most_bytes``) at a time.
 
-    def __init__(self, encode, most: int = 300_000):
-        self.encode, self.most = encode, most
+    Pre-tokens are found by a hash and then compared byte by byte; one that meets
+    another by its hash alone is kept by its bytes instead.
+    """
+
+    def __init__(self, encode, most: int = 300_000, most_bytes: int = 64 << 20):
+        self.encode, self.most, self.most_bytes = encode, most, most_bytes
         self.clear()
 
     def clear(self) -> None:
         self.slots: dict[int, int] = {}
-        self.pool = np.zeros(1 << 16, dtype=np.int32)
-        self.used = 0
-        self.start = np.zeros(1 << 14, dtype=np.int64)
-        self.size = np.zeros(1 << 14, dtype=np.int64)
+        self.others: dict[bytes, int] = {}
+        self.count = 0
+        self.ids_of, self.bytes_of = Pool(np.int32), Pool(np.uint8)
 
-    def add(self, hashes: list[int], words: list[bytes]) -> None:
+    def add(self, words: list[bytes]) -> np.ndarray:
+        """Encode new words; their slots."""
         ids, sizes = self.encode(words)
-        k, n = len(self.slots), len(words)
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-        while k + n > len(self.start):
-            self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.start[k : k + n] = self.used + np.cumsum(sizes) - sizes
-        self.size[k : k + n] = sizes
-        self.used += len(ids)
-        self.slots.update(zip(hashes, range(k, k + n), strict=True))
+        self.ids_of.add(ids, sizes)
+        self.bytes_of.add(np.frombuffer(b"".join(words), dtype=np.uint8), np.fromiter(map(len, words), np.int64, len(words)))
+        self.count += len(words)
+        return np.arange(self.count - len(words), self.count)
 
-    def ids(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, bounds): the token ids of a chunk, and of each document its first one."""
-        starts, ends, bounds = pretokens(data, offs)
-        if not len(starts):
-            return np.zeros(0, np.int32), np.zeros(len(offs), np.int64)
+    def slots_of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         unique, where, back = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.slots) + len(unique) > self.most and self.slots:
+        if self.count and (self.count + len(unique) > self.most or self.bytes_of.used > self.most_bytes):
             self.clear()
         hashes = unique.tolist()
         get = self.slots.get
         slot = np.fromiter((get(h, -1) for h in hashes), dtype=np.int64, count=len(hashes))
         new = np.flatnonzero(slot < 0)
         if len(new):
-            raw = data.tobytes()
-            k = len(self.slots)
-            self.add([hashes[i] for i in new.tolist()], [raw[a:b] for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
-            slot[new] = np.arange(k, k + len(new))
+            slot[new] = self.add(words_at(data, starts[where[new]], ends[where[new]]))
+            self.slots.update(zip([hashes[i] for i in new.tolist()], slot[new].tolist(), strict=True))
         each = slot[back]
-        sizes = self.size[each]
+        sizes = ends - starts
+        same = self.bytes_of.size[each] == sizes
+        at = np.flatnonzero(same)
+        same[at] = same_bytes(data, starts[at], self.bytes_of.start[each[at]], sizes[at], self.bytes_of.pool)
+        for i in np.flatnonzero(~same).tolist():
+            word = data[starts[i] : ends[i]].tobytes()
+            if word not in self.others:
+                self.others[word] = int(self.add([word])[0])
+            each[i] = self.others[word]
+        return each
+
+    def ids(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds): the token ids of a chunk, and of each document its first one."""
+        starts, ends, bounds = pretokens(data, offs)
+        if not len(starts):
+            return np.zeros(0, np.int32), np.zeros(len(offs), np.int64)
+        each = self.slots_of(data, starts, ends)
+        sizes = self.ids_of.size[each]
         cuts = np.concatenate(([0], np.cumsum(sizes)))
-        return self.pool[ragged(self.start[each], sizes)], cuts[bounds]
+        return self.ids_of.pool[ragged(self.ids_of.start[each], sizes)], cuts[bounds]
+
+
+class Pool:
+    """Sequences of one type, end to end, by the number in which they came."""
+
+    def __init__(self, dtype):
+        self.pool, self.used, self.count = np.zeros(1 << 16, dtype=dtype), 0, 0
+        self.start, self.size = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(sizes)
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros(max(len(flat), len(self.pool)), self.pool.dtype)))
+        if self.count + n > len(self.start):
+            more = np.zeros(max(n, len(self.start)), dtype=np.int64)
+            self.start, self.size = np.concatenate((self.start, more)), np.concatenate((self.size, more))
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.start[self.count : self.count + n] = self.used + np.cumsum(sizes) - sizes
+        self.size[self.count : self.count + n] = sizes
+        self.used += len(flat)
+        self.count += n
+
+
+def words_at(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    raw = data.tobytes()
+    return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
 def list_ids(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
