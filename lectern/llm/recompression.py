@@ -14,11 +14,13 @@ round), so all partitions name alike, in every round, without asking each other.
 Whether a symbol arises depends on its own words and on the neighbours that end
 its runs. These words are its *context*, kept beside it. So a symbol whose
 context lies within a window arises in every copy of the window, at the same
-place. The highest-level symbol of that kind with the least name, leftmost of
-equals, is the window's anchor; single words, which need no context, are always
-there. An anchor's key holds the words of its context too, as the window fixes
-them as well, and few texts share that much by chance. Shared anchors reveal
-repeats, and windows are then compared by their words.
+place. Rounds go on until no symbol's context fits a window. The highest-level
+symbol whose context fits with the least name, leftmost of equals, is the
+window's anchor; single words, which need no context, are always there. An
+anchor's key holds the words of its context too, as the window fixes them as
+well, and few texts share that much by chance. Symbols that occur again reveal
+repeats: the windows around them meet and are compared by their words, so two
+strings of one name cost a comparison and never a word.
 """
 
 from __future__ import annotations
@@ -30,12 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrays import NULL_ID, U64, mix, ragged, range_hashes, split_words, text_chunks, window_hashes, word_hashes
-from .repeats import AGAIN, SEGMENT, covered, later_rows, repeated_units, segment_rows
-from .session import width
+from .arrays import NULL_ID, U64, mix, ragged, range_hashes, split_words, text_chunks, word_hashes
+from .repeats import HOT, checked, covered, repeated_units, repeats
 
-#: Rounds of recompression. The context of a symbol of the fourth round is longer than most windows.
-ROUNDS = 3
 FAR = 1 << 40
 
 
@@ -81,23 +80,22 @@ def recompress(s: Symbols, turn: int) -> Symbols:
     return Symbols(name, s.start[i], s.end[j], np.minimum(outer_left, own_left), np.maximum(outer_right, own_right), s.linked[j])
 
 
-def anchors(names: np.ndarray, bounds: np.ndarray, size: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(key, word) of the anchor of the window that starts at each word; a window that leaves its document gets something that means nothing."""
+def anchors(names: np.ndarray, bounds: np.ndarray, size: int, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(key, word) of the anchor of the window that starts at each word; a window that leaves its document gets something that means nothing. Rounds go on as long as they give anchors, or ``rounds`` times."""
     n = len(names)
-    best = np.full(n, 2**64 - 1, dtype=U64)
+    best = np.full(n, 2**64 - 1, dtype=U64)  # 63 - level, 26 bits of the name's rank, word
     level_names = []
-    s = words_as_symbols(names, bounds)
-    for level in range(rounds + 1):
-        if level:
-            s = recompress(s, level)
+    s, level = words_as_symbols(names, bounds), 0
+    while True:
+        room = size - (s.right - s.left)
+        fits = np.flatnonzero(room >= 0)
+        if not len(fits):
+            break
         rank = mix(s.name + U64(level))
-        key = (U64(rounds - level) << U64(61)) | ((rank >> U64(35)) << U64(32)) | s.start.astype(U64)
+        key = (U64(63 - level) << U64(58)) | ((rank >> U64(38)) << U64(32)) | s.start.astype(U64)
         of_word = np.zeros(n, dtype=U64)
-        local = s.right - s.left < FAR >> 1
-        of_word[s.start[local]] = range_hashes(names, s.left[local], s.right[local]) + U64(level)
+        of_word[s.start[fits]] = range_hashes(names, s.left[fits], s.right[fits]) + U64(level)
         level_names.append(of_word)
-        room = size - (s.right - s.left)
-        fits = np.flatnonzero(room >= 0)
         at, key, room = s.left[fits], key[fits], room[fits]
         for back in range(size):
             ok = room >= back
@@ -111,12 +109,16 @@ def anchors(names: np.ndarray, bounds: np.ndarray, size: int, rounds: int = ROUN
                 best[to[inside]] = np.minimum(best[to[inside]], key[inside])
             else:
                 best[to] = np.minimum(best[to], key)
+        level += 1
+        if level == 64 or (rounds is not None and level > rounds):
+            break
+        s = recompress(s, level)
     word = (best & U64(0xFFFFFFFF)).astype(np.int64)
-    level = rounds - (best >> U64(61)).astype(np.int64)
+    own = 63 - (best >> U64(58)).astype(np.int64)
     keys = np.zeros(n, dtype=U64)
     known = best != U64(2**64 - 1)
     for k, of_word in enumerate(level_names):
-        on = known & (level == k)
+        on = known & (own == k)
         keys[on] = of_word[word[on]]
     return keys, np.where(known, word, -1)
 
@@ -127,69 +129,62 @@ def window_starts(bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray
     return ragged(bounds[:-1], counts), np.repeat(np.arange(len(counts)), counts)
 
 
-def _segments(size: int, rounds: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = []
-            twin = batch.column(batch.schema.get_field_index("twin")).to_numpy()
-            for a, b, ids, offs, data in text_chunks(batch, "doc", "text"):
-                starts, ends, bounds = split_words(data, offs)
-                at, doc = window_starts(bounds, size)
-                if not len(at):
-                    continue
-                names = word_hashes(data, starts, ends)
-                keys, word = anchors(names, bounds, size, rounds)
-                key, anchor = keys[at], word[at]
-                new = np.ones(len(at), dtype=bool)
-                new[1:] = (anchor[1:] != anchor[:-1]) | (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-                heads = np.flatnonzero(new)
-                first, windows = at[heads], np.diff(np.append(heads, len(at)))
-                content = range_hashes(names, first, first + windows - 1 + size)
-                own = doc[heads]
-                parts.append((key[heads], content, ids[own], twin[a:b][own], ((first - bounds[own]) << 16) | (windows << 8)))
-            if parts:
-                yield segment_rows(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-
-    return run
-
-
-def _windows(size: int):
-    """The asked windows, each by the hash of its words; of equal ones in a batch the first stays, the others are known repeats."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            twin, asked = batch.column(1).to_numpy(), batch.column(3)
-            places, cuts = asked.values.field("place").to_numpy(zero_copy_only=False), asked.offsets.to_numpy()
-            parts = []
-            for a, b, ids, offs, data in text_chunks(batch, "doc", "text"):
-                starts, ends, bounds = split_words(data, offs)
-                hashes = window_hashes(word_hashes(data, starts, ends), size)
-                own = np.repeat(np.arange(b - a), np.diff(cuts[a : b + 1]))
-                p = places[cuts[a] : cuts[b]]
-                count = (p >> 8) & 255
-                at = ragged((p >> 16) + bounds[own], count)
-                doc = np.repeat(own, count)
-                parts.append((hashes[at], np.zeros(len(at), U64), ids[doc], twin[a:b][doc], ((at - bounds[doc]) << 16) | (1 << 8)))
-            if parts:
-                yield segment_rows(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-
-    return run
-
-
-def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, doc, twin, place): the places of known repeats and of all but the first of each key, negative."""
-    last = None
-    for b in batches:
-        out, last = later_rows(tuple(b.column(i).to_numpy() for i in range(5)), last)
-        yield out
-
-
-def _compare(size: int):
-    def compare(asked: DataFrame) -> DataFrame:
-        rows = asked.mapInArrow(_windows(size), SEGMENT)
-        return rows.repartition(width(asked, 2), "key").sortWithinPartitions("key", "content", "doc", "twin", "place").mapInArrow(_first_of_each, AGAIN)
-
-    return compare
+def _segments(size: int, rounds: int | None):
+    def segments(offs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...] | None:
+        starts, ends, bounds = split_words(data, offs)
+        at, doc = window_starts(bounds, size)
+        if not len(at):
+            return None
+        names = word_hashes(data, starts, ends)
+        keys, word = anchors(names, bounds, size, rounds)
+        key, anchor = keys[at], word[at]
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+        heads = np.flatnonzero(new)
+        first, windows = at[heads], np.diff(np.append(heads, len(at)))
+        end = first + windows - 1 + size
+        own = doc[heads]
+        return key[heads], range_hashes(names, first, end), own, first - bounds[own], windows, 0, starts[first], ends[end - 1] - starts[first]
+
+    return segments
+
+
+def word_units(offs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a chunk, with one space behind each."""
+    starts, ends, bounds = split_words(data, offs)
+    flat, at = spaced(data, starts, ends)
+    return flat, at[:-1], at[1:] - 1, bounds
+
+
+def spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words with one space behind each, where each starts and the last one ends)"""
+    sizes = ends - starts + 1
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    flat = np.append(data, np.uint8(32))[ragged(starts, sizes)]
+    flat[at[1:] - 1] = 32
+    return flat, at
+
+
+def shared_windows(size: int):
+    """What ``distinct_strings`` hands over, some strings at a time: places of windows whose words an earlier string of the key has too. A shared symbol lies in all of them."""
+
+    def take(rows: list[tuple]) -> pa.RecordBatch | None:
+        which, places, seen, of = [], [], set(), None
+        for i, (key, _, _, place, string) in enumerate(rows):
+            if key != of:
+                seen, of = set(), key
+            cuts = [-1, *(k for k, c in enumerate(string) if c == 32), len(string)]
+            start = place >> 28
+            for k in range(len(cuts) - size):
+                window = string[cuts[k] + 1 : cuts[k + size]]
+                if window in seen:
+                    which.append(i)
+                    places.append(start + k)
+                else:
+                    seen.add(window)
+        return repeats(rows, np.array(which), np.array(places), np.ones(len(which), np.int64)) if which else None
+
+    return take
 
 
 def _finish(size: int):
@@ -206,10 +201,7 @@ def _finish(size: int):
                         for s, e in zip(*covered(n, flat[cuts[first + k] : cuts[first + k + 1]], size), strict=True):
                             kept[a + s : a + e] = False
                 some = np.flatnonzero(kept)
-                sizes = ends[some] - starts[some] + 1
-                text = np.append(data, np.uint8(32))[ragged(starts[some], sizes)]
-                ends_at = np.concatenate(([0], np.cumsum(sizes)))
-                text[ends_at[1:] - 1] = 32
+                text, ends_at = spaced(data, starts[some], ends[some])
                 raw = memoryview(text.tobytes())
                 own = ends_at[np.searchsorted(some, bounds)]
                 n_words = np.diff(bounds)
@@ -220,16 +212,18 @@ def _finish(size: int):
     return run
 
 
-def word_dedup_digests(docs: DataFrame, size: int = 20, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def word_dedup_digests(docs: DataFrame, size: int = 20, rounds: int | None = None, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row, after the words of repeated ``size``-word windows are removed.
 
     A null text has no words. A null id is the least id. Rows that share an id
     and a text are the same document: none of them is earlier than the other.
     Rows of one id with different texts are different documents, ordered by a
     64-bit hash of the text; each loses its own repeats only. An empty table
-    gives no rows; other columns are not read.
+    gives no rows; other columns are not read. ``rounds`` bounds the rounds of
+    recompression, which changes the cost and not the result.
     """
-    return repeated_units(docs, _segments(size, rounds), _compare(size), _finish(size), "doc_id long, n_words long, n_removed long, kept_sha256 string", id_col, text_col)
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    return repeated_units(docs, _segments(checked(size), rounds), word_units, shared_windows(size), _finish(size), schema, size, id_col, text_col, hot=hot)
 
 
 __all__ = ["anchors", "recompress", "word_dedup_digests", "words_as_symbols"]

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from pathlib import Path
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,18 +14,35 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Bound the batches that go to Python, let workers import the package from where the driver has it, and give the session a checkpoint folder: the cluster's ``spark.checkpoint.dir``; a local one only where that is unset, as in tests."""
+    """Bound the batches that go to Python, let workers import the package from where the driver has it, and give the session a checkpoint folder: the cluster's ``spark.checkpoint.dir``, or one in the warehouse, which is shared too, where that is unset."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     sc = spark.sparkContext
     paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         sc.environment["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/lectern-checkpoints")
     return spark
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's own folder under the checkpoint directory."""
+    return ready(spark).sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """The same as a path, if it is one, for scratch files of tasks."""
+    at = urlparse(checkpoint_folder(spark))
+    return f"{at.path}/scratch" if at.scheme in ("", "file") else None
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that was written under the checkpoint folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def width(df: DataFrame, factor: float = 1.0) -> int:
     """Partitions for an exchange: the session's setting, which is sized to the input, times ``factor``."""
     return max(2, round(factor * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))

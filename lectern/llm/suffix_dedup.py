@@ -5,50 +5,42 @@ collection (a smaller document id, or the same document further left).
 
 Anchors: of the ``GRAM``-byte strings inside a window, the one with the least
 hash, leftmost of equals. Segments are thus a few dozen windows long, and every
-window of the corpus lies in exactly one. Segments with an anchor that other
-texts share are the collection whose suffixes are ordered.
+window of the corpus lies in exactly one. The distinct strings of the segments
+whose anchor occurs again are the collection whose suffixes are ordered.
 
 Construction, after Bauer, Cox and Rosone ("Lightweight algorithms for
 constructing and inverting the BWT of string collections", 2013; common prefixes
 after Cox, Garofalo, Rosone and Sciortino): the strings are read from their last
-column to their first, and each round puts one symbol of every string in front
-of its suffix. The order of the suffixes after a round is the stable sort of the
-order before it by the inserted symbols; these symbols, in that order, are the
-round's part of the Burrows-Wheeler transform. The common prefix of neighbours
-is one more than the least common prefix between them before, or nothing if
-their symbols differ. Strings of one anchor are aligned at it, and equal windows
-stand at equal columns, so a suffix is ordered among those of its own column;
-the transform of the collection comes in parts by column, as a positional one
-(Durbin, 2014). The columns lie in a sequential scratch file that is read once,
-backwards; what each round finds is appended to another.
-
-An anchor with more than ``HOT`` strings, such as one in a footer with another
-context in every document, is not ordered: its windows go out as rows of (anchor,
-hash of the window), which spread over all tasks and stream by in order, so
-memory doesn't grow with them.
+column to their first, and each round inserts one symbol of every string. The
+transform holds, in the order of the suffixes, the symbol before each of them; so
+the next order is the stable sort of the present one by the transform, and its
+common prefixes are one more than the least common prefix between neighbours
+with one symbol. Strings of one anchor are aligned at it, and equal windows stand
+at equal columns, so a suffix is ordered among those of its own column (the
+positional transform of Durbin, 2014). Order, transform and common prefixes live
+in files of the shared folder that are read and written from front to back in
+every round; the columns are a file that is read backwards, column by column. A
+window is repeated where its suffix has a common prefix of ``size`` with that of
+an earlier string; these are read from the rounds' records at the end.
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
+import io
+import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrays import _BASE, _BASE_INV, CHUNK, NULL_ID, U64, byte_values, mix, powers, prefix_sums, ragged, text_chunks
-from .repeats import AGAIN, covered, later_rows, repeated_units, segment_rows, text_of
-from .session import width
+from .arrays import _BASE, _BASE_INV, NULL_ID, U64, byte_values, mix, powers, prefix_sums
+from .repeats import HOT, checked, covered, repeated_units, repeats, unpacked
+from .session import shared_folder
 
 GRAM = 32
-#: Bytes of strings that are ordered together; the strings of one anchor always are.
-COLLECTION = 4 << 20
-#: Strings of one anchor that are ordered at most.
-HOT = 1 << 14
-#: key, content (the window's hash, 0 for strings), doc, twin, place, string (null for windows)
-STRINGS = "key long, content long, doc long, twin long, place long, string binary"
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -65,7 +57,7 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def byte_segments(offs: np.ndarray, data: np.ndarray, size: int) -> tuple[np.ndarray, ...] | None:
-    """(key, content, document index, start in the document, windows, anchor) of every segment of a chunk."""
+    """(key, hash of the content, document index, start in the document, windows, anchor, first byte, bytes) of every segment of a chunk."""
     gram = min(GRAM, size)
     n = len(data)
     if n < size:
@@ -93,77 +85,45 @@ def byte_segments(offs: np.ndarray, data: np.ndarray, size: int) -> tuple[np.nda
     end = start + windows - 1 + size
     content = mix((sums[end] - sums[start]) * inverse[start] + windows.astype(U64) * U64(0x632BE59BD9B4E019))
     doc = np.searchsorted(offs, start, "right") - 1
-    return grams[anchor], content, doc, start - offs[doc], windows, anchor - start
+    return grams[anchor], content, doc, start - offs[doc], windows, anchor - start, start, end - start
 
 
-def _segments(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = []
-            twin = batch.column(batch.schema.get_field_index("twin")).to_numpy()
-            for a, b, ids, offs, data in text_chunks(batch, "doc", "text"):
-                got = byte_segments(offs, data, size)
-                if got is not None:
-                    key, content, doc, start, windows, anchor = got
-                    parts.append((key, content, ids[doc], twin[a:b][doc], (start << 16) | (windows << 8) | anchor))
-            if parts:
-                yield segment_rows(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+def byte_units(offs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    at = np.arange(len(data) + 1)
+    return data, at[:-1], at[1:], offs
 
-    return run
 
+class Scratch:
+    """Files of one task in the folder that all share; in memory, as they are small, where that folder isn't a path."""
 
-def _strings(size: int, text_col: str):
-    """The asked segments' bytes; of segments with a hot anchor the windows, where of equal ones in a chunk the first stays and the others are known repeats."""
+    def __init__(self, folder: str | None):
+        self.folder = folder and os.path.join(folder, uuid.uuid4().hex)
+        self.files: dict[str, io.IOBase] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, doc, twin, place, raw = [], [], [], [], []
-            hot, hot_raw, held = [], [], 0
-            texts = text_of(batch.column(2), text_col)
-            asked = batch.column(3)
-            for i, (d, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                text = (texts[i].as_py() or "").encode("utf-8")
-                for x in asked[i].as_py():
-                    p = x["place"]
-                    start = p >> 16
-                    length = ((p >> 8) & 255) - 1 + size
-                    string = text[start : start + length]
-                    if not x["hot"]:
-                        key.append(x["key"])
-                        doc.append(d)
-                        twin.append(t)
-                        place.append(p)
-                        raw.append(string)
-                    elif len(string) == length:
-                        hot.append((x["key"], d, t, p))
-                        hot_raw.append(string)
-                        held += length
-                        if held >= CHUNK:
-                            yield hot_windows(hot, hot_raw, size)
-                            hot, hot_raw, held = [], [], 0
-            if hot:
-                yield hot_windows(hot, hot_raw, size)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(np.zeros(len(key), np.int64)), pa.array(doc, pa.int64()), pa.array(twin, pa.int64()), pa.array(place, pa.int64()), pa.array(raw, pa.binary())], ["key", "content", "doc", "twin", "place", "string"])
+    def __enter__(self) -> Scratch:
+        if self.folder:
+            os.makedirs(self.folder, exist_ok=True)
+        return self
 
-    return run
+    def __getitem__(self, name: str) -> io.IOBase:
+        if name not in self.files:
+            self.files[name] = open(os.path.join(self.folder, name), "w+b") if self.folder else io.BytesIO()  # noqa: SIM115
+        return self.files[name]
+
+    def __exit__(self, *_) -> None:
+        for name, f in self.files.items():
+            f.close()
+            if self.folder:
+                os.remove(os.path.join(self.folder, name))
+        if self.folder:
+            os.rmdir(self.folder)
 
 
-def hot_windows(rows: list[tuple[int, int, int, int]], raw: list[bytes], size: int) -> pa.RecordBatch:
-    """A row for every window of the strings at (key, doc, twin, place)."""
-    key, doc, twin, place = np.array(rows, dtype=np.int64).T
-    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
-    count = (place >> 8) & 255
-    lengths = count - 1 + size
-    starts = np.cumsum(lengths) - lengths
-    sums = prefix_sums(byte_values(data) * powers(_BASE, len(data)))
-    at, own = ragged(starts, count), np.repeat(np.arange(len(count)), count)
-    content = mix((sums[at + size] - sums[at]) * powers(_BASE_INV, len(data) + 1)[at])
-    out = segment_rows(key.view(U64)[own], content, doc[own], twin[own], (((place >> 16)[own] + at - starts[own]) << 16) | (1 << 8))
-    return pa.RecordBatch.from_arrays([*out.columns, pa.nulls(len(out), pa.binary())], [*out.schema.names, "string"])
+_RECORD = np.dtype([("string", "<i4"), ("common", "<i2"), ("symbol", "<i2")])
 
 
-def repeated_columns(group: np.ndarray, anchor: np.ndarray, raw: list[bytes], size: int) -> np.ndarray:
-    """For strings in order of (group, document, twin, start): a matrix over (string, column) that is 1 where the window at the column equals one of an earlier string of its group. Strings are aligned at their anchors."""
+def repeated_columns(group: np.ndarray, anchor: np.ndarray, raw: list[bytes], size: int, files: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """(string, column) of the windows that equal one at the same column of an earlier string of the group. Strings come in order of (group, document, twin, start) and are aligned at their anchors; a window's column counts from the aligned start."""
     m = len(raw)
     lead = int(anchor.max())
     begin = lead - anchor
@@ -172,43 +132,54 @@ def repeated_columns(group: np.ndarray, anchor: np.ndarray, raw: list[bytes], si
     columns = int(end.max())
     text = np.zeros((m, columns), dtype=np.uint8)
     flat = np.frombuffer(b"".join(raw), dtype=np.uint8)
-    row = np.repeat(np.arange(m), lengths)
-    text[row, np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(begin, lengths)] = flat
-    with tempfile.TemporaryFile() as column_file, tempfile.TemporaryFile() as found_file:
-        column_file.write(np.ascontiguousarray(text.T).tobytes())
-        del text, flat, row
-        order = np.arange(m)
-        common = np.zeros(m, dtype=np.int16)  # of a suffix and the one before it
-        edge = np.ones(m, dtype=bool)
-        edge[1:] = group[1:] != group[:-1]
-        base = group.astype(np.int64) * 512
-        for x in range(columns - 1, -1, -1):
-            column_file.seek(x * m)
-            symbol = np.frombuffer(column_file.read(m), dtype=np.uint8).astype(np.int64) + 1
-            symbol[(x < begin) | (x >= end)] = 0
-            inserted = base[order] + symbol[order]  # the round's part of the transform, by group
-            if (inserted[1:] >= inserted[:-1]).all():
-                before = common
-                same = inserted[1:] == inserted[:-1]
-                common = np.zeros(m, dtype=np.int16)
-                common[1:][same] = before[1:][same] + 1
-            else:
-                moved = np.argsort(inserted, kind="stable")
-                inserted = inserted[moved]
-                same = np.flatnonzero(inserted[1:] == inserted[:-1]) + 1
-                least = range_min(common, moved[same - 1] + 1, moved[same] + 1)
-                order = order[moved]
-                common = np.zeros(m, dtype=np.int16)
-                common[same] = least + 1
-            np.minimum(common, size, out=common)
-            common[symbol[order] == 0] = 0
-            runs = np.flatnonzero(common < size)
-            first = np.repeat(np.minimum.reduceat(order, runs), np.diff(np.append(runs, m)))
-            again = np.zeros(m, dtype=np.uint8)
-            again[order] = (order != first) & (x + size <= end[order]) & (x >= begin[order])
-            found_file.write(again.tobytes())
-        found_file.seek(0)
-        return np.frombuffer(found_file.read(), dtype=np.uint8).reshape(columns, m)[::-1].T
+    text[np.repeat(np.arange(m), lengths), np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths - begin, lengths)] = flat
+    files["columns"].seek(0)
+    files["columns"].write(np.ascontiguousarray(text.T).tobytes())
+    del text, flat
+
+    def before(x: int) -> np.ndarray:
+        """The symbols at column x - 1, 0 outside of a string."""
+        if not x:
+            return np.zeros(m, np.int16)
+        files["columns"].seek((x - 1) * m)
+        symbol = np.frombuffer(files["columns"].read(m), dtype=np.uint8).astype(np.int16) + 1
+        symbol[(x - 1 < begin) | (x - 1 >= end)] = 0
+        return symbol
+
+    state = np.zeros(m, dtype=_RECORD)
+    state["string"] = np.arange(m)
+    state["symbol"] = before(columns)
+    base = group * 512
+    files["found"].seek(0)
+    for x in range(columns - 1, -1, -1):
+        if x < columns - 1:  # the round before wrote it
+            files["state"].seek(0)
+            state = np.frombuffer(files["state"].read(m * _RECORD.itemsize), dtype=_RECORD)
+        order, common = state["string"], state["common"]
+        inserted = base[order] + state["symbol"]
+        moved = np.argsort(inserted, kind="stable")
+        sorted_ = inserted[moved]
+        same = np.flatnonzero((sorted_[1:] == sorted_[:-1]) & (sorted_[1:] % 512 > 0)) + 1
+        after = np.zeros(m, dtype=_RECORD)
+        after["string"] = order[moved]
+        after["common"][same] = np.minimum(range_min(common, moved[same - 1] + 1, moved[same] + 1) + 1, size)
+        after["symbol"] = before(x)[after["string"]]
+        files["state"].seek(0)
+        files["state"].write(after.tobytes())
+        if columns - x >= size:
+            files["found"].write(after.tobytes())
+    rounds = columns - size + 1
+    files["found"].seek(0)
+    strings, at = [], []
+    for x in range(rounds - 1, -1, -1):
+        record = np.frombuffer(files["found"].read(m * _RECORD.itemsize), dtype=_RECORD)
+        order = record["string"]
+        heads = np.flatnonzero(record["common"] < size)
+        first = np.repeat(np.minimum.reduceat(order, heads), np.diff(np.append(heads, m)))
+        again = order[(order != first) & (x + size <= end[order]) & (x >= begin[order])]
+        strings.append(again)
+        at.append(np.full(len(again), x))
+    return np.concatenate(strings), np.concatenate(at)
 
 
 def range_min(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -227,48 +198,24 @@ def range_min(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         table = np.minimum(table[:-half], table[half:])
 
 
-def _construct(size: int):
-    """Rows sorted by (key, content, doc, twin, place): places of repeated windows, negative."""
+def shared_windows(size: int, folder: str | None):
+    """What ``distinct_strings`` hands over, some strings at a time: places of repeated windows."""
 
-    def done(held: list[tuple], raw: list[bytes]) -> pa.RecordBatch | None:
-        if len(held) < 2:
+    def take(rows: list[tuple]) -> pa.RecordBatch | None:
+        key, place = (np.array([r[k] for r in rows], dtype=np.int64) for k in (0, 3))
+        group = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]).astype(np.int64))))
+        start, _, anchor = unpacked(place)
+        with Scratch(folder) as files:
+            string, column = repeated_columns(group, anchor, [r[4] for r in rows], size, files)
+        if not len(string):
             return None
-        k, d, t, p = np.array(held, dtype=np.int64).T
-        group = np.cumsum(np.concatenate(([0], (k[1:] != k[:-1]).astype(np.int64))))
-        anchor = p & 255
-        again = repeated_columns(group, anchor, raw, size)
-        lead = int(anchor.max())
-        wide = np.zeros((len(k), again.shape[1] + 2), dtype=np.int8)
-        wide[:, 1:-1] = again
-        step = np.diff(wide, axis=1)
-        row, on = np.nonzero(step == 1)
-        off = np.nonzero(step == -1)[1]
-        start = (p[row] >> 16) + on - (lead - anchor[row])
-        return pa.RecordBatch.from_arrays([pa.array(d[row]), pa.array(t[row]), pa.array(-((start << 16) | ((off - on) << 8)) - 1)], ["doc", "twin", "place"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, raw, held = [], [], 0
-        last = None
-        for b in batches:
-            if b.column(5).null_count:
-                windows = b.filter(b.column(5).is_null())
-                out, last = later_rows(tuple(windows.column(i).to_numpy() for i in range(5)), last)
-                yield out
-                b = b.filter(b.column(5).is_valid())
-            for *row, s in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4, 5)), strict=True):
-                if rows and row == rows[-1]:  # rows of one id and text
-                    continue
-                if held >= COLLECTION and row[0] != rows[-1][0]:
-                    if (out := done(rows, raw)) is not None:
-                        yield out
-                    rows, raw, held = [], [], 0
-                rows.append(row)
-                raw.append(s)
-                held += len(s)
-        if (out := done(rows, raw)) is not None:
-            yield out
+        order = np.lexsort((column, string))
+        string, column = string[order], column[order]
+        new = np.flatnonzero(np.concatenate(([True], (string[1:] != string[:-1]) | (column[1:] != column[:-1] + 1))))
+        which = string[new]
+        return repeats(rows, which, start[which] + column[new] - (anchor.max() - anchor[which]), np.diff(np.append(new, len(string))))
 
-    return run
+    return take
 
 
 def _finish(size: int):
@@ -296,12 +243,11 @@ def _finish(size: int):
     return run
 
 
-def _compare(size: int, text_col: str):
-    def compare(asked: DataFrame) -> DataFrame:
-        strings = asked.mapInArrow(_strings(size, text_col), STRINGS)
-        return strings.repartition(width(asked), "key", "content").sortWithinPartitions("key", "content", "doc", "twin", "place").mapInArrow(_construct(size), AGAIN)
+def _segments(size: int):
+    def segments(offs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...] | None:
+        return byte_segments(offs, data, size)
 
-    return compare
+    return segments
 
 
 def substring_digests(docs: DataFrame, size: int = 100, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
@@ -313,7 +259,9 @@ def substring_digests(docs: DataFrame, size: int = 100, id_col: str = "doc_id",
     64-bit hash of the text; each loses its own repeats only. An empty table
     gives no rows; other columns are not read.
     """
-    return repeated_units(docs, _segments(size), _compare(size, text_col), _finish(size), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", id_col, text_col, hot=hot)
+    folder = shared_folder(docs.sparkSession)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return repeated_units(docs, _segments(checked(size)), byte_units, shared_windows(size, folder), _finish(size), schema, size, id_col, text_col, hot=hot)
 
 
 def _rows(size: int, text_col: str, chars_col: str | None, columns: list[str]):
@@ -349,5 +297,5 @@ def _rows(size: int, text_col: str, chars_col: str | None, columns: list[str]):
 def without_repeats(docs: DataFrame, size: int = 100, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """All rows and columns, with texts without repeated ``size``-byte strings, and their lengths in ``chars_col`` if it exists; null stays null. See ``substring_digests`` for ids."""
     columns = docs.columns
-    run = _rows(size, text_col, chars_col if chars_col in columns else None, columns)
-    return repeated_units(docs, _segments(size), _compare(size, text_col), run, docs.schema, id_col, text_col, carry=True, hot=HOT)
+    run = _rows(checked(size), text_col, chars_col if chars_col in columns else None, columns)
+    return repeated_units(docs, _segments(size), byte_units, shared_windows(size, shared_folder(docs.sparkSession)), run, docs.schema, size, id_col, text_col, carry=True)

@@ -6,7 +6,6 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
-import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -19,7 +18,7 @@ from lectern.llm.multi_index import nearest
 from lectern.llm.packing import best_fit, lower_bound, pack_documents
 from lectern.llm.recompression import anchors, word_dedup_digests
 from lectern.llm.shingle_join import Bands, linked, set_keys, shingle_components
-from lectern.llm.suffix_dedup import _strings, range_min, repeated_columns, sliding_min, substring_digests, without_repeats
+from lectern.llm.suffix_dedup import Scratch, range_min, repeated_columns, sliding_min, substring_digests, without_repeats
 
 DOCS = "doc_id long, text string, again string, key long, place int"
 TOKENIZER = P.path("byte_bpe_50k.json")
@@ -134,7 +133,7 @@ def cut_bytes(rows, size):
     return out
 
 
-@pytest.mark.parametrize("size", [100, 20])
+@pytest.mark.parametrize("size", [100, 20, 300, 400])
 def test_substring_digests(spark, size):
     rows = corpus(2)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_digests(documents(spark, rows).repartition(5), size).collect()}
@@ -150,10 +149,8 @@ def test_hot_anchors_are_not_ordered(spark):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_digests(documents(spark, rows).repartition(5), 60, hot=20).collect()}
     assert got == cut_bytes(rows, 60)
 
-    row = pa.record_batch([pa.array([1, 2, 3]), pa.array([0, 0, 0]), pa.array([texts[0]] * 3), pa.array([[{"key": 7, "place": (5 << 16) | (9 << 8), "hot": i > 0}] for i in range(3)])], ["doc", "twin", "text", "asked"])
-    windows, strings = _strings(60, "text")(iter([row]))
-    assert windows.column(5).null_count == len(windows) == 18 and strings.column(5).null_count == 0 and len(strings) == 1
-    assert sorted(zip(windows.column(2).to_pylist(), windows.column(4).to_pylist())) == sorted([(2, (s << 16) | 256) for s in range(5, 14)] + [(3, -((s << 16) | 256) - 1) for s in range(5, 14)])
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in word_dedup_digests(documents(spark, rows).repartition(5), 3, hot=5).collect()}
+    assert got == cut_words(rows, 3)
 
 
 def cut_words(rows, size):
@@ -170,7 +167,7 @@ def cut_words(rows, size):
     return out
 
 
-@pytest.mark.parametrize(("size", "rounds"), [(20, 3), (5, 3), (20, 0)])
+@pytest.mark.parametrize(("size", "rounds"), [(20, None), (5, None), (20, 0), (300, None)])
 def test_word_dedup(spark, size, rounds):
     rows = corpus(3)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in word_dedup_digests(documents(spark, rows).repartition(5), size, rounds).collect()}
@@ -215,15 +212,18 @@ def test_equal_windows_have_equal_anchors(letters, size):
         assert got == (keys[k], word[k] - k)
 
 
-def test_column_construction_parts():
+def test_column_construction_parts(tmp_path):
     x = np.random.default_rng(0).integers(0, 9, 200)
     assert sliding_min(x.astype(np.uint64), 7).tolist() == [min(x[i : i + 7]) for i in range(194)]
     a = np.arange(0, 150)
     b = a + np.random.default_rng(1).integers(1, 50, 150)
     assert range_min(x, a, b).tolist() == [x[i:j].min() for i, j in zip(a, b, strict=True)]
     raw = [b"xabcdefy", b"abcdefz", b"qabcdeq"]
-    again = repeated_columns(np.zeros(3, np.int64), np.array([1, 0, 1]), raw, 5)
-    assert again.tolist() == [[0] * 8, [0, 1, 1, 0, 0, 0, 0, 0], [0, 1, 0, 0, 0, 0, 0, 0]]
+    for folder in (None, str(tmp_path)):
+        with Scratch(folder) as files:
+            string, column = repeated_columns(np.zeros(3, np.int64), np.array([1, 0, 1]), raw, 5, files)
+        assert sorted(zip(string.tolist(), column.tolist())) == [(1, 1), (1, 2), (2, 1)]
+    assert not list(tmp_path.iterdir())
 
 
 @pytest.mark.parametrize("rows", [packing.ROWS, 20])
