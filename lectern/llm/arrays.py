@@ -195,3 +195,27 @@ def as_long(x: np.ndarray) -> pa.Array:
 def id_array(ids: np.ndarray) -> pa.Array:
     """Ids as a column; NULL_ID is null again."""
     return pa.array(ids, mask=ids == NULL_ID) if len(ids) else pa.array([], pa.int64())
+
+
+def spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words with one space behind each, where each starts and the last one ends)"""
+    sizes = ends - starts + 1
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    flat = np.append(data, np.uint8(32))[ragged(starts, sizes)]
+    flat[at[1:] - 1] = 32
+    return flat, at
+
+
+def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, int]:
+    """(name of each word, number of names): from 1 on, equal for words of equal bytes only. Hashes find equal words, and their bytes are compared."""
+    unique, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+    rep = where[back]
+    sizes = ends - starts
+    same = sizes == sizes[rep]
+    at = np.flatnonzero(same & (rep != np.arange(len(rep))))
+    same[at] = same_bytes(data, starts[at], starts[rep[at]], sizes[at])
+    names = back.astype(np.int64) + 1
+    others: dict[bytes, int] = {}
+    for i in np.flatnonzero(~same).tolist():
+        names[i] = others.setdefault(data[starts[i] : ends[i]].tobytes(), len(unique) + len(others) + 1)
+    return names, len(unique) + len(others)

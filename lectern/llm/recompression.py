@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrays import NULL_ID, U64, mix, ragged, range_hashes, split_words, text_chunks, word_hashes
+from .arrays import NULL_ID, U64, mix, ragged, range_hashes, spaced, split_words, text_chunks, word_hashes
 from .repeats import HOT, checked, covered, repeated_units, repeats
 
 FAR = 1 << 40
@@ -156,15 +156,6 @@ def word_units(offs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return flat, at[:-1], at[1:] - 1, bounds
 
 
-def spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words with one space behind each, where each starts and the last one ends)"""
-    sizes = ends - starts + 1
-    at = np.concatenate(([0], np.cumsum(sizes)))
-    flat = np.append(data, np.uint8(32))[ragged(starts, sizes)]
-    flat[at[1:] - 1] = 32
-    return flat, at
-
-
 def shared_windows(size: int):
     """What ``distinct_strings`` hands over, some strings at a time: places of windows whose words an earlier string of the key has too. A shared symbol lies in all of them."""
 

@@ -14,8 +14,8 @@ from . import language_id
 from .arrays import text_chunks
 from .packing import pack_documents
 from .quality import quality_verdicts
-from .session import ready
-from .shingle_join import shingle_components
+from .session import checkpoint_folder, remove
+from .shingle_join import one_of_each
 from .suffix_dedup import without_repeats
 
 #: A language told with less certainty is rejected.
@@ -23,11 +23,17 @@ LEAST_CERTAINTY = 0.3
 
 
 def written(docs: DataFrame) -> DataFrame:
-    """The rows, written as Parquet under the checkpoint folder and read again; so lineage ends here."""
-    spark = ready(docs.sparkSession)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    """The rows, written as Parquet under the checkpoint folder and read again; so lineage ends here. ``forget`` deletes what is no longer read."""
+    path = f"{checkpoint_folder(docs.sparkSession)}/pipeline-{uuid.uuid4().hex}"
     docs.write.parquet(path)
-    return spark.read.schema(docs.schema).parquet(path)
+    return docs.sparkSession.read.schema(docs.schema).parquet(path)
+
+
+def forget(docs: DataFrame) -> None:
+    """Delete the files of a table that ``written`` made."""
+    for path in {f.rsplit("/", 1)[0] for f in docs.inputFiles()}:
+        if "/pipeline-" in path:
+            remove(docs.sparkSession, path)
 
 
 def keep_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -61,10 +67,8 @@ def keep_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one_of_near(docs: DataFrame, words: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of every group of near duplicates the row of the least id; of rows that share an id and a group, all. Rows without words stay. A null id is the least."""
-    found = shingle_components(docs, words, num, den, id_col, text_col)
-    heads = found.filter(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_head")).distinct()
-    return docs.join(heads, F.col(id_col).eqNullSafe(F.col("_head")), "left_semi")
+    """Of every group of near duplicates the row of the least id; repeated rows are near duplicates too, and rows of one id with different texts are judged apart. Rows without words stay. A null id is the least."""
+    return one_of_each(docs, words, num, den, id_col, text_col)
 
 
 def drop_repeats(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
@@ -73,4 +77,5 @@ def drop_repeats(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: s
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 1024) -> DataFrame:
+    """Pieces of the documents in sequences of ``capacity`` tokens; see ``pack_documents`` for nulls, repeated rows and empty tables."""
     return pack_documents(docs, path, capacity)
