@@ -51,10 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``. What stands between two of them is written to the shared checkpoint folder and read again."""
+    """All stages over ``documents``. What a stage gives is written to the shared checkpoint folder and read by the next one, then deleted; the result's table stays, as it is read when the caller reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stages.written(docs)
+        before, docs = docs, stages.written(stage(spark, docs, sf_dir))
+        if k:
+            stages.forget(before)
     return docs
