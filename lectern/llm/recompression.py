@@ -14,9 +14,10 @@ round), so all partitions name alike, in every round, without asking each other.
 Whether a symbol arises depends on its own words and on the neighbours that end
 its runs. These words are its *context*, kept beside it. So a symbol whose
 context lies within a window arises in every copy of the window, at the same
-place. Rounds go on until no symbol's context fits a window. The highest-level
-symbol whose context fits with the least name, leftmost of equals, is the
-window's anchor; single words, which need no context, are always there. An
+place. Rounds go on until no symbol has a context of a third of a window at most;
+longer ones lie in few windows and would cut the text into many short segments.
+The highest-level symbol with the least name, leftmost of equals, is the window's
+anchor; single words, which need no context, are always there. An
 anchor's key holds the words of its context too, as the window fixes them as
 well, and few texts share that much by chance. Symbols that occur again reveal
 repeats: the windows around them meet and are compared by their words, so two
@@ -80,15 +81,15 @@ def recompress(s: Symbols, turn: int) -> Symbols:
     return Symbols(name, s.start[i], s.end[j], np.minimum(outer_left, own_left), np.maximum(outer_right, own_right), s.linked[j])
 
 
-def anchors(names: np.ndarray, bounds: np.ndarray, size: int, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(key, word) of the anchor of the window that starts at each word; a window that leaves its document gets something that means nothing. Rounds go on as long as they give anchors, or ``rounds`` times."""
-    n = len(names)
+def anchors(names: np.ndarray, bounds: np.ndarray, size: int, rounds: int | None = None, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(key, word) of the anchor of the window that starts at each word; a window that leaves its document gets something that means nothing. Rounds go on as long as they give symbols with a context of ``most`` words (a third of ``size`` by default), or ``rounds`` times."""
+    n, most = len(names), most or max(1, size // 3)
     best = np.full(n, 2**64 - 1, dtype=U64)  # 63 - level, 26 bits of the name's rank, word
     level_names = []
     s, level = words_as_symbols(names, bounds), 0
     while True:
         room = size - (s.right - s.left)
-        fits = np.flatnonzero(room >= 0)
+        fits = np.flatnonzero(room >= size - most)
         if not len(fits):
             break
         rank = mix(s.name + U64(level))
