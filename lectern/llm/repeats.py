@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import CHUNK, NULL_ID, U64, as_long, mix, ragged, same_bytes, text_arrays, text_chunks, word_hashes
-from .session import ready, width
+from .session import ready, width, written
 
 SEGMENT = "key long, doc long, twin long, place long"
 #: part: 0 for strings of segments, else a hash of the single window of a hot key
@@ -49,6 +49,8 @@ AGAIN = "doc long, twin long, place long"
 HOT = 1 << 13
 #: Bytes of strings that an operator gets at once; those of one key always come together.
 COLLECTION = 1 << 20
+#: 48 bits of a key are enough to let most segments meet none by chance, and take less room.
+KEY_BITS = U64(2**48 - 1)
 #: Windows are packed in places by 14 bits.
 MOST = (1 << 14) - 1
 
@@ -100,7 +102,7 @@ def segment_rows(segments: Callable[[np.ndarray, np.ndarray], Rows | None]):
             later, f = later[again[later]], f[again[later]]
             again[later] = same_bytes(data, at[f], at[later], sizes[later])
             same = again & (doc == doc[first]) & (twins_ == twins_[first]) & (place == place[first])  # the same row twice
-            key = np.where(again, mix(doc.astype(U64) ^ twins_.astype(U64) ^ place.astype(U64)), key)
+            key = np.where(again, mix(doc.astype(U64) ^ twins_.astype(U64) ^ place.astype(U64)), key) & KEY_BITS
             place = np.where(again, -place - 1, place)
             keep = ~same
             yield pa.RecordBatch.from_arrays([as_long(key[keep]), pa.array(doc[keep]), pa.array(twins_[keep]), pa.array(place[keep])], ["key", "doc", "twin", "place"])
@@ -226,7 +228,7 @@ def repeated_units(
     texts = docs.select(*row_key, F.col(text_col).alias("text"))
     rows = texts.mapInArrow(segment_rows(segments), SEGMENT).repartition(2 * n, "key")
     rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1 or place < 0")
-    found = rows.select("doc", "twin", "key", "place", (F.col("n") > hot).alias("hot")).checkpoint()
+    found = written(rows.select("doc", "twin", "key", "place", (F.col("n") > hot).alias("hot")))
     body = F.struct(*[docs[c] for c in docs.columns]).alias("row") if carry else F.col(text_col).alias("text")
     by_id = docs.select(body, *row_key).repartition(n, *keys)
     name = "row" if carry else "text"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import language_id
+from . import language_id, session
 from .arrays import text_chunks
 from .packing import pack_documents
 from .quality import quality_verdicts
-from .session import checkpoint_folder, remove
+from .session import remove
 from .shingle_join import one_of_each
 from .suffix_dedup import without_repeats
 
@@ -23,10 +22,8 @@ LEAST_CERTAINTY = 0.3
 
 
 def written(docs: DataFrame) -> DataFrame:
-    """The rows, written as Parquet under the checkpoint folder and read again; so lineage ends here. ``forget`` deletes what is no longer read."""
-    path = f"{checkpoint_folder(docs.sparkSession)}/pipeline-{uuid.uuid4().hex}"
-    docs.write.parquet(path)
-    return docs.sparkSession.read.schema(docs.schema).parquet(path)
+    """The rows, in files of the shared folder. ``forget`` deletes what is no longer read."""
+    return session.written(docs, "pipeline")
 
 
 def forget(docs: DataFrame) -> None:

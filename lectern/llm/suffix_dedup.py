@@ -40,7 +40,7 @@ from .arrays import _BASE, _BASE_INV, NULL_ID, U64, byte_values, mix, powers, pr
 from .repeats import HOT, checked, covered, repeated_units, repeats, unpacked
 from .session import shared_folder
 
-GRAM = 32
+GRAM = 24
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
