@@ -1,7 +1,7 @@
 """Language identification: the family first, then one-versus-one linear machines within it.
 
-A text is the mean of hashed byte n-grams (1 to 3 bytes) of its lower-cased
-letters and spaces. One linear support vector machine per family (one against
+A text is the mean of hashed byte n-grams (1 to 3 bytes); A-Z are lower-cased,
+and every other ASCII character is a space. One linear support vector machine per family (one against
 the rest) picks the family; inside it, one machine for every pair of languages
 votes, and the most votes win. Machines have a squared hinge loss and are fitted
 by gradient descent with momentum on a bounded sample of labelled rows.
@@ -185,7 +185,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, sample_all: int = SAMPLE_ALL) -> Model | None:
-    """Fit on a sample of at most about ``sample`` rows of a language and ``sample_all`` in all, taken by a hash of the id among rows with a text and a language. Whole texts are read; the driver gets one vector of fixed length for each sampled row. None without any such row."""
+    """Fit on a sample of about ``sample`` rows of a language and ``sample_all`` in all, taken by a hash of id and text among rows with a text and a language; of more than a quarter above that some are left out. Whole texts are read; the driver gets one vector of fixed length for each sampled row. None without any such row."""
     ready(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample_all).collect()}
@@ -195,8 +195,8 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, each / n))).otherwise(share)
-    drawn = rows.filter(F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1_000_000)) < share * 1_000_000)
-    table = drawn.mapInArrow(_vectors, "lang string, x binary").toArrow()
+    drawn = rows.filter(F.pmod(F.xxhash64("id", "text", F.lit("language")), F.lit(2**53)) < share * 2**53)
+    table = drawn.mapInArrow(_vectors, "lang string, x binary").limit(sample_all + sample_all // 4).toArrow()
     if not table.num_rows:
         return None
     order = np.lexsort(([hash_of(v) for v in table["x"].to_pylist()], np.array(table["lang"].to_pylist(), dtype=str)))

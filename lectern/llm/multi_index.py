@@ -34,7 +34,9 @@ from .session import ready, width
 
 SAMPLE = 8192
 PROBES = 256
-TARGET = 0.975
+TARGET = 0.95
+#: Entries of a cell, on average, as long as a codebook has no more than a sixteenth of the sample.
+IN_CELL = 50
 BLOCK = 4096
 QUERIES = 256
 
@@ -120,6 +122,11 @@ def fit(sample: np.ndarray, k: int, neighbours: int, target: float = TARGET) ->
     return index
 
 
+def codewords(n: int, sample: int) -> int:
+    """Centroids of a codebook: they grow with the square root of the table, up to what the sample can tell apart."""
+    return int(np.clip(np.sqrt(n / IN_CELL), 4, max(4, sample // 16)))
+
+
 def lay_out(index: Index, block: int) -> int:
     """Assign cells to buckets of about ``block`` entries; the number of buckets."""
     index.bucket, index.salts = np.zeros(len(index.counts), np.int64), np.ones(len(index.counts), np.int64)
@@ -254,10 +261,10 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, n = sizes[0]
     rows = rows.filter(F.size("x") == dim)
-    drawn = rows.filter(F.pmod(F.xxhash64("id", F.lit("index")), F.lit(1_000_000)) < max(1, int(min(1.0, sample / n) * 1_000_000))).limit(2 * sample).select("id", "x").toArrow().sort_by("id")
+    drawn = rows.filter(F.pmod(F.xxhash64("id", F.lit("index")), F.lit(2**53)) < F.lit(int(min(1.0, sample / n) * 2**53))).limit(2 * sample).select("id", "x").toArrow().sort_by("id")
     if not drawn.num_rows:
         drawn = rows.limit(1).select("id", "x").toArrow()
-    index = fit(matrix(drawn["x"].combine_chunks(), dim), int(np.clip(np.sqrt(n / 50), 4, 64)), k, target)
+    index = fit(matrix(drawn["x"].combine_chunks(), dim), codewords(n, sample), k, target)
     entries = rows.mapInArrow(_assign(index, dim), "id long, cell int, x binary")
     index.counts = np.zeros(len(index.first) * len(index.second), dtype=np.int64)
     for cell, count in entries.groupBy("cell").count().collect():  # as many rows as cells

@@ -30,6 +30,8 @@ from .session import ready
 
 #: Labelled rows, at most about so many, that lexicon and score are fitted on.
 SAMPLE = 6000
+#: Distinct words of a sampled text that are learnt from, the most frequent ones (scores read whole texts).
+WORDS = 5000
 #: Entries of the lexicon, and the lengths of the beginnings of words that may be one.
 ENTRIES = 2000
 LENGTHS = range(3, 13)
@@ -139,9 +141,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts, chars = [], [], []
         for _, _, _, offs, data in text_chunks(batch, "id", "text"):
             for text, other in folded(offs, data):
-                c = Counter((other or text).split())
-                words.append(list(c))
-                counts.append(list(c.values()))
+                c = Counter((other or text).split()).most_common(WORDS)
+                words.append([w for w, _ in c])
+                counts.append([n for _, n in c])
                 chars.append(len(text) - 2)
         yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(words, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32())), pa.array(chars, pa.int64())], ["toxic", "words", "counts", "chars"])
 
@@ -213,13 +215,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarra
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Lexicon:
-    """Fit on about ``sample`` labelled rows, taken by a hash of the id. Only their ids and labels, which that bounds, are broadcast; the driver gets the distinct words of each."""
+    """Fit on about ``sample`` labelled rows, taken by a hash of the id, and on twice as many at most. Only their ids and labels, which that bounds, are broadcast; the driver gets up to ``WORDS`` distinct words of each."""
     ready(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).filter("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, sample / max(1, known.count()))
-    drawn = known.filter(F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * sample)
+    drawn = known.filter(F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(2**53)) < F.lit(int(share * 2**53))).limit(2 * sample)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    table = rows.join(F.broadcast(drawn), "id").mapInArrow(_counted, "toxic int, words array<string>, counts array<int>, chars long").toArrow()
+    table = rows.join(F.broadcast(drawn), "id").mapInArrow(_counted, "toxic int, words array<string>, counts array<int>, chars long").limit(2 * sample).toArrow()
     return learn(list(zip(*(table[c].to_pylist() for c in ("toxic", "words", "counts", "chars")), strict=True)))
 
 

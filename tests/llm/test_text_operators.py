@@ -12,6 +12,8 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lectern.llm import language_id
+from lectern.llm import toxicity as toxicity_module
 from lectern.llm.arrays import text_chunks
 from lectern.llm.byte_bpe import bpe_decode, bpe_digests, bpe_encode, codec
 from lectern.llm.language_id import languages
@@ -122,11 +124,24 @@ def test_url_verdicts(spark):
         ("http://a.com/en/", "block", "com/en/"),
     ]
     df = spark.createDataFrame([(i, u[0], "h", "v") for i, u in enumerate(urls)], "page_id long, url string, host string, verdict string")
-    got = {r.page_id: (r.verdict, r.rule) for r in url_verdicts(df, rule_table(spark, RULES), salts=3).collect()}
-    assert got == {i: (v, r) for i, (_, v, r) in enumerate(urls)}
+    for rows in (1, 10**6):  # groups in several salts, and in one
+        got = {r.page_id: (r.verdict, r.rule) for r in url_verdicts(df, rule_table(spark, RULES), salt_rows=rows).collect()}
+        assert got == {i: (v, r) for i, (_, v, r) in enumerate(urls)}
     assert url_verdicts(df.limit(0), rule_table(spark, RULES)).count() == 0
 
 
+def test_nested_url_rules(spark):
+    """Against a plain scan over all rules, with rules of one to four labels, paths, and rules without a host."""
+    rng = np.random.default_rng(2)
+    names = ["a", "b", "a.b", "b.a", "c.a.b", "a.a.b", "d.c.a.b", "x.c.a.b", "ab"]
+    rules = [(str(rng.choice(["allow", "block"])), str(h), str(p)) for h in names for p in rng.choice(["/", "/x", "/x/y", ""], 2, replace=False)] + [("block", "", "/"), ("block", None, "/")]
+    urls = [f"s://{h}{p}" for h in [*names, "z.d.c.a.b", "q", "y.ab", "ca.b"] for p in ("", "/", "/x", "/x/y/z", "/y")]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for r in url_verdicts(df, rule_table(spark, rules), salt_rows=3).collect():
+        fit = [(len(h) + len(p), h, p, v) for v, h, p in rules if h and (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        assert (r.rule, r.verdict) == ((max(fit)[1] + max(fit)[2], max(fit)[3]) if fit else (None, "allow")), urls[r.page_id]
+
+
 def test_url_parts(spark):
     df = spark.createDataFrame([(1, "HTTP://User@Ho.ST:80/A/b?c#d"), (2, "a://b#c/d")], "page_id long, url string")
     assert [(r.host, r.path) for r in url_verdicts(df, rule_table(spark, RULES)).orderBy("page_id").collect()] == [("user@ho.st:80", "/A/b"), ("b", "")]
@@ -180,3 +195,74 @@ def test_chunks_cover_all_rows(limit):
     batch = pa.RecordBatch.from_arrays([pa.array([1, None, 3, 4]), pa.array(["ab", None, "", "défg"])], ["doc_id", "text"])
     got = [(int(i), data[offs[k] : offs[k + 1]].tobytes().decode()) for _, _, ids, offs, data in text_chunks(batch, limit=limit) for k, i in enumerate(ids)]
     assert [t for _, t in got] == ["ab", "", "", "défg"] and got[1][0] < 0
+
+
+def test_language_decisions_against_a_plain_reading(spark):
+    """The scores of texts from n-gram counts, one by one, and the family and votes from plain loops."""
+    rng = np.random.default_rng(4)
+    langs = ["en", "de", "nl", "fr", "es"]
+    words = {lang: ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 7))) for _ in range(25)] for lang in langs}
+    texts = [" ".join(rng.choice(words[langs[i % 5]], 25)) for i in range(100)]
+    raw = [t.encode() for t in texts]
+    model = language_id.fit(language_id.features(np.cumsum([0, *map(len, raw)]), np.frombuffer(b"".join(raw), np.uint8)), [langs[i % 5] for i in range(100)])
+    tried = [*texts[:10], "Ä", "", "ab", "The Quick éß 12 brown"]
+    raw = [t.encode() for t in tried]
+    got, _ = language_id.decide(model, language_id.scores(model, np.cumsum([0, *map(len, raw)]), np.frombuffer(b"".join(raw), np.uint8)))
+
+    def plain(text):
+        x = [c if c >= 128 or 97 <= c <= 122 else (c + 32 if 65 <= c <= 90 else 32) for c in text.encode()]
+        out = dict.fromkeys(model.names, 0.0)
+        for k in range(3):
+            grams = [x[i : i + k + 1] for i in range(len(x) - k)]
+            for j, name in enumerate(model.names):
+                total = 0.0
+                for g in grams:
+                    code = g[0] + (g[1] * 257 + 7919 if k > 0 else 0) + (g[2] * 66049 + 104729 if k > 1 else 0)
+                    total += model.weights[j, (k << language_id.BITS) + ((code * 2654435761 % 2**32) >> (32 - language_id.BITS))]
+                out[name] += total / len(grams) if grams else 0.0
+        for j, name in enumerate(model.names):
+            out[name] += model.bias[j]
+        family = max(model.families, key=lambda f: out["family", f])
+        votes = dict.fromkeys(model.members[family], 0)
+        margin = dict.fromkeys(model.members[family], 0.0)
+        for name in model.names:
+            if name[:2] == ("pair", family):
+                a, b, v = name[2], name[3], out[name]
+                votes[a if v > 0 else b] += 1
+                margin[a] += v
+                margin[b] -= v
+        return max(model.members[family], key=lambda m: (votes[m], margin[m]))
+
+    assert got == [plain(t) for t in tried]
+
+
+def test_toxicity_against_a_plain_matcher():
+    """Folding, words, entries and exceptions by plain loops over characters."""
+    lexicon = toxicity_module.Lexicon({"moron": 3.0, "idio": 2.0, "scum": 1.5, "trash": 1.0}, ["pond scum", "trash can", "idiom"], np.zeros(3))
+    automaton = lexicon.automaton()
+    looks = toxicity_module.LOOKALIKES
+
+    def fold(text):
+        return "".join(looks.get(c.lower(), c.lower()) if c.isalpha() else " " for c in text)
+
+    def weigh(text):
+        words = text.split()
+        joined = " " + " ".join(words) + " "
+        total = 0.0
+        at = 0
+        for w in words:
+            start = joined.index(f" {w} ", at)
+            at = start + 1
+            silent = any(s <= start < s + len(p) + 1 for p in lexicon.exceptions for s in [m.start() for m in re.finditer(f"(?= {p} )", joined)])
+            total += 0.0 if silent else max((v for k, v in lexicon.weights.items() if w.startswith(k)), default=0.0)
+        return total
+
+    for text in ["You MORON", "pond scum and scum", "an idiom, an idiot", "the trash can; trash", "сосумorоn scum", "", "mоrоn mоron scumbag"]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        plain, other = next(toxicity_module.folded(np.array([0, len(data)]), data))
+        assert other is None and plain == f" {fold(text)} "
+        assert toxicity_module.matched_weight(automaton, re.sub(" +", " ", plain)) == weigh(fold(text)), text
+    for text, read in [("m0r0n", "moron"), ("1d10t x", "idiot x"), ("12 34", None), ("a1", "ai")]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        _, other = next(toxicity_module.folded(np.array([0, len(data)]), data))
+        assert (other.strip() if other else None) == read
