@@ -75,12 +75,27 @@ def tokens(text: Column, least: int = 3, stop: tuple[str, ...] = STOP_WORDS) ->
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= least) & ~w.isin(*stop)))
 
 
-def explode_matches(df: DataFrame, text_col: str, regex: Column | str, keep: tuple[str, ...]) -> DataFrame:
-    """A row for every match: ``keep`` columns, ``match_idx`` (0-based), ``match``, ``match_at`` (0-based place). Marks are put around matches and the text is split at them, so no Python is needed."""
+def marked_matches(text: Column, regex: Column | str) -> Column:
+    """An array of (match_idx, match, match_at) of all matches, in order; empty without any. Marks are put around matches and the text is split at them; one pass over the parts carries the place along, so the work is linear in the text."""
     regex = F.lit(regex) if isinstance(regex, str) else regex
-    clean = F.translate(F.col(text_col), OPEN + CLOSE, "  ")
-    parts = F.split(F.regexp_replace(clean, regex, F.lit(f"{OPEN}$0{CLOSE}")), OPEN)
+    parts = F.split(F.regexp_replace(F.translate(text, OPEN + CLOSE, "  "), regex, F.lit(f"{OPEN}$0{CLOSE}")), OPEN)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<match:string,match_at:int>>").alias("found"))
+
+    def step(s: Column, part: Column) -> Column:
+        match = F.substring_index(part, CLOSE, 1)
+        hit = F.struct(match.alias("match"), s["at"].alias("match_at"))
+        return F.struct((s["at"] + F.length(part) - 1).alias("at"), F.array_append(s["found"], hit).alias("found"))
+
+    def first(s: Column, part: Column) -> Column:
+        return F.struct(F.length(part).alias("at"), s["found"])
+
+    # the part before the first mark holds no match
+    begun = F.aggregate(F.slice(parts, 1, 1), start, first)
+    found = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), begun, step, lambda s: s["found"])
+    return F.transform(found, lambda x, i: F.struct(i.alias("match_idx"), x["match"].alias("match"), x["match_at"].alias("match_at")))
+
+
+def explode_matches(df: DataFrame, text_col: str, regex: Column | str, keep: tuple[str, ...]) -> DataFrame:
+    """A row for every match: ``keep`` columns, ``match_idx`` (0-based), ``match``, ``match_at`` (0-based place), without Python."""
     rows = df.filter(F.col(text_col).rlike(regex) if isinstance(regex, str) else F.regexp_like(F.col(text_col), regex))
-    rows = rows.select(*keep, parts.alias("_parts")).select(*keep, "_parts", F.posexplode("_parts").alias("_i", "_part")).filter("_i > 0")
-    ahead = F.translate(F.array_join(F.slice("_parts", 1, F.col("_i")), ""), CLOSE, "")
-    return rows.select(*keep, (F.col("_i") - 1).alias("match_idx"), F.substring_index("_part", CLOSE, 1).alias("match"), F.length(ahead).alias("match_at"))
+    return rows.select(*keep, F.inline(marked_matches(F.col(text_col), regex)))

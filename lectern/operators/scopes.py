@@ -36,7 +36,7 @@ def is_contents(text: Column) -> Column:
 
 
 def is_formula_like(text: Column) -> Column:
-    return (count(text, r"[←→∈∪{}=τ]") >= 4) | text.rlike(pattern(r"(?iu)(?:^|\n)\s*Алгоритм\s*:"))
+    return (count(text, r"[←→∈∪{}=τ퐴-힣]") >= 4) | text.rlike(pattern(r"(?iu)(?:^|\n)\s*Алгоритм\s*:"))
 
 
 def is_table(text: Column) -> Column:
@@ -86,12 +86,12 @@ def narrative(b: DataFrame, sections: DataFrame | None = None, bibliography: Dat
     return rows.drop("first", "past")
 
 
-def scoped(b: DataFrame, fields: DataFrame, title: DataFrame | None = None, sections: DataFrame | None = None, by: str = "doc_id") -> DataFrame:
-    """(scope, by, block_pos, block_id, page, type, text): the blocks of every scope, a block once for each scope that it is of."""
+def scoped(b: DataFrame, fields: DataFrame, title: DataFrame | None = None, running: DataFrame | None = None, by: str = "doc_id") -> DataFrame:
+    """(scope, by, block_pos, block_id, page, type, text): the blocks of every scope, a block once for each scope that it is of. ``running`` is the narrative, if it is at hand."""
     bib = fields.filter("field = 'bibliography'")
     cols = [by, "block_pos", "block_id", "page", "type", "text"]
     parts = {
-        "all": narrative(b, sections, bib, by=by),
+        "all": narrative(b, None, bib, by=by) if running is None else running,
         "headings": b.filter((F.col("type") == "heading") | is_caption(F.col("text"), F.col("type"))),
         "goal": b.join(fields.filter("field = 'goal'").select(by, "block_pos"), [by, "block_pos"], "left_semi"),
         "bibliography": b.join(bib.select(by, "block_pos"), [by, "block_pos"], "left_semi"),

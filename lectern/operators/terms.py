@@ -169,40 +169,62 @@ def initials_order(e: DataFrame) -> DataFrame:
 
 # Titles and numbered items
 
+#: Patterns of titles and words that count as known (fixed values).
+TITLE_HINT = r"(?iu)(?:^|[^\p{L}])(?:модел(?:ь|и|ей)|алгоритм(?:ы|ов)?|метод(?:ы|ов)?|систем(?:а|ы)|технолог(?:ия|ии)|анализ|синтез|управлен(?:ие|ия)|генераци(?:я|и)|сегментаци(?:я|и)|разработк(?:а|и))(?!\p{L})"
+TITLE_EXCLUDED = r"(?iu)(?:министерств|университет|институт|факультет|кафедр|на\s+правах\s+рукописи|диссертац(?:ия|ии)|на\s+соискание|научн(?:ый|ая)\s+руководител|специальност|санкт-петербург|москва|\b20\d{2}\b)"
+COMMON = ("и", "в", "на", "с", "по", "для", "из", "к", "о", "об", "от", "до", "при", "без", "под", "над", "между", "основе")
 
-def title_windows(b: DataFrame, most: int = 3) -> DataFrame:
-    """(doc_id, block_pos, line_idx, n_lines, text): every run of 1 to ``most`` lines of a block."""
-    lines = b.select("doc_id", "block_pos", F.filter(F.transform(F.split("text", r"\n+"), lambda x: collapse(F.translate(x, "­", ""))), lambda x: x != "").alias("_l"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.filter(F.transform("_l", lambda _, i: F.struct(i.alias("line_idx"), n.alias("n_lines"), F.when(i + n <= F.size("_l"), F.array_join(F.slice("_l", i + 1, n), " ")).alias("text"))), lambda x: x["text"].isNotNull())))
-    return lines.select("doc_id", "block_pos", F.explode(runs).alias("w")).select("doc_id", "block_pos", "w.*")
 
+def title_windows(b: DataFrame, most: int = 3, restore=None, plain: bool = False) -> DataFrame:
+    """(doc_id, block_pos, line_idx, n_lines, text): every run of 1 to ``most`` lines of a block, and the whole block (line_idx -1). A line without a Cyrillic letter or with a Latin one is in no run, and a whole block with a Latin one is none, unless the lines are taken as they are (``plain``). ``restore`` cuts joined words of lines."""
+    cleaned = lambda x: collapse(F.translate(x, "­", ""))
+    whole = cleaned(F.regexp_replace("text", r"\n+", " "))
+    lines = b.select("doc_id", "block_pos", whole.alias("_w"), F.posexplode(F.split("text", r"\n+")).alias("_i", "_t")).withColumn("_t", cleaned(F.col("_t")))
+    if restore is not None:
+        lines = lines.withColumn("_t", restore(F.col("_t"))).withColumn("_w", restore(F.col("_w")))
+    lines = lines.filter("_t <> ''").groupBy("doc_id", "block_pos", "_w").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_t"))), lambda x: x["_t"]).alias("_l"))
+    good = lambda x: F.lit(True) if plain else x.rlike("[А-ЯЁа-яё]") & ~x.rlike("[A-Za-z]")
 
-def title_score(text: Column, hint: str | None = None, excluded: str | None = None, leading: str = r"(?iu)^(?:модел|алгоритм|метод|систем|технолог|анализ|синтез|управлен|генераци|сегментаци|разработк)") -> Column:
+    def run_of(n: Column) -> Column:
+        made = F.transform("_l", lambda _, i: F.struct(i.alias("line_idx"), n.alias("n_lines"), F.when((i + n <= F.size("_l")) & F.forall(F.slice("_l", i + 1, n), good), F.array_join(F.slice("_l", i + 1, n), " ")).alias("text")))
+        return F.filter(made, lambda x: x["text"].isNotNull())
+
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), run_of))
+    block = F.array(F.struct(F.lit(-1).alias("line_idx"), F.size("_l").alias("n_lines"), F.when(F.lit(plain) | ~F.col("_w").rlike("[A-Za-z]"), F.col("_w")).alias("text")))
+    return lines.select("doc_id", "block_pos", F.explode(F.concat(runs, F.filter(block, lambda x: x["text"].isNotNull()))).alias("w")).select("doc_id", "block_pos", "w.*")
+
+
+def title_score(text: Column, hint: str | None = TITLE_HINT, excluded: str | None = TITLE_EXCLUDED, leading: str = r"(?iu)^(?:модел|алгоритм|метод|систем|технолог|анализ|синтез|управлен|генераци|сегментаци|разработк)") -> Column:
     """-1 for what can't be a title; else by length, words, a leading noun, and a final period."""
     t = F.trim(F.regexp_replace(text, '^[«"]|[»"]\\z', ""))
     n = F.size(F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*"), F.lit(0)))
     bad = ~F.length(t).between(25, 240) | ~n.between(4, 24)
     if hint:
-        bad = bad | ~t.rlike(hint)
+        bad = bad | ~t.rlike(pattern(hint))
     if excluded:
-        bad = bad | t.rlike(excluded)
+        bad = bad | t.rlike(pattern(excluded))
     phrase = r"(?iu)(?:^|[^\p{L}])(?:больших\s+языковых\s+моделей|искусственного\s+интеллекта|машинного\s+обучения)(?!\p{L})"
     score = F.least(F.length(t), F.lit(150)) + n * 4 + F.when(t.rlike(leading), 55).otherwise(0) + F.when(t.rlike(phrase), 15).otherwise(0) - F.when(t.endswith("."), 20).otherwise(0)
     return F.when(bad, -1).otherwise(score)
 
 
-def best_titles(b: DataFrame, **patterns) -> DataFrame:
-    """(doc_id, block_pos, text, score): the window of the greatest score, then length, then place."""
-    rows = title_windows(b).withColumn("score", title_score(F.col("text"), **patterns)).filter("score >= 0")
+def best_titles(b: DataFrame, counts: dict[str, int] | None = None, plain: bool = False, **patterns) -> DataFrame:
+    """(doc_id, block_pos, text, score): the window of the greatest score, then length, then place. With ``counts`` (a lexicon) joined words are cut before they are scored."""
+    restore = None if counts is None else (lambda t: restored(t, counts))
+    rows = title_windows(b, restore=restore, plain=plain).withColumn("score", title_score(F.col("text"), **patterns)).filter("score >= 0")
     w = Window.partitionBy("doc_id").orderBy(F.desc("score"), F.desc(F.length("text")), "block_pos", "line_idx", "n_lines")
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("doc_id", "block_pos", "text", "score")
 
 
-def lexicon(b: DataFrame, word: str = "[А-ЯЁа-яё]{2,30}", common: tuple[str, ...] = ()) -> DataFrame:
-    """(word, n): words of all blocks, hyphenated line ends joined; common words count 20 at least."""
+def lexicon(b: DataFrame, word: str = "[А-ЯЁа-яё]{2,30}", common: tuple[str, ...] = COMMON) -> DataFrame:
+    """(word, n): words of all blocks, hyphenated line ends joined; each common word counts 20 at least, even where it is absent."""
     joined = F.regexp_replace("text", "([А-ЯЁа-яё])\\x{00AD}?\\s*\\n\\s*([А-ЯЁа-яё])", "$1$2")
-    counts = b.select(F.explode(F.regexp_extract_all(joined, F.lit(word), F.lit(0))).alias("w")).groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("n"))
-    return counts.withColumn("n", F.when(F.col("word").isin(*common), F.greatest(F.lit(20), F.col("n"))).otherwise(F.col("n"))) if common else counts
+    words = b.select(F.explode(F.regexp_extract_all(joined, F.lit(word), F.lit(0))).alias("w")).select(F.lower("w").alias("word"), F.lit(1).alias("n"))
+    counts = words.groupBy("word").agg(F.sum("n").alias("n"))
+    if not common:
+        return counts
+    floor = b.sparkSession.createDataFrame([(w,) for w in common], "word string").select("word", F.lit(20).cast("long").alias("n"))
+    return counts.unionByName(floor).groupBy("word").agg(F.max("n").alias("n"))
 
 
 def segment(token: str, counts: dict[str, int], common: frozenset[str] = frozenset()) -> str | None:
@@ -225,8 +247,8 @@ def segment(token: str, counts: dict[str, int], common: frozenset[str] = frozens
     return joined[0].upper() + joined[1:] if token[0].isupper() else joined
 
 
-def restored(text: Column, counts: dict[str, int], common: tuple[str, ...] = ()) -> Column:
-    """Texts with long joined words cut again. Dynamic programming has no built-in form, so Arrow batches go to Python; ``counts`` is a lexicon of bounded size."""
+def restored(text: Column, counts: dict[str, int], common: tuple[str, ...] = COMMON) -> Column:
+    """Texts with long joined words cut again; only whole tokens between spaces are. Dynamic programming has no built-in form, so Arrow batches go to Python; ``counts`` is a lexicon of bounded size."""
     import re
 
     import pandas as pd
@@ -235,7 +257,7 @@ def restored(text: Column, counts: dict[str, int], common: tuple[str, ...] = ())
 
     @F.pandas_udf("string")
     def cut(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else re.sub("[А-ЯЁа-яё]{12,}", lambda m: segment(m[0], counts, known) or m[0], t))
+        return s.map(lambda t: None if t is None else re.sub(r"(?<!\S)[А-ЯЁа-яё]{12,}(?!\S)", lambda m: segment(m[0], counts, known) or m[0], t))
 
     return cut(text)
 
@@ -250,13 +272,13 @@ def numbered_items(b: DataFrame) -> DataFrame:
     ahead = F.array_join(F.slice("_p", 1, F.col("_i")), "")
     marks = F.regexp_extract_all(ahead, F.lit("\x02(\\d+)\x03"), F.lit(1))
     clean = collapse(F.regexp_replace("_t", "\x02\\d+\x03", " "))
-    rows = rows.select("doc_id", clean.alias("_t"), F.get(marks, F.size(marks) - 1).cast("int").alias("block_pos")).filter(F.col("_t").rlike(r"^\d{1,3}\. "))
+    rows = rows.select("doc_id", clean.alias("_t"), F.get(marks, F.size(marks) - 1).cast("int").alias("block_pos")).filter(F.col("_t").rlike(r"^\d{1,3}\. \p{Lu}"))
     return rows.select("doc_id", F.regexp_extract("_t", r"^(\d{1,3})", 1).cast("int").alias("number"), F.regexp_replace("_t", r"^\d{1,3}\.\s+", "").alias("text"), "block_pos")
 
 
 def item_quality(text: Column) -> Column:
-    words = F.size(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    return words * 4 + F.least(F.length(text), F.lit(1200)) / 20 - F.regexp_count(text, F.lit(r"\p{L}{18,}")) * 12
+    words = F.regexp_count(text, F.lit("[А-ЯЁа-яёA-Za-z]{2,}"))
+    return words * 4 + F.least(F.length(text), F.lit(1200)) / 20 - F.regexp_count(text, F.lit("(?iu)[а-яё]{18,}")) * 12
 
 
 def unique_items(items: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from lectern.operators import terms as T
 from lectern.plans import jobs as J
 from lectern.plans import results as R
 from lectern.plans import routing as P
+from lectern.plans import theses
 from lectern.sources.files import spread, user_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,7 +147,7 @@ scored AS (
 kept AS (SELECT doc_id, block_pos, text, least(length(text), 150) + 4 * len(w) - CASE WHEN ends_with(text, '.') THEN 20 ELSE 0 END AS score FROM scored WHERE len(w) BETWEEN 4 AND 24)
 SELECT doc_id, block_pos, score::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, length(text) DESC, block_pos) AS r FROM kept) WHERE r = 1""")
 def title_candidate_argmax(spark, sf_dir):
-    rows = lines(spark, sf_dir).filter("block_pos < 30").withColumn("score", T.title_score(F.col("text"), leading="(?!)")).filter("score >= 0")
+    rows = lines(spark, sf_dir).filter("block_pos < 30").withColumn("score", T.title_score(F.col("text"), hint=None, excluded=None, leading="(?!)")).filter("score >= 0")
     w = Window.partitionBy("doc_id").orderBy(F.desc("score"), F.desc(F.length("text")), "block_pos")
     return rows.withColumn("r", F.row_number().over(w)).filter("r = 1").select("doc_id", "block_pos", F.col("score").cast("long").alias("score"))
 
@@ -570,3 +571,7 @@ FROM (SELECT event_id, [200, 400, 401, 402, 403, 404, 408, 409, 425, 429, 500, 5
 def retry_classes(spark, sf_dir):
     s = F.element_at(F.array(*[F.lit(x) for x in (200, 400, 401, 402, 403, 404, 408, 409, 425, 429, 500, 503)]), (F.col("event_id") % 12 + 1).cast("int"))
     return table(spark, sf_dir, "events").select("event_id", R.retry_class(s, F.lit("")).alias("class"), R.backoff_ms(F.col("event_id") % 4 + 1, F.lit(0)).alias("backoff_ms"))
+
+
+QUERIES |= theses.QUERIES
+ORACLES |= theses.ORACLES

@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import pattern
 
-#: Scope by what category and requirement say, in order (fixed values).
-SCOPES = [
+#: Rules on the title and on the goal, by their keys.
+TITLE_KEYS = ("core:6.1", "core:6.2", "core:6.3", "soft:49", "soft:50", "soft:51", "soft:52")
+GOAL_KEYS = ("core:6.4", "soft:53")
+#: Scope by what category and requirement say, or by key, in order (fixed values).
+SCOPES: list[tuple[str | tuple[str, ...], str | None, str]] = [
     (r"презентац|слайд", None, "presentation"),
     (r"доклад|вопрос|совет|защит[аеу]|одежд|паспорт|говорить|не читать", r"положени.*защит", "defense"),
     (r"процесс работы|вылежаться|руководител|word|pdf|llm|итерац", None, "process"),
+    (TITLE_KEYS, None, "title"),
+    (GOAL_KEYS, None, "goal"),
     (r"положени.*выносим", None, "defense_statements"),
     (r"список литератур|библиограф|источник", None, "bibliography"),
     (r"формул", None, "formula"),
@@ -21,8 +26,7 @@ SCOPES = [
 ]
 SCOPE_OF = {
     "core:1.6": "defense_statements", "core:2.1": "document", "core:5.1": "document", "core:5.2": "document", "core:7.3": "figure_table",
-    "core:8.3": "document", "core:14": "document", "core:15": "chapter", "core:16": "document", "core:6.1": "title", "core:6.2": "title",
-    "core:6.3": "title", "core:6.4": "goal", "soft:49": "title", "soft:50": "title", "soft:51": "title", "soft:52": "title", "soft:53": "goal",
+    "core:8.3": "document", "core:14": "document", "core:15": "chapter", "core:16": "document",
 }
 MODE_OF = {
     "core:1.6": "structural", "core:2.1": "semantic", "core:5.1": "manual", "core:5.2": "manual", "core:7.3": "manual", "core:8.2": "semantic",
@@ -31,7 +35,28 @@ MODE_OF = {
 STRUCTURAL = (
     "core:1.6", "core:4.1", "core:4.2", "core:4.3", "core:5.3", "core:5.4", "core:7.1", "core:7.2", "core:7.4", "core:7.5", "core:8.1", "core:8.3",
     "core:9.1", "core:9.4", "core:12", "core:13", "core:14", "core:15", "core:18", "core:19",
+    *(f"soft:{n}" for n in (
+        7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 18, 23, 25, 26, 49, 52, 54, 55, 56, 57, 62, 64, 65, 66, 67, 68, 69, 70, 71, 72, 73, 77, 78, 79, 95, 96, 97, 98, 100,
+        103, 105, 110, 120, 121, 123, 128, 129, 135, 139, 140, 141, 143, 152, 155, 160,
+    )),
 )
+#: The detector of each rule that has one (fixed values).
+DETECTOR_OF = {
+    "core:3.1": "personal-pronouns", "core:3.2": "small-numerals", "core:3.3": "numbered-list-capitalization", "core:3.4": "numbered-list-ending",
+    "core:3.5": "lexical-replacements", "core:3.6": "obvious-claims", "core:3.7": "praise-claims", "core:5.5": "dash-spacing", "core:5.6": "quote-consistency",
+    "core:5.7": "spacing", "core:6.1": "title-process", "core:6.2": "title-vague-efficiency", "core:6.3": "title-length", "core:9.2": "bibliography-junk",
+    "core:9.3": "bibliography-pages", "core:11.1": "yo-letter", "core:11.2": "forbidden-sentence-start", "core:11.3": "forbidden-abbreviations",
+    "core:11.4": "colon-a-imenno", "core:11.5": "to-est", "core:11.6": "diminutives", "core:17": "see-figure", "core:20": "first-new",
+    "soft:27": "personal-pronouns", "soft:28": "numbered-list-capitalization", "soft:29": "heading-final-period", "soft:30": "numbered-list-ending",
+    "soft:31": "bullet-list-ending", "soft:32": "dash-spacing", "soft:34": "quote-consistency", "soft:35": "small-numerals", "soft:37": "yo-letter",
+    "soft:38": "lexical-replacements", "soft:39": "praise-claims", "soft:40": "diminutives", "soft:42": "forbidden-sentence-start", "soft:44": "colon-and-to-est",
+    "soft:45": "above-written", "soft:46": "lexical-cliches", "soft:47": "jargon", "soft:48": "first-new", "soft:50": "title-process", "soft:51": "title-length",
+    "soft:53": "goal-infinitive", "soft:59": "python-capitalization", "soft:60": "initials-order", "soft:74": "decimal-comma", "soft:75": "thousands-spacing",
+    "soft:76": "percent-spacing", "soft:121": "specialty-dot", "soft:124": "method-tuning", "soft:125": "method-behavior", "soft:126": "performance-verb",
+    "soft:127": "model-shows", "soft:130": "tasks-solved", "soft:132": "analogovye", "soft:134": "roman-ending", "soft:137": "implemented-in-company",
+    "soft:138": "yo-letter", "soft:144": "formula-wording", "soft:145": "next-respectively", "soft:146": "receiver-successor", "soft:147": "colloquial-errors",
+    "soft:149": "present-work", "soft:152": "format-parent-word", "soft:155": "document-garbage", "soft:159": "transition-to-conclusions", "soft:161": "results-word",
+}
 SEVERITIES = [
     (r"положени.*защит|научн.*новизн|прототип|цель.*диссертац|диссертац.*научн", "critical"),
     (r"структур|глава|вывод|заключени|внедрен|названи|ссылка.*рис|список литератур", "major"),
@@ -65,7 +90,7 @@ def scope(category: Column, requirement: Column, key: Column) -> Column:
     text = F.lower(F.concat_ws(" ", category, requirement))
     out = F.lit("document")
     for regex, unless, name in reversed(SCOPES):
-        on = text.rlike(regex) & (~text.rlike(unless) if unless else F.lit(True))
+        on = key.isin(*regex) if isinstance(regex, tuple) else text.rlike(regex) & (~text.rlike(unless) if unless else F.lit(True))
         out = F.when(on, name).otherwise(out)
     return _case(SCOPE_OF, key, out)
 
@@ -85,9 +110,9 @@ def weight(severity_: Column) -> Column:
     return out
 
 
-def with_meta(rules: DataFrame, detectors: DataFrame) -> DataFrame:
-    """Rules with scope, detector, mode, severity and weight. ``detectors`` is a small table (key, detector_id)."""
-    rows = rules.join(F.broadcast(detectors), "key", "left")
+def with_meta(rules: DataFrame, detectors: dict[str, str] | None = None) -> DataFrame:
+    """Rules with scope, detector, mode, severity and weight; ``detectors`` maps keys to detectors."""
+    rows = rules.withColumn("detector_id", _case(DETECTOR_OF if detectors is None else detectors, F.col("key"), F.lit(None).cast("string")))
     rows = rows.withColumn("scope", scope(F.col("category"), F.col("requirement"), F.col("key")))
     mode = F.when(F.col("detector_id").isNotNull(), "deterministic").when(F.col("key").isin(*STRUCTURAL), "structural").when(F.col("scope").isin(*BY_HAND), "manual").otherwise("semantic")
     rows = rows.withColumn("mode", _case(MODE_OF, F.col("key"), mode)).withColumn("severity", severity(F.col("category"), F.col("requirement"), F.col("scope")))
