@@ -21,13 +21,16 @@ def quality_sql() -> str:
         quoted = pattern.replace("'", "''")
         lefts.append(f"regexp_replace({lefts[-1]}, '{quoted}', '', 'g')")
     named = ", ".join(f"length({x}) AS c{k}" for k, x in enumerate(lefts))
-    every = sorted({w for words in quality.COMMON_WORDS.values() for w in words})
-    listed = ", ".join(f"'{w}'" for w in every)
-    counts = ", ".join(f"len(list_filter(common, lambda w: w = '{w}')) AS w_{w}" for w in every)
+    by_word = {lang: quality.word_shares(lang) for lang in quality.COMMON_WORDS}
+    every = sorted({w for words in by_word.values() for w in words})
+    quoted_ = lambda w: w.replace("'", "''")
+    at = {w: k for k, w in enumerate(every)}
+    listed = ", ".join(f"'{quoted_(w)}'" for w in every)
+    counts = ", ".join(f"len(list_filter(common, lambda w: w = '{quoted_(w)}')) AS w_{k}" for w, k in at.items())
     each = []
-    for lang, own in quality.COMMON_WORDS.items():
+    for lang, own in by_word.items():
         of_class = _distance([f"((c{k} - c{k + 1}) / greatest(c0, 1)::DOUBLE)" if k < len(quality.CLASSES) else f"(c{k} / greatest(c0, 1)::DOUBLE)" for k in range(len(quality.CLASSES) + 1)], quality.CLASS_SHARES[lang])
-        shares = [f"(w_{w} / greatest(n_words, 1)::DOUBLE)" for w in own]
+        shares = [f"(w_{at[w]} / greatest(n_words, 1)::DOUBLE)" for w in own]
         rest = "greatest(1.0::DOUBLE - " + " - ".join(shares) + ", 0.0)"
         of_words = _distance([*shares, rest], (*own.values(), 1.0 - sum(own.values())))
         each.append(f"({of_class} + {of_words}) / 2")
