@@ -61,15 +61,16 @@ def packed_sentences(text: Column, long: int = LONG, most: int = PACKED) -> Colu
     return F.when(F.length(text) <= long, F.array(text)).otherwise(packed)
 
 
-def blocks(docs: DataFrame, separator: str = r"\n\s*\n", keep: tuple[str, ...] = ("doc_id",), page_col: str | None = None, text_col: str = "text") -> DataFrame:
+def blocks(docs: DataFrame, separator: str = r"\n\s*\n", keep: tuple[str, ...] = ("doc_id",), page_col: str | None = None, text_col: str = "text", long: int = LONG) -> DataFrame:
     """(keep.., page, block_pos, block_id, location, type, text): the paragraphs of each text, or of each page, in order.
 
     block_pos counts within a document from 0, over its pages; block ids start
     again on every page, after short blocks are dropped. Narrow but for the
     positions, which need a document's pages together only if there are pages.
+    Paragraphs above ``long`` characters are packed anew.
     """
     page = F.col(page_col).cast("int") if page_col else F.lit(None).cast("int")
-    pieces = F.flatten(F.transform(F.split(F.col(text_col), separator), lambda p: packed_sentences(F.trim(p))))
+    pieces = F.flatten(F.transform(F.split(F.col(text_col), separator), lambda p: packed_sentences(F.trim(p), long)))
     clean = F.filter(F.transform(pieces, lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " "))), lambda x: F.length(x) >= 2)
     rows = docs.select(*keep, page.alias("page"), F.posexplode(clean).alias("_n", "text"))
     rows = rows.withColumn("block_id", F.concat(F.when(F.col("page").isNull(), "doc").otherwise(F.concat(F.lit("p"), "page")), F.lit("-b"), F.col("_n") + 1))

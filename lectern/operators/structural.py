@@ -114,12 +114,13 @@ def citation_numbers(bracket: Column) -> Column:
     ranges = F.regexp_extract_all(t, F.lit(r"\d{1,3}\s*[–-]\s*\d{1,3}"), F.lit(0))
 
     def expand(r: Column) -> Column:
-        a, b = F.regexp_extract(r, r"^(\d{1,3})", 1).cast("int"), F.regexp_extract(r, r"(\d{1,3})\z", 1).cast("int")
+        ends = F.split(r, r"\s*[–-]\s*")
+        a, b = F.get(ends, F.lit(0)).cast("int"), F.get(ends, F.lit(1)).cast("int")
         return F.when((b >= a) & (b - a <= WIDEST), F.sequence(a, F.greatest(a, b))).otherwise(F.array().cast("array<int>"))
 
     rest = F.regexp_replace(t, r"\d{1,3}\s*[–-]\s*\d{1,3}", " ")
     single = F.transform(F.regexp_extract_all(rest, F.lit(r"\d{1,3}"), F.lit(0)), lambda x: x.cast("int"))
-    return F.array_sort(F.array_distinct(F.concat(F.flatten(F.transform(ranges, expand)), single)))
+    return F.sort_array(F.array_distinct(F.concat(F.flatten(F.transform(ranges, expand)), single)))
 
 
 def uncited_entries(b: DataFrame, bibliography: DataFrame) -> DataFrame:

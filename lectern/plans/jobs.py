@@ -23,9 +23,13 @@ def recovered(state: Column) -> tuple[Column, Column]:
     return F.when(early, "queued").when(late, "queued_check").otherwise(state), F.when(early, 0).when(late, 32)
 
 
-def next_job(jobs: DataFrame) -> DataFrame:
-    """The job that a drain takes next: newest batch first."""
-    return jobs.filter(F.col("status").isin("queued", "queued_check")).orderBy(F.desc("created_at"), "job_id").limit(1)
+def next_job(jobs: DataFrame, by: str | None = None) -> DataFrame:
+    """The job that a drain takes next, or that of each ``by``: newest batch first."""
+    waiting = jobs.filter(F.col("status").isin("queued", "queued_check"))
+    if by is None:
+        return waiting.orderBy(F.desc("created_at"), "job_id").limit(1)
+    order = Window.partitionBy(by).orderBy(F.desc("created_at"), "job_id")
+    return waiting.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
 def without(jobs: DataFrame, deleted: DataFrame) -> DataFrame:

@@ -64,15 +64,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
     """Lines as blocks. Long ones aren't packed anew, so that SQL can say the same."""
-    docs = table(spark, sf_dir, "documents")
-    parts = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(F.trim(x), r"[ \t]+", " "))), lambda x: F.length(x) >= 2)
-    return docs.select(*keep, F.posexplode(parts).alias("block_pos", "text")).withColumns({"block_id": F.concat(F.lit("doc-b"), F.col("block_pos") + 1), "page": F.lit(None).cast("int"), "type": B.classify(F.col("text"))})
+    return B.blocks(table(spark, sf_dir, "documents"), "\n", keep, long=2**31 - 1)
 
 
 def scoped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by scope; all of them are running text, as the corpus has no Cyrillic."""
     b = lines(spark, sf_dir)
-    scope = F.when(F.col("type") == "heading", F.array(F.lit("all"), F.lit("headings"))).otherwise(F.array(F.lit("all")))
-    return b.withColumn("scope", F.explode(scope))
+    none = spark.createDataFrame([], "doc_id long, field string, block_pos int")
+    return S.scoped(b, none, running=b).filter(F.col("scope").isin("all", "headings"))
 
 
 def query(sql: str | None = None):
@@ -101,9 +100,10 @@ def long_paragraph_pack(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(B.packed_sentences(F.col("text"))).alias("piece", "text")).select("doc_id", "piece", F.length("text").alias("n_chars"))
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(text, '[.!?]\s+[A-ZÀ-ÖØ-Þ0-9]'))::BIGINT AS n FROM documents")
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '[.!?]\s+[A-ZА-ЯЁ0-9]'))::BIGINT AS n FROM documents")
 def sentence_boundaries(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit(r"[.!?]\s+[A-ZÀ-ÖØ-Þ0-9]")).cast("long").alias("n"))
+    pieces = B.packed_sentences(F.col("text"), long=0, most=1)  # every sentence is a piece
+    return table(spark, sf_dir, "documents").select("doc_id", F.greatest(F.size(pieces) - 1, F.lit(0)).cast("long").alias("n"))
 
 
 @query(r"""
@@ -113,30 +113,29 @@ texts AS (SELECT page_id, n, trim(regexp_replace(regexp_replace(part, '^(?:p|li|
 SELECT page_id, 'p' || page_id || '-b' || row_number() OVER (PARTITION BY page_id ORDER BY n) AS block_id, length(text)::BIGINT AS n_chars FROM texts WHERE length(text) >= 2""")
 def page_block_ids(spark, sf_dir):
     parts = F.filter(F.split("html", "<"), lambda x: x.rlike("^(?:p|li|h1)>"))
-    texts = F.filter(F.transform(parts, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "^(?:p|li|h1)>", ""), r"[ \t\n]+", " "))), lambda x: F.length(x) >= 2)
-    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(texts).alias("n", "text"))
-    return rows.select("page_id", F.concat(F.lit("p"), "page_id", F.lit("-b"), F.col("n") + 1).alias("block_id"), F.length("text").cast("long").alias("n_chars"))
+    texts = F.transform(parts, lambda x: F.regexp_replace(F.regexp_replace(x, "^(?:p|li|h1)>", ""), r"[ \t\n]+", " "))
+    docs = table(spark, sf_dir, "pages").select("page_id", F.col("page_id").alias("page"), F.array_join(texts, "\n\n").alias("text"))
+    return B.blocks(docs, keep=("page_id",), page_col="page", long=2**31 - 1).select("page_id", "block_id", F.length("text").cast("long").alias("n_chars"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
 @query(rf"""
-SELECT doc_id, len(w)::BIGINT AS n_tokens, array_to_string(w, ' ') AS tokens FROM (
-  SELECT doc_id, list_filter(list_distinct_in_order, lambda x: length(x) >= 3 AND x NOT IN ({_STOP})) AS w FROM (
-    SELECT doc_id, list_transform(list_filter(list_zip(t, range(1, len(t) + 1)), lambda z: list_position(t, z[1]) = z[2]), lambda z: z[1]) AS list_distinct_in_order
-    FROM (SELECT doc_id, string_split(regexp_replace(replace(lower(text), 'ё', 'е'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' ') AS t FROM benchmark_docs)
-  )
-)""".replace("benchmark_docs", "(SELECT item_id AS doc_id, text FROM benchmark)"))
+WITH words AS (
+  SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS x
+  FROM (SELECT doc_id, string_split(regexp_replace(replace(lower(text), 'ё', 'е'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' ') AS w FROM documents)
+),
+firsts AS (SELECT doc_id, x, min(i) AS i FROM words WHERE length(x) >= 3 AND x NOT IN ({_STOP}) GROUP BY 1, 2)
+SELECT d.doc_id, count(f.x)::BIGINT AS n_tokens, md5(coalesce(string_agg(f.x, ' ' ORDER BY f.i), '')) AS tokens_md5 FROM documents d LEFT JOIN firsts f USING (doc_id) GROUP BY 1""")
 def token_stats(spark, sf_dir):
     w = tokens(F.col("text"))
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.size(w).cast("long").alias("n_tokens"), F.array_join(w, " ").alias("tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(w).cast("long").alias("n_tokens"), F.md5(F.array_join(w, " ")).alias("tokens_md5"))
 
 
 @query(r"SELECT word, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]{2,30}')) AS word FROM documents) GROUP BY 1 ORDER BY n DESC, word LIMIT 200")
 def lexicon_topk(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ]{2,30}"), F.lit(0))).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(200)
+    return T.lexicon(table(spark, sf_dir, "documents"), "(?iu)[a-zà-ÿ]{2,30}", ()).orderBy(F.desc("n"), "word").limit(200)
 
 
 @query(rf"""
@@ -174,20 +173,20 @@ def pattern_hits(spark, sf_dir):
 
 
 @query(rf"""
-WITH {SQL_BLOCKS}
-SELECT doc_id, block_pos, m AS match, pos::BIGINT AS match_at, trim(regexp_replace(substr(text, greatest(pos - 70, 0) + 1, pos + length(m) + 110 - greatest(pos - 70, 0)), '\s+', ' ', 'g')) AS quote
-FROM (SELECT doc_id, block_pos, text, regexp_extract(text, '\d+\.\d+') AS m, instr(text, regexp_extract(text, '\d+\.\d+')) - 1 AS pos FROM blocks WHERE regexp_matches(text, '\d+\.\d+'))""")
+WITH {SQL_BLOCKS},
+cut AS (SELECT doc_id, block_pos, text, regexp_extract_all(text, '\d+\.\d+') AS m, regexp_split_to_array(text, '\d+\.\d+') AS p FROM blocks WHERE regexp_matches(text, '\d+\.\d+')),
+each AS (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM cut),
+placed AS (SELECT doc_id, block_pos, text, m[k] AS match, k - 1 AS match_idx, list_sum(list_transform(p[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS pos FROM each)
+SELECT doc_id, block_pos, match_idx::BIGINT AS match_idx, match, pos::BIGINT AS match_at, trim(regexp_replace(substr(text, greatest(pos - 70, 0)::BIGINT + 1, (pos + length(match) + 110 - greatest(pos - 70, 0))::BIGINT), '\s+', ' ', 'g')) AS quote FROM placed""")
 def evidence_quotes(spark, sf_dir):
-    rows = D.hits(scoped_lines(spark, sf_dir), [("decimal-point", 0, r"\d+\.\d+", "all")]).filter("match_idx = 0")
-    return rows.select("doc_id", "block_pos", "match", F.col("match_at").cast("long").alias("match_at"), "quote")
+    rows = D.hits(scoped_lines(spark, sf_dir), [("decimal-point", 0, r"\d+\.\d+", "all")])
+    return rows.select("doc_id", "block_pos", F.col("match_idx").cast("long").alias("match_idx"), "match", F.col("match_at").cast("long").alias("match_at"), "quote")
 
 
 @query(_HITS + """, numbered AS (SELECT detector_id, doc_id, count(*) AS n FROM found GROUP BY 1, 2)
 SELECT detector_id, doc_id, least(n, 12)::BIGINT AS n_kept FROM numbered""")
 def evidence_topk(spark, sf_dir):
-    order = Window.partitionBy("detector_id", "doc_id").orderBy("spec_idx", "block_pos", "match_idx")
-    kept = found(spark, sf_dir).withColumn("hit_order", F.row_number().over(order)).filter(F.col("hit_order") <= D.CAP)
-    return kept.groupBy("detector_id", "doc_id").agg(F.count("*").alias("n_kept"))
+    return D.capped(found(spark, sf_dir)).groupBy("detector_id", "doc_id").agg(F.count("*").alias("n_kept"))
 
 
 @query(rf"WITH {SQL_BLOCKS} SELECT doc_id, count(*)::BIGINT AS n_blocks FROM blocks WHERE len(regexp_extract_all(text, '\p{{L}}')) > 0 AND len(regexp_extract_all(text, '[A-Za-z]')) >= 0.9 * len(regexp_extract_all(text, '\p{{L}}')) GROUP BY 1")
@@ -298,8 +297,9 @@ def citation_expand(spark, sf_dir):
 SELECT p_partkey, CASE WHEN p_size <= 10 THEN 'critical' WHEN p_size <= 30 THEN 'major' WHEN p_size <= 45 THEN 'minor' ELSE 'info' END AS severity,
   CASE WHEN p_size <= 10 THEN 5.0 WHEN p_size <= 30 THEN 3.0 WHEN p_size <= 45 THEN 1.0 ELSE 0.25 END::DOUBLE AS weight FROM part""")
 def rule_meta(spark, sf_dir):
-    sev = F.when(F.col("p_size") <= 10, "critical").when(F.col("p_size") <= 30, "major").when(F.col("p_size") <= 45, "minor").otherwise("info")
-    return table(spark, sf_dir, "part").select("p_partkey", sev.alias("severity")).withColumn("weight", P.weight(F.col("severity")))
+    said = F.when(F.col("p_size") <= 10, "научная новизна").when(F.col("p_size") <= 30, "структура").when(F.col("p_size") <= 45, "пробел").otherwise("слайд")
+    rules = table(spark, sf_dir, "part").select("p_partkey", F.lit("x:1").alias("key"), said.alias("category"), F.lit("").alias("requirement"))
+    return P.with_meta(rules).select("p_partkey", "severity", "weight")
 
 
 @query("""
@@ -560,9 +560,9 @@ def upload_dedupe(spark, sf_dir):
 @query("""
 SELECT user_id, next_id FROM (SELECT user_id, event_id AS next_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events WHERE event_type IN ('click', 'view')) WHERE r = 1""")
 def next_queued(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), "event_id")
-    rows = table(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "view")).withColumn("r", F.row_number().over(w))
-    return rows.filter("r = 1").select("user_id", F.col("event_id").alias("next_id"))
+    status = F.when(F.col("event_type").isin("click", "view"), "queued").otherwise("completed")
+    jobs = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("job_id"), F.col("ts").alias("created_at"), status.alias("status"))
+    return J.next_job(jobs, "user_id").select("user_id", F.col("job_id").alias("next_id"))
 
 
 @query("""

@@ -76,10 +76,14 @@ def joined_pages(pages: DataFrame, key: str = "path") -> DataFrame:
     return pages.groupBy(key).agg(F.array_join(F.transform(rows, lambda p: F.concat(F.lit("<<<PAGE "), p["page"].cast("string"), F.lit(">>>\n"), p["text"])), "\n\n").alias("text"))
 
 
+#: Bytes on disk up to which a table is dealt out anew.
+SMALL = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """The rows over at least as many partitions as the cluster runs at once. A table of fewer is small, as scans cut files at a fixed size, so dealing it out anew costs little."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
+    """A table of up to SMALL bytes on disk, by the file sizes that the plan knows, over all slots of the cluster; larger ones as they are, as scans cut their files. What this shuffles is bounded, whatever the cluster."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL else df
 
 
 _CSV = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
