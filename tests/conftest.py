@@ -1,4 +1,5 @@
 import os
+import tempfile
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -8,7 +9,7 @@ from pyspark.sql import SparkSession
 
 @pytest.fixture(scope="session")
 def spark():
-    conf = {"spark.master": "local[4]", "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC"}
+    conf = {"spark.master": "local[4]", "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tests-"), "spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
     s = SparkSession.builder.config(map=conf).getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     yield s
