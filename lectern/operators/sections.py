@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import compact, norm_text, pattern
+from lectern.functions.text import collapse, compact, norm_text, pattern
 
 #: Section types in order (fixed values).
 TYPES = ("title", "abstract", "introduction", "goal", "tasks", "defense_statements", "chapter", "chapter_conclusions", "conclusion", "bibliography", "appendices", "other")
@@ -109,14 +109,15 @@ def materialize(sections: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def map_issues(docs: DataFrame, sections: DataFrame) -> DataFrame:
-    """(doc_id, code, severity, section_id): expected types that are missing (an anti join), an empty map, ambiguous sections."""
+    """(doc_id, code, severity, section_id): expected types that are missing (an anti join), an empty map, sections whose blocks are gone (no start_pos or end_pos), ambiguous sections."""
     spark = docs.sparkSession
     expected = spark.createDataFrame(EXPECTED, "type string, code string, severity string")
     grid = docs.select("doc_id").crossJoin(F.broadcast(expected))  # six rows
     missing = grid.join(sections.select("doc_id", "type").distinct(), ["doc_id", "type"], "left_anti").select("doc_id", "code", "severity", F.lit(None).cast("string").alias("section_id"))
     empty = docs.select("doc_id").join(sections.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit("empty_structure").alias("code"), F.lit("warning").alias("severity"), F.lit(None).cast("string").alias("section_id"))
     unsure = sections.filter("state = 'ambiguous'").select("doc_id", F.lit("ambiguous_section").alias("code"), F.lit("info").alias("severity"), "section_id")
-    return empty.unionByName(missing).unionByName(unsure).dropDuplicates(["doc_id", "code", "section_id"])
+    bounds = sections.filter("start_pos is null or end_pos is null").select("doc_id", F.lit("invalid_boundaries").alias("code"), F.lit("warning").alias("severity"), "section_id")
+    return empty.unionByName(missing).unionByName(bounds).unionByName(unsure).dropDuplicates(["doc_id", "code", "section_id"])
 
 
 def map_status(docs: DataFrame, issues: DataFrame) -> DataFrame:
@@ -125,6 +126,41 @@ def map_status(docs: DataFrame, issues: DataFrame) -> DataFrame:
     return docs.select("doc_id").join(bad, "doc_id", "left").select("doc_id", F.when(F.col("bad"), "partial").otherwise("ready").alias("status"))
 
 
+GOAL_SENTENCE = r"(?iu)Цель(?:ю)?\s+(?:диссертационной\s+)?работы(?:\s+является|\s*[:.–-])?\s*[^.]{15,700}\."
+
+
+def goal_sentence(text: Column) -> Column:
+    """The sentence that states the goal, with its opening words; empty without one."""
+    return F.trim(F.regexp_extract(collapse(text), pattern(GOAL_SENTENCE), 0))
+
+
+def refreshed(docs: DataFrame, sections: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sections, issues, statuses) of maps after an edit: texts, pages, anchors and quotes are made again from the blocks, and so are issues and status."""
+    made = materialize(sections, b)
+    issues = map_issues(docs, made)
+    return made, issues, map_status(docs, issues)
+
+
+def checked_edits(edits: DataFrame, b: DataFrame) -> DataFrame:
+    """edits (doc_id, section_id, edit_order, start_block_id, end_block_id, quote, ..) with start_pos, end_pos and error: missing_block, order, short_quote (below four characters), quote_outside (not in one block of the range), or null. A null or blank quote isn't checked. Two equi joins for the bounds, and one with a range for the quotes alone."""
+    ids = b.select("doc_id", "block_id", F.col("block_pos").alias("_pos"))
+    rows = edits
+    for side in ("start", "end"):
+        rows = rows.join(ids.withColumnsRenamed({"block_id": f"{side}_block_id", "_pos": f"{side}_pos"}), ["doc_id", f"{side}_block_id"], "left")
+    rows = rows.withColumn("_quote", norm_text(F.coalesce("quote", F.lit(""))))
+    asked = rows.filter("start_pos <= end_pos and length(_quote) >= 4").select("doc_id", "section_id", "edit_order", "start_pos", "end_pos", "_quote")
+    held = asked.join(b.select("doc_id", "block_pos", "text"), "doc_id").filter("block_pos between start_pos and end_pos").filter(F.contains(norm_text(F.col("text")), F.col("_quote")))
+    rows = rows.join(held.select("doc_id", "section_id", "edit_order", F.lit(True).alias("_held")).distinct(), ["doc_id", "section_id", "edit_order"], "left")
+    said = F.trim(F.coalesce("quote", F.lit(""))) != ""
+    error = (
+        F.when(F.col("start_pos").isNull() | F.col("end_pos").isNull(), "missing_block")
+        .when(F.col("start_pos") > F.col("end_pos"), "order")
+        .when(said & (F.length("_quote") < 4), "short_quote")
+        .when(said & F.col("_held").isNull(), "quote_outside")
+    )
+    return rows.withColumn("error", error).drop("_quote", "_held")
+
+
 def edited(sections: DataFrame, edits: DataFrame) -> DataFrame:
     """Sections after edits(doc_id, section_id, op, start_pos, end_pos, label, quote, edit_order): the last edit of each section counts; edited ones are a person's and confirmed."""
     w = Window.partitionBy("doc_id", "section_id").orderBy(F.desc("edit_order"))

@@ -573,5 +573,34 @@ def retry_classes(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", R.retry_class(s, F.lit("")).alias("class"), R.backoff_ms(F.col("event_id") % 4 + 1, F.lit(0)).alias("backoff_ms"))
 
 
+@query(rf"""
+WITH {SQL_BLOCKS}, sizes AS (SELECT doc_id, max(block_pos) AS top FROM blocks GROUP BY 1),
+asked AS (
+  SELECT s.doc_id, s.doc_id % 4 AS a, s.doc_id % 7 AS z, top, CASE s.doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'ab' ELSE substr(b.text, 1, 12) END AS quote
+  FROM sizes s LEFT JOIN blocks b ON b.doc_id = s.doc_id AND b.block_pos = 2
+),
+held AS (
+  SELECT DISTINCT q.doc_id FROM asked q JOIN blocks b ON b.doc_id = q.doc_id AND b.block_pos BETWEEN q.a AND q.z
+  WHERE contains({_NORM.format('b.text')}, {_NORM.format('q.quote')})
+)
+SELECT doc_id, CASE WHEN a > top OR z > top THEN 'missing_block' WHEN a > z THEN 'order' WHEN trim(quote) <> '' AND length({_NORM.format('quote')}) < 4 THEN 'short_quote'
+  WHEN trim(quote) <> '' AND doc_id NOT IN (SELECT doc_id FROM held) THEN 'quote_outside' END AS error FROM asked""")
+def edit_checks(spark, sf_dir):
+    b = lines(spark, sf_dir)
+    third = b.filter("block_pos = 2").select("doc_id", F.substring("text", 1, 12).alias("_t"))
+    n = F.col("doc_id") % 3
+    block = lambda k: F.concat(F.lit("doc-b"), F.col("doc_id") % k + 1)
+    edits = b.select("doc_id").distinct().join(third, "doc_id", "left")
+    edits = edits.select("doc_id", F.lit("s").alias("section_id"), F.lit(0).alias("edit_order"), block(4).alias("start_block_id"), block(7).alias("end_block_id"), F.when(n == 0, "").when(n == 1, "ab").otherwise(F.col("_t")).alias("quote"))
+    return M.checked_edits(edits, b).select("doc_id", "error")
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_size % 5 = 0 OR length(p_name || ' и далее') < 15 THEN '' ELSE 'Цель работы – ' || p_name || ' и далее.' END AS goal FROM part""")
+def goal_sentences(spark, sf_dir):
+    text = F.concat(F.lit("Начало.\n"), F.when(F.col("p_size") % 5 == 0, "Задача работы – ").otherwise("Цель  работы – "), "p_name", F.lit(" и далее. Прочее."))
+    return table(spark, sf_dir, "part").select("p_partkey", M.goal_sentence(text).alias("goal"))
+
+
 QUERIES |= theses.QUERIES
 ORACLES |= theses.ORACLES
