@@ -77,3 +77,13 @@ def accepted_uploads(files: DataFrame, most: int = UPLOADS, largest: int = 35 *
 def urgent(results: DataFrame) -> DataFrame:
     """Violations that a report opens by itself."""
     return results.filter((F.col("status") == "violation") & F.col("severity").isin("critical", "major"))
+
+
+def active_jobs(jobs: DataFrame, by: str) -> DataFrame:
+    """(by, n_active): jobs that neither ended nor wait for a person."""
+    return jobs.groupBy(by).agg(F.count_if(~F.col("status").isin("completed", "failed", "cancelled", "awaiting_review")).alias("n_active"))
+
+
+def ambiguous_sections(sections: DataFrame) -> DataFrame:
+    """(doc_id, n_ambiguous) of every map."""
+    return sections.groupBy("doc_id").agg(F.count_if(F.col("state") == "ambiguous").alias("n_ambiguous"))

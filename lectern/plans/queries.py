@@ -602,5 +602,50 @@ def goal_sentences(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", M.goal_sentence(text).alias("goal"))
 
 
+@query(f"SELECT conv_id, count(DISTINCT (role, {_NORM.format('text')}))::BIGINT AS n_evidence, count(*)::BIGINT AS candidate_count FROM conversations GROUP BY 1")
+def shared_evidence(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit("r").alias("rule_id"), F.col("turn").cast("string").alias("fragment_id"), F.col("role").alias("block_id"), F.col("text").alias("quote"))
+    routed = c.select("doc_id", "rule_id", "fragment_id", F.lit(True).alias("exhaustive"), F.lit(True).alias("allow_pass"))
+    got = c.select("doc_id", "rule_id", "fragment_id", F.lit("violation").alias("status"), F.lit(1).alias("n_evidence"), F.lit(False).alias("absence"), F.lit(False).alias("matrix_open"))
+    return R.aggregate_rules(routed, got, c).select(F.col("doc_id").alias("conv_id"), "n_evidence", "candidate_count")
+
+
+@query("""
+WITH w AS (SELECT user_id, CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS s, event_id, event_type AS t FROM events WHERE event_type <> 'view'),
+f AS (SELECT user_id, t, min((s, event_id)) AS spot FROM w GROUP BY 1, 2)
+SELECT user_id, string_agg(t, '|' ORDER BY spot) AS warnings FROM f GROUP BY 1""")
+def warnings_union(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("place"), F.when(F.col("event_type") == "view", " ").otherwise(F.concat(F.lit(" "), "event_type")).alias("warning"))
+    clicks = F.trim("warning") == "click"
+    return R.merged_warnings(e.filter(clicks), e.filter(~clicks)).select(F.col("doc_id").alias("user_id"), F.array_join("warnings", "|").alias("warnings"))
+
+
+@query("SELECT user_id, sum(CASE WHEN event_type = 'click' THEN 2 ELSE 1 END)::BIGINT AS check_requests FROM events GROUP BY 1")
+def routing_merge(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), "event_type", F.lit(1).alias("check_requests"))
+    return R.merged_routing(e, e.filter("event_type = 'click'")).select(F.col("doc_id").alias("user_id"), "check_requests")
+
+
+@query("""
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN 429 WHEN 1 THEN 500 WHEN 2 THEN NULL WHEN 3 THEN 402 END::INTEGER AS code, CASE event_id % 5 WHEN 0 THEN 'slow down' WHEN 1 THEN 'HTTP 500' WHEN 2 THEN 'network' WHEN 3 THEN 'no credit' END AS message FROM events""")
+def provider_errors(spark, sf_dir):
+    n = F.col("event_id") % 5
+    status = F.when(n == 0, 429).when(n == 1, 500).when(n == 2, None).otherwise(200)
+    body = F.when(n == 0, '{"message": "slow down"}').when(n == 1, "oops").when(n == 3, '{"error": {"code": 402, "message": "no credit"}}').when(n == 4, '{"choices": []}')
+    return R.normalized_errors(table(spark, sf_dir, "events").select("event_id", status.alias("http_status"), body.alias("body"))).select("event_id", "code", "message")
+
+
+@query("SELECT doc_id, rule_id, CASE WHEN rule_id = 'CORE-16' THEN 'not_applicable' ELSE 'not_checked' END AS status FROM documents, (VALUES ('CORE-16'), ('CORE-14')) r(rule_id)")
+def failure_rows(spark, sf_dir):
+    rules = spark.createDataFrame([("CORE-16", "core:16", "Разное", "Текст"), ("CORE-14", "core:14", "Разное", "Текст")], "rule_id string, key string, category string, requirement string")
+    return R.failure_rows(table(spark, sf_dir, "documents"), P.with_meta(rules))
+
+
+@query("SELECT user_id, count_if(event_id % 9 IN (0, 1, 2, 4, 5))::BIGINT AS n_active FROM events GROUP BY 1")
+def active_jobs(spark, sf_dir):
+    s = F.element_at(F.array(*[F.lit(x) for x in J.STATES]), (F.col("event_id") % 9 + 1).cast("int"))
+    return J.active_jobs(table(spark, sf_dir, "events").withColumn("status", s), "user_id")
+
+
 QUERIES |= theses.QUERIES
 ORACLES |= theses.ORACLES

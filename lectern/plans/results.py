@@ -71,8 +71,14 @@ def fragment_results(requested: DataFrame, answers: DataFrame, evidence: DataFra
     )
 
 
-def aggregate_rules(routed: DataFrame, results: DataFrame) -> DataFrame:
-    """(doc_id, rule_id, status, coverage..): a validated violation, else not_checked if nothing was, else a pass if all passed and the rule is exhaustive and may pass, else uncertain. Two levels: fragments by rule, partial sums first."""
+def distinct_evidence(evidence: DataFrame) -> DataFrame:
+    """(doc_id, rule_id, n_evidence): pieces of evidence of a rule's fragments, each block and quote once (case and white space aside)."""
+    said = F.struct(F.coalesce("block_id", F.lit("")), F.lower(collapse(F.col("quote"))))
+    return evidence.groupBy("doc_id", "rule_id").agg(F.count_distinct(said).alias("n_evidence"))
+
+
+def aggregate_rules(routed: DataFrame, results: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """(doc_id, rule_id, status, coverage..): a validated violation, else not_checked if nothing was, else a pass if all passed and the rule is exhaustive and may pass, else uncertain. Two levels: fragments by rule, partial sums first. With ``evidence`` (doc_id, rule_id, block_id, quote) what several fragments share counts once."""
     rows = routed.join(results, ["doc_id", "rule_id", "fragment_id"], "left")
     checked = F.coalesce(F.col("status") != "not_checked", F.lit(False))
     real = (F.col("status") == "violation") & ((F.col("n_evidence") > 0) | F.col("absence"))
@@ -80,6 +86,8 @@ def aggregate_rules(routed: DataFrame, results: DataFrame) -> DataFrame:
         F.count("*").alias("candidate_count"), F.count_if(checked).alias("checked_count"), F.count_if(real).alias("_violations"), F.bool_and(F.when(checked, F.col("status") == "pass")).alias("_all_pass"),
         F.bool_or(F.when(checked, F.col("matrix_open"))).alias("_open"), F.first("exhaustive").alias("_exhaustive"), F.first("allow_pass").alias("_allow"), F.sum(F.coalesce("n_evidence", F.lit(0))).alias("n_evidence"),
     )
+    if evidence is not None:
+        out = out.drop("n_evidence").join(distinct_evidence(evidence), ["doc_id", "rule_id"], "left").withColumn("n_evidence", F.coalesce("n_evidence", F.lit(0)))
     exhaustive = F.col("_exhaustive") & (F.col("checked_count") == F.col("candidate_count"))
     status = F.when(F.col("_violations") > 0, "violation").when(F.col("checked_count") == 0, "not_checked").when(F.col("_all_pass") & exhaustive & F.col("_allow") & ~F.coalesce("_open", F.lit(False)), "pass").otherwise("uncertain")
     return out.select("doc_id", "rule_id", status.alias("status"), "candidate_count", "checked_count", (F.col("checked_count") / F.col("candidate_count")).alias("fraction"), exhaustive.alias("exhaustive"), "n_evidence")
@@ -159,6 +167,40 @@ def merged(previous: DataFrame, fresh: DataFrame) -> DataFrame:
     return rows.select("doc_id", "rule_id", *[F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in previous.columns if c not in ("doc_id", "rule_id")])
 
 
+def failure_rows(docs: DataFrame, rules: DataFrame) -> DataFrame:
+    """(doc_id, rule_id, status) for rules that nobody answers: those checked by hand don't apply, the others are not checked. Rules are a catalogue."""
+    status = F.when(F.col("mode") == "manual", "not_applicable").otherwise("not_checked")
+    return docs.select("doc_id").crossJoin(F.broadcast(rules.select("rule_id", status.alias("status"))))
+
+
+def merged_warnings(*sources: DataFrame) -> DataFrame:
+    """(doc_id, warnings) from (doc_id, place, warning) of the document, its map and its check: all that aren't blank, each once, where it is seen first."""
+    rows = None
+    for i, source in enumerate(sources):
+        part = source.select("doc_id", F.struct(F.lit(i).alias("source"), F.col("place").cast("long").alias("place")).alias("at"), F.trim("warning").alias("warning")).filter("warning <> ''")
+        rows = part if rows is None else rows.unionByName(part)
+    first = rows.groupBy("doc_id", "warning").agg(F.min("at").alias("at"))
+    listed = F.array_sort(F.collect_list(F.struct("at", "warning")))
+    return first.groupBy("doc_id").agg(F.transform(listed, lambda x: x["warning"]).alias("warnings"))
+
+
+def merged_routing(*runs: DataFrame) -> DataFrame:
+    """(doc_id, check_requests): requests of all runs of a document."""
+    rows = runs[0].select("doc_id", "check_requests")
+    for more in runs[1:]:
+        rows = rows.unionByName(more.select("doc_id", "check_requests"))
+    return rows.groupBy("doc_id").agg(F.sum("check_requests").alias("check_requests"))
+
+
+def normalized_errors(calls: DataFrame) -> DataFrame:
+    """calls (http_status, body, ..) with code and message: an error embedded in an answer, as an object or a text, else the status; network failures have no status."""
+    embedded = F.coalesce(F.get_json_object("body", "$.error.message"), F.get_json_object("body", "$.error"), F.get_json_object("body", "$.message"))
+    code = F.coalesce(F.get_json_object("body", "$.error.code").cast("int"), F.when(F.col("http_status") >= 400, F.col("http_status")))
+    failed = F.col("http_status").isNull() | (F.col("http_status") >= 400) | F.get_json_object("body", "$.error").isNotNull()
+    message = F.when(failed, F.coalesce(embedded, F.when(F.col("http_status").isNull(), F.lit("network")).otherwise(F.concat(F.lit("HTTP "), F.col("http_status").cast("string")))))
+    return calls.withColumns({"code": F.when(failed, code), "message": message})
+
+
 def retryable(results: DataFrame) -> DataFrame:
     open_ = (F.col("status") == "not_checked") | ((F.col("status") == "uncertain") & ((F.col("evidence_status") == "rejected") | (F.col("checked_count") < F.col("candidate_count"))))
     return results.filter((F.col("checked_by") == "llm") & open_)
