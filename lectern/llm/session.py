@@ -9,8 +9,10 @@ from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of the batches that go to Python workers at most; the session's default is four times that, on both sides of the pipe.
-BATCH = 16 << 20
+#: Bytes of the batches that go to Python workers at most; the session's default is eight times that, on both sides of the pipe.
+BATCH = 8 << 20
+#: Allocator settings of Python workers: large arrays go back to the system when they are freed, also after a long document.
+WORKER = {"MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20)}
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -21,6 +23,7 @@ def ready(spark: SparkSession) -> SparkSession:
     paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         sc.environment["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+    sc.environment.update(WORKER)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/lectern-checkpoints")
@@ -41,7 +44,7 @@ def shared_folder(spark: SparkSession) -> str | None:
 def written(rows: DataFrame, name: str = "rows") -> DataFrame:
     """The rows, written as Parquet under the checkpoint folder and read again: lineage ends here, in less room than a checkpoint takes."""
     path = f"{checkpoint_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    rows.write.option("compression", "zstd").parquet(path)
+    rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
