@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import quality
+from .chat_format import ROLES, Template
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -153,3 +154,86 @@ kept AS (
 SELECT b.doc_id, (length(b.h) // 2)::BIGINT AS n_bytes, coalesce(k.gone, 0)::BIGINT AS n_removed, coalesce(k.n, 0)::BIGINT AS n_spans,
   sha256(unhex(coalesce(k.h, b.h))) AS kept_sha256
 FROM base b LEFT JOIN kept k USING (doc_id)"""
+
+
+def middle_sql() -> str:
+    return """
+WITH hashed AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents),
+rolled AS (
+  SELECT *, ('0x' || substr(d, 1, 8))::BIGINT % (n + 1) AS x, ('0x' || substr(d, 9, 8))::BIGINT % (n + 1) AS y,
+    ('0x' || substr(d, 17, 8))::BIGINT AS h3, ('0x' || substr(d, 25, 8))::BIGINT AS h4
+  FROM hashed
+),
+formed AS (
+  SELECT *, least(x, y) AS a, greatest(x, y) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM rolled
+),
+cut AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM formed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM cut"""
+
+
+def chat_sql(template: Template, control: str) -> str:
+    quote = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+    def escaped(c: str) -> str:
+        c = f"replace({c}, '\\', '\\\\')"
+        for k in template.controls:
+            c = f"replace({c}, {quote(k)}, {quote(k[0] + chr(92) + k[1:])})"
+        return c
+
+    names = " ".join(f"WHEN {quote(r)} THEN {len(a) + len(b)} + length(body)" for r, a, b in template.roles)
+    roles = " ".join(f"WHEN {quote(old)} THEN {quote(new)}" for old, new in ROLES.items())
+    return f"""
+WITH every AS (
+  SELECT conv_id, turn, CASE role {roles} ELSE coalesce(role, '') END AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', {quote(control)}), (-1, 1, 'assistant', {quote(control)})
+),
+bodies AS (SELECT *, {escaped("text")} AS body, {escaped("role")} AS other FROM every),
+sized AS (SELECT *, CASE role {names} ELSE {sum(map(len, template.other))} + length(other) + length(body) END AS chars FROM bodies)
+SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id"""
+
+
+def merkle_sql() -> str:
+    framed = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END"
+    digest = lambda n: "sha256(" + " || ".join(framed(c) for c in ("doc_id", "source", "lang", n, "text")) + ")"
+    bits = "list_reduce(list_prepend(k, range(8)), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+    crc = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(steps[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+    return f"""
+WITH RECURSIVE crc AS (SELECT list({bits} ORDER BY k) AS steps FROM (SELECT unnest(range(256)) AS k)),
+hashed AS (
+  SELECT doc_id, coalesce('+' || lang, '') AS g, {digest("n_chars")} AS leaf, CASE WHEN {crc} % 7 = 0 THEN {digest("(n_chars + 1)")} ELSE {digest("n_chars")} END AS seen FROM documents, crc
+),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM hashed
+),
+inner_nodes(g, level, i, n, h) AS (
+  SELECT g, 0, i, n, leaf FROM leaves
+  UNION ALL SELECT g, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM inner_nodes WHERE n > 1 GROUP BY g, level, i // 2, n
+),
+subroots AS (SELECT g, h, level, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM inner_nodes WHERE n = 1),
+outer_nodes(level, i, n, h) AS (
+  SELECT 0, i, n, h FROM subroots
+  UNION ALL SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM outer_nodes WHERE n > 1 GROUP BY level, i // 2, n
+),
+walk(id, g, level, i, n, folded, proof) AS (
+  SELECT g || ' ' || i, g, 0, i, n, seen, '' FROM leaves
+  UNION ALL
+  SELECT w.id, w.g, w.level + 1, w.i // 2, (w.n + 1) // 2, sha256(CASE WHEN w.i % 2 = 1 THEN s.h || w.folded ELSE w.folded || coalesce(s.h, '') END), w.proof || coalesce(s.h, '')
+  FROM walk w LEFT JOIN inner_nodes s ON s.g = w.g AND s.level = w.level AND s.i = xor(w.i, 1) WHERE w.n > 1
+),
+up(id, level, i, n, folded, proof) AS (
+  SELECT w.id, 0, s.i, s.n, w.folded, w.proof FROM walk w JOIN subroots s USING (g) WHERE w.n = 1
+  UNION ALL
+  SELECT u.id, u.level + 1, u.i // 2, (u.n + 1) // 2, sha256(CASE WHEN u.i % 2 = 1 THEN s.h || u.folded ELSE u.folded || coalesce(s.h, '') END), u.proof || coalesce(s.h, '')
+  FROM up u LEFT JOIN outer_nodes s ON s.level = u.level AND s.i = xor(u.i, 1) WHERE u.n > 1
+),
+root AS (SELECT h AS root FROM outer_nodes WHERE n = 1)
+SELECT l.doc_id, l.leaf, s.h AS subroot, root, sha256(u.proof) AS proof_sha256, u.folded AS folded_root, u.folded = root AS verified
+FROM leaves l JOIN subroots s USING (g) JOIN up u ON u.id = l.g || ' ' || l.i, root WHERE u.n = 1"""
