@@ -90,10 +90,7 @@ _EVIDENCE = "array<struct<hit_order:int,block_pos:int,block_id:string,quote:stri
 
 
 def _lookup(pairs: dict[str, str], key: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for k, v in pairs.items():
-        out = F.when(key == k, v).otherwise(out)
-    return out
+    return F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv))[key]
 
 
 def check_of(rule_id: Column, mode: Column, detector_id: Column, category: Column, requirement: Column) -> Column:
@@ -130,6 +127,20 @@ def gathered(rows: DataFrame, most: int = D.CAP) -> DataFrame:
     return first.groupBy("doc_id", "check_id").agg(F.sum("_n").cast("int").alias("n_found"), F.max("_spec").alias("last_spec"), F.array_sort(F.collect_list("e")).cast(_EVIDENCE).alias("evidence"))
 
 
+def gathered_by_block(rows: DataFrame, stop: tuple[str, ...] = ("small-numerals",), most: int = D.CAP) -> DataFrame:
+    """The same for detectors that go block by block and count all their hits: each block and quote once, then the first ``most`` of those, in order of block, spec and place. Those in ``stop`` read on only until ``most`` hits are found, and finish the pattern and block that they are in."""
+    w = Window.partitionBy("check_id", "doc_id").orderBy("block_pos", "spec_idx", "match_idx")
+    rows = rows.withColumn("hit_order", F.row_number().over(w))
+    begun = F.min("hit_order").over(Window.partitionBy("check_id", "doc_id", "block_pos", "spec_idx"))
+    rows = rows.withColumn("_begun", begun).filter(~F.col("check_id").isin(*stop) | (F.col("_begun") <= most))
+    same = F.struct(F.coalesce("block_id", F.lit("")), F.lower("quote"))
+    first = rows.groupBy("check_id", "doc_id", same.alias("_same")).agg(F.min(F.struct("hit_order", "block_pos", "block_id", "quote")).alias("e"), F.count("*").alias("_n"), F.max("spec_idx").alias("_spec"))
+    place = F.row_number().over(Window.partitionBy("check_id", "doc_id").orderBy("e.hit_order"))
+    kept = F.when((place <= most) | F.col("check_id").isin(*stop), F.col("e"))
+    first = first.withColumn("e", kept)
+    return first.groupBy("doc_id", "check_id").agg(F.sum("_n").cast("int").alias("n_found"), F.max("_spec").alias("last_spec"), F.array_sort(F.collect_list("e")).cast(_EVIDENCE).alias("evidence"))
+
+
 def outcomes(docs: DataFrame, evidence: DataFrame, checks: list[str], confidence: Column, passed: Column | float, fix: Column | None = None) -> DataFrame:
     """(doc_id, check_id, status, confidence, fix, evidence) for every document and check: a violation where there is evidence, else a pass."""
     grid = docs.select("doc_id", F.explode(F.array(*[F.lit(c) for c in checks])).alias("check_id"))
@@ -165,7 +176,7 @@ def special_outcomes(docs: DataFrame, narrative: DataFrame, items: DataFrame, ti
         evidence_rows(checked.filter("has_symbols"), "defense-symbols"),
         evidence_rows(styles, "quote-consistency"),
     ]
-    found = gathered(together(parts))
+    found = gathered_by_block(together(parts))
     sure = F.when(F.col("check_id").isin(*CERTAIN), 1.0).when(F.col("check_id").isin("personal-pronouns", "praise-claims"), D.confidence(F.col("n_found"))).otherwise(0.99)
     clean = F.when(F.col("check_id").isin("dash-spacing", "quote-consistency"), 0.98).when(F.col("check_id").isin(*CERTAIN), 1.0).otherwise(0.99)
     out = outcomes(docs, found, [c for c in SPECIAL if c not in ("title-length", "spacing")], sure, clean).join(paged, "doc_id", "left")

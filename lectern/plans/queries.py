@@ -18,6 +18,8 @@ from lectern.operators import scopes as S
 from lectern.operators import sections as M
 from lectern.operators import structural as X
 from lectern.operators import terms as T
+from lectern.operators.containment import texts_with_quotes
+from lectern.plans import checking as C
 from lectern.plans import jobs as J
 from lectern.plans import results as R
 from lectern.plans import routing as P
@@ -189,6 +191,19 @@ def evidence_topk(spark, sf_dir):
     return D.capped(found(spark, sf_dir)).groupBy("detector_id", "doc_id").agg(F.count("*").alias("n_kept"))
 
 
+@query(rf"""
+WITH {SQL_BLOCKS},
+said AS (SELECT doc_id, block_pos, length(text) % 4 AS n FROM blocks WHERE length(text) % 4 > 0),
+placed AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS n_found, row_number() OVER (PARTITION BY doc_id ORDER BY block_pos) AS place FROM said)
+SELECT doc_id, n_found::BIGINT AS n_found, place::BIGINT AS place, block_pos, 'В блоке ' || repeat('мы и ', n) || 'они' AS quote FROM placed WHERE place <= 12""")
+def pronoun_evidence(spark, sf_dir):
+    """Lines with as many pronouns as their length says: of each block's equal quotes one counts, of each document the first twelve blocks."""
+    text = F.concat(F.lit("В блоке "), F.repeat(F.lit("мы и "), F.length("text") % 4), F.lit("они"))
+    found = C.gathered_by_block(C.evidence_rows(D.personal_pronouns(lines(spark, sf_dir).withColumn("text", text))))
+    each = found.select("doc_id", F.col("n_found").cast("long").alias("n_found"), F.posexplode("evidence").alias("place", "e"))
+    return each.select("doc_id", "n_found", (F.col("place") + 1).cast("long").alias("place"), "e.block_pos", "e.quote")
+
+
 @query(rf"WITH {SQL_BLOCKS} SELECT doc_id, count(*)::BIGINT AS n_blocks FROM blocks WHERE len(regexp_extract_all(text, '\p{{L}}')) > 0 AND len(regexp_extract_all(text, '[A-Za-z]')) >= 0.9 * len(regexp_extract_all(text, '\p{{L}}')) GROUP BY 1")
 def script_share_filter(spark, sf_dir):
     rows = S.narrative(lines(spark, sf_dir), of="[A-Za-z]", least=0.9)
@@ -251,6 +266,20 @@ def exact_quote_semi(spark, sf_dir):
     return quoted(spark, sf_dir, "length(text) >= 4").groupBy("item_id").agg(F.count("*").alias("n_docs"))
 
 
+_CUT = "SELECT doc_id AS item_id, substr({0}, (doc_id * 7919) % greatest(length({0}) - 3, 1) + 1, 4 + doc_id * 31 % 597) AS quote FROM {1}"
+
+
+@query(f"""
+WITH docs AS (SELECT doc_id, {_NORM.format("text")} AS body FROM documents),
+quotes AS ({_CUT.format("body", "docs")})
+SELECT item_id, count(*)::BIGINT AS n_docs FROM quotes JOIN docs ON contains(body, quote) WHERE quote <> '' GROUP BY 1""")
+def quotes_of_any_length(spark, sf_dir):
+    """From each document a quote of 4 to 600 characters that starts and ends anywhere; how many documents hold it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", norm_text(F.col("text")).alias("text"))
+    quotes = docs.selectExpr("doc_id AS item_id", "substr(text, cast((doc_id * 7919) % greatest(length(text) - 3, 1) + 1 as int), cast(4 + doc_id * 31 % 597 as int)) AS quote")
+    return texts_with_quotes(quotes, docs, "item_id", "doc_id").groupBy("item_id").agg(F.count("*").alias("n_docs"))
+
+
 @query(f"SELECT item_id FROM benchmark i WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains({_NORM.format('d.text')}, {_NORM.format('i.text')}))")
 def quote_anti(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id").join(quoted(spark, sf_dir).select("item_id").distinct(), "item_id", "left_anti")
@@ -261,26 +290,10 @@ def quoted(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
     return quotes_in(table(spark, sf_dir, "benchmark").filter(where), table(spark, sf_dir, "documents"))
 
 
-def quotes_in(items: DataFrame, docs: DataFrame, words: int = 4) -> DataFrame:
-    """(item_id, doc_id) where a document holds a passage. Both sides meet by the hash of the passage's inner words, ``words`` at most, an equi join; containment then decides. The first and the last word can be parts of a document's words, so passages of one or two words are looked for by containment alone. A benchmark is a fixed, small set of passages."""
+def quotes_in(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, doc_id) where a document holds a passage, both in the form in which quotes are looked for."""
     norm = norm_text(F.col("text"))
-    items = items.select("item_id", norm.alias("quote")).withColumn("_w", F.split("quote", " ")).withColumn("k", F.least(F.lit(words), F.size("_w") - 2))
-    docs = docs.select("doc_id", norm.alias("body"))
-    short = items.filter("k < 1").select("item_id", "quote")
-    found = docs.join(F.broadcast(short), F.contains("body", "quote")).select("item_id", "doc_id")
-    items = items.filter("k >= 1").select("item_id", "quote", "k", F.xxhash64(F.array_join(F.expr("slice(_w, 2, k)"), " ")).alias("h"))
-    lengths = sorted(r.k for r in items.select("k").distinct().collect())
-    if not lengths:
-        return found
-    w = docs.withColumn("_w", F.split("body", " "))
-
-    def grams(k: int):
-        return F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - k, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice("_w", i + 1, k), " ")))
-
-    every = F.array_distinct(F.concat(*[grams(k) for k in lengths]))
-    hits = w.select("doc_id", F.explode(every).alias("h")).join(F.broadcast(items.select("item_id", "h")), "h").select("doc_id", "item_id").distinct()
-    longer = hits.join(docs, "doc_id").join(items.select("item_id", "quote"), "item_id").filter(F.contains("body", "quote"))
-    return longer.select("item_id", "doc_id").union(found)
+    return texts_with_quotes(items.select("item_id", norm.alias("quote")), docs.select("doc_id", norm.alias("text")), "item_id", "doc_id")
 
 
 @query("""

@@ -80,22 +80,26 @@ CONCLUSIONS = r"(?iu)^(?:\d+(?:\.\d+)*\.?\s*)?выводы(?:\s+по\s+глав
 
 
 def _case(pairs: dict[str, str], key: Column, default: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for k, v in pairs.items():
-        out = F.when(key == k, v).otherwise(out)
-    return F.coalesce(out, default)
+    """One lookup in a constant map, however many pairs there are."""
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv))[key], default) if pairs else default
 
 
-def scope(category: Column, requirement: Column, key: Column) -> Column:
+def inferred_scope(category: Column, requirement: Column, key: Column) -> Column:
+    """The scope that a rule's words and key ask for, whatever is set by hand."""
     text = F.lower(F.concat_ws(" ", category, requirement))
     out = F.lit("document")
     for regex, unless, name in reversed(SCOPES):
         on = key.isin(*regex) if isinstance(regex, tuple) else text.rlike(regex) & (~text.rlike(unless) if unless else F.lit(True))
         out = F.when(on, name).otherwise(out)
-    return _case(SCOPE_OF, key, out)
+    return out
+
+
+def scope(category: Column, requirement: Column, key: Column) -> Column:
+    return _case(SCOPE_OF, key, inferred_scope(category, requirement, key))
 
 
 def severity(category: Column, requirement: Column, scope_: Column) -> Column:
+    """Severity by what a rule says; else by its inferred scope, which a scope set by hand doesn't change."""
     text = F.lower(F.concat_ws(" ", category, requirement))
     out = F.when(scope_.isin(*BY_HAND), "info").otherwise("major")
     for regex, name in reversed(SEVERITIES):
@@ -115,7 +119,7 @@ def with_meta(rules: DataFrame, detectors: dict[str, str] | None = None) -> Data
     rows = rules.withColumn("detector_id", _case(DETECTOR_OF if detectors is None else detectors, F.col("key"), F.lit(None).cast("string")))
     rows = rows.withColumn("scope", scope(F.col("category"), F.col("requirement"), F.col("key")))
     mode = F.when(F.col("detector_id").isNotNull(), "deterministic").when(F.col("key").isin(*STRUCTURAL), "structural").when(F.col("scope").isin(*BY_HAND), "manual").otherwise("semantic")
-    rows = rows.withColumn("mode", _case(MODE_OF, F.col("key"), mode)).withColumn("severity", severity(F.col("category"), F.col("requirement"), F.col("scope")))
+    rows = rows.withColumn("mode", _case(MODE_OF, F.col("key"), mode)).withColumn("severity", severity(F.col("category"), F.col("requirement"), inferred_scope(F.col("category"), F.col("requirement"), F.col("key"))))
     return rows.withColumn("weight", weight(F.col("severity")))
 
 
