@@ -25,6 +25,7 @@ from lectern.plans import results as R
 from lectern.plans import routing as P
 from lectern.plans import theses
 from lectern.sources.files import spread, user_rules
+from lectern.streaming import jobs as L
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -662,3 +663,59 @@ def active_jobs(spark, sf_dir):
 
 QUERIES |= theses.QUERIES
 ORACLES |= theses.ORACLES
+
+
+#: Days of silence after which a job that works has failed, and how late an event may come, in milliseconds.
+PATIENCE, LATE = 86_400_000, 3_600_000
+_ACTIONS = {"signup": ("start", "start"), "view": ("progress", "progress"), "click": ("read", "mapped"), "purchase": ("confirm", "checked"), "error": ("fail", "retry")}
+
+
+def _life_sql() -> str:
+    acts = " ".join(f"WHEN '{kind}' THEN CASE WHEN k % 2 = 0 THEN '{even}' ELSE '{odd}' END" for kind, (even, odd) in _ACTIONS.items())
+    moves = ", ".join(f"('{state}', '{action}', '{to}', {progress})" for (state, action), (to, progress) in L.MOVES.items())
+    working = ", ".join(f"'{s}'" for s in L.WORKING)
+    low = " ".join(f"WHEN '{s}' THEN {a}" for s, (a, _) in L.SPANS.items())
+    span = " ".join(f"WHEN '{s}' THEN {b}" for s, (_, b) in L.SPANS.items())
+    return f"""
+WITH RECURSIVE parsed AS (SELECT user_id AS job_id, epoch_us(ts) // 1000 AS at_ms, event_id, event_type, json_extract(props, '$.k')::BIGINT AS k FROM events),
+acts AS (SELECT job_id, at_ms, event_id, k / 100.0::DOUBLE AS share, CASE event_type {acts} END AS action FROM parsed),
+mark AS (SELECT max(at_ms) - {LATE} AS upto FROM acts),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY at_ms, event_id) AS n FROM acts, mark WHERE at_ms < upto),
+moves(state, action, next, done) AS (VALUES {moves}),
+life(job_id, n, at_ms, event_id, action, state, progress, legal, has_read, confirmed, ended) AS (
+  SELECT DISTINCT job_id, 0::BIGINT, 0::BIGINT, NULL::BIGINT, '', 'queued', 0, true, false, false, NULL::BIGINT FROM numbered
+  UNION ALL
+  SELECT job_id, n, at_ms, event_id, action,
+    CASE WHEN action = 'retry' THEN CASE WHEN has_read AND confirmed THEN 'queued_check' ELSE 'queued' END ELSE coalesce(next, state) END,
+    CASE WHEN action = 'retry' THEN CASE WHEN has_read AND confirmed THEN 32 ELSE 0 END
+      WHEN action = 'progress' AND state IN ('mapping', 'checking') THEN CASE state {low} END + floor(least(1.0, greatest(0.0, share)) * CASE state {span} END + 0.5)::INTEGER
+      ELSE coalesce(done, progress) END,
+    action = 'retry' OR next IS NOT NULL OR (action = 'progress' AND state IN ('mapping', 'checking')),
+    has_read OR (action = 'read' AND next IS NOT NULL), confirmed OR (action = 'confirm' AND next IS NOT NULL), ended
+  FROM (
+    SELECT b.*, m.next, m.done FROM (
+      SELECT e.job_id, e.n, e.at_ms, e.event_id, e.action, e.share, l.has_read, l.confirmed, CASE WHEN late THEN 'failed' ELSE l.state END AS state, CASE WHEN late THEN 100 ELSE l.progress END AS progress, CASE WHEN late THEN l.at_ms + {PATIENCE} END AS ended
+      FROM (SELECT *, state IN ({working}) AS works FROM life) l JOIN numbered e ON e.job_id = l.job_id AND e.n = l.n + 1, LATERAL (SELECT l.works AND e.at_ms > l.at_ms + {PATIENCE} AS late)
+    ) b LEFT JOIN moves m ON m.state = b.state AND m.action = b.action
+  )
+),
+silent AS (
+  SELECT l.job_id, l.at_ms + {PATIENCE} AS at_ms FROM life l, mark WHERE l.state IN ({working}) AND l.at_ms + {PATIENCE} < upto AND NOT EXISTS (SELECT 1 FROM numbered e WHERE e.job_id = l.job_id AND e.n = l.n + 1)
+)
+SELECT job_id, at_ms, event_id, action, state, progress::INTEGER AS progress, legal FROM life WHERE n > 0 UNION ALL
+SELECT job_id, ended, NULL, 'time_out', 'failed', 100, true FROM life WHERE ended IS NOT NULL UNION ALL
+SELECT job_id, at_ms, NULL, 'time_out', 'failed', 100, true FROM silent"""
+
+
+@query(_life_sql())
+def job_life(spark, sf_dir):
+    """The events as a stream of jobs' actions, each user being a job: what became of each, and which jobs fell silent, up to where the watermark stands at the end."""
+    schema = table(spark, sf_dir, "events").schema
+    k = F.get_json_object("props", "$.k").cast("long")
+    action = F.lit(None).cast("string")
+    for kind, (even, odd) in _ACTIONS.items():
+        action = F.when(F.col("event_type") == kind, F.when(k % 2 == 0, even).otherwise(odd)).otherwise(action)
+    at = F.expr("timestamp_millis(timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts))")
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern, as a stream reads no path of a single file
+    acts = stream.select(F.col("user_id").alias("job_id"), at.alias("at"), "event_id", action.alias("action"), (k / F.lit(100.0)).alias("share"))
+    return L.settled_steps(spark, L.job_steps(acts, f"{LATE} milliseconds", PATIENCE))
