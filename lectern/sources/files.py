@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import collapse
+from lectern.sources.delimited import by_header, read_delimited
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 PAGES = "path string, source_format string, page int, text string, warning string"
@@ -86,17 +87,29 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL else df
 
 
-_CSV = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
-
-
 def blank_to_null(c):
     t = F.trim(c)
     return F.when((t == "") | (t == "–"), None).otherwise(t)
 
 
+def _table(spark: SparkSession, path: str, sep: str, names: tuple[str, ...]) -> DataFrame:
+    """The rows below a file's first one, their first fields under the given names."""
+    rows = by_header(read_delimited(spark, path, sep))
+    columns = [f"`{c}`" for c in rows.columns]
+    return rows.toDF(*map(str, range(len(columns)))).select(*[F.trim(F.col(f"`{k}`") if k < len(columns) else F.lit(None).cast("string")).alias(name) for k, name in enumerate(names)])
+
+
+def read_routing(spark: SparkSession, path: str) -> DataFrame:
+    """(rule_id, strategy, selectors, exhaustive, allow_pass, reason) of a routing map: a JSON object whose ``rules`` are by rule id. A value of the wrong type is null, and spoils nothing else."""
+    text = spark.read.option("wholetext", "true").text(path).select(F.try_parse_json("value").alias("v"))
+    rules = text.select(F.explode(F.try_variant_get("v", "$.rules", "map<string,variant>")).alias("rule_id", "r"))
+    field = lambda name, kind: F.try_variant_get("r", f"$.{name}", kind)
+    return rules.select("rule_id", field("strategy", "string").alias("strategy"), field("selectors", "array<string>").alias("selectors"), field("exhaustive", "boolean").alias("exhaustive"), field("allowPass", "boolean").alias("allow_pass"), field("reason", "string").alias("reason"))
+
+
 def read_core_rules(spark: SparkSession, path: str) -> DataFrame:
-    """(rule_id, key, layer, source_number, category, requirement, correct, incorrect) from a comma-separated file of five columns; rows without a number go."""
-    rows = spark.read.options(**_CSV).schema("category string, number string, requirement string, correct string, incorrect string").csv(path)
+    """(rule_id, key, layer, source_number, category, requirement, correct, incorrect) from a comma-separated file of five columns below a header; rows without a number go."""
+    rows = _table(spark, path, ",", ("category", "number", "requirement", "correct", "incorrect"))
     n = F.trim("number")
     category = F.trim(F.regexp_replace("category", r"^Группа\s+\d+\.\s*", ""))
     return rows.filter(n != "").select(
@@ -107,7 +120,7 @@ def read_core_rules(spark: SparkSession, path: str) -> DataFrame:
 
 def read_soft_rules(spark: SparkSession, path: str) -> DataFrame:
     """The same from a semicolon-separated file of number, category, requirement and incorrect example."""
-    rows = spark.read.options(**_CSV, sep=";").schema("number string, category string, requirement string, incorrect string").csv(path)
+    rows = _table(spark, path, ";", ("number", "category", "requirement", "incorrect"))
     n = F.trim("number")
     return rows.filter(n != "").select(
         F.concat(F.lit("SOFT-"), F.lpad(n, 3, "0")).alias("rule_id"), F.concat(F.lit("soft:"), n).alias("key"), F.lit("soft").alias("layer"), n.alias("source_number"),
