@@ -10,21 +10,16 @@ spread over as many vertices as its size asks for, so no group is ever in one ta
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
-from hashlib import sha256
-
-import pyarrow as pa
 from pyspark import RDD
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .merkle_nodes import complete, downward, place, top_first, upward, verified_row
 from .session import ready, width, written
 
 #: Levels of the tree that a message climbs at once: a vertex hashes a run of 64 children.
 CLIMB = 6
-NO, LEFT, RIGHT = b"-LR"
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -39,82 +34,6 @@ def row_digest(*fields: Column) -> Column:
     return F.sha2(F.concat(*map(framed, fields)).cast("binary"), 256)
 
 
-def joined(run: list[bytes]) -> bytes:
-    """The digest of a run of nodes: of their digests as hex text."""
-    return sha256("".join(x.hex() for x in run).encode()).digest()
-
-
-def levels_of(digests: list[bytes], n: int, climb: int) -> list[list[bytes]]:
-    """The levels over a run of nodes, itself first; ``n`` nodes stand on its level in the whole group, and where one is left it is the top."""
-    out = [digests]
-    while n > 1 and len(out) <= climb:
-        last = out[-1]
-        out.append([joined(last[k : k + 2]) for k in range(0, len(last), 2)])
-        n = (n + 1) // 2
-    return out
-
-
-def siblings_of(levels: list[list[bytes]], k: int) -> tuple[bytes, bytes]:
-    """(sides, digests) of the siblings of node k of the lowest level, up to the highest: on the left, on the right or none."""
-    sides, digests = bytearray(), []
-    for level in levels[:-1]:
-        other = k ^ 1
-        if other < len(level):
-            sides.append(LEFT if other < k else RIGHT)
-            digests.append(level[other])
-        else:
-            sides.append(NO)
-        k //= 2
-    return bytes(sides), b"".join(digests)
-
-
-def folded(leaf: bytes, sides: bytes, siblings: bytes) -> bytes:
-    """The root that a leaf and the siblings on its way give."""
-    at = 0
-    for side in sides:
-        other = siblings[at : at + 32]
-        leaf = joined([leaf] if side == NO else [other, leaf] if side == LEFT else [leaf, other])
-        at += 32 * (side != NO)
-    return leaf
-
-
-def _place(key: tuple) -> int:
-    return zlib.crc32(repr(key).encode())
-
-
-def _complete(climb: int):
-    """A vertex whose children have all come: (nodes on their level, levels of the run, what the children carry)."""
-
-    def run(kv):
-        (group, i), messages = kv
-        rows = sorted(messages, key=lambda m: m[0])
-        n = rows[0][1]
-        if [m[0] for m in rows] != list(range(min(1 << climb, n - (i << climb)))):
-            raise ValueError(f"vertex {i} of group {group!r} has not heard from each of its children once")
-        return (group, i), (n, levels_of([m[2] for m in rows], n, climb), [m[3] for m in rows])
-
-    return run
-
-
-def _upward(climb: int):
-    def run(kv):
-        (group, i), (n, levels, _) = kv
-        return (group, i >> climb), (i & (1 << climb) - 1, (n + (1 << climb) - 1) >> climb, levels[-1][0], None)
-
-    return run
-
-
-def _downward(climb: int):
-    def run(kv):
-        (group, i), met = kv
-        (_, levels, carried), (sides, siblings, top) = (x for _, x in sorted(met, key=lambda m: m[0]))
-        for k, more in enumerate(carried):
-            a, b = siblings_of(levels, k)
-            yield (group, i << climb | k), (a + sides, b + siblings, top, levels[0][k], more)
-
-    return run
-
-
 class Tree:
     """The supersteps over ``leaves``: an RDD of ((group, place), (nodes of the group, digest, carried)). ``most`` is the size of the largest group."""
 
@@ -123,12 +42,12 @@ class Tree:
         low = (1 << climb) - 1
         messages = leaves.map(lambda kv: ((kv[0][0], kv[0][1] >> climb), (kv[0][1] & low, *kv[1])))
         while True:
-            state = messages.groupByKey(parts, _place).map(_complete(climb), preservesPartitioning=True)
+            state = messages.groupByKey(parts, place).map(complete(climb), preservesPartitioning=True)
             self.states.append(state)
             if most <= 1 << climb:
                 break
             most = (most + low) >> climb
-            messages = state.filter(lambda kv: kv[1][0] > 1 << climb).map(_upward(climb))
+            messages = state.filter(lambda kv: kv[1][0] > 1 << climb).map(upward(climb))
 
     def tops(self) -> RDD:
         """((group, superstep), digest) of each group's top, whichever superstep reached it."""
@@ -142,8 +61,8 @@ class Tree:
         for k in reversed(range(len(self.states))):
             here = above.filter(lambda kv, k=k: kv[0][1] == k).map(lambda kv: ((kv[0][0], 0), kv[1]))
             here = here if down is None else here.union(down.map(lambda kv: (kv[0], kv[1][:3])))
-            sent = here.mapValues(lambda x: (1, x)).partitionBy(self.parts, _place)
-            down = self.states[k].mapValues(lambda x: (0, x)).union(sent).groupByKey(self.parts, _place).flatMap(_downward(self.climb))
+            sent = here.mapValues(lambda x: (1, x)).partitionBy(self.parts, place)
+            down = self.states[k].mapValues(lambda x: (0, x)).union(sent).groupByKey(self.parts, place).flatMap(downward(self.climb))
         return down
 
 
@@ -166,8 +85,8 @@ def placed(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     return numbered.join(counts, own).withColumn("place", F.col("_before") + F.col("_number") - F.col("_first")).drop("_at", "_part", "_number", "_of", "_group", "_n", "_first", "_before")
 
 
-def merkle_manifest(leaves: DataFrame, group: str, order: str, leaf: str, carry: tuple[str, ...] = (), climb: int = CLIMB) -> DataFrame:
-    """(leaf, subroot, root, sides, siblings, and the columns of ``carry``) of every row.
+def merkle_manifest(leaves: DataFrame, group: str, order: str, leaf: str, carry: tuple[str, ...] = (), seen: str | None = None, climb: int = CLIMB) -> DataFrame:
+    """(leaf, subroot, root, sides, siblings, folded_root, and the columns of ``carry``) of every row.
 
     In each group rows ascend by ``order`` (nulls first), ties by ``leaf``; every
     two neighbours become one node, a last single one a node of its own, until one
@@ -175,14 +94,17 @@ def merkle_manifest(leaves: DataFrame, group: str, order: str, leaf: str, carry:
     then bytewise) make ``root`` the same way. ``leaf`` holds lowercase hex digests.
     ``siblings`` are the digests beside a row's way to the root, 32 bytes each, and
     ``sides`` has a letter for each level: L or R for where the sibling is, ``-``
-    for none. A row that repeats is a leaf of its own. An empty table gives no
-    rows. Other columns are not read.
+    for none. ``folded_root`` is the root that the digest in column ``seen`` (the
+    leaf itself by default, and where it is null) gives with a row's siblings: a
+    row still is what it was if that is ``root``. A row that repeats is a leaf of
+    its own. An empty table gives no rows. Other columns are not read.
     """
     spark = ready(leaves.sparkSession)
     carried = [F.col(c).alias(f"_c{k}") for k, c in enumerate(carry)]
-    rows = leaves.select(F.col(group).cast("string").alias("_g"), F.col(order).alias("_o"), F.unhex(leaf).alias("_leaf"), *carried)
+    digest = F.unhex(F.lit(None).cast("string") if seen is None else F.when(F.col(seen) != F.col(leaf), F.col(seen)))
+    rows = leaves.select(F.col(group).cast("string").alias("_g"), F.col(order).alias("_o"), F.unhex(leaf).alias("_leaf"), digest.alias("_seen"), *carried)
     named = {c: leaves.schema[c].dataType for c in carry}
-    schema = T.StructType([T.StructField("leaf", T.BinaryType()), T.StructField("subroot", T.BinaryType()), T.StructField("root", T.BinaryType()), T.StructField("sides", T.StringType()), T.StructField("siblings", T.BinaryType())])
+    schema = T.StructType([T.StructField("leaf", T.BinaryType()), T.StructField("subroot", T.BinaryType()), T.StructField("root", T.BinaryType()), T.StructField("sides", T.StringType()), T.StructField("siblings", T.BinaryType()), T.StructField("folded_root", T.BinaryType())])
     for c, kind in named.items():
         schema.add(c, kind)
     numbered = placed(rows, "_g", ["_o", "_leaf"])
@@ -190,33 +112,19 @@ def merkle_manifest(leaves: DataFrame, group: str, order: str, leaf: str, carry:
     if most is None:
         return _as_hex(spark.createDataFrame([], schema), tuple(named))
     parts = width(rows)
-    columns = numbered.select("_g", "place", "group_size", "_leaf", *(f"_c{k}" for k in range(len(carry)))).rdd
-    tree = Tree(columns.map(lambda r: ((r[0], r[1]), (r[2], bytes(r[3]), tuple(r[4:])))), most, parts, climb)
-    tops = tree.tops().sortBy(lambda kv: (kv[0][0] is not None, (kv[0][0] or "").encode()), numPartitions=parts).zipWithIndex()
+    columns = numbered.select("_g", "place", "group_size", "_leaf", "_seen", *(f"_c{k}" for k in range(len(carry)))).rdd
+    tree = Tree(columns.map(lambda r: ((r[0], r[1]), (r[2], bytes(r[3]), (r[4] and bytes(r[4]), *r[5:])))), most, parts, climb)
+    tops = tree.tops().sortBy(top_first, numPartitions=parts).zipWithIndex()
     groups = tops.count()
     outer = Tree(tops.map(lambda x: ((0, x[1]), (groups, x[0][1], x[0][0]))), groups, min(parts, groups), climb)
     start = outer.tops().map(lambda kv: (kv[0], (b"", b"", kv[1])))
     above = outer.paths(start).map(lambda kv: (kv[1][4], (kv[1][0], kv[1][1], (kv[1][3], kv[1][2]))))
-    found = tree.paths(above).map(lambda kv: (bytearray(kv[1][3]), bytearray(kv[1][2][0]), bytearray(kv[1][2][1]), kv[1][0].decode(), bytearray(kv[1][1]), *kv[1][4]))
+    found = tree.paths(above).map(verified_row)
     return _as_hex(spark.createDataFrame(found, schema, verifySchema=False), tuple(named))
 
 
 def _as_hex(rows: DataFrame, carry: tuple[str, ...]) -> DataFrame:
-    return rows.select(*(F.lower(F.hex(c)).alias(c) for c in ("leaf", "subroot", "root")), "sides", "siblings", *carry)
-
-
-def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        leaf, sides, siblings = (b.column(b.num_columns - k).to_pylist() for k in (3, 2, 1))
-        roots = [None if None in x else folded(bytes.fromhex(x[0]), x[1].encode(), x[2]).hex() for x in zip(leaf, sides, siblings, strict=True)]
-        yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(roots, pa.string())], [*b.schema.names[:-3], "folded_root"])
-
-
-def folded_roots(proofs: DataFrame, leaf: str = "leaf") -> DataFrame:
-    """All columns, and ``folded_root``: the root that the leaf in column ``leaf`` gives with the row's ``sides`` and ``siblings``; null if one of the three is. A column of that name is replaced."""
-    keep = [f for f in proofs.schema.fields if f.name != "folded_root"]
-    rows = proofs.select(*(F.col(f"`{f.name}`") for f in keep), F.col(leaf).alias("_leaf"), F.col("sides").alias("_sides"), F.col("siblings").alias("_siblings"))
-    return rows.mapInArrow(_folded, T.StructType([*keep, T.StructField("folded_root", T.StringType())]))
+    return rows.select(*(F.lower(F.hex(c)).alias(c) for c in ("leaf", "subroot", "root")), "sides", "siblings", F.lower(F.hex("folded_root")).alias("folded_root"), *carry)
 
 
 def tampering_report(docs: DataFrame, group: str = "lang", order: str = "doc_id", fields: tuple[str, ...] = FIELDS, count: str = "n_chars", every: int = 7) -> DataFrame:
@@ -234,8 +142,7 @@ def tampering_report(docs: DataFrame, group: str = "lang", order: str = "doc_id"
         F.col(order).cast("long").alias("doc_id"), F.col(group).alias("group"), row_digest(*map(F.col, fields)).alias("leaf"),
         F.when(changed, row_digest(*tampered)).alias("seen"),
     )
-    rows = merkle_manifest(leaves, "group", "doc_id", "leaf", carry=("doc_id", "seen"))
-    rows = folded_roots(rows.withColumn("seen", F.coalesce("seen", "leaf")), "seen")
+    rows = merkle_manifest(leaves, "group", "doc_id", "leaf", carry=("doc_id",), seen="seen")
     return rows.select(
         "doc_id", "leaf", "subroot", "root", F.sha2(F.lower(F.hex("siblings")).cast("binary"), 256).alias("proof_sha256"), "folded_root",
         (F.col("folded_root") == F.col("root")).alias("verified"),
