@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import collapse, pattern
+from lectern.operators.ranges import in_any_range
 
 #: Patterns of what isn't narrative (fixed values).
 PROMPT = r"(?ium)(?:Requirements:|Rules:|Generate ONLY|Return ONLY|No commentary|```|^\s*(?:def|class|import|from\s+\w+\s+import|SELECT\s+.+\s+FROM|INSERT\s+INTO|UPDATE\s+\w+\s+SET)\b)"
@@ -63,9 +64,8 @@ def contents_pages(b: DataFrame, by: str = "doc_id") -> DataFrame:
 
 
 def within_sections(b: DataFrame, sections: DataFrame, types: tuple[str, ...], by: str = "doc_id") -> DataFrame:
-    """(by, block_pos) of the blocks inside sections of the given types: a range join of each document's own few sections, each block once."""
-    s = sections.filter(F.col("type").isin(*types)).select(by, "start_pos", "end_pos").filter("start_pos <= end_pos")
-    return b.select(by, "block_pos").join(s, by).filter("block_pos between start_pos and end_pos").select(by, "block_pos").distinct()
+    """(by, block_pos) of the blocks inside sections of the given types, each block once."""
+    return in_any_range(b.select(by, "block_pos").distinct(), sections.filter(F.col("type").isin(*types)), by=by)
 
 
 def narrative(b: DataFrame, sections: DataFrame | None = None, bibliography: DataFrame | None = None, of: str = "[А-ЯЁа-яё]", least: float = CYRILLIC_SHARE, wide: bool = False, by: str = "doc_id") -> DataFrame:
@@ -78,7 +78,7 @@ def narrative(b: DataFrame, sections: DataFrame | None = None, bibliography: Dat
         caps = F.length(plain).between(4, 120) & (plain == F.upper(plain)) & ~plain.rlike("[а-яё]")
         rows = rows.filter(~t.rlike(pattern(PUBLICATION)) & ~caps)
     if sections is not None:
-        rows = rows.join(within_sections(b, sections, ("bibliography", "appendices"), by), [by, "block_pos"], "left_anti")
+        rows = in_any_range(rows, sections.filter(F.col("type").isin("bibliography", "appendices")), by=by, inside=False)
     if bibliography is not None:
         rows = rows.join(bibliography.select(by, "block_pos"), [by, "block_pos"], "left_anti")
     pages = contents_pages(b, by)

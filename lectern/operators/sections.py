@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import collapse, compact, norm_text, pattern
+from lectern.operators.ranges import blocks_in_ranges
 
 #: Section types in order (fixed values).
 TYPES = ("title", "abstract", "introduction", "goal", "tasks", "defense_statements", "chapter", "chapter_conclusions", "conclusion", "bibliography", "appendices", "other")
@@ -95,7 +96,7 @@ def clamp(x: Column) -> Column:
 def materialize(sections: DataFrame, b: DataFrame) -> DataFrame:
     """Add text (900 characters), pages, anchors (up to five inside the range, else its first block) and the quote, verified in one block of the range."""
     own = b.select("doc_id", "block_pos", "block_id", F.col("page").alias("_page"), F.col("text").alias("_text"))
-    rows = sections.join(own, "doc_id").filter("block_pos between start_pos and end_pos")
+    rows = blocks_in_ranges(own, sections)
     keys = [c for c in sections.columns if c not in ("quote", "anchorBlockIds")]
     found = F.when((F.length(F.trim("quote")) >= 4) & F.contains(norm_text(F.col("_text")), norm_text(F.col("quote"))), F.struct("block_pos", F.trim("quote").alias("q")))
     listed = F.array_sort(F.collect_list(F.struct("block_pos", "block_id", "_page", "_text")))
@@ -203,8 +204,8 @@ def trimmed(blocks: DataFrame, markers: list[tuple[str, str, str]] | None = None
 
 def section_blocks(sections: DataFrame, b: DataFrame) -> DataFrame:
     """(doc_id, section_id, type, label, state, block_pos, block_id, text) of the blocks in each section's range."""
-    rows = sections.select("doc_id", "section_id", "type", "label", "state", "start_pos", "end_pos").join(b.select("doc_id", "block_pos", "block_id", "text"), "doc_id")
-    return rows.filter("block_pos between start_pos and end_pos").drop("start_pos", "end_pos")
+    rows = blocks_in_ranges(b.select("doc_id", "block_pos", "block_id", "text"), sections.select("doc_id", "section_id", "type", "label", "state", "start_pos", "end_pos"))
+    return rows.select("doc_id", "section_id", "type", "label", "state", "block_pos", "block_id", "text")
 
 
 def types_table(spark: SparkSession) -> DataFrame:

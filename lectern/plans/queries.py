@@ -19,6 +19,7 @@ from lectern.operators import sections as M
 from lectern.operators import structural as X
 from lectern.operators import terms as T
 from lectern.operators.containment import texts_with_quotes
+from lectern.operators.ranges import blocks_in_ranges, in_any_range
 from lectern.plans import checking as C
 from lectern.plans import jobs as J
 from lectern.plans import results as R
@@ -255,8 +256,23 @@ def section_range_join(spark, sf_dir):
 @query(_SECTIONS + " SELECT count(*)::BIGINT AS n_outside FROM blocks b ANTI JOIN starts s ON b.doc_id = s.doc_id AND b.block_pos BETWEEN s.start_pos AND s.end_pos")
 def section_anti_join(spark, sf_dir):
     b = lines(spark, sf_dir)
-    inside = S.within_sections(b, caps_sections(b), ("chapter",))
-    return b.join(inside, ["doc_id", "block_pos"], "left_anti").agg(F.count("*").alias("n_outside"))
+    return in_any_range(b, caps_sections(b), inside=False).agg(F.count("*").alias("n_outside"))
+
+
+@query(f"""
+WITH {SQL_BLOCKS},
+last AS (SELECT doc_id, max(block_pos) AS n FROM blocks GROUP BY 1),
+ranges AS (SELECT doc_id, 1 << k AS size, j * (1 << k) AS a, (j + 2) * (1 << k) - 1 AS b FROM last, unnest(range(0, 7)) AS x(k), unnest(range(0, n // (1 << k) + 1)) AS y(j))
+SELECT b.doc_id, block_pos, count(*)::BIGINT AS n_ranges, min(size)::INTEGER AS smallest, sum(a)::BIGINT AS starts FROM blocks b JOIN ranges r ON r.doc_id = b.doc_id AND block_pos BETWEEN a AND b GROUP BY 1, 2""")
+def nested_ranges(spark, sf_dir):
+    """Each document's blocks in overlapping and nested ranges of one to 128 blocks: how many hold a block, the smallest, and the sum of their starts."""
+    b = lines(spark, sf_dir).select("doc_id", "block_pos")
+    last = b.groupBy("doc_id").agg(F.max("block_pos").alias("n"))
+    sized = last.select("doc_id", "n", F.explode(F.array(*[F.lit(1 << k) for k in range(7)])).alias("size"))
+    ranges = sized.select("doc_id", "size", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / F.col("size")).cast("int"))).alias("j"))
+    ranges = ranges.select("doc_id", "size", (F.col("j") * F.col("size")).alias("start_pos"), ((F.col("j") + 2) * F.col("size") - 1).alias("end_pos"))
+    found = blocks_in_ranges(b, ranges)
+    return found.groupBy("doc_id", "block_pos").agg(F.count("*").alias("n_ranges"), F.min("size").alias("smallest"), F.sum("start_pos").cast("long").alias("starts"))
 
 
 _NORM = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
