@@ -22,6 +22,7 @@ from lectern.operators.containment import texts_with_quotes
 from lectern.operators.ranges import blocks_in_ranges, in_any_range
 from lectern.plans import checking as C
 from lectern.plans import jobs as J
+from lectern.plans import report as W
 from lectern.plans import results as R
 from lectern.plans import routing as P
 from lectern.plans import theses
@@ -735,3 +736,111 @@ def job_life(spark, sf_dir):
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern, as a stream reads no path of a single file
     acts = stream.select(F.col("user_id").alias("job_id"), at.alias("at"), "event_id", action.alias("action"), (k / F.lit(100.0)).alias("share"))
     return L.settled_steps(spark, L.job_steps(acts, f"{LATE} milliseconds", PATIENCE))
+
+
+_REPORT = _RESULTS + """,
+docs AS (SELECT l.doc_id, d.n_chars, substr(d.text, 1, 40) AS quote FROM labels l JOIN documents d USING (doc_id)),
+told AS (
+  SELECT f.*, CASE f.rule_id WHEN 'CORE-2-1' THEN 0 WHEN 'CORE-2-3' THEN 1 ELSE 2 END AS o, quote, n_chars,
+    CASE WHEN f.status = 'violation' THEN 1 WHEN f.status = 'pass' THEN 2 WHEN f.status = 'uncertain' THEN 3 WHEN f.status = 'not_checked' THEN 4 ELSE 5 END AS p
+  FROM final f JOIN docs USING (doc_id)
+),
+bodies AS (
+  SELECT doc_id, p, o,
+    '### ' || rule_id || ' — Rule ' || rule_id || chr(10) || chr(10) || '- **Требование:** Must hold' || chr(10) || '- **Источник:** core, строка ' || (o + 2) || chr(10)
+    || '- **Результат:** ' || rule_id || ': ' || n_chars || chr(10) || '- **Проверено:** ' || CASE WHEN doc_id % 2 = 0 THEN 'llm' ELSE 'detector' END || chr(10)
+    || '- **Проверка доказательств:** ' || CASE doc_id % 4 WHEN 0 THEN '{verified}' WHEN 1 THEN '{coverage}' WHEN 2 THEN '{rejected}' ELSE '{none}' END || chr(10)
+    || CASE WHEN rule_id = 'CORE-15' THEN '- **Фрагменты:** ' || (doc_id % 4) || ' из 3; полная область: ' || CASE WHEN doc_id % 2 = 0 THEN 'да' ELSE 'нет' END || chr(10)
+      || chr(10) || '#### Матрица полного покрытия' || chr(10) || chr(10) || '| Фрагмент | Проверено блоков | Полнота | Элементы |' || chr(10) || '|---|---:|---|---|' || chr(10)
+      || '| Part \\| ' || (doc_id % 3) || ' | ' || (doc_id % 4) || '/3 | ' || CASE WHEN doc_id % 4 = 3 THEN 'полная' ELSE 'неполная' END || ' | analogs: ' || CASE WHEN doc_id % 4 > 1 THEN 'найдено' ELSE 'не найдено' END || '; prototype: неоднозначно |' || chr(10) || chr(10) ELSE '' END
+    || CASE WHEN status = 'violation' THEN '- **Доказательства:**' || chr(10) || '  - Документ' || CASE WHEN doc_id % 5 > 0 THEN ', стр. ' || (doc_id % 5) ELSE '' END || ': «' || quote || '»' || chr(10) || '- **Исправление:** Исправить.' || chr(10) ELSE '' END AS text
+  FROM told
+),
+counted AS (
+  SELECT doc_id, count(*) AS n, count_if(status = 'violation') AS v, count_if(status = 'pass') AS ok, count_if(status = 'uncertain') AS u, count_if(status = 'not_checked') AS nc, count_if(status = 'not_applicable') AS na,
+    coalesce(sum(weight) FILTER (status = 'pass'), 0)::DOUBLE AS pw, coalesce(sum(weight) FILTER (status = 'violation'), 0)::DOUBLE AS vw FROM told GROUP BY 1
+),
+covered AS (SELECT *, CASE WHEN n > na THEN (ok + v)::DOUBLE / (n - na) ELSE 0 END AS coverage FROM counted),
+scored AS (SELECT *, CASE WHEN coverage >= 0.6 AND pw + vw > 0 THEN floor(100 * pw / (pw + vw) + 0.5)::INTEGER END AS score FROM covered),
+heads AS (
+  SELECT doc_id, '# Протокол нормоконтроля — doc ' || doc_id || chr(10) || chr(10) || '**Оценка по проверенным правилам:** ' || CASE WHEN score IS NULL THEN 'не рассчитана' ELSE score || '/100' || CASE WHEN coverage < 0.9 THEN ' (предварительно)' ELSE '' END END || chr(10)
+    || '**Покрытие правил:** ' || floor(100 * coverage + 0.5)::BIGINT || ' % (' || (ok + v) || ' проверенных из ' || n || ' правил профиля)' || chr(10)
+    || '**Отправлено назначенных фрагментов:** ' || floor(100 * least(1.0, (doc_id % 4) / 3.0::DOUBLE) + 0.5)::BIGINT || ' %' || chr(10) || chr(10)
+    || 'Нарушено: ' || v || '; выполнено: ' || ok || '; неопределённо: ' || u || '; не обработано: ' || nc || '; неприменимо: ' || na || '.' || chr(10) || chr(10)
+    || '> Оценка не является решением о допуске к защите. Смысловые замечания и исправления необходимо проверить вручную.' || chr(10) || chr(10) || '## Краткий итог' || chr(10)
+    || 'Проверено ' || (ok + v) || ' из ' || (n - na) || ' применимых правил. ' || CASE WHEN score IS NULL THEN 'Покрытие недостаточно для итоговой оценки.' ELSE 'Нарушено: ' || v || '; неопределённо: ' || u || '; не обработано: ' || nc || '.' END || chr(10) || chr(10) AS text
+  FROM scored
+),
+chapters AS (
+  SELECT doc_id, string_agg('- **chapter · Глава ' || k || ':** doc-b' || k || '…doc-b' || (k + 5) || CASE WHEN k = 2 THEN ' (стр. 1–2) — требует проверки' ELSE '' END || chr(10), '' ORDER BY k) AS text
+  FROM docs, unnest(range(1, doc_id % 3 + 1)) AS x(k) GROUP BY 1
+),
+maps AS (
+  SELECT doc_id, '## Структурная карта' || chr(10) || chr(10) || '- Статус: ' || CASE WHEN doc_id % 2 = 0 THEN 'готова' ELSE 'частичная' END || chr(10) || '- Подтверждена пользователем: ' || CASE WHEN doc_id % 3 = 0 THEN 'да' ELSE 'нет' END || chr(10)
+    || '- Обработано блоков одним запросом: ' || n_chars || ' из ' || (n_chars + 1) || chr(10) || '- Всего смысловых диапазонов: ' || (doc_id % 3 + 1) || '; показано основных: ' || (doc_id % 3) || chr(10)
+    || '- Неоднозначных элементов: ' || CASE WHEN doc_id % 3 = 2 THEN 1 ELSE 0 END || chr(10) || chr(10) || coalesce(c.text, '')
+    || CASE WHEN doc_id % 4 = 0 THEN chr(10) || '### Замечания к карте' || chr(10) || chr(10) || '- no goal' || chr(10) || '- no tasks' || chr(10) ELSE '' END || chr(10) AS text
+  FROM docs LEFT JOIN chapters c USING (doc_id)
+),
+grids AS (SELECT doc_id, p, h FROM docs, (VALUES (1, 'Нарушено'), (2, 'Выполнено'), (3, 'Неопределённо'), (4, 'Не обработано'), (5, 'Неприменимо')) x(p, h)),
+parts AS (
+  SELECT g.doc_id, g.p, '## ' || h || ' (' || count(b.o) || ')' || chr(10) || chr(10) || coalesce(string_agg(b.text || chr(10), '' ORDER BY b.o), '') AS text FROM grids g LEFT JOIN bodies b ON b.doc_id = g.doc_id AND b.p = g.p GROUP BY g.doc_id, g.p, h
+),
+middles AS (SELECT doc_id, string_agg(text, '' ORDER BY p) AS text FROM parts GROUP BY 1),
+calls AS (SELECT conv_id AS doc_id, turn, role, length(text) AS n FROM conversations),
+loads AS (
+  SELECT doc_id, count(*) AS requests, count_if(turn % 3 > 0) AS retries, count(DISTINCT turn // 2) FILTER (role = 'assistant') AS packets, sum(ceil(n / 3.0))::BIGINT AS tokens, sum(n * 10) AS waited, sum(n * 7) AS took FROM calls GROUP BY 1
+),
+candidates AS (SELECT doc_id, sum(c) AS candidates FROM (SELECT doc_id, max(n % 13) AS c FROM calls WHERE role = 'assistant' GROUP BY doc_id, turn // 2) GROUP BY 1),
+tails AS (
+  SELECT d.doc_id, '## Технические сведения' || chr(10) || chr(10) || '- Версия приложения: 1' || chr(10) || '- Провайдер API: p' || (doc_id % 2) || chr(10) || '- Model ID: ' || CASE WHEN doc_id % 3 = 0 THEN 'unknown' ELSE 'm' END || chr(10)
+    || '- Хеш промпта проверки: h' || chr(10) || '- Хеш промпта структуры: —' || chr(10) || chr(10) || '## Нагрузка LLM' || chr(10) || chr(10) || '- Физических запросов: ' || coalesce(requests, 0) || chr(10) || '- Повторных попыток: ' || coalesce(retries, 0) || chr(10)
+    || '- Проверено пакетов: ' || coalesce(packets, 0) || chr(10) || '- Передано правил/объектов: ' || coalesce(candidates, 0) || chr(10)
+    || '- Маршрутизация: mixed; явно задано: 1; fallback: 2; фрагментов: ' || (doc_id % 3 + 1) || '; запросов проверки: ' || coalesce(packets, 0) || chr(10) || '- Оценочно входных токенов: ' || coalesce(tokens, 0) || chr(10)
+    || '- Ожидание rate limiter: ' || floor(coalesce(waited, 0) / 1000.0 + 0.5)::BIGINT || ' с' || chr(10) || '- Время запросов к модели: ' || floor(coalesce(took, 0) / 1000.0 + 0.5)::BIGINT || ' с' || chr(10)
+    || CASE WHEN n_chars < 1000 THEN chr(10) || '## Ограничения проверки' || chr(10) || chr(10) || '- short: ' || n_chars || chr(10) ELSE '' END AS text
+  FROM docs d LEFT JOIN loads USING (doc_id) LEFT JOIN candidates USING (doc_id)
+)
+SELECT doc_id, md5(h.text || m.text || b.text || t.text) AS text_md5, length(h.text || m.text || b.text || t.text)::BIGINT AS n_chars FROM heads h JOIN maps m USING (doc_id) JOIN middles b USING (doc_id) JOIN tails t USING (doc_id)""".replace(
+    "{verified}", W.EVIDENCE_LABELS["verified"]).replace("{coverage}", W.EVIDENCE_LABELS["coverage_verified"]).replace("{rejected}", W.EVIDENCE_LABELS["rejected"]).replace("{none}", W.NO_EVIDENCE)
+
+
+def whole_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): a report of each labelled document, its evidence from its text, its load from the conversation of its number."""
+    docs = table(spark, sf_dir, "labels").select("doc_id").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.substring("text", 1, 40).alias("_quote")), "doc_id")
+    k = F.col("doc_id")
+    core15, bad = F.col("rule_id") == "CORE-15", F.col("status") == "violation"
+    part = F.struct(
+        F.concat(F.lit("Part | "), (k % 3).cast("string")).alias("label"), (k % 4).cast("int").alias("checked"), F.lit(3).alias("total"), (k % 4 == 3).alias("complete"),
+        F.array(F.struct(F.lit("analogs").alias("name"), F.when(k % 4 > 1, "found").otherwise("not_found").alias("status")), F.struct(F.lit("prototype").alias("name"), F.lit("ambiguous").alias("status"))).alias("items"),
+    )
+    results = R.consistent(label_results(spark, sf_dir)).join(docs, "doc_id").withColumns({
+        "explanation": F.concat("rule_id", F.lit(": "), F.col("n_chars").cast("string")), "checked_by": F.when(k % 2 == 0, "llm").otherwise("detector"),
+        "evidence_status": F.when(k % 4 == 0, "verified").when(k % 4 == 1, "coverage_verified").when(k % 4 == 2, "rejected"),
+        "candidate_count": F.when(core15, 3), "checked_count": F.when(core15, (k % 4).cast("int")), "exhaustive": k % 2 == 0, "matrix": F.when(core15, F.array(part)).cast(W.MATRIX),
+        "evidence": F.when(bad, F.array(F.struct(F.lit("Документ").alias("location"), F.when(k % 5 > 0, k % 5).cast("int").alias("page"), F.col("_quote").alias("quote")))).cast(W.EVIDENCE), "fix": F.when(bad, "Исправить."),
+    })
+    rules = spark.createDataFrame([(r, f"Rule {r}", "Must hold", "core", n + 2) for n, r in enumerate(("CORE-2-1", "CORE-2-3", "CORE-15"))], "rule_id string, title string, requirement string, source_label string, source_line int")
+    meta = docs.select("doc_id", F.concat(F.lit("doc "), k.cast("string")).alias("name"), F.lit("1").alias("app_version"), F.concat(F.lit("p"), (k % 2).cast("string")).alias("provider"), F.when(k % 3 > 0, "m").alias("model"), F.lit("h").alias("prompt_hash"), F.lit(None).cast("string").alias("map_prompt_hash"))
+    n = F.length("text")
+    calls = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("doc_id"), (F.col("turn") % 3 + 1).alias("attempt"), M.token_estimate(F.col("text")).alias("est_tokens"), (n * 10).alias("wait_ms"), (n * 7).alias("duration_ms"),
+        F.when(F.col("role") == "assistant", F.floor(F.col("turn") / 2)).alias("packet"), (n % 13).alias("candidates"),
+    )
+    usage = W.call_usage(calls)
+    routing = docs.join(usage.select("doc_id", "packets"), "doc_id", "left").select("doc_id", F.lit("mixed").alias("strategy"), F.lit(1).alias("explicit_rules"), F.lit(2).alias("fallback_rules"), (k % 3 + 1).alias("fragments"), F.coalesce("packets", F.lit(0)).alias("check_requests"))
+    warnings = docs.filter("n_chars < 1000").select("doc_id", F.array(F.concat(F.lit("short: "), F.col("n_chars").cast("string"))).alias("warnings"))
+    maps = docs.select("doc_id", F.when(k % 2 == 0, "ready").otherwise("partial").alias("status"), (k % 3 == 0).alias("confirmed"), F.col("n_chars").alias("processed_blocks"), (F.col("n_chars") + 1).alias("total_blocks"))
+    each = docs.select("doc_id", F.explode(F.sequence(F.lit(0), (k % 3).cast("int"))).alias("place"))
+    at = F.col("place")
+    sections = each.select(
+        "doc_id", "place", F.when(at == 0, "appendices").otherwise("chapter").alias("type"), F.concat(F.lit("Глава "), at.cast("string")).alias("label"), F.when(at == 2, "ambiguous").otherwise("confirmed").alias("state"),
+        F.concat(F.lit("doc-b"), at.cast("string")).alias("start_block_id"), F.concat(F.lit("doc-b"), (at + 5).cast("string")).alias("end_block_id"), F.when(at == 2, F.array(F.lit(1), F.lit(2))).otherwise(F.array().cast("array<int>")).alias("pages"),
+    )
+    issues = docs.filter("doc_id % 4 = 0").select("doc_id", F.posexplode(F.array(F.lit("no goal"), F.lit("no tasks"))).alias("place", "message"))
+    return W.report_texts(W.head_lines(results, meta), W.map_lines(maps, sections, issues), W.result_lines(results, rules), W.tail_lines(meta, usage, routing, warnings))
+
+
+@query(_REPORT)
+def report_markdown(spark, sf_dir):
+    return whole_reports(spark, sf_dir).select("doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))

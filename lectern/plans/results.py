@@ -236,14 +236,20 @@ def backoff_ms(attempt: Column, jitter: Column) -> Column:
 # Reports
 
 
+def place(status: Column) -> Column:
+    """Where a report has a status, from 1."""
+    out = F.lit(None).cast("int")
+    for i, s in enumerate(STATUSES):
+        out = F.when(status == s, i + 1).otherwise(out)
+    return out
+
+
 def report_lines(results: DataFrame, rules: DataFrame, score: DataFrame) -> DataFrame:
     """(doc_id, line_no, line): a Markdown report, its statuses in fixed order and rules in catalogue order."""
-    place = F.lit(None).cast("int")
-    for i, s in enumerate(STATUSES):
-        place = F.when(F.col("status") == s, i + 1).otherwise(place)
+    at = place(F.col("status"))
     head = score.select("doc_id", F.lit(0).alias("_p"), F.lit(0).alias("_o"), F.concat(F.lit("# Document "), "doc_id", F.lit(": score "), F.coalesce(F.col("score").cast("string"), F.lit("–")), F.lit(", coverage "), F.round("coverage", 2)).alias("line"))
-    counted = results.groupBy("doc_id", "status").count().select("doc_id", place.alias("_p"), F.lit(0).alias("_o"), F.concat(F.lit("## "), "status", F.lit(": "), "count").alias("line"))
-    titles = results.join(F.broadcast(rules.select("rule_id", "title")), "rule_id").select("doc_id", place.alias("_p"), (F.col("rule_order") + 1).alias("_o"), F.concat(F.lit("- **"), "rule_id", F.lit("** "), F.replace(collapse(F.col("title")), F.lit("|"), F.lit("\\|")), F.lit(" ("), "severity", F.lit(")")).alias("line"))
+    counted = results.groupBy("doc_id", "status").count().select("doc_id", at.alias("_p"), F.lit(0).alias("_o"), F.concat(F.lit("## "), "status", F.lit(": "), "count").alias("line"))
+    titles = results.join(F.broadcast(rules.select("rule_id", "title")), "rule_id").select("doc_id", at.alias("_p"), (F.col("rule_order") + 1).alias("_o"), F.concat(F.lit("- **"), "rule_id", F.lit("** "), F.replace(collapse(F.col("title")), F.lit("|"), F.lit("\\|")), F.lit(" ("), "severity", F.lit(")")).alias("line"))
     rows = head.unionByName(counted).unionByName(titles)
     return rows.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("_p", "_o", "line")) - 1).alias("line_no"), "line")
 
