@@ -77,7 +77,7 @@ class Split(InputPartition):
         self.path, self.start, self.end, self.inside = path, start, end, inside
 
 
-def _file_system(path: str) -> tuple[fs.FileSystem, str]:
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path or an address, and the path in it."""
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
 
@@ -91,7 +91,7 @@ class DelimitedReader(DataSourceReader):
         self.inside = {tuple(x) for x in json.loads(options.get("inside", "[]"))}
 
     def partitions(self) -> list[Split]:
-        files, at = _file_system(self.path)
+        files, at = file_system(self.path)
         info = files.get_file_info(at)
         found = [info] if info.is_file else files.get_file_info(fs.FileSelector(at, recursive=True))
         out = []
@@ -102,7 +102,7 @@ class DelimitedReader(DataSourceReader):
     def read(self, split: Split) -> Iterator[tuple]:
         if not split.path:
             return
-        with _file_system(self.path)[0].open_input_file(split.path) as f:
+        with file_system(self.path)[0].open_input_file(split.path) as f:
             if self.counting:
                 yield split.path, split.start, int((self._bytes(f, split.start, split.end) == MARK).sum())
                 return

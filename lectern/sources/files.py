@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import collapse
 from lectern.sources.delimited import by_header, read_delimited
+from lectern.sources.named_files import write_named
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 PAGES = "path string, source_format string, page int, text string, warning string"
@@ -156,9 +157,10 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_reports(texts: DataFrame, path: str, column: str = "text") -> None:
-    """One text record for each report."""
-    texts.select(column).write.mode("overwrite").text(path)
+def write_reports(texts: DataFrame, path: str, key: str = "doc_id", column: str = "text", ending: str = "md") -> None:
+    """One file for each report, named by its document: ``<key>.md``. Each is there exactly once, also after tasks were lost."""
+    names = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("none")), F.lit(f".{ending}"))
+    write_named(texts.select(names.alias("name"), F.col(column).alias("content")), path)
 
 
 def append_events(events: DataFrame, path: str) -> None:
