@@ -41,10 +41,20 @@ def shared_folder(spark: SparkSession) -> str | None:
     return f"{at.path}/scratch" if at.scheme in ("", "file") else None
 
 
+#: Whether exchanges are deleted when the query that made them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(rows: DataFrame, name: str = "rows") -> DataFrame:
-    """The rows, written as Parquet under the checkpoint folder and read again: lineage ends here, in less room than a checkpoint takes."""
-    path = f"{checkpoint_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
+    """The rows, written as Parquet under the checkpoint folder and read again: lineage ends here, in less room than a checkpoint takes. The exchanges of this write are deleted when it is done, as nothing reads them again."""
+    spark = rows.sparkSession
+    path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        rows.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
