@@ -99,11 +99,12 @@ def fit_machine(x: np.ndarray, y: np.ndarray, steps: int = STEPS, c: float = 1e-
     """A linear support vector machine with squared hinge loss; y is -1 or 1, and both classes weigh alike. Features are scaled by their spread while it is fitted."""
     spread = x.std(axis=0) + 1e-4
     centre = x.mean(axis=0)
-    z = ((x - centre) / (spread * np.sqrt(x.shape[1]))).astype(np.float32)
+    z = (x - centre).astype(np.float32, copy=False)
+    z /= (spread * np.sqrt(x.shape[1])).astype(np.float32)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
     w, b = np.zeros(x.shape[1], dtype=np.float32), 0.0
     vw, vb = np.zeros_like(w), 0.0
-    rate = 0.5 / (2 * float((weight * (1 + (z * z).sum(axis=1))).sum()) + c)
+    rate = 0.5 / (2 * float((weight * (1 + np.einsum("ij,ij->i", z, z))).sum()) + c)
     for _ in range(steps):
         slack = np.maximum(0.0, 1 - y * (z @ w + b))
         g = (-2 * weight * slack * y).astype(np.float32)
@@ -199,13 +200,21 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     table = drawn.mapInArrow(_vectors, "lang string, x binary").limit(sample_all + sample_all // 4).toArrow()
     if not table.num_rows:
         return None
-    order = np.lexsort(([hash_of(v) for v in table["x"].to_pylist()], np.array(table["lang"].to_pylist(), dtype=str)))
-    langs = [table["lang"][int(i)].as_py() for i in order]
-    x = np.stack([np.frombuffer(table["x"][int(i)].as_py(), dtype=np.float32) for i in order])
-    return fit(x, langs)
+    langs = np.array(table["lang"].to_pylist(), dtype=str)
+    x = np.concatenate([matrix(c) for c in table["x"].chunks if len(c)])
+    del table  # the driver holds the vectors once
+    order = np.lexsort(([hash_of(v) for v in x], langs))
+    return fit(x[order], langs[order].tolist())
 
 
-def hash_of(blob: bytes) -> int:
+def matrix(vectors: pa.BinaryArray) -> np.ndarray:
+    """Vectors of one length as rows, without a copy."""
+    _, offsets, data = vectors.buffers()
+    at = np.frombuffer(offsets, dtype=np.int32)[vectors.offset : vectors.offset + len(vectors) + 1]
+    return np.frombuffer(data, dtype=np.float32, count=(int(at[-1]) - int(at[0])) // 4, offset=int(at[0])).reshape(len(vectors), -1)
+
+
+def hash_of(blob: bytes | np.ndarray) -> int:
     return zlib.crc32(blob)
 
 
