@@ -57,6 +57,19 @@ def facet(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(column).agg(F.count("*").alias("n"))
 
 
+def ordered_facet(rows: DataFrame, column: str, language: str = "ru") -> DataFrame:
+    """(column, n, place): categories with their places (from 0) in the order of a language's alphabet: io behind e, capitals beside small letters, hyphens as they are written. Categories are a catalogue's, so one window orders them; what the alphabet doesn't tell apart goes bytewise."""
+    counts = facet(rows, column)
+    place = F.row_number().over(Window.orderBy(F.collate(F.col(column), language), F.col(column))) - 1
+    return counts.withColumn("place", place)
+
+
+def search_words(rows: DataFrame, text_cols: tuple[str, ...], query: str, language: str = "ru") -> DataFrame:
+    """Rows that contain the query in any case, as the language folds it."""
+    text = F.collate(F.concat_ws(" ", *text_cols), f"{language}_CI")
+    return rows.filter(F.contains(text, F.collate(F.lit(query), f"{language}_CI")))
+
+
 def status_facet(results: DataFrame, statuses: tuple[str, ...]) -> DataFrame:
     """(status, place, n) in fixed order, with zeros."""
     dim = results.sparkSession.createDataFrame([(s, i) for i, s in enumerate(statuses)], "status string, place int")

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.folders import shared_folder
 from lectern.functions.text import STOP_WORDS, compact, norm_text, tokens
 from lectern.operators import blocks as B
 from lectern.operators import detectors as D
@@ -21,11 +22,13 @@ from lectern.operators import terms as T
 from lectern.operators.containment import texts_with_quotes
 from lectern.operators.ranges import blocks_in_ranges, in_any_range
 from lectern.plans import checking as C
+from lectern.plans import extraction as E
 from lectern.plans import jobs as J
 from lectern.plans import report as W
 from lectern.plans import results as R
 from lectern.plans import routing as P
 from lectern.plans import theses
+from lectern.sources import delimited as Z
 from lectern.sources.files import spread, user_rules
 from lectern.streaming import jobs as L
 
@@ -844,3 +847,30 @@ def whole_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_REPORT)
 def report_markdown(spark, sf_dir):
     return whole_reports(spark, sf_dir).select("doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
+
+
+@query("SELECT doc_id::VARCHAR AS doc_id, lang, md5(text) AS text_md5, length(text)::BIGINT AS n_chars FROM documents")
+def delimited_round_trip(spark, sf_dir):
+    """The documents as delimited text, with their line ends and marks in quotes, written and read again in splits of a megabyte."""
+    out = shared_folder(spark, "delimited")
+    Z.delimited_text(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).write.text(out)
+    f = Z.read_delimited(spark, out, split_bytes=1 << 20)
+    return f.select(F.get("fields", F.lit(0)).alias("doc_id"), F.get("fields", F.lit(1)).alias("lang"), F.get("fields", F.lit(2)).alias("text")).select("doc_id", "lang", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
+
+
+@query("""
+WITH marked AS (SELECT doc_id, text, bool_or(doc_id % 2 = 0) OVER (PARTITION BY text) AS early FROM documents),
+runs AS (SELECT count(DISTINCT text) FILTER (early) AS first_run, count(DISTINCT text) FILTER (NOT early) AS second_run FROM marked)
+SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS n_lines, CASE WHEN early THEN 1 ELSE 2 END AS run, first_run::BIGINT AS first_run, second_run::BIGINT AS second_run, 0::BIGINT AS third_run FROM marked, runs""")
+def extract_ledger(spark, sf_dir):
+    """Three runs over one ledger: the documents of even number, all, and all again, which extracts nothing."""
+    path = shared_folder(spark, "ledger")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+
+    def lines_of(run: int):
+        return lambda rows: rows.select("key", F.size(F.split("content", "\n")).cast("long").alias("n_lines"), F.lit(run).alias("run"))
+
+    _, first = E.extracted(docs.filter("doc_id % 2 = 0"), path, "v1", lines_of(1))
+    _, second = E.extracted(docs, path, "v1", lines_of(2))
+    rows, third = E.extracted(docs, path, "v1", lines_of(3))
+    return rows.select("doc_id", "n_lines", "run", *(F.lit(n).cast("long").alias(f"{name}_run") for name, n in (("first", first), ("second", second), ("third", third))))

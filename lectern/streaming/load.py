@@ -24,3 +24,8 @@ def arriving_blocks(spark: SparkSession, folder: str, separator: str = r"\n") ->
 def call_load(calls: DataFrame, by: str, late: str = "2 minutes", slide: str = "10 seconds") -> DataFrame:
     """(window, by, n_calls, tokens) over 60 seconds; calls later than ``late`` are left out."""
     return calls.withWatermark("at", late).groupBy(F.window("at", "60 seconds", slide), by).agg(F.count("*").alias("n_calls"), F.sum("tokens").alias("tokens"))
+
+
+def fresh_uploads(uploads: DataFrame, late: str = "1 hour", keys: tuple[str, ...] = ("name", "size")) -> DataFrame:
+    """The stream of uploads (with ``at``, their time) without those that repeat within ``late``, in whatever batch they come; of each the first that is read stays. The state holds a key no longer than that."""
+    return uploads.withWatermark("at", late).dropDuplicatesWithinWatermark(list(keys))
