@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.cutting import Trie, cut_tokens
 from lectern.functions.text import collapse, context_quote, explode_matches, pattern
 
 #: Known terms: kind, whether they need an expansion and a Russian explanation (fixed values).
@@ -175,13 +177,13 @@ TITLE_EXCLUDED = r"(?iu)(?:министерств|университет|инс
 COMMON = ("и", "в", "на", "с", "по", "для", "из", "к", "о", "об", "от", "до", "при", "без", "под", "над", "между", "основе")
 
 
-def title_windows(b: DataFrame, most: int = 3, restore=None, plain: bool = False) -> DataFrame:
-    """(doc_id, block_pos, line_idx, n_lines, text): every run of 1 to ``most`` lines of a block, and the whole block (line_idx -1). A line without a Cyrillic letter or with a Latin one is in no run, and a whole block with a Latin one is none, unless the lines are taken as they are (``plain``). ``restore`` cuts joined words of lines."""
+def title_windows(b: DataFrame, most: int = 3, lexicons: DataFrame | None = None, plain: bool = False) -> DataFrame:
+    """(doc_id, block_pos, line_idx, n_lines, text): every run of 1 to ``most`` lines of a block, and the whole block (line_idx -1). A line without a Cyrillic letter or with a Latin one is in no run, and a whole block with a Latin one is none, unless the lines are taken as they are (``plain``). With ``lexicons`` joined words of lines are cut."""
     cleaned = lambda x: collapse(F.translate(x, "­", ""))
     whole = cleaned(F.regexp_replace("text", r"\n+", " "))
     lines = b.select("doc_id", "block_pos", whole.alias("_w"), F.posexplode(F.split("text", r"\n+")).alias("_i", "_t")).withColumn("_t", cleaned(F.col("_t")))
-    if restore is not None:
-        lines = lines.withColumn("_t", restore(F.col("_t"))).withColumn("_w", restore(F.col("_w")))
+    if lexicons is not None:
+        lines = restored(lines, lexicons, ("_t", "_w"))
     lines = lines.filter("_t <> ''").groupBy("doc_id", "block_pos", "_w").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_t"))), lambda x: x["_t"]).alias("_l"))
     good = lambda x: F.lit(True) if plain else x.rlike("[А-ЯЁа-яё]") & ~x.rlike("[A-Za-z]")
 
@@ -208,10 +210,9 @@ def title_score(text: Column, hint: str | None = TITLE_HINT, excluded: str | Non
     return F.when(bad, -1).otherwise(score)
 
 
-def best_titles(b: DataFrame, counts: dict[str, int] | None = None, plain: bool = False, **patterns) -> DataFrame:
-    """(doc_id, block_pos, text, score): the window of the greatest score, then length, then place. With ``counts`` (a lexicon) joined words are cut before they are scored."""
-    restore = None if counts is None else (lambda t: restored(t, counts))
-    rows = title_windows(b, restore=restore, plain=plain).withColumn("score", title_score(F.col("text"), **patterns)).filter("score >= 0")
+def best_titles(b: DataFrame, lexicons: DataFrame | None = None, plain: bool = False, **patterns) -> DataFrame:
+    """(doc_id, block_pos, text, score): the window of the greatest score, then length, then place. With ``lexicons`` joined words are cut before they are scored."""
+    rows = title_windows(b, lexicons=lexicons, plain=plain).withColumn("score", title_score(F.col("text"), **patterns)).filter("score >= 0")
     w = Window.partitionBy("doc_id").orderBy(F.desc("score"), F.desc(F.length("text")), "block_pos", "line_idx", "n_lines")
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("doc_id", "block_pos", "text", "score")
 
@@ -247,19 +248,61 @@ def segment(token: str, counts: dict[str, int], common: frozenset[str] = frozens
     return joined[0].upper() + joined[1:] if token[0].isupper() else joined
 
 
-def restored(text: Column, counts: dict[str, int], common: tuple[str, ...] = COMMON) -> Column:
-    """Texts with long joined words cut again; only whole tokens between spaces are. Dynamic programming has no built-in form, so Arrow batches go to Python; ``counts`` is a lexicon of bounded size."""
-    import re
+LONG_TOKEN = r"(?<!\S)[А-ЯЁа-яё]{12,}(?!\S)"
+_WORDS = "array<struct<word:string,n:bigint>>"
+
 
-    import pandas as pd
+def document_lexicons(b: DataFrame, by: str = "doc_id", word: str = "[А-ЯЁа-яё]{2,30}") -> DataFrame:
+    """(by, words): the words of each document that a cut may use, with their counts, in an array of (word, n): those of four letters and more, and common ones, which count 20 at least, even where they are absent. A document's lexicon is no longer than its text."""
+    joined = F.regexp_replace("text", "([А-ЯЁа-яё])\\x{00AD}?\\s*\\n\\s*([А-ЯЁа-яё])", "$1$2")
+    words = b.select(by, F.explode(F.regexp_extract_all(joined, F.lit(word), F.lit(0))).alias("w")).select(by, F.lower("w").alias("word"))
+    counts = words.filter(F.length("word") >= 4).groupBy(by, "word").agg(F.count("*").alias("n"))
+    return counts.groupBy(by).agg(F.collect_list(F.struct("word", "n")).cast(_WORDS).alias("words"))
 
-    known = frozenset(common)
 
-    @F.pandas_udf("string")
-    def cut(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else re.sub(r"(?<!\S)[А-ЯЁа-яё]{12,}(?!\S)", lambda m: segment(m[0], counts, known) or m[0], t))
+def _cut_texts(columns: tuple[str, ...], regex: str, common: tuple[str, ...]):
+    """Rows whose last columns are the document and its words: the long tokens of a batch are cut together, by one trie with a root for each document."""
+    import re
 
-    return cut(text)
+    long_token = re.compile(regex)
+
+    def run(batches):
+        for batch in batches:
+            docs, lexicons = (batch.column(batch.num_columns - k).to_pylist() for k in (2, 1))
+            roots: dict[object, int] = {}
+            words: list[tuple[int, str, int, bool]] = []
+            for doc, own in zip(docs, lexicons, strict=True):
+                if doc in roots:
+                    continue
+                root = roots.setdefault(doc, len(roots))
+                counts = {w["word"]: w["n"] for w in own or ()}
+                words += [(root, w, max(n, 20) if w in common else n, w in common) for w, n in counts.items()]
+                words += [(root, w, 20, True) for w in common if w not in counts]
+            texts = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns}
+            asked = sorted({(roots[d], t) for c in columns for d, text in zip(docs, texts[c], strict=True) if text for t in long_token.findall(text)})
+            cut = dict(zip(asked, cut_tokens(Trie(words, len(roots)), [t for _, t in asked], [g for g, _ in asked]), strict=True))
+            cols = list(batch.columns[:-2])
+            for c in columns:
+                made = [None if t is None else long_token.sub(lambda m, g=roots[d]: cut[g, m[0]] or m[0], t) for d, t in zip(docs, texts[c], strict=True)]
+                cols[batch.schema.get_field_index(c)] = pa.array(made, pa.string())
+            yield pa.RecordBatch.from_arrays(cols, batch.schema.names[:-2])
+
+    return run
+
+
+def restored(rows: DataFrame, lexicons: DataFrame, columns: tuple[str, ...] = ("text",), by: str = "doc_id", regex: str = LONG_TOKEN, common: tuple[str, ...] = COMMON) -> DataFrame:
+    """The rows, with joined words in ``columns`` cut by their document's lexicon (see ``document_lexicons``).
+
+    Only whole tokens that ``regex`` finds are cut. Rows without one stay as they
+    are, and never meet a lexicon; rows of a document without words are cut by the
+    common ones. Nulls stay.
+    """
+    wants = F.lit(False)
+    for c in columns:
+        wants = wants | F.coalesce(F.col(c).rlike(regex), F.lit(False))
+    some = rows.filter(wants).join(lexicons.select(F.col(by).alias("_by"), F.col("words").alias("_words")), F.col(by) == F.col("_by"), "left")
+    some = some.select(*[F.col(f"`{c}`") for c in rows.columns], F.col(by).alias("_doc"), F.col("_words").cast(_WORDS).alias("_lexicon"))
+    return rows.filter(~wants).unionByName(some.mapInArrow(_cut_texts(columns, regex, common), rows.schema))
 
 
 def numbered_items(b: DataFrame) -> DataFrame:
