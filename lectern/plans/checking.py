@@ -67,6 +67,89 @@ FIXES = {
     ("results-word", 0): "Использовать «выводы».",
 }
 DEFAULT_FIX = "Исправить найденные фрагменты в соответствии с требованием."
+#: What a check says by its status, and what to do about a violation (fixed values). Patterns say their rule's requirement.
+SAID = {
+    ("title-length", "uncertain"): "Название работы не удалось надёжно извлечь.",
+    ("personal-pronouns", "pass"): "В русскоязычном основном тексте не обнаружены отдельные формы «я», «мы», «наш». Составные слова и переносы PDF исключены.",
+    ("praise-claims", "pass"): "Необоснованные восторженные оценки не обнаружены; статистические сочетания вроде «число уникальных запросов» исключены.",
+    ("yo-letter", "violation"): "Найдены конкретные слова, в которых нормативно требуется буква «ё».",
+    ("yo-letter", "pass"): "Конкретные словарные формы с пропущенной буквой «ё» не обнаружены.",
+    ("quote-consistency", "pass"): "В русскоязычном основном тексте не обнаружено смешения нескольких типов кавычек.",
+    ("numbered-list-capitalization", "violation"): "Нумерованный пункт начинается со строчной буквы.",
+    ("numbered-list-capitalization", "pass"): "Высокоуверенные случаи начала нумерованного пункта со строчной буквы не обнаружены.",
+    ("numbered-list-ending", "violation"): "Пункт нумерованного списка заканчивается точкой с запятой.",
+    ("numbered-list-ending", "pass"): "Явных нарушений окончания пунктов не обнаружено.",
+    ("bullet-list-ending", "violation"): "Пункт списка не имеет требуемого завершающего знака.",
+    ("bullet-list-ending", "pass"): "Явных нарушений окончания пунктов не обнаружено.",
+    ("small-numerals", "violation"): "В связном тексте обнаружено числительное от нуля до девяти, записанное цифрой в высокоуверенном языковом контексте.",
+    ("small-numerals", "pass"): "Высокоуверенные случаи записи числительных от нуля до девяти цифрами не обнаружены.",
+    ("defense-punctuation", "uncertain"): "Положения на защиту не удалось выделить как целые нумерованные пункты.",
+    ("defense-punctuation", "violation"): "Найдено положение с неверной прописной буквой или завершающим знаком.",
+    ("defense-symbols", "uncertain"): "Положения на защиту не удалось выделить как целые нумерованные пункты.",
+    ("defense-symbols", "violation"): "В положениях обнаружены аббревиатуры, метрики или математические обозначения.",
+    ("defense-symbols", "pass"): "В распознанных положениях аббревиатуры и математические обозначения не обнаружены.",
+    ("dash-spacing", "pass"): "Высокоуверенные нарушения различия тире и дефиса не обнаружены.",
+    ("dash-spacing", "uncertain"): "В текстовом слое PDF найдены возможные нарушения оформления тире, но PDF может терять пробелы и переносить слова. Требуется визуальная проверка или исходный DOCX.",
+    ("dash-spacing", "violation"): "В DOCX обнаружено тире без требуемых пробелов либо дефис, использованный вместо тире.",
+    ("spacing", "uncertain"): "В текстовом слое PDF знак процента местами прилегает к числу, но извлечение PDF может терять пробелы. Требуется визуальная проверка или DOCX.",
+    ("spacing", "pass"): "Высокоуверенные нарушения пробелов после инициалов и перед знаком процента не обнаружены.",
+    ("terms:headings", "violation"): "В названии, оглавлении или заголовке обнаружены аббревиатуры.",
+    ("terms:headings", "pass"): "В распознанных названиях, оглавлении и заголовках аббревиатуры не обнаружены.",
+    ("defense-section", "violation"): "Отдельный раздел с положениями, выносимыми на защиту, не распознан.",
+    ("chapter-heading-order", "violation"): "Обнаружен заголовок вида «1 Глава».",
+    ("chapter-heading-order", "pass"): "Заголовки вида «1 Глава» не обнаружены.",
+    ("reference-order-no-see", "violation"): "Обнаружена ссылка «см. рис.» либо рисунок без предшествующей ссылки.",
+    ("reference-order-no-see", "uncertain"): "Явные конструкции «см. рис.» и нарушения порядка в распознанном текстовом слое не обнаружены; визуальное положение рисунка требует просмотра PDF.",
+    ("chapters-new-page", "violation"): "Заголовок главы расположен не в начале страницы.",
+    ("chapters-new-page", "pass"): "Распознанные заголовки глав находятся в начале страниц.",
+    ("heading-format", "violation"): "Обнаружен заголовок или подпись с неверной точкой после номера либо лишней точкой в конце.",
+    ("heading-format", "pass"): "Явных нарушений формата распознанных заголовков и подписей не обнаружено.",
+    ("reference-order", "violation"): "Для объекта не найдена предшествующая ссылка в пределах текущего раздела документа.",
+    ("reference-order", "pass"): "Для распознанных подписей найдены предшествующие ссылки в соответствующих разделах.",
+    ("caption-format", "violation"): "Подпись рисунка или название таблицы заканчивается точкой.",
+    ("caption-format", "uncertain"): "Точки в конце подписей не обнаружены, но положение подписи относительно объекта по текстовому слою не проверяется.",
+    ("formula-numbering", "violation"): "В том же извлечённом блоке знак препинания расположен после номера формулы.",
+    ("chapter-conclusions", "violation"): "Для главы не найдены выводы, оформленные нумерованным списком.",
+    ("chapter-conclusions", "pass"): "Для распознанных глав найдены выводы с нумерованными пунктами.",
+    ("uncited", "pass"): "Для всех распознанных источников найдены ссылки в основном тексте, включая номера внутри диапазонов.",
+    ("code-explanation", "violation"): "Для фрагмента кода не найдено предшествующее описание.",
+    ("code-explanation", "pass"): "Для распознанных фрагментов кода найдено описание.",
+    ("initials", "violation"): "В библиографии обнаружены инициалы перед фамилией.",
+    ("initials", "pass"): "Инициалы перед фамилиями не обнаружены.",
+    ("final-periods", "violation"): "В конце заголовка или подписи стоит точка.",
+    ("final-periods", "pass"): "В распознанных заголовках и подписях лишние точки не обнаружены.",
+}
+PATTERN_PASSES = "Детерминированный поиск не обнаружил высокоуверенных совпадений с запрещённым шаблоном."
+FIX_OF = {
+    "title-length": "Сократить название, сохранив объект и результат работы.",
+    "personal-pronouns": "Переформулировать безлично: «в работе предложено», «автором разработано» — если это не искажает смысл.",
+    "praise-claims": "Заменить оценку измеримым сравнением с прототипом или нейтральным утверждением.",
+    "yo-letter": "Заменить указанную форму на вариант с буквой «ё».",
+    "quote-consistency": "Выбрать один тип кавычек и применить его к русскоязычному основному тексту.",
+    "numbered-list-capitalization": "Начать пункт с прописной буквы.",
+    "numbered-list-ending": "Исправить окончания пунктов.",
+    "bullet-list-ending": "Исправить окончания пунктов.",
+    "small-numerals": "Записать числительное словом либо подтвердить, что это специальное обозначение.",
+    "defense-punctuation": "Начать положение с прописной буквы и завершить точкой.",
+    "defense-symbols": "Раскрыть обозначения словами.",
+    "dash-spacing": "Использовать среднее тире «–» с пробелами; дефис оставлять только внутри составных слов.",
+    "terms:headings": "Раскрыть термин в заголовке или заменить аббревиатуру полным названием.",
+    "defense-section": "Добавить отдельный раздел с положениями на защиту.",
+    "chapter-heading-order": "Использовать порядок «Глава 1».",
+    "reference-order-no-see": "Сослаться на рисунок до его размещения и убрать «см.».",
+    "chapters-new-page": "Перенести начало главы на новую страницу.",
+    "heading-format": "Исправить нумерацию и убрать точку в конце названия.",
+    "reference-order": "Добавить ссылку на рисунок или таблицу до объекта.",
+    "caption-format": "Убрать точку в конце подписи или названия.",
+    "formula-numbering": "Перенести знак перед номером формулы.",
+    "chapter-conclusions": "Представить выводы по каждой главе нумерованным списком.",
+    "uncited": "Добавить ссылки либо удалить неиспользованные записи.",
+    "code-explanation": "Перед кодом объяснить его назначение.",
+    "initials": "Переставить инициалы после фамилии.",
+    "final-periods": "Убрать точку.",
+}
+#: Names of quotation styles (fixed values).
+STYLE_NAMES = {"guillemets": "ёлочки", "english": "английские двойные", "low": "лапки", "straight": "прямые двойные"}
 #: Checks of structure by rule (fixed values); abbreviations come in variants.
 STRUCTURAL_OF = {
     "CORE-4-1": "terms:expansion", "SOFT-056": "terms:expansion", "SOFT-151": "terms:expansion", "CORE-4-2": "terms:headings", "SOFT-077": "terms:headings",
@@ -281,14 +364,37 @@ def structural_outcomes(docs: DataFrame, b: DataFrame, fields: DataFrame, items:
     return together(parts)
 
 
-def check_catalogue(docs: DataFrame, b: DataFrame, rules: DataFrame, titles: DataFrame, sections: DataFrame, known: DataFrame, keep=lambda rows: rows) -> DataFrame:
-    """(doc_id, rule_id, check_id, status, confidence, fix, evidence) of every document and every rule that a detector or a check of structure answers.
+def counted_texts(docs: DataFrame, narrative: DataFrame, items: DataFrame, titles: DataFrame) -> DataFrame:
+    """(doc_id, check_id, status, said): explanations that name what was counted or found."""
+    n = D.title_length(docs.select("doc_id").join(titles.select("doc_id", "text"), "doc_id", "left")).filter("n_words is not null")
+    words = F.col("n_words").cast("string")
+    title = n.select("doc_id", F.lit("title-length").alias("check_id"), "status", F.when(F.col("status") == "violation", F.concat(F.lit("В названии "), words, F.lit(" слов, что превышает рекомендуемый предел 13."))).otherwise(F.concat(F.lit("В названии "), words, F.lit(" слов — не более 13."))).alias("said"))
+    place = F.create_map(*(x for k, (name, _) in enumerate(D.QUOTES) for x in (F.lit(name), F.lit(k))))[F.col("style")]
+    styles = D.quote_styles(narrative).filter("n_styles > 1").withColumn("_s", F.struct("block_pos", place.alias("place"), _lookup(STYLE_NAMES, F.col("style")).alias("name")))
+    named = F.array_join(F.transform(F.array_sort(F.collect_list("_s")), lambda x: x["name"]), ", ")
+    mixed = styles.groupBy("doc_id").agg(named.alias("_n")).select("doc_id", F.lit("quote-consistency").alias("check_id"), F.lit("violation").alias("status"), F.concat(F.lit("В русскоязычном основном тексте обнаружено несколько типов кавычек: "), "_n", F.lit(".")).alias("said"))
+    whole = items.groupBy("doc_id").agg(F.count("*").cast("string").alias("_n")).select("doc_id", F.lit("defense-punctuation").alias("check_id"), F.lit("pass").alias("status"), F.concat(F.lit("Все "), "_n", F.lit(" распознанных положений начинаются с прописной буквы и заканчиваются точкой.")).alias("said"))
+    return together([title, mixed, whole])
+
+
+def explained(found: DataFrame, said: DataFrame, asked: DataFrame) -> DataFrame:
+    """Outcomes of rules with explanation and fix: what was counted, what the check says by its status, or, of patterns, the rule's requirement."""
+    says = F.create_map(*(F.lit(x) for (check, status), text in SAID.items() for x in (f"{check}|{status}", text)))[F.concat_ws("|", "check_id", "status")]
+    bad, pack = F.col("status") == "violation", F.col("check_id").isin(*FIXES_CHECKS)
+    text = F.coalesce("said", says, F.when(bad, F.col("requirement")), F.when(pack & (F.col("status") == "pass"), F.lit(PATTERN_PASSES)))
+    rows = found.join(said, ["doc_id", "check_id", "status"], "left").join(F.broadcast(asked.select("rule_id", "check_id", "requirement")), "check_id")
+    fix = F.when(bad, F.coalesce(_lookup(FIX_OF, F.col("check_id")), F.col("fix")))
+    return rows.select("doc_id", "rule_id", "check_id", "status", "confidence", text.alias("explanation"), fix.alias("fix"), "evidence")
+
+
+def check_catalogue(docs: DataFrame, b: DataFrame, rules: DataFrame, titles: DataFrame, sections: DataFrame, known: DataFrame, keep=lambda rows: rows, structural: bool = True) -> DataFrame:
+    """(doc_id, rule_id, check_id, status, confidence, explanation, fix, evidence) of every document and every rule that a detector or a check of structure answers.
 
     ``b`` are blocks (see ``blocks.blocks``), best a written table, as the checks
     read them one by one, and ``keep`` does the same for what is derived from them
     (a table that is written, or ``DataFrame.persist``); ``rules`` have rule_id, mode,
     detector_id, category and requirement (see ``routing.with_meta``); ``titles`` are (doc_id, block_pos,
-    block_id, page, type, text).
+    block_id, page, type, text). Without ``structural`` only detectors are run.
     """
     fields = keep(B.fields(b))
     bib = fields.filter("field = 'bibliography'")
@@ -300,11 +406,12 @@ def check_catalogue(docs: DataFrame, b: DataFrame, rules: DataFrame, titles: Dat
     # three plans and not one: the optimizer looks at a whole plan again after each of its stages
     found = keep(pattern_outcomes(docs, S.scoped(b, fields, titles, narrative)))
     found = found.unionByName(keep(special_outcomes(docs, narrative, items, titles, paged)))
-    found = found.unionByName(keep(structural_outcomes(docs, b, fields, items, titles, sections, wide, paged, known)))
+    if structural:
+        found = found.unionByName(keep(structural_outcomes(docs, b, fields, items, titles, sections, wide, paged, known)))
     asked = rules.withColumn("check_id", check_of(F.col("rule_id"), F.col("mode"), F.col("detector_id"), F.col("category"), F.col("requirement"))).filter("check_id is not null")
     ids = [c for c in sorted({*FIXES_CHECKS, *SPECIAL, *STRUCTURAL_OF.values(), *BIBLIOGRAPHY_BY_ID.values(), "terms:any", "unresolved", "none"})]
     asked = asked.withColumn("check_id", F.when(F.col("check_id").isin(*ids), F.col("check_id")).otherwise("none"))
-    return found.join(F.broadcast(asked.select("rule_id", "check_id")), "check_id").select("doc_id", "rule_id", "check_id", "status", "confidence", "fix", "evidence")
+    return explained(found, counted_texts(docs, narrative, items, titles), asked)
 
 
 FIXES_CHECKS = tuple(sorted({s[0] for s in D.PACK}))
