@@ -13,6 +13,7 @@ summed by document, for all machines at once.
 from __future__ import annotations
 
 import itertools
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -186,7 +187,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, sample_all: int = SAMPLE_ALL) -> Model | None:
-    """Fit on a sample of about ``sample`` rows of a language and ``sample_all`` in all, taken by a hash of id and text among rows with a text and a language; of more than a quarter above that some are left out. Whole texts are read; the driver gets one vector of fixed length for each sampled row. None without any such row."""
+    """Fit on a sample of about ``sample`` rows of a language and ``sample_all`` in all, taken by a hash of id and text among rows with a text and a language; of more than a quarter above that some are left out. Whole texts are read; one task gets a vector of fixed length for each sampled row and fits the model, which is all that the driver gets. None without any such row."""
     ready(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample_all).collect()}
@@ -197,14 +198,20 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, each / n))).otherwise(share)
     drawn = rows.filter(F.pmod(F.xxhash64("id", "text", F.lit("language")), F.lit(2**53)) < share * 2**53)
-    table = drawn.mapInArrow(_vectors, "lang string, x binary").limit(sample_all + sample_all // 4).toArrow()
-    if not table.num_rows:
-        return None
-    langs = np.array(table["lang"].to_pylist(), dtype=str)
-    x = np.concatenate([matrix(c) for c in table["x"].chunks if len(c)])
-    del table  # the driver holds the vectors once
-    order = np.lexsort(([hash_of(v) for v in x], langs))
-    return fit(x[order], langs[order].tolist())
+    vectors = drawn.mapInArrow(_vectors, "lang string, x binary").limit(sample_all + sample_all // 4)
+    models = vectors.mapInArrow(_fitted, "model binary").collect()
+    return pickle.loads(models[0]["model"]) if models else None
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows (a bounded sample, in one partition), fitted in a task, so that the driver never holds the vectors. Nothing without rows."""
+    parts = [(b.column(0).to_pylist(), matrix(b.column(1)).copy()) for b in batches if b.num_rows]
+    if parts:
+        langs = np.array([lang for some, _ in parts for lang in some], dtype=str)
+        x = np.concatenate([m for _, m in parts])
+        del parts
+        order = np.lexsort(([hash_of(v) for v in x], langs))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(x[order], langs[order].tolist()))], pa.binary())], ["model"])
 
 
 def matrix(vectors: pa.BinaryArray) -> np.ndarray:
