@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrays import ragged
 from .session import ready, width
 
 SAMPLE = 8192
@@ -39,6 +40,8 @@ TARGET = 0.95
 IN_CELL = 50
 BLOCK = 4096
 QUERIES = 256
+#: Pairs of a query and a cell that a task holds at once, and how far beyond the nearest pair a run of cells is taken, as a share of all distances.
+PAIRS, STEP = 1 << 20, 1 / 128
 
 
 @dataclass
@@ -61,22 +64,48 @@ class Index:
         a, b = self.distances(x)
         return a.argmin(axis=1) * len(self.second) + b.argmin(axis=1)
 
-    def visited(self, a: np.ndarray, b: np.ndarray, least: int) -> list[int]:
-        """The cells of one query, nearest first, until they hold ``least`` entries."""
+    def visited(self, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+        """The cells of one query, nearest first, until they hold ``least`` entries; empty cells are left out.
+
+        The heap holds one entry for each centroid of the first half: the sum of its
+        next pair. A pop takes the whole run of pairs of that centroid up to ``STEP``
+        beyond the sum, so cells come as arrays; in the end they are put in order, as
+        a heap of single pairs would give them.
+        """
         left, right = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
-        width_ = len(b)
-        heap, seen, out, held = [(a[left[0]] + b[right[0]], 0, 0)], {(0, 0)}, [], 0
+        low, high = a[left], b[right]
+        held_by = np.cumsum(self.counts.reshape(len(a), len(b))[np.ix_(left, right)], axis=1)
+        step = max(float(low[-1] + high[-1] - low[0] - high[0]) * STEP, 1e-300)
+        heap = [(low[0] + high[0], 0, 0)]  # (sum of the next pair, centroid, its place in the other half)
+        runs, held, opened = [], 0, 1
         while heap and held < least:
-            _, i, j = heapq.heappop(heap)
-            cell = int(left[i]) * width_ + int(right[j])
-            if self.counts[cell]:
-                out.append(cell)
-                held += int(self.counts[cell])
-            for p in ((i + 1, j), (i, j + 1)):
-                if p[0] < len(a) and p[1] < len(b) and p not in seen:
-                    seen.add(p)
-                    heapq.heappush(heap, (a[left[p[0]]] + b[right[p[1]]], *p))
-        return out
+            total, i, j = heapq.heappop(heap)
+            if j == 0 and opened < len(a):  # the next centroid can't be nearer than this one was
+                heapq.heappush(heap, (low[opened] + high[0], opened, 0))
+                opened += 1
+            to = max(j + 1, int(np.searchsorted(high, total + step - low[i], "right")))
+            runs.append((i, j, to))
+            held += int(held_by[i, to - 1] - (held_by[i, j - 1] if j else 0))
+            if to < len(b):
+                heapq.heappush(heap, (low[i] + high[to], i, to))
+        if not runs:
+            return np.zeros(0, np.int64)
+        bound = heap[0][0] if heap else np.inf
+        # what is taken may lie behind pairs that still wait: these come in too, up to the last that is needed
+        rows, firsts, ends = (np.array(r, dtype=np.int64) for r in zip(*runs, strict=True))
+        last = float((low[rows] + high[ends - 1]).max())
+        if last > bound:
+            more = [(i, j, int(np.searchsorted(high, last - low[i], "right"))) for _, i, j in heap] + [(i, 0, int(np.searchsorted(high, last - low[i], "right"))) for i in range(opened, len(a))]
+            more = [r for r in more if r[2] > r[1]]
+            if more:
+                rows, firsts, ends = (np.concatenate((x, np.array(y, dtype=np.int64))) for x, y in zip((rows, firsts, ends), zip(*more, strict=True), strict=True))
+        i, j = np.repeat(rows, ends - firsts), ragged(firsts, ends - firsts)
+        cells, sums = left[i] * len(b) + right[j], low[i] + high[j]
+        some = self.counts[cells] > 0
+        i, j, cells, sums = i[some], j[some], cells[some], sums[some]
+        order = np.lexsort((j, i, sums))
+        cells = cells[order]
+        return cells[: int(np.searchsorted(np.cumsum(self.counts[cells]), least)) + 1]
 
 
 def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -114,7 +143,7 @@ def fit(sample: np.ndarray, k: int, neighbours: int, target: float = TARGET) ->
         d = squared(sample[i : i + 1], sample)[0]
         d[i] = np.inf
         true = np.argpartition(d, neighbours)[:neighbours]
-        order = np.array(index.visited(a[row], b[row], n))
+        order = index.visited(a[row], b[row], n)
         place = np.empty(len(index.counts), dtype=np.int64)
         place[order] = np.cumsum(index.counts[order])
         needed.append(place[cell[true]] / n)
@@ -181,6 +210,38 @@ def _blocks(index: Index, dim: int, block: int):
     return run
 
 
+def bounded(index: Index, a: np.ndarray, c: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, cell) pairs of queries, in runs of at most PAIRS pairs or of one query."""
+    own, cells, held = [], [], 0
+    for q in range(len(a)):
+        found = index.visited(a[q], c[q], least)
+        if own and held + len(found) > PAIRS:
+            yield np.concatenate(own), np.concatenate(cells)
+            own, cells, held = [], [], 0
+        own.append(np.full(len(found), q, dtype=np.int32))
+        cells.append(found.astype(np.int32))
+        held += len(found)
+    if own:
+        yield np.concatenate(own), np.concatenate(cells)
+
+
+def packed(index: Index, ids: np.ndarray, x: np.ndarray, own: np.ndarray, cells: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket that one of the queries visits: the queries, and their cells in it."""
+    salts = index.salts[cells]
+    bucket = np.repeat(index.bucket[cells], salts) + ragged(np.zeros(len(cells), np.int64), salts)
+    own, cells = np.repeat(own, salts), np.repeat(cells, salts)
+    order = np.argsort(bucket, kind="stable")
+    bucket, own, cells = bucket[order], own[order], cells[order]
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)])) if len(bucket) else np.zeros(1, np.int64)
+    qids, pairs, xs = [], [], []
+    for k in range(len(cuts) - 1):
+        used, place = np.unique(own[cuts[k] : cuts[k + 1]], return_inverse=True)
+        qids.append(ids[used].astype(np.int64).tobytes())
+        pairs.append(np.stack([place.astype(np.int32), cells[cuts[k] : cuts[k + 1]]], axis=1).tobytes())
+        xs.append(x[used].tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array(qids, pa.binary()), pa.array(pairs, pa.binary()), pa.array(xs, pa.binary())], ["bucket", "qids", "qcells", "qxs"])
+
+
 def _walk(index: Index, dim: int, least: int):
     """Blocks of queries for every bucket that one of them visits. ``cells`` holds (query, cell) pairs."""
 
@@ -191,20 +252,8 @@ def _walk(index: Index, dim: int, least: int):
                 x = matrix(some.column(1), dim)
                 ids = some.column(0).to_numpy(zero_copy_only=False)
                 a, c = index.distances(x)
-                pairs: dict[int, list[tuple[int, int]]] = {}
-                for q in range(len(ids)):
-                    for cell in index.visited(a[q], c[q], least):
-                        for bucket in range(index.bucket[cell], index.bucket[cell] + index.salts[cell]):
-                            pairs.setdefault(int(bucket), []).append((q, cell))
-                buckets, qids, cells, xs = [], [], [], []
-                for bucket, own in pairs.items():
-                    own = np.array(own, dtype=np.int32)
-                    used, own[:, 0] = np.unique(own[:, 0], return_inverse=True)
-                    buckets.append(bucket)
-                    qids.append(ids[used].astype(np.int64).tobytes())
-                    cells.append(own.tobytes())
-                    xs.append(x[used].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(qids, pa.binary()), pa.array(cells, pa.binary()), pa.array(xs, pa.binary())], ["bucket", "qids", "qcells", "qxs"])
+                for own, cells in bounded(index, a, c, least):
+                    yield packed(index, ids, x, own, cells)
 
     return run
 
