@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,17 +47,17 @@ def normalize(text: Column) -> Column:
     return F.regexp_replace(t, r"^\s+|\s+\z", "")
 
 
-def nfc(text: Column) -> Column:
-    """Canonical composition. Spark has no function for it, so Arrow batches go to Python."""
-    import unicodedata
+#: Characters below the combining marks, Cyrillic without its own, and common punctuation: texts of these alone are composed already.
+COMPOSED = r"\A[\x00-\x{02FF}\x{0400}-\x{0482}\x{048A}-\x{052F}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{2116}]*\z"
 
-    import pandas as pd
 
+def nfc(text: Column) -> Column:
+    """Canonical composition. Spark has no function for it, so Arrow batches go to Python; texts that are composed already, as their characters say, don't."""
     @F.pandas_udf("string")
     def composed(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
-    return composed(text)
+    return F.coalesce(composed(F.when(~text.rlike(COMPOSED), text)), text)
 
 
 def compact(text: Column, n: int) -> Column:

@@ -102,7 +102,16 @@ def block_type_counts(spark, sf_dir):
     return lines(spark, sf_dir).groupBy("lang", "type").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(rf"""
+WITH RECURSIVE long AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+([A-ZА-ЯЁ0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s FROM documents WHERE length(text) > {B.LONG}),
+sentences AS (SELECT doc_id, length(unnest(s)) AS n, generate_subscripts(s, 1) AS i FROM long),
+packed(doc_id, i, piece, open) AS (
+  SELECT doc_id, i, 0, n FROM sentences WHERE i = 1
+  UNION ALL
+  SELECT p.doc_id, s.i, CASE WHEN open > 0 AND open + 1 + n > {B.PACKED} THEN piece + 1 ELSE piece END, CASE WHEN open = 0 OR open + 1 + n > {B.PACKED} THEN n ELSE open + 1 + n END
+  FROM packed p JOIN sentences s ON s.doc_id = p.doc_id AND s.i = p.i + 1
+)
+SELECT doc_id, piece::INTEGER AS piece, max(open)::INTEGER AS n_chars FROM packed GROUP BY 1, 2 UNION ALL SELECT doc_id, 0, length(text)::INTEGER FROM documents WHERE length(text) <= {B.LONG}""")
 def long_paragraph_pack(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.posexplode(B.packed_sentences(F.col("text"))).alias("piece", "text")).select("doc_id", "piece", F.length("text").alias("n_chars"))
@@ -347,7 +356,7 @@ def routing_strategies(spark, sf_dir):
 
 @query("SELECT source, doc_id, floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 12)::INTEGER AS packet FROM documents")
 def packet_chunk(spark, sf_dir):
-    return P.packets(table(spark, sf_dir, "documents").select("source", "doc_id"), 12, ("source",), "doc_id")
+    return P.packets(table(spark, sf_dir, "documents").select("source", "doc_id"), 12, ("source",), "doc_id", stretch=4096)
 
 
 #: Labels as rule results: three rules of each labelled document.

@@ -240,9 +240,25 @@ def routing_stats(rules: DataFrame) -> DataFrame:
     return out.withColumn("strategy", F.when(F.col("fallback_rules") == 0, "explicit-map").when(F.col("explicit_rules") == 0, "scope-fallback").otherwise("mixed"))
 
 
-def packets(assigned: DataFrame, size: int = 12, by: tuple[str, ...] = ("doc_id", "fragment_id"), order: str = "rule_id") -> DataFrame:
-    """Add packet (from 0): rules of a fragment in order, ``size`` at a time."""
-    return assigned.withColumn("packet", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1) / size).cast("int"))
+def packets(assigned: DataFrame, size: int = 12, by: tuple[str, ...] = ("doc_id", "fragment_id"), order: str = "rule_id", stretch: int | None = None) -> DataFrame:
+    """Add packet (from 0): rules of a fragment in order, ``size`` at a time.
+
+    A group that may hold much of a table is numbered in stretches: where ``order``
+    is a whole number, ``stretch`` of its values stand together, so no window is longer
+    than the rows of one stretch, and what earlier stretches hold is added. Rows of
+    one place have any order among themselves.
+    """
+    if stretch is None:
+        return assigned.withColumn("packet", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1) / size).cast("int"))
+    rows = assigned.withColumn("_stretch", F.coalesce(F.floor(F.col(order) / stretch), F.lit(-(2**62))))
+    counts = rows.groupBy(*by, "_stretch").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_stretch").alias("_own"), before.alias("_before"))
+    own = F.col("_stretch") == F.col("_own")
+    for c in by:
+        own = own & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    number = F.row_number().over(Window.partitionBy(*by, "_stretch").orderBy(order)) - 1 + F.col("_before")
+    return rows.join(counts, own).withColumn("packet", F.floor(number / size).cast("int")).select(*assigned.columns, "packet")
 
 
 def scopes_table(spark: SparkSession) -> DataFrame:

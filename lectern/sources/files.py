@@ -148,8 +148,8 @@ def read_prompt(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_jobs(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Jobs from JSON lines or an array; rows that don't parse are dropped."""
-    return spark.read.schema(schema).option("multiLine", "true").option("mode", "DROPMALFORMED").json(path)
+    """Jobs from JSON lines or an array, and ``malformed``: the text of what doesn't parse, in a row of its own, null in all others."""
+    return spark.read.schema(f"{schema}, malformed string").option("multiLine", "true").option("columnNameOfCorruptRecord", "malformed").json(path)
 
 
 def write_table(df: DataFrame, path: str) -> None:
