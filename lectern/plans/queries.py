@@ -896,3 +896,76 @@ def joined_words(spark, sf_dir):
     both = F.arrays_zip(F.split("was", "\n").alias("a"), F.split("text", "\n").alias("b"))
     some = F.filter(both, lambda x: x["a"] != "")
     return cut.select("doc_id", F.size(some).alias("n_joined"), F.size(F.filter(some, lambda x: x["b"].contains(" "))).alias("n_cut"), F.size(F.filter(some, lambda x: x["a"] == x["b"])).alias("n_restored"))
+
+
+#: Sections of a made-up document of each customer: type, and what its length and state follow from.
+_TYPES = ("title", "introduction", "goal", "chapter", "chapter", "conclusion")
+_PARTS = """
+WITH parts AS (
+  SELECT c_custkey AS k, j, ['title', 'introduction', 'goal', 'chapter', 'chapter', 'conclusion'][j + 1] AS type, CASE WHEN (c_custkey + j) % 7 = 0 THEN 'ambiguous' ELSE 'confirmed' END AS state,
+    (c_custkey * (j + 3)) % 61 AS n, coalesce(sum((c_custkey * (j + 3)) % 61) OVER (PARTITION BY c_custkey ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS since FROM customer, unnest(range(0, 6)) AS x(j)
+),
+blocks AS (
+  SELECT k, 's' || j AS section_id, type, state, (since + i)::BIGINT AS pos, CASE WHEN i = k % 50 THEN 'heading' WHEN (i * 7 + k) % 5 = 0 THEN 'word' ELSE 'plain' END AS said FROM parts, unnest(range(0, n)) AS y(i)
+),
+ends AS (
+  SELECT b.k, b.section_id || '-conclusions' AS section_id, 'chapter_conclusions' AS type, state, pos, said FROM blocks b
+  JOIN (SELECT k, section_id, min(pos) AS first FROM blocks WHERE type = 'chapter' AND said = 'heading' GROUP BY 1, 2) h ON h.k = b.k AND h.section_id = b.section_id AND pos >= first
+),
+base AS (SELECT * FROM blocks UNION ALL SELECT * FROM ends),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY k, section_id ORDER BY pos) AS a, row_number() OVER (PARTITION BY k, section_id ORDER BY pos DESC) AS z FROM blocks WHERE type = 'chapter'),
+arms AS (
+  SELECT *, CASE WHEN a <= 4 THEN 0 WHEN said <> 'plain' THEN 1 WHEN z <= 10 THEN 2 END AS s, CASE WHEN a <= 3 THEN 0 WHEN said = 'word' THEN 1 WHEN z <= 12 THEN 2 END AS e FROM numbered
+),
+summaries AS (SELECT k, pos FROM (SELECT *, row_number() OVER (PARTITION BY k, section_id ORDER BY s, pos) AS r FROM arms WHERE s IS NOT NULL) WHERE r <= 45),
+evidence AS (SELECT k, pos FROM (SELECT *, row_number() OVER (PARTITION BY k, section_id ORDER BY e, pos) AS r FROM arms WHERE e IS NOT NULL) WHERE r <= 55),
+members AS (
+  SELECT k, 'title_goal' AS name, pos FROM base WHERE type IN ('title', 'goal') UNION
+  SELECT k, 'scientific_core', pos FROM base WHERE type IN ('title', 'introduction', 'conclusion') UNION SELECT k, 'scientific_core', pos FROM summaries UNION
+  SELECT k, 'defense_chapters', pos FROM base WHERE type IN ('defense_statements', 'chapter_conclusions') UNION SELECT k, 'defense_chapters', pos FROM evidence UNION
+  SELECT k, 'conclusion_global', pos FROM base WHERE type IN ('title', 'goal', 'tasks', 'defense_statements', 'chapter_conclusions', 'conclusion')
+),
+sources(name, type) AS (VALUES
+  ('title_goal', 'title'), ('title_goal', 'goal'), ('title_goal', 'introduction'),
+  ('scientific_core', 'title'), ('scientific_core', 'introduction'), ('scientific_core', 'goal'), ('scientific_core', 'tasks'), ('scientific_core', 'defense_statements'), ('scientific_core', 'chapter'), ('scientific_core', 'conclusion'),
+  ('defense_chapters', 'defense_statements'), ('defense_chapters', 'chapter'), ('defense_chapters', 'chapter_conclusions'),
+  ('conclusion_global', 'title'), ('conclusion_global', 'goal'), ('conclusion_global', 'tasks'), ('conclusion_global', 'defense_statements'), ('conclusion_global', 'chapter_conclusions'), ('conclusion_global', 'conclusion')
+),
+wholes AS (SELECT k, name, bool_and(state = 'confirmed') AS complete FROM base JOIN sources USING (type) GROUP BY 1, 2),
+frags AS (
+  SELECT k AS doc_id, section_id AS fragment_id, type AS selector, bool_and(state = 'confirmed') AS complete, count(*)::BIGINT AS n_blocks, sum(pos)::BIGINT AS places FROM base GROUP BY 1, 2, 3 UNION ALL
+  SELECT m.k, 'virtual-' || m.name, m.name, any_value(complete), count(*)::BIGINT, sum(pos)::BIGINT FROM members m JOIN wholes w ON w.k = m.k AND w.name = m.name GROUP BY m.k, m.name
+)"""
+
+
+def customer_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments of documents whose sections follow from a customer's number."""
+    k, j = F.col("doc_id"), F.col("j")
+    parts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("j")).withColumn("n", k * (j + 3) % 61)
+    since = F.coalesce(F.sum("n").over(Window.partitionBy("doc_id").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sections = parts.withColumn("start_pos", since).filter("n > 0").select(
+        "doc_id", F.concat(F.lit("s"), j.cast("string")).alias("section_id"), F.element_at(F.array(*map(F.lit, _TYPES)), j + 1).alias("type"), F.lit("").alias("label"),
+        F.when((k + j) % 7 == 0, "ambiguous").otherwise("confirmed").alias("state"), "start_pos", (F.col("start_pos") + F.col("n") - 1).alias("end_pos"), "n",
+    )
+    i = F.col("i")
+    b = sections.select("doc_id", "start_pos", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    text = F.when(i == k % 50, "Выводы по главе").when((i * 7 + k) % 5 == 0, "Получен результат").otherwise("Текст")
+    b = b.select("doc_id", (F.col("start_pos") + i).alias("block_pos"), F.concat(F.lit("b"), (F.col("start_pos") + i).cast("string")).alias("block_id"), text.alias("text"))
+    return P.fragments(M.section_blocks(sections.drop("n"), b))
+
+
+@query(_PARTS + " SELECT doc_id, fragment_id, selector, complete, n_blocks, places FROM frags")
+def fragment_blocks(spark, sf_dir):
+    rows = customer_fragments(spark, sf_dir)
+    return rows.groupBy("doc_id", "fragment_id", "selector").agg(F.bool_and("complete").alias("complete"), F.count("*").alias("n_blocks"), F.sum("block_pos").cast("long").alias("places"))
+
+
+@query(_PARTS + """,
+asked(rule_id, exhaustive, selector) AS (VALUES ('R-1', true, 'major_sections'), ('R-2', true, 'title_goal'), ('R-3', false, 'chapter'), ('R-4', true, 'chapter'), ('R-4', true, 'conclusion_global')),
+met AS (SELECT DISTINCT doc_id, rule_id, fragment_id, complete, exhaustive FROM frags f JOIN asked a ON a.selector = f.selector OR (a.selector = 'major_sections' AND f.selector IN ('introduction', 'chapter', 'conclusion')))
+SELECT doc_id, rule_id, fragment_id, exhaustive AND bool_and(complete) OVER (PARTITION BY doc_id, rule_id) AS exhaustive, rule_id <> 'R-2' AS allow_pass FROM met""")
+def routed_fragments(spark, sf_dir):
+    """Which fragments each rule of a model reads: by selectors given for it, or by its scope."""
+    rules = spark.createDataFrame([(r, "semantic", "document" if r != "R-3" else "chapter", None) for r in ("R-1", "R-2", "R-3", "R-4", "R-5")], "rule_id string, mode string, scope string, detector_id string").withColumn("mode", F.when(F.col("rule_id") == "R-5", "manual").otherwise(F.col("mode")))
+    specs = spark.createDataFrame([("R-1", "llm", ["major_sections"], True, True), ("R-2", "llm", ["title_goal"], True, False), ("R-3", "llm", ["chapter"], False, None), ("R-4", "llm", ["chapter", "conclusion_global"], True, True)], "rule_id string, strategy string, selectors array<string>, exhaustive boolean, allow_pass boolean")
+    return P.routed(P.strategies(rules, specs), customer_fragments(spark, sf_dir)).drop("complete")
