@@ -139,13 +139,16 @@ def result_kind(text: Column) -> Column:
     return out
 
 
-def picked(rows: DataFrame, first: int, keywords: str, last: int, most: int) -> DataFrame:
-    """Of each chapter's blocks the ``first`` ones, those with a keyword and the ``last`` ones, each once in that order, ``most`` at most."""
+def picks(first: int, keywords: str, last: int, most: int) -> Column:
+    """Whether a block of a chapter is picked: of its section's blocks the ``first`` ones, those with a keyword and the ``last`` ones, each once in that order, ``most`` at most. Windows of the section are all that it needs."""
     w = Window.partitionBy("doc_id", "section_id")
-    rows = rows.withColumns({"_a": F.row_number().over(w.orderBy("block_pos")), "_z": F.row_number().over(w.orderBy(F.desc("block_pos")))})
-    arm = F.when(F.col("_a") <= first, 0).when(F.col("text").rlike(keywords), 1).when(F.col("_z") <= last, 2)
-    rows = rows.withColumn("_arm", arm).filter("_arm is not null").withColumn("_n", F.row_number().over(w.orderBy("_arm", "block_pos")))
-    return rows.filter(F.col("_n") <= most).drop("_a", "_z", "_arm", "_n")
+    start, end = F.row_number().over(w.orderBy("block_pos")), F.row_number().over(w.orderBy(F.desc("block_pos")))
+    return F.struct(F.when(start <= first, 0).when(F.col("text").rlike(keywords), 1).when(end <= last, 2).alias("arm"), F.lit(most).alias("most"))
+
+
+def chosen(arm: str) -> Column:
+    w = Window.partitionBy("doc_id", "section_id").orderBy(F.col(arm)["arm"].asc_nulls_last(), "block_pos")
+    return (F.col("type") == "chapter") & F.col(arm)["arm"].isNotNull() & (F.row_number().over(w) <= F.col(arm)["most"])
 
 
 def chapter_ends(rows: DataFrame) -> DataFrame:
@@ -161,22 +164,24 @@ def fragments(rows: DataFrame) -> DataFrame:
     base = rows.unionByName(chapter_ends(rows)).withColumn("complete", F.col("state") == "confirmed")
     cols = ["doc_id", "fragment_id", "selector", "complete", "block_pos", "block_id", "text"]
     out = base.select("doc_id", F.col("section_id").alias("fragment_id"), F.col("type").alias("selector"), "complete", "block_pos", "block_id", "text")
-    of = lambda *types: base.filter(F.col("type").isin(*types))
-    chapters = of("chapter")
+    of = lambda *types: F.col("type").isin(*types)
+    marked = base.withColumns({"_s": picks(4, SUMMARY, 10, 45), "_e": picks(3, EVIDENCE, 12, 55)})
+    marked = marked.withColumns({"_s": chosen("_s"), "_e": chosen("_e")})
+    last = ("title", "goal", "tasks", "defense_statements", "chapter_conclusions", "conclusion")
+    # of each virtual fragment: the types that must be whole, and which blocks it takes
     plans = {
-        "title_goal": (("title", "goal", "introduction"), [of("title", "goal")]),
-        "scientific_core": (("title", "introduction", "goal", "tasks", "defense_statements", "chapter", "conclusion"), [of("title", "introduction", "conclusion"), picked(chapters, 4, SUMMARY, 10, 45)]),
-        "defense_chapters": (("defense_statements", "chapter", "chapter_conclusions"), [of("defense_statements", "chapter_conclusions"), picked(chapters, 3, EVIDENCE, 12, 55)]),
-        "conclusion_global": (("title", "goal", "tasks", "defense_statements", "chapter_conclusions", "conclusion"), [of("title", "goal", "tasks", "defense_statements", "chapter_conclusions", "conclusion")]),
+        "title_goal": (("title", "goal", "introduction"), of("title", "goal")),
+        "scientific_core": (("title", "introduction", "goal", "tasks", "defense_statements", "chapter", "conclusion"), of("title", "introduction", "conclusion") | F.col("_s")),
+        "defense_chapters": (("defense_statements", "chapter", "chapter_conclusions"), of("defense_statements", "chapter_conclusions") | F.col("_e")),
+        "conclusion_global": (last, of(*last)),
     }
-    for name, (source, parts) in plans.items():
-        blocks = parts[0].select("doc_id", "block_pos", "block_id", "text")
-        for p in parts[1:]:
-            blocks = blocks.unionByName(p.select("doc_id", "block_pos", "block_id", "text"))
-        blocks = blocks.dropDuplicates(["doc_id", "block_id"])
-        whole = of(*source).groupBy("doc_id").agg(F.bool_and("complete").alias("complete"))
-        out = out.unionByName(blocks.join(whole, "doc_id").select("doc_id", F.lit(f"virtual-{name}").alias("fragment_id"), F.lit(name).alias("selector"), "complete", "block_pos", "block_id", "text").select(*cols))
-    return out
+    wholes = base.groupBy("doc_id").agg(*[F.bool_and(F.when(of(*source), F.col("complete"))).alias(f"_{name}") for name, (source, _) in plans.items()])
+    names = F.array_compact(F.array(*[F.when(takes, F.lit(name)) for name, (_, takes) in plans.items()]))
+    members = marked.select("doc_id", "block_pos", "block_id", "text", F.explode(names).alias("selector")).dropDuplicates(["doc_id", "selector", "block_id"]).join(wholes, "doc_id")
+    whole = F.lit(None).cast("boolean")
+    for name in plans:
+        whole = F.when(F.col("selector") == name, F.col(f"_{name}")).otherwise(whole)
+    return out.unionByName(members.withColumns({"fragment_id": F.concat(F.lit("virtual-"), "selector"), "complete": whole}).filter("complete is not null").select(*cols))
 
 
 IMPLEMENTED = r"(?iu)внедрен|использовани[ея]\s+результат|акт(?:а|ы|ов)?\s+внедрен|репозитор|github|gitlab|открыт(?:ое|ый)\s+по|программ(?:ное|ный)\s+средств"
