@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.functions import loose as J
 from lectern.functions.text import collapse, compact, norm_text, pattern
 from lectern.operators.ranges import blocks_in_ranges
 
 #: Section types in order (fixed values).
 TYPES = ("title", "abstract", "introduction", "goal", "tasks", "defense_statements", "chapter", "chapter_conclusions", "conclusion", "bibliography", "appendices", "other")
 EXPECTED = [("introduction", "missing_introduction", "warning"), ("chapter", "missing_chapters", "warning"), ("conclusion", "missing_conclusion", "warning"), ("goal", "missing_goal", "info"), ("tasks", "missing_tasks", "info"), ("defense_statements", "missing_defense_statements", "info")]
-ANSWER = "struct<sections:array<struct<type:string,label:string,startBlockId:string,endBlockId:string,anchorBlockIds:array<string>,quote:string,confidence:double,state:string,note:string>>,issues:array<struct<code:string,severity:string,message:string,sectionIndexes:array<int>>>>"
 
 
 def json_body(raw: Column) -> Column:
@@ -43,9 +43,13 @@ def prompt_hash(prompt: Column) -> Column:
 
 
 def parse_answer(answers: DataFrame) -> DataFrame:
-    """(doc_id, raw_idx, section fields..) of every section in ``answers(doc_id, raw)``."""
-    parsed = answers.select("doc_id", F.from_json(json_body(F.col("raw")), ANSWER).alias("a"))
-    return parsed.select("doc_id", F.posexplode("a.sections").alias("raw_idx", "s")).select("doc_id", "raw_idx", "s.*")
+    """(doc_id, raw_idx, section fields..) of every section in ``answers(doc_id, raw)``. A field of the wrong type is null, a section that is no object has null fields; its place counts all the same."""
+    rows = answers.select("doc_id", F.posexplode(J.items(J.parsed(json_body(F.col("raw"))), "$.sections")).alias("raw_idx", "s"))
+    fields = [J.text(F.col("s"), f"$.{name}").alias(name) for name in ("type", "label", "startBlockId", "endBlockId")]
+    return rows.select(
+        "doc_id", "raw_idx", *fields, J.texts(F.col("s"), "$.anchorBlockIds").alias("anchorBlockIds"), J.text(F.col("s"), "$.quote").alias("quote"), J.value(F.col("s"), "$.confidence", "double").alias("confidence"),
+        J.text(F.col("s"), "$.state").alias("state"), J.text(F.col("s"), "$.note").alias("note"),
+    )
 
 
 def place_sections(raw: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -66,8 +70,10 @@ def place_sections(raw: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def model_issues(answers: DataFrame, sections: DataFrame) -> DataFrame:
     """(doc_id, code, severity, message, section_ids): a model's own remarks; its indexes are those of the sections as they came. Each (code, message) once."""
-    parsed = answers.select("doc_id", F.from_json(json_body(F.col("raw")), ANSWER).alias("a")).select("doc_id", F.posexplode("a.issues").alias("_i", "x"))
-    rows = parsed.select("doc_id", "_i", F.coalesce(F.nullif(F.trim("x.code"), F.lit("")), F.lit("model_issue")).alias("code"), F.when(F.col("x.severity") == "info", "info").otherwise("warning").alias("severity"), F.trim("x.message").alias("message"), F.explode_outer("x.sectionIndexes").alias("raw_idx"))
+    parsed = answers.select("doc_id", F.posexplode(J.items(J.parsed(json_body(F.col("raw"))), "$.issues")).alias("_i", "x"))
+    x = F.col("x")
+    indexes = F.array_compact(F.transform(J.items(x, "$.sectionIndexes"), lambda n: J.value(n, "$", "int")))
+    rows = parsed.select("doc_id", "_i", F.coalesce(F.nullif(F.trim(J.text(x, "$.code")), F.lit("")), F.lit("model_issue")).alias("code"), F.when(J.text(x, "$.severity") == "info", "info").otherwise("warning").alias("severity"), F.trim(J.text(x, "$.message")).alias("message"), F.explode_outer(indexes).alias("raw_idx"))
     rows = rows.filter("message <> ''").join(sections.select("doc_id", "raw_idx", "section_id"), ["doc_id", "raw_idx"], "left")
     return rows.groupBy("doc_id", "code", "message").agg(F.min_by("severity", "_i").alias("severity"), F.array_sort(F.collect_set("section_id")).alias("section_ids"))
 

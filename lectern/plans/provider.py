@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions import loose as J
+
 #: Completion limits by operation (fixed values).
 COMPLETION = {"structure": 16_000, "check": 8_000}
 TEMPERATURE = 0.05
@@ -42,9 +44,10 @@ def request_body(model: Column, system: Column, message: Column, operation: Colu
 
 
 def content_text(content: Column) -> Column:
-    """A message's content: a string, or the texts of its parts, one after the other."""
-    parts = F.from_json(content, "array<struct<type:string,text:string>>")
-    return F.when(content.rlike(r"^\s*\["), F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), "")).otherwise(content)
+    """A message's content: a string, or the texts of its parts, one after the other. What looks like parts but isn't JSON is a string."""
+    v = J.parsed(content)
+    parts = F.array_join(F.transform(J.items(v), lambda p: F.coalesce(J.text(p, "$.text"), F.lit(""))), "")
+    return F.when(content.rlike(r"^\s*\[") & v.isNotNull(), parts).otherwise(content)
 
 
 def wants_plain(status: Column, message: Column) -> Column:
@@ -52,19 +55,27 @@ def wants_plain(status: Column, message: Column) -> Column:
     return (status == 404) & message.rlike(r"(?i)no endpoints found.*handle the requested parameters")
 
 
+class Fatal(Exception):
+    """An answer after which asking again makes no sense: no access, no money, an unknown model."""
+
+
 def answered(requests: DataFrame, call: Callable[[str], str], concurrency: int = 1, attempts: int = 2) -> DataFrame:
-    """Requests (key columns.., message) with raw and error: each is tried ``attempts`` times; one that fails is a row with its error."""
+    """Requests (key columns.., message) with raw and error: each is tried ``attempts`` times; one that fails is a row with its error. After a ``Fatal`` one a partition's other requests aren't sent, and say so."""
     names = requests.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ended = None
         for b in batches:
             raw, error = [], []
             for m in b.column(names.index("message")).to_pylist():
-                got, why = None, None
-                for _ in range(attempts):
+                got, why = None, ended and f"not sent after {ended}"
+                for _ in range(0 if ended else attempts):
                     try:
                         got, why = call(m), None
                         break
+                    except Fatal as e:
+                        ended = why = f"{type(e).__name__}: {e}"
+                        break
                     except Exception as e:
                         why = f"{type(e).__name__}: {e}"
                 raw.append(got)
@@ -75,14 +86,17 @@ def answered(requests: DataFrame, call: Callable[[str], str], concurrency: int =
     return requests.repartition(concurrency).mapInArrow(run, f"{schema}, raw string, error string")
 
 
-CHECK = "struct<results:array<struct<ruleId:string,status:string,explanation:string,fix:string,evidence:array<struct<blockId:string,quote:string>>,absenceCheck:struct<complete:boolean,checkedBlockCount:int,items:array<struct<name:string,status:string>>>>>>"
-
-
 def parse_checks(answers: DataFrame, body: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(statuses, claims, cells) of answers (doc_id, fragment_id, raw), in the forms that the result plans take."""
-    rows = answers.select("doc_id", "fragment_id", F.from_json(body(F.col("raw")), CHECK).alias("a")).select("doc_id", "fragment_id", F.posexplode("a.results").alias("answer_idx", "r"))
-    key = ["doc_id", "fragment_id", F.trim("r.ruleId").alias("rule_id")]
-    statuses = rows.select(*key, "answer_idx", F.col("r.status").alias("status"), F.col("r.explanation").alias("explanation"), F.col("r.fix").alias("fix"))
-    claims = rows.select(*key, F.posexplode("r.evidence").alias("evidence_idx", "e")).select("doc_id", "fragment_id", "rule_id", "evidence_idx", F.trim("e.blockId").alias("block_id"), F.col("e.quote").alias("quote"))
-    cells = rows.select(*key, F.col("r.absenceCheck.complete").alias("claims_complete"), F.col("r.absenceCheck.checkedBlockCount").alias("checked_blocks"), F.explode("r.absenceCheck.items").alias("i"))
-    return statuses, claims, cells.select("doc_id", "fragment_id", "rule_id", "claims_complete", "checked_blocks", F.trim("i.name").alias("item"), F.col("i.status").alias("status"))
+    """(statuses, claims, cells) of answers (doc_id, fragment_id, raw), in the forms that the result plans take.
+
+    Answers come in odd forms: a field of the wrong type is null, what isn't an
+    object among results, evidence or items is left out, and neither spoils what
+    stands beside it. An answer that isn't JSON gives no rows.
+    """
+    rows = answers.select("doc_id", "fragment_id", F.posexplode(J.objects(J.parsed(body(F.col("raw"))), "$.results")).alias("answer_idx", "r"))
+    r = F.col("r")
+    key = ["doc_id", "fragment_id", F.trim(J.text(r, "$.ruleId")).alias("rule_id")]
+    statuses = rows.select(*key, "answer_idx", *(J.text(r, f"$.{name}").alias(name) for name in ("status", "explanation", "fix")))
+    claims = rows.select(*key, F.posexplode(J.objects(r, "$.evidence")).alias("evidence_idx", "e")).select("doc_id", "fragment_id", "rule_id", "evidence_idx", F.trim(J.text(F.col("e"), "$.blockId")).alias("block_id"), J.text(F.col("e"), "$.quote").alias("quote"))
+    cells = rows.select(*key, J.value(r, "$.absenceCheck.complete", "boolean").alias("claims_complete"), J.value(r, "$.absenceCheck.checkedBlockCount", "int").alias("checked_blocks"), F.explode(J.objects(r, "$.absenceCheck.items")).alias("i"))
+    return statuses, claims, cells.select("doc_id", "fragment_id", "rule_id", "claims_complete", "checked_blocks", F.trim(J.text(F.col("i"), "$.name")).alias("item"), J.text(F.col("i"), "$.status").alias("status"))

@@ -24,6 +24,7 @@ from lectern.operators.ranges import blocks_in_ranges, in_any_range
 from lectern.plans import checking as C
 from lectern.plans import extraction as E
 from lectern.plans import jobs as J
+from lectern.plans import provider as V
 from lectern.plans import report as W
 from lectern.plans import results as R
 from lectern.plans import routing as P
@@ -969,3 +970,34 @@ def routed_fragments(spark, sf_dir):
     rules = spark.createDataFrame([(r, "semantic", "document" if r != "R-3" else "chapter", None) for r in ("R-1", "R-2", "R-3", "R-4", "R-5")], "rule_id string, mode string, scope string, detector_id string").withColumn("mode", F.when(F.col("rule_id") == "R-5", "manual").otherwise(F.col("mode")))
     specs = spark.createDataFrame([("R-1", "llm", ["major_sections"], True, True), ("R-2", "llm", ["title_goal"], True, False), ("R-3", "llm", ["chapter"], False, None), ("R-4", "llm", ["chapter", "conclusion_global"], True, True)], "rule_id string, strategy string, selectors array<string>, exhaustive boolean, allow_pass boolean")
     return P.routed(P.strategies(rules, specs), customer_fragments(spark, sf_dir)).drop("complete")
+
+
+@query("""
+WITH e AS (SELECT event_id, event_id % 6 AS form, json_extract(props, '$.k')::BIGINT AS k, event_type FROM events)
+SELECT event_id, CASE WHEN form = 3 THEN 0 WHEN form = 2 THEN 2 ELSE 1 END::BIGINT AS n_results, CASE form WHEN 0 THEN 1 WHEN 2 THEN 1 WHEN 4 THEN 1 WHEN 5 THEN 2 ELSE 0 END::BIGINT AS n_claims,
+  CASE WHEN form IN (1, 3) THEN 0 ELSE 1 END::BIGINT AS n_quotes, CASE WHEN form = 3 THEN NULL ELSE event_type END AS status, CASE form WHEN 4 THEN NULL WHEN 3 THEN NULL ELSE k END::INTEGER AS checked_blocks
+FROM e""")
+def odd_answers(spark, sf_dir):
+    """Answers of a model in odd forms, made from the events: fenced; with a text where a list should be; with junk among the results; broken; in parts; and with claims that are half right."""
+    e = table(spark, sf_dir, "events").withColumns({"k": F.get_json_object("props", "$.k").cast("long"), "form": F.col("event_id") % 6})
+    first = F.concat(F.lit('{"ruleId": " R-1 ", "status": "'), "event_type", F.lit('", "fix": ["no text"], "evidence": '))
+    claim = F.lit('[{"blockId": "b1", "quote": "said"}]')
+    absence = lambda n: F.concat(F.lit(', "absenceCheck": {"complete": "true", "checkedBlockCount": '), n, F.lit(', "items": [{"name": "analogs", "status": "found"}]}}'))
+    k = F.col("k").cast("string")
+    good = F.concat(F.lit('{"results": ['), first, claim, absence(k), F.lit("]}"))
+    raw = (
+        F.when(F.col("form") == 0, F.concat(F.lit("Sure:\n```json\n"), good, F.lit("\n```")))
+        .when(F.col("form") == 1, F.concat(F.lit('{"results": ['), first, F.lit('"none"'), absence(F.concat(F.lit('"'), k, F.lit('"'))), F.lit("]}")))
+        .when(F.col("form") == 2, F.concat(F.lit('{"results": ["junk", '), first, claim, absence(k), F.lit(', {"ruleId": 7}, 5]}')))
+        .when(F.col("form") == 3, F.concat(F.lit('{"results": ['), first))
+        .when(F.col("form") == 4, F.concat(F.lit('[{"type": "text", "text": '), F.to_json(F.struct(F.concat(F.lit('{"results": ['), first, claim, absence(F.lit('"many"')), F.lit("]}")).alias("x"))).substr(6, 10**6), F.lit("]")))
+        .otherwise(F.concat(F.lit('{"results": ['), first, F.lit('[{"blockId": "b1", "quote": {"a": 1}}, "junk", {"quote": "said"}]'), absence(k), F.lit("]}")))
+    )
+    answers = e.select(F.col("event_id").alias("doc_id"), F.lit("f").alias("fragment_id"), V.content_text(raw).alias("raw"))
+    statuses, claims, cells = V.parse_checks(answers, M.json_body)
+    of = lambda rows, **aggs: rows.groupBy("doc_id").agg(*[a.alias(n) for n, a in aggs.items()])
+    n = of(statuses, n_results=F.count("*"), status=F.max(F.when(F.col("rule_id") == "R-1", F.col("status"))))
+    c = of(claims, n_claims=F.count("*"), n_quotes=F.count("quote"))
+    x = of(cells, checked_blocks=F.max("checked_blocks"))
+    rows = e.select(F.col("event_id").alias("doc_id")).join(n, "doc_id", "left").join(c, "doc_id", "left").join(x, "doc_id", "left").fillna(0, ["n_results", "n_claims", "n_quotes"])
+    return rows.select(F.col("doc_id").alias("event_id"), "n_results", "n_claims", "n_quotes", "status", "checked_blocks")
