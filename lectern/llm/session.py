@@ -46,7 +46,7 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(rows: DataFrame, name: str = "rows") -> DataFrame:
-    """The rows, written as Parquet under the checkpoint folder and read again: lineage ends here, in less room than a checkpoint takes. The exchanges of this write are deleted when it is done, as nothing reads them again."""
+    """The rows, written as Parquet under the checkpoint folder and read again: lineage ends here, in less room than a checkpoint takes. The exchanges of this write are deleted when it is done, as nothing reads them again; the table goes when the driver ends, or by ``remove``."""
     spark = rows.sparkSession
     path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP)
@@ -55,6 +55,8 @@ def written(rows: DataFrame, name: str = "rows") -> DataFrame:
         rows.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
