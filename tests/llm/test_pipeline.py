@@ -59,7 +59,7 @@ def test_stages(spark, tmp_path):
 def test_run_and_registry(spark, tmp_path):
     spark.createDataFrame(rows(), COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
-    assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [n for n in sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) if n.startswith("op")] and len(queries.QUERIES) == 10
+    assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [n for n in sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) if n.startswith("op")] and len(queries.QUERIES) == 13
 
 
 def test_stages_of_empty_and_odd_tables(spark):
