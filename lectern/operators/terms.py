@@ -82,17 +82,29 @@ def term_findings(b: DataFrame, known: DataFrame, token: str = TOKEN, ignored: t
     return rows.select("doc_id", "term", "kind", "block_pos", "match_at", "quote", "expansion", "requires_expansion", "requires_russian", status.alias("status"))
 
 
-def abbreviation_status(docs: DataFrame, findings: DataFrame, rule: str) -> DataFrame:
-    """(doc_id, status): for ``expansion``, ``translation`` or ``any`` problems a violation, else uncertain where a term wants review, else pass."""
-    bad = {
+def problem(rule: str):
+    """Whether a finding is a problem of the rules on ``expansion``, ``translation`` or ``any``."""
+    return {
         "expansion": F.col("requires_expansion") & (F.col("status") == "missing_expansion"),
         "translation": F.col("requires_russian") & F.col("status").isin("missing_expansion", "missing_russian_explanation"),
         "any": F.col("status").isin("missing_expansion", "missing_russian_explanation"),
     }[rule]
-    found = findings.groupBy("doc_id").agg(F.bool_or(bad).alias("bad"), F.bool_or(F.col("status") == "review").alias("review"))
+
+
+def abbreviation_status(docs: DataFrame, findings: DataFrame, rule: str) -> DataFrame:
+    """(doc_id, status): for ``expansion``, ``translation`` or ``any`` problems a violation, else uncertain where a term wants review, else pass."""
+    found = findings.groupBy("doc_id").agg(F.bool_or(problem(rule)).alias("bad"), F.bool_or(F.col("status") == "review").alias("review"))
     return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.when(F.col("bad"), "violation").when(F.col("review"), "uncertain").otherwise("pass").alias("status"))
 
 
+def finding_ids(findings: DataFrame, headings: DataFrame, rule: str) -> DataFrame:
+    """(doc_id, finding_id) of a rule's problems: ``term:<term>:expansion`` or ``:translation``, and for ``any`` also ``:heading`` of terms in headings. Rules that share one are about the same thing."""
+    kind = "translation" if rule == "translation" else "expansion"
+    term = lambda end: F.concat(F.lit("term:"), F.upper("term"), F.lit(f":{end}")).alias("finding_id")
+    out = findings.filter(problem(rule)).select("doc_id", term(kind))
+    return (out.unionByName(headings.select("doc_id", term("heading"))) if rule == "any" else out).distinct()
+
+
 def heading_terms(lines: DataFrame, known: DataFrame) -> DataFrame:
     """Terms in heading lines, but for names of models."""
     return with_policy(term_uses(lines), known).filter("kind <> 'model_name'").select("doc_id", "block_pos", "term", "text")
@@ -149,6 +161,22 @@ def format_consistency(e: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_formats", F.when(F.col("n_formats") >= 2, "violation").when((F.col("n_formats") == 1) & F.col("_target"), "pass").otherwise("uncertain").alias("status"))
 
 
+#: Names of formats of authors (fixed values).
+FORMAT_LABELS = {"surname_initials": "фамилия + инициалы", "initials_surname": "инициалы + фамилия", "full_name": "полные имена"}
+
+
+def format_examples(e: DataFrame, most: int = 2) -> DataFrame:
+    """(doc_id, format, label, place, block_pos, entry_idx, quote): the first ``most`` entries of each known format of a document, with the authors and what stands around them; ``place`` counts formats by their first entry."""
+    authors = author_part(F.col("raw"))
+    rows = e.withColumn("_a", authors).withColumn("format", author_format(F.col("_a"))).filter("format <> 'unknown'")
+    at = F.greatest(F.position(F.col("_a"), F.col("raw")) - 1, F.lit(0))
+    own = Window.partitionBy("doc_id", "format").orderBy("block_pos", "entry_idx")
+    rows = rows.withColumns({"quote": context_quote(F.col("raw"), at, F.length("_a"), 40, 100), "_n": F.row_number().over(own), "_first": F.first(F.struct("block_pos", "entry_idx")).over(own)}).filter(F.col("_n") <= most)
+    place = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("_first")) - 1
+    labels = F.create_map(*(F.lit(x) for kv in FORMAT_LABELS.items() for x in kv))
+    return rows.select("doc_id", "format", labels[F.col("format")].alias("label"), place.alias("place"), "block_pos", "entry_idx", "quote")
+
+
 def entry_junk(e: DataFrame) -> DataFrame:
     """(doc_id, block_pos, entry_idx, junk_id, match): the first match of every forbidden element in every entry."""
     found = F.array(*[F.struct(F.lit(name).alias("junk_id"), F.regexp_extract("raw", pattern(regex), 0).alias("match")) for name, regex in JUNK])
