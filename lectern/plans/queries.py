@@ -862,7 +862,7 @@ def report_markdown(spark, sf_dir):
 @query("SELECT doc_id::VARCHAR AS doc_id, lang, md5(text) AS text_md5, length(text)::BIGINT AS n_chars FROM documents")
 def delimited_round_trip(spark, sf_dir):
     """The documents as delimited text, with their line ends and marks in quotes, written and read again in splits of a megabyte."""
-    out = shared_folder(spark, "delimited")
+    out = f"{shared_folder(spark, 'delimited')}/text"
     Z.delimited_text(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).write.text(out)
     f = Z.read_delimited(spark, out, split_bytes=1 << 20)
     return f.select(F.get("fields", F.lit(0)).alias("doc_id"), F.get("fields", F.lit(1)).alias("lang"), F.get("fields", F.lit(2)).alias("text")).select("doc_id", "lang", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
@@ -874,7 +874,7 @@ runs AS (SELECT count(DISTINCT text) FILTER (early) AS first_run, count(DISTINCT
 SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS n_lines, CASE WHEN early THEN 1 ELSE 2 END AS run, first_run::BIGINT AS first_run, second_run::BIGINT AS second_run, 0::BIGINT AS third_run FROM marked, runs""")
 def extract_ledger(spark, sf_dir):
     """Three runs over one ledger: the documents of even number, all, and all again, which extracts nothing."""
-    path = shared_folder(spark, "ledger")
+    path = f"{shared_folder(spark, 'ledger')}/entries"
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
 
     def lines_of(run: int):

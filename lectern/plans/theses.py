@@ -126,7 +126,7 @@ def expected_sql(columns: str) -> str:
 
 def kept(rows: DataFrame) -> DataFrame:
     """The rows, written to the shared folder, as many plans read them; a lost executor costs nothing."""
-    path = shared_folder(rows.sparkSession, "catalogue")
+    path = f"{shared_folder(rows.sparkSession, 'catalogue')}/rows"
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
