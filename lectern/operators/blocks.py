@@ -31,16 +31,17 @@ def is_named_heading(text: Column) -> Column:
     return (F.length(text) <= 190) & (text.rlike(pattern(NAMED_HEADING)) | all_caps(text))
 
 
-def classify(text: Column) -> Column:
-    """The first type that fits: caption, heading, list, bibliography, formula, paragraph. The collapsed text is bound once, by a lambda."""
+def classify(text: Column, entries: bool = True, formula: str = FORMULA) -> Column:
+    """The first type that fits: caption, heading, list, bibliography (if ``entries`` are looked for), formula, paragraph. The collapsed text is bound once, by a lambda."""
 
     def kind(t: Column) -> Column:
+        entry = t.rlike(pattern(ENTRY)) & t.rlike(ENTRY_SIGN) if entries else F.lit(False)
         return (
             F.when(t.rlike(pattern(CAPTION)), "caption")
             .when(t.rlike(pattern(NUMBERED_HEADING)) | is_named_heading(t), "heading")
             .when(t.rlike(pattern(LIST_ITEM)), "list")
-            .when(t.rlike(pattern(ENTRY)) & t.rlike(ENTRY_SIGN), "bibliography")
-            .when(t.rlike(FORMULA) & (F.length(t) < 700), "formula")
+            .when(entry, "bibliography")
+            .when(t.rlike(formula) & (F.length(t) < 700), "formula")
             .otherwise("paragraph")
         )
 
@@ -61,13 +62,13 @@ def packed_sentences(text: Column, long: int = LONG, most: int = PACKED) -> Colu
     return F.when(F.length(text) <= long, F.array(text)).otherwise(packed)
 
 
-def blocks(docs: DataFrame, separator: str = r"\n\s*\n", keep: tuple[str, ...] = ("doc_id",), page_col: str | None = None, text_col: str = "text", long: int = LONG) -> DataFrame:
+def blocks(docs: DataFrame, separator: str = r"\n\s*\n", keep: tuple[str, ...] = ("doc_id",), page_col: str | None = None, text_col: str = "text", long: int = LONG, entries: bool = True, formula: str = FORMULA) -> DataFrame:
     """(keep.., page, block_pos, block_id, location, type, text): the paragraphs of each text, or of each page, in order.
 
     block_pos counts within a document from 0, over its pages; block ids start
     again on every page, after short blocks are dropped. Narrow but for the
     positions, which need a document's pages together only if there are pages.
-    Paragraphs above ``long`` characters are packed anew.
+    Paragraphs above ``long`` characters are packed anew. ``entries`` and ``formula`` go to ``classify``.
     """
     page = F.col(page_col).cast("int") if page_col else F.lit(None).cast("int")
     pieces = F.flatten(F.transform(F.split(F.col(text_col), separator), lambda p: packed_sentences(F.trim(p), long)))
@@ -76,7 +77,7 @@ def blocks(docs: DataFrame, separator: str = r"\n\s*\n", keep: tuple[str, ...] =
     rows = rows.withColumn("block_id", F.concat(F.when(F.col("page").isNull(), "doc").otherwise(F.concat(F.lit("p"), "page")), F.lit("-b"), F.col("_n") + 1))
     rows = rows.withColumn("location", F.when(F.col("page").isNull(), "Документ").otherwise(F.concat(F.lit("Страница "), "page")))
     pos = F.col("_n") if page_col is None else F.row_number().over(Window.partitionBy(*keep).orderBy("page", "_n")) - 1
-    return rows.withColumn("block_pos", pos).select(*keep, "page", "block_pos", "block_id", "location", classify(F.col("text")).alias("type"), "text")
+    return rows.withColumn("block_pos", pos).select(*keep, "page", "block_pos", "block_id", "location", classify(F.col("text"), entries, formula).alias("type"), "text")
 
 
 def page_index(b: DataFrame, by: str = "doc_id") -> Column:
