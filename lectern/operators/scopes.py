@@ -55,6 +55,11 @@ def script_share(text: Column, of: str = "[А-ЯЁа-яё]") -> Column:
     return F.when(letters > 0, count(text, of) / letters)
 
 
+def of_script(b: DataFrame, of: str = "[А-ЯЁа-яё]", least: float = CYRILLIC_SHARE) -> DataFrame:
+    """Blocks with a letter, of whose letters a share of ``least`` is of the class ``of``."""
+    return b.filter(F.coalesce(script_share(F.col("text"), of), F.lit(-1.0)) >= least)
+
+
 def contents_pages(b: DataFrame, by: str = "doc_id") -> DataFrame:
     """(by, first, past): the pages from the first contents heading up to the first later page of the abstract or introduction, or that page alone."""
     w = Window.partitionBy(by)
@@ -71,7 +76,7 @@ def within_sections(b: DataFrame, sections: DataFrame, types: tuple[str, ...], b
 def narrative(b: DataFrame, sections: DataFrame | None = None, bibliography: DataFrame | None = None, of: str = "[А-ЯЁа-яё]", least: float = CYRILLIC_SHARE, wide: bool = False, by: str = "doc_id") -> DataFrame:
     """Blocks of running text: not of the bibliography, appendices or contents, no code or prompt, and with a share of ``least`` letters of the class ``of``. ``wide`` also leaves out publications and headings in capitals."""
     t = F.col("text")
-    rows = b.filter((F.col("type") != "bibliography") & ~is_contents(t) & (F.coalesce(script_share(t, of), F.lit(-1.0)) >= least))
+    rows = of_script(b.filter((F.col("type") != "bibliography") & ~is_contents(t)), of, least)
     rows = rows.filter(~t.rlike(pattern(PROMPT_WIDE if wide else PROMPT)))
     if wide:
         plain = F.trim(F.regexp_replace(t, "[^А-ЯЁа-яёA-Za-z ]", ""))
