@@ -202,6 +202,7 @@ def initials_order(e: DataFrame) -> DataFrame:
 #: Patterns of titles and words that count as known (fixed values).
 TITLE_HINT = r"(?iu)(?:^|[^\p{L}])(?:модел(?:ь|и|ей)|алгоритм(?:ы|ов)?|метод(?:ы|ов)?|систем(?:а|ы)|технолог(?:ия|ии)|анализ|синтез|управлен(?:ие|ия)|генераци(?:я|и)|сегментаци(?:я|и)|разработк(?:а|и))(?!\p{L})"
 TITLE_EXCLUDED = r"(?iu)(?:министерств|университет|институт|факультет|кафедр|на\s+правах\s+рукописи|диссертац(?:ия|ии)|на\s+соискание|научн(?:ый|ая)\s+руководител|специальност|санкт-петербург|москва|\b20\d{2}\b)"
+TITLE_QUOTES = r'^[«"]|[»"]\z'
 COMMON = ("и", "в", "на", "с", "по", "для", "из", "к", "о", "об", "от", "до", "при", "без", "под", "над", "между", "основе")
 
 
@@ -224,9 +225,9 @@ def title_windows(b: DataFrame, most: int = 3, lexicons: DataFrame | None = None
     return lines.select("doc_id", "block_pos", F.explode(F.concat(runs, F.filter(block, lambda x: x["text"].isNotNull()))).alias("w")).select("doc_id", "block_pos", "w.*")
 
 
-def title_score(text: Column, hint: str | None = TITLE_HINT, excluded: str | None = TITLE_EXCLUDED, leading: str = r"(?iu)^(?:модел|алгоритм|метод|систем|технолог|анализ|синтез|управлен|генераци|сегментаци|разработк)") -> Column:
-    """-1 for what can't be a title; else by length, words, a leading noun, and a final period."""
-    t = F.trim(F.regexp_replace(text, '^[«"]|[»"]\\z', ""))
+def title_score(text: Column, hint: str | None = TITLE_HINT, excluded: str | None = TITLE_EXCLUDED, leading: str = r"(?iu)^(?:модел|алгоритм|метод|систем|технолог|анализ|синтез|управлен|генераци|сегментаци|разработк)", quoted: str | None = TITLE_QUOTES) -> Column:
+    """-1 for what can't be a title; else by length, words, a leading noun, and a final period, without the quotation marks ``quoted`` around it."""
+    t = F.trim(F.regexp_replace(text, quoted, "")) if quoted else text
     n = F.size(F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*"), F.lit(0)))
     bad = ~F.length(t).between(25, 240) | ~n.between(4, 24)
     if hint:
