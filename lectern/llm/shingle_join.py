@@ -91,7 +91,7 @@ class Bands:
         return int(np.searchsorted(self.edges, n, "right")) - 1
 
     def cuts(self, band: int) -> tuple[np.ndarray, np.ndarray, int, bool] | None:
-        """(lower ends of the segments, their salts, spare segments, whether they have value 2); None where no difference is allowed, so that equal sets say all."""
+        """(lower ends of the segments, their salts, spare segments, whether they have value 2); None where no difference is allowed, so that one key of the whole set says all."""
         if band not in self._plans:
             most = self.edges[band + 1] - 1
             differ = 2 * most * (self.den - self.num) // (self.den + self.num)
@@ -141,6 +141,8 @@ def set_keys(u: np.ndarray, bands: Bands, common: np.ndarray | None = None, n: i
         if band != own and n * bands.den < bands.edges[band] * bands.num:
             continue
         if (cuts := bands.cuts(band)) is None:
+            if band == own:  # only equal sets are similar; their words may still differ in order and number
+                out.append(mix(np.array([u.sum(dtype=U64)]) + U64(band << 32)))
             continue
         lows, salts, spare, deletions = cuts
         at = np.searchsorted(tokens, lows)

@@ -126,3 +126,11 @@ def test_one_row_of_each_near_duplicate(spark):
     assert got == sorted([(True, 1, text), (True, 1, other), (False, 0, "a lone text of some words here"), (False, 0, ""), (False, 0, ""), (True, 4, "")])
     plain = spark.createDataFrame([(i, t) for i, t, _ in rows[:2] + rows[3:4]], "doc_id long, text string")
     assert [(r.doc_id, r.text) for r in stages.keep_one_of_near(plain, 5, 4, 5).collect()] == [(1, text)]
+
+
+def test_equal_sets_of_different_words_are_linked(spark):
+    """Small sets allow no difference, but texts that repeat their words have equal sets."""
+    texts = ["a b c a b c", "a b c a b c a", "x y z", "x y z x y z x y z x", "b c a b c a b c", "p q", "p q p q", "q p q p q"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_components(docs, words=3, num=9, den=10).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (1, 2), 3: (3, 3), 4: (3, 0), 5: (1, 5), 6: (2, 6), 7: (2, 6)}
