@@ -103,3 +103,20 @@ def test_small_numerals_stop_behind_the_block_that_is_enough(spark, sizes, kept)
     rows = [("small-numerals", 1, 0, p, f"b{p}", k, f"q{k}") for p, n in enumerate(sizes) for k in range(n)]
     out = C.gathered_by_block(spark.createDataFrame(rows, EVIDENCE)).first()
     assert len(out.evidence) == kept and out.n_found == kept
+
+
+def test_texts_with_many_fingerprints_go_out_in_bounded_batches():
+    """Short quotes are in every text; a batch that repeats the texts for all of them at once grows with their number."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lectern.operators import containment as K
+
+    texts = ["".join(chr(97 + (k * i + i // 7) % 26) for i in range(2_000)) for k in range(1, 101)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(texts)], ["id", "body"])
+    full = np.full(1 << 4, np.uint64(2**64 - 1))  # a filter that lets everything through
+    out = list(K._met({3: (1 << 10, full.tobytes())})(iter([batch])))
+    sizes = [sum(len(t) for t in b.column(1).to_pylist()) for b in out]
+    assert sum(sizes) > 3 * K.OUT_BYTES and max(sizes) <= K.OUT_BYTES + 2_000
+    want = {(k, t[i : i + 4]) for k, t in enumerate(texts) for i in range(len(t) - 3)}
+    assert sum(b.num_rows for b in out) == len(want)
