@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 
 from .arrays import LOWER, NULL_ID, U64, as_long, mix, prefix_sums, ragged, spaced, split_words, text_chunks, window_hashes, word_hashes, word_names
 from .components import connected_components
-from .session import ready, width, written
+from .session import exchanges_deleted, ready, width, written
 
 #: Tokens of the sets that one verification task holds.
 BLOCK_TOKENS = 1_000_000
@@ -439,7 +439,12 @@ def row_keys(docs: DataFrame, id_col: str, text_col: str, rest: Column) -> tuple
 
 
 def near_components(docs: DataFrame, words: int, num: int, den: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(k, n, component) for every row of ``docs`` (k, text): the size of its set and the least k of its component."""
+    """(k, n, component) for every row of ``docs`` (k, text): the size of its set and the least k of its component. What the actions on the way exchange is deleted; all that the result reads is written."""
+    with exchanges_deleted(docs.sparkSession):
+        return _near_components(docs, words, num, den, block_tokens)
+
+
+def _near_components(docs: DataFrame, words: int, num: int, den: int, block_tokens: int) -> DataFrame:
     short = (den + num) / (2 * (den - num)) < SHORT
     common = common_shingles(docs, words) if short else np.zeros(0, U64)
     index = docs.mapInArrow(_index(words, num, den, common), _KEYS)
