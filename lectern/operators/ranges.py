@@ -72,5 +72,8 @@ def blocks_in_ranges(blocks: DataFrame, ranges: DataFrame, start: str = "start_p
     mask = F.sum(F.col("_change") * F.col("_bit")).over(w.orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0))
     listed = F.collect_list(F.when(F.col("_kind") == 0, F.struct("_bit", "_range"))).over(w)
     rows = rows.withColumns({"_open": mask, "_ranges": listed}).filter("_kind = 1 and _open <> 0")
-    held = rows.select("_row", F.explode(F.filter("_ranges", lambda r: F.col("_open").bitwiseAND(r["_bit"]) != 0)).alias("_held"))
-    return held.select(*[F.col(f"_held._range.`{c}`").alias(c) for c in payload], "_row.*")
+    held = rows.select("_by", "_row", F.explode(F.filter("_ranges", lambda r: F.col("_open").bitwiseAND(r["_bit"]) != 0)).alias("_held"))
+    # the document comes from the column that rows are dealt by, so that the planner knows how they lie
+    alike = blocks.schema[by].dataType == ranges.schema[by].dataType
+    own = [F.col("_by").alias(c) if c == by and alike else F.col(f"_row.`{c}`").alias(c) for c in blocks.columns]
+    return held.select(*[F.col(f"_held._range.`{c}`").alias(c) for c in payload], *own)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -139,49 +141,64 @@ def result_kind(text: Column) -> Column:
     return out
 
 
-def picks(first: int, keywords: str, last: int, most: int) -> Column:
-    """Whether a block of a chapter is picked: of its section's blocks the ``first`` ones, those with a keyword and the ``last`` ones, each once in that order, ``most`` at most. Windows of the section are all that it needs."""
+def chosen(keywords: str, first: int, last: int, most: int) -> tuple[Column, Callable[[Column], Column]]:
+    """(arm, and what makes of a column of it whether a block is chosen) of a chapter's blocks: of its section's blocks the ``first`` ones (arm 0), those with a keyword (1) and the ``last`` ones (2), each once in that order, ``most`` at most. ``_place`` and ``_many`` say where a block stands in its section. How many of an arm have come is counted in the order of the blocks, so all of it is one sort."""
+    arm = F.when(F.col("_place") <= first, 0).when(F.col("text").rlike(keywords), 1).when(F.col("_many") - F.col("_place") < last, 2)
     w = Window.partitionBy("doc_id", "section_id")
-    start, end = F.row_number().over(w.orderBy("block_pos")), F.row_number().over(w.orderBy(F.desc("block_pos")))
-    return F.struct(F.when(start <= first, 0).when(F.col("text").rlike(keywords), 1).when(end <= last, 2).alias("arm"), F.lit(most).alias("most"))
-
-
-def chosen(arm: str) -> Column:
-    w = Window.partitionBy("doc_id", "section_id").orderBy(F.col(arm)["arm"].asc_nulls_last(), "block_pos")
-    return (F.col("type") == "chapter") & F.col(arm)["arm"].isNotNull() & (F.row_number().over(w) <= F.col(arm)["most"])
+    so_far = w.orderBy("block_pos").rowsBetween(Window.unboundedPreceding, 0)
 
+    def place(arm: Column) -> Column:
+        before, out = F.lit(0), F.lit(None).cast("long")
+        for k in range(3):
+            out = F.when(arm == k, before + F.count_if(arm == k).over(so_far)).otherwise(out)
+            before = before + F.count_if(arm == k).over(w)
+        return out
 
-def chapter_ends(rows: DataFrame) -> DataFrame:
-    """Derived conclusions: of chapters without explicit ones, the blocks from the heading of conclusions on."""
-    explicit = rows.filter("type = 'chapter_conclusions'").select("doc_id").distinct()
-    own = rows.filter("type = 'chapter'").join(explicit, "doc_id", "left_anti")
-    first = F.min(F.when(F.trim("text").rlike(pattern(CONCLUSIONS)), F.col("block_pos"))).over(Window.partitionBy("doc_id", "section_id"))
-    return own.withColumn("_from", first).filter("block_pos >= _from").drop("_from").withColumns({"section_id": F.concat("section_id", F.lit("-conclusions")), "type": F.lit("chapter_conclusions")})
+    return arm, lambda c: F.coalesce(place(c) <= most, F.lit(False))
 
 
 def fragments(rows: DataFrame) -> DataFrame:
-    """(doc_id, fragment_id, selector, complete, block_pos, block_id, text) from section blocks: every section, derived conclusions, and the virtual fragments that join several."""
-    base = rows.unionByName(chapter_ends(rows)).withColumn("complete", F.col("state") == "confirmed")
-    cols = ["doc_id", "fragment_id", "selector", "complete", "block_pos", "block_id", "text"]
-    out = base.select("doc_id", F.col("section_id").alias("fragment_id"), F.col("type").alias("selector"), "complete", "block_pos", "block_id", "text")
+    """(doc_id, fragment_id, selector, complete, block_pos, block_id, text) from section blocks: every section, derived conclusions (of chapters in documents without explicit ones, the blocks from the heading of conclusions on), and the virtual fragments that join several.
+
+    One pass over each document's blocks: all windows are of a document or of parts
+    of it, so rows that are dealt by document are not exchanged again.
+    """
     of = lambda *types: F.col("type").isin(*types)
-    marked = base.withColumns({"_s": picks(4, SUMMARY, 10, 45), "_e": picks(3, EVIDENCE, 12, 55)})
-    marked = marked.withColumns({"_s": chosen("_s"), "_e": chosen("_e")})
+    whole = Window.partitionBy("doc_id").orderBy("section_id", "block_pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    section = Window.partitionBy("doc_id", "section_id")
     last = ("title", "goal", "tasks", "defense_statements", "chapter_conclusions", "conclusion")
-    # of each virtual fragment: the types that must be whole, and which blocks it takes
+    # of each virtual fragment: the types that must be whole, the types of which it takes all blocks, and which blocks of chapters it takes
     plans = {
-        "title_goal": (("title", "goal", "introduction"), of("title", "goal")),
-        "scientific_core": (("title", "introduction", "goal", "tasks", "defense_statements", "chapter", "conclusion"), of("title", "introduction", "conclusion") | F.col("_s")),
-        "defense_chapters": (("defense_statements", "chapter", "chapter_conclusions"), of("defense_statements", "chapter_conclusions") | F.col("_e")),
-        "conclusion_global": (last, of(*last)),
+        "title_goal": (("title", "goal", "introduction"), ("title", "goal"), None),
+        "scientific_core": (("title", "introduction", "goal", "tasks", "defense_statements", "chapter", "conclusion"), ("title", "introduction", "conclusion"), "_s"),
+        "defense_chapters": (("defense_statements", "chapter", "chapter_conclusions"), ("defense_statements", "chapter_conclusions"), "_e"),
+        "conclusion_global": (last, last, None),
     }
-    wholes = base.groupBy("doc_id").agg(*[F.bool_and(F.when(of(*source), F.col("complete"))).alias(f"_{name}") for name, (source, _) in plans.items()])
-    names = F.array_compact(F.array(*[F.when(takes, F.lit(name)) for name, (_, takes) in plans.items()]))
-    members = marked.select("doc_id", "block_pos", "block_id", "text", F.explode(names).alias("selector")).dropDuplicates(["doc_id", "selector", "block_id"]).join(wholes, "doc_id")
-    whole = F.lit(None).cast("boolean")
+    # a document is a null one's neighbour in no join: it has its sections, and nothing that joins them
+    explicit = F.col("doc_id").isNotNull() & F.coalesce(F.max(of("chapter_conclusions")).over(whole), F.lit(False))
+    at = rows.withColumns({"complete": F.col("state") == "confirmed", "_own": of("chapter") & ~explicit})
+    heading = F.col("_own") & F.trim("text").rlike(pattern(CONCLUSIONS))
+    at = at.withColumns({"_place": F.row_number().over(section.orderBy("block_pos")), "_many": F.count("*").over(section), "_from": F.min(F.when(heading, F.col("block_pos"))).over(section)})
+    at = at.withColumn("_ends", F.coalesce(F.col("_own") & (F.col("block_pos") >= F.col("_from")), F.lit(False)))
+    arms = {"_s": chosen(SUMMARY, 4, 10, 45), "_e": chosen(EVIDENCE, 3, 12, 55)}
+    at = at.withColumns({name: arm for name, (arm, _) in arms.items()})
+    at = at.withColumns({name: of("chapter") & place(F.col(name)) for name, (_, place) in arms.items()})
+    takes, states = {}, {}
+    for name, (source, types, some) in plans.items():
+        own = of(*types) if some is None else of(*types) | F.col(some)
+        takes[f"_t_{name}"] = F.coalesce(own, F.lit(False)) | (F.col("_ends") if "chapter_conclusions" in types else F.lit(False))
+        states[f"_{name}"] = F.bool_and(F.when(of(*source) | (F.col("_ends") if "chapter_conclusions" in source else F.lit(False)), F.col("complete"))).over(whole)
+    at = at.withColumns(takes).withColumns(states)
+    # a block that several sections hold is in a virtual fragment once
+    before = Window.partitionBy("doc_id", "block_id").orderBy("block_pos", "section_id").rowsBetween(Window.unboundedPreceding, -1)
+    at = at.withColumns({t: F.col(t) & ~F.coalesce(F.max(t).over(before), F.lit(False)) for t in takes})
+    entry = lambda fragment, selector, complete: F.struct(fragment.alias("fragment_id"), selector.alias("selector"), complete.alias("complete"))
+    entries = [entry(F.col("section_id"), F.col("type"), F.col("complete")), F.when(F.col("_ends"), entry(F.concat("section_id", F.lit("-conclusions")), F.lit("chapter_conclusions"), F.col("complete")))]
     for name in plans:
-        whole = F.when(F.col("selector") == name, F.col(f"_{name}")).otherwise(whole)
-    return out.unionByName(members.withColumns({"fragment_id": F.concat(F.lit("virtual-"), "selector"), "complete": whole}).filter("complete is not null").select(*cols))
+        held = F.col(f"_t_{name}") & F.col(f"_{name}").isNotNull() & F.col("doc_id").isNotNull()
+        entries.append(F.when(held, entry(F.lit(f"virtual-{name}"), F.lit(name), F.col(f"_{name}"))))
+    out = at.select("doc_id", "block_pos", "block_id", "text", F.inline(F.array_compact(F.array(*entries))))
+    return out.select("doc_id", "fragment_id", "selector", "complete", "block_pos", "block_id", "text")
 
 
 IMPLEMENTED = r"(?iu)внедрен|использовани[ея]\s+результат|акт(?:а|ы|ов)?\s+внедрен|репозитор|github|gitlab|открыт(?:ое|ый)\s+по|программ(?:ное|ный)\s+средств"
