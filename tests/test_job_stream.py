@@ -82,3 +82,39 @@ def test_a_cluster_must_name_its_folder(spark):
     from lectern.functions.folders import shared_folder
 
     assert shared_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_events_go_to_the_state_together():
+    class Waiting:
+        calls, kept = 0, []
+
+        def appendList(self, some):
+            self.calls, self.kept = self.calls + 1, [*self.kept, *some]
+
+        def get(self):
+            self.calls += 1
+            return iter(self.kept)
+
+        def put(self, some):
+            self.calls, self.kept = self.calls + 1, some
+
+        def clear(self):
+            self.calls, self.kept = self.calls + 1, []
+
+    class Value:
+        exists, update = lambda self: False, lambda self, x: None
+
+    class Handle:
+        timers = []
+        getListState, getValueState = lambda self, *a: Waiting(), lambda self, *a: Value()
+        listTimers, registerTimer, deleteTimer = lambda self: iter(self.timers), lambda self, t: self.timers.append(t), lambda self, t: self.timers.remove(t)
+
+    class Now:
+        getCurrentWatermarkInMs = lambda self: 1_000_000
+
+    life = L.Life(6 * HOUR)
+    life.init(Handle())
+    rows = [L.Row(at_ms=1000 + k % 500, event_id=k % 500, action="start", share=None) for k in range(1000)] + [L.Row(at_ms=2_000_000, event_id=9999, action="read", share=None)]
+    assert not list(life.handleInputRows((1,), iter(rows), Now()))
+    assert len(list(life.handleExpiredTimer((1,), Now(), None))) == 500
+    assert life.waiting.kept == [(2_000_000, 9999, "read", None)] and life.waiting.calls == 3
