@@ -14,6 +14,9 @@ OPEN, CLOSE = "\x01", "\x02"
 EDGE = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
 ASCII_EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 SPACES = r"[\s\x{00A0}\x{FEFF}\p{Zs}\x{2028}\x{2029}]"
+#: One that isn't the plain space, and runs of white space that aren't one plain space: what is a plain space already needn't be written again.
+ODD_SPACE = f"[[^ -~]&&{SPACES}]"
+UNEVEN = f"{ODD_SPACE}{SPACES}*| {SPACES}+"
 
 #: Words without content (fixed values).
 STOP_WORDS = (
@@ -31,7 +34,7 @@ def pattern(regex: str, boundary: str = "intent") -> str:
 
 def collapse(text: Column) -> Column:
     """White space runs as one space, without ends."""
-    return F.trim(F.regexp_replace(text, f"{SPACES}+", " "))
+    return F.trim(F.regexp_replace(text, UNEVEN, " "))
 
 
 def norm_text(text: Column) -> Column:
@@ -78,27 +81,48 @@ def tokens(text: Column, least: int = 3, stop: tuple[str, ...] = STOP_WORDS) ->
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= least) & ~w.isin(*stop)))
 
 
-def marked_matches(text: Column, regex: Column | str) -> Column:
-    """An array of (match_idx, match, match_at) of all matches, in order; empty without any. Marks are put around matches and the text is split at them; one pass over the parts carries the place along, so the work is linear in the text."""
-    regex = F.lit(regex) if isinstance(regex, str) else regex
-    parts = F.split(F.regexp_replace(F.translate(text, OPEN + CLOSE, "  "), regex, F.lit(f"{OPEN}$0{CLOSE}")), OPEN)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<match:string,match_at:int>>").alias("found"))
+def unmarked(text: Column) -> Column:
+    """The text with blanks for the characters that mark matches; few texts have any."""
+    return F.when(F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE)), F.translate(text, OPEN + CLOSE, "  ")).otherwise(text)
 
-    def step(s: Column, part: Column) -> Column:
-        match = F.substring_index(part, CLOSE, 1)
-        hit = F.struct(match.alias("match"), s["at"].alias("match_at"))
-        return F.struct((s["at"] + F.length(part) - 1).alias("at"), F.array_append(s["found"], hit).alias("found"))
 
-    def first(s: Column, part: Column) -> Column:
-        return F.struct(F.length(part).alias("at"), s["found"])
+def marked(text: Column, regex: str) -> Column:
+    """The text (without marks) with marks around all matches."""
+    return F.regexp_replace(text, regex, F.lit(f"{OPEN}$0{CLOSE}"))
+
+
+#: Lengths that are summed anew for each match, as a power of two.
+STRETCH = 6
+
+
+def explode_marked(df: DataFrame, keep: tuple[str, ...], text: Column, most: Column | None = None) -> DataFrame:
+    """A row for every match of a ``marked`` text, or the first ``most``: ``keep`` columns, ``match_idx`` (0-based), ``match``, ``match_at`` (0-based place).
+
+    The parts between marks and their lengths are columns, as an expression that is read
+    twice would run twice. A place is the sum of the lengths before it: those of whole
+    stretches are carried along, the few behind them are summed. (A fold that carries all
+    matches copies them at each step.)
+    """
+    rows = df.select(*keep, F.split(text, OPEN).alias("_parts"))
+    rows = rows.select(*keep, "_parts", F.transform("_parts", lambda part, i: F.length(part) - F.when(i > 0, 1).otherwise(0)).alias("_lengths"))
+
+    def total(first: Column, n: Column) -> Column:
+        return F.aggregate(F.slice("_lengths", first, n), F.lit(0), lambda a, b: a + b)
+
+    whole = F.shiftright(F.size("_lengths") - 1, STRETCH)
+    sums = F.aggregate(F.slice(F.sequence(F.lit(0), whole), F.lit(2), whole), F.array(F.lit(0)), lambda s, c: F.array_append(s, F.element_at(s, -1) + total(F.shiftleft(c - 1, STRETCH) + 1, F.lit(1 << STRETCH))))
+    rows = rows.select(*keep, "_parts", "_lengths", sums.alias("_sums"))
+
+    def hit(part: Column, i: Column) -> Column:
+        before = F.shiftright(i + 1, STRETCH)
+        at = F.get(F.col("_sums"), before) + total(F.shiftleft(before, STRETCH) + 1, (i + 1).bitwiseAND((1 << STRETCH) - 1))
+        return F.struct(i.alias("match_idx"), F.substring_index(part, CLOSE, 1).alias("match"), at.alias("match_at"))
 
     # the part before the first mark holds no match
-    begun = F.aggregate(F.slice(parts, 1, 1), start, first)
-    found = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), begun, step, lambda s: s["found"])
-    return F.transform(found, lambda x, i: F.struct(i.alias("match_idx"), x["match"].alias("match"), x["match_at"].alias("match_at")))
+    n = F.greatest(F.size("_parts") - 1, F.lit(0))
+    return rows.select(*keep, F.inline(F.transform(F.slice("_parts", F.lit(2), n if most is None else F.least(n, most)), hit)))
 
 
-def explode_matches(df: DataFrame, text_col: str, regex: Column | str, keep: tuple[str, ...]) -> DataFrame:
+def explode_matches(df: DataFrame, text_col: str, regex: str, keep: tuple[str, ...]) -> DataFrame:
     """A row for every match: ``keep`` columns, ``match_idx`` (0-based), ``match``, ``match_at`` (0-based place), without Python."""
-    rows = df.filter(F.col(text_col).rlike(regex) if isinstance(regex, str) else F.regexp_like(F.col(text_col), regex))
-    return rows.select(*keep, F.inline(marked_matches(F.col(text_col), regex)))
+    return explode_marked(df.filter(F.col(text_col).rlike(regex)), keep, marked(unmarked(F.col(text_col)), regex))

@@ -11,6 +11,8 @@ from lectern.operators.ranges import in_any_range
 #: Patterns of what isn't narrative (fixed values).
 PROMPT = r"(?ium)(?:Requirements:|Rules:|Generate ONLY|Return ONLY|No commentary|```|^\s*(?:def|class|import|from\s+\w+\s+import|SELECT\s+.+\s+FROM|INSERT\s+INTO|UPDATE\s+\w+\s+SET)\b)"
 PROMPT_WIDE = r"(?ium)(?:Requirements:|Rules:|Generate ONLY|Return ONLY|No commentary|\{[a-z_][^}]*\}|```|^\s*(?:def|class|import|from|SELECT|INSERT|UPDATE)\b)"
+#: Text in upper case that matches PROMPT, or of which a quote does, holds one of these (the last one may stand for an I).
+PROMPT_SIGNS = ("REQUIREMENTS:", "RULES:", "GENERATE", "RETURN", "COMMENTARY", "```", "DEF", "CLASS", "IMPORT", "SELECT", "INSERT", "UPDATE", "İ")
 CONTENTS = r"(?iu)оглавление|содержание"
 CONTENTS_START = r"(?iu)(?:^|\n)\s*(?:\d+\s*)?(?:оглавление|содержание)"
 CONTENTS_END = r"(?iu)(?:^|\n)\s*(?:\d+\s*)?(?:реферат|synopsis|введение)"
@@ -31,6 +33,12 @@ def is_prompt(text: Column) -> Column:
     return text.rlike(pattern(PROMPT))
 
 
+def may_be_prompt(text: Column) -> Column:
+    """Whether ``is_prompt`` may hold for the text or a quote from it: false for nearly all, at a small part of its cost."""
+    upper = lambda t: F.exists(F.array(*map(F.lit, PROMPT_SIGNS)), lambda s: F.contains(t, s))
+    return F.get(F.transform(F.array(F.upper(text)), upper), F.lit(0))
+
+
 def is_contents(text: Column) -> Column:
     t = collapse(text)
     return t.rlike(CONTENTS) | (t.rlike(pattern(LEADERS)) & t.rlike(pattern(r"(?iu)\b(?:глава|введение|заключение|раздел)\b")))

@@ -17,7 +17,7 @@ from re import _parser as parser
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import SPACES
+from lectern.functions.text import ODD_SPACE
 
 #: Letters of a word's beginning that are kept, and how many alternatives a pattern may have.
 LONGEST, MOST = 5, 40
@@ -244,7 +244,8 @@ class Index:
         """The rows with the places of the patterns that may match ``text``, each once, in column ``out``.
 
         Words are folded to upper case, which makes all cases of a letter equal; signs
-        are what is left when letters and digits become one each. No shuffle.
+        are what is left when upper-case letters, digits and white space become one each
+        (no sign holds other letters, so they stay as they are). No shuffle.
         """
         none = F.array().cast("array<int>")
         listed = lambda ns: F.array(*map(F.lit, ns)).cast("array<int>")
@@ -259,8 +260,9 @@ class Index:
             parts.append(F.coalesce(F.flatten(F.transform(known, lambda w: places[w])), none))
         if self.signs:
             shape = F.col(text)
-            for regex, sign in (("[0-9]", "9"), (r"\p{Lu}", "A"), (r"[\p{L}&&[^A]]", "a"), (SPACES, " ")):
-                shape = F.regexp_replace(shape, regex, sign)
+            for regex, sign in (("[0-8]", "9"), (r"[\p{Lu}&&[^A]]", "A"), (ODD_SPACE, " ")):
+                if any(sign in s for s in self.signs):
+                    shape = F.regexp_replace(shape, regex, sign)
             rows = rows.withColumn("_shape", shape)
             parts += [F.when(F.contains("_shape", F.lit(s)), listed(self.places[SIGN, s])).otherwise(none) for s in self.signs]
         return rows.withColumn(out, F.array_distinct(F.concat(*parts))).drop("_heads", "_shape")
