@@ -41,7 +41,7 @@ def classify(text: Column, entries: bool = True, formula: str = FORMULA) -> Colu
             .when(t.rlike(pattern(NUMBERED_HEADING)) | is_named_heading(t), "heading")
             .when(t.rlike(pattern(LIST_ITEM)), "list")
             .when(entry, "bibliography")
-            .when(t.rlike(formula) & (F.length(t) < 700), "formula")
+            .when((F.length(t) < 700) & t.rlike(formula), "formula")
             .otherwise("paragraph")
         )
 
@@ -72,7 +72,7 @@ def blocks(docs: DataFrame, separator: str = r"\n\s*\n", keep: tuple[str, ...] =
     """
     page = F.col(page_col).cast("int") if page_col else F.lit(None).cast("int")
     pieces = F.flatten(F.transform(F.split(F.col(text_col), separator), lambda p: packed_sentences(F.trim(p), long)))
-    clean = F.filter(F.transform(pieces, lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " "))), lambda x: F.length(x) >= 2)
+    clean = F.filter(F.transform(pieces, lambda x: F.trim(F.regexp_replace(x, r"\t[ \t]*| [ \t]+", " "))), lambda x: F.length(x) >= 2)
     rows = docs.select(*keep, page.alias("page"), F.posexplode(clean).alias("_n", "text"))
     rows = rows.withColumn("block_id", F.concat(F.when(F.col("page").isNull(), "doc").otherwise(F.concat(F.lit("p"), "page")), F.lit("-b"), F.col("_n") + 1))
     rows = rows.withColumn("location", F.when(F.col("page").isNull(), "Документ").otherwise(F.concat(F.lit("Страница "), "page")))

@@ -99,6 +99,13 @@ def narrative(b: DataFrame, sections: DataFrame | None = None, bibliography: Dat
     return rows.drop("first", "past")
 
 
+def running_scopes(b: DataFrame) -> DataFrame:
+    """(scope, and all columns) of blocks that are all running text: each is of scope ``all``, headings and captions of ``headings`` too. One pass."""
+    heading = (F.col("type") == "heading") | is_caption(F.col("text"), F.col("type"))
+    both, one = F.array(F.lit("all"), F.lit("headings")), F.array(F.lit("all"))
+    return b.select(F.explode(F.when(heading, both).otherwise(one)).alias("scope"), "*")
+
+
 def scoped(b: DataFrame, fields: DataFrame, title: DataFrame | None = None, running: DataFrame | None = None, by: str = "doc_id") -> DataFrame:
     """(scope, by, block_pos, block_id, page, type, text): the blocks of every scope, a block once for each scope that it is of. ``running`` is the narrative, if it is at hand."""
     bib = fields.filter("field = 'bibliography'")

@@ -9,10 +9,16 @@ from pyspark.sql import functions as F
 from lectern.functions.text import collapse, explode_matches
 from lectern.operators import detectors as D
 from lectern.operators import scopes as S
+from lectern.plans import queries as Q
 
+SF = "/root/testdata/sf0.001"
 CODE = ["def", "class", "import", "from a import b", "SELECT x FROM", "INSERT INTO", "update t set", "Requirements:", "RULES:", "Generate   only", "return\nONLY", "No  commentary", "```", "İmport", "claſs", "ınsert into", "word", "7", "AB", "1.5"]
 
 
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 63, 64, 65, 127, 128, 129, 5000])
 def test_places_of_many_matches(spark, n):
     text = "é" + "".join(f"x{k} " + "я" * (k % 7) for k in range(n))
@@ -46,6 +52,22 @@ def test_a_cap_that_is_known_leaves_the_same(spark, most):
     assert few.filter("doc_id = 77").count() == 3 * 3 * most
 
 
+def test_documents_are_read_and_matched_once(spark):
+    tree = plan(Q.pattern_hits(spark, SF))
+    assert tree.count("parquet") == 1  # two scans before, one for each scope
+    for _, _, regex, _ in Q.NEUTRAL:
+        assert len(re.findall(re.escape(f"{regex}, ") + r".{0,3}\$0", tree)) == 1  # each ran three times for a row
+    assert "array_insert" not in tree.split("inline(")[1].split("\n")[0]  # no fold carries the matches
+
+
+def test_scopes_in_one_pass(spark):
+    b = Q.lines(spark, SF)
+    none = spark.createDataFrame([], "doc_id long, field string, block_pos int")
+    cols = ["scope", "doc_id", "block_pos", "block_id", "text"]
+    want = S.scoped(b, none, running=b).filter("scope in ('all', 'headings')").select(cols)
+    assert sorted(map(repr, S.running_scopes(b).select(cols).collect())) == sorted(map(repr, want.collect()))
+
+
 def test_white_space_forms_are_the_same(spark):
     rng = random.Random(7)
     texts = ["".join(rng.choice("ab  \t\n  ﻿ \x85é ") for _ in range(12)) for _ in range(2000)]
