@@ -14,9 +14,10 @@ small where data cluster and large where they don't.
 Cells are laid into buckets of at most about ``BLOCK`` entries from their counts
 (of which there are as many as cells); a larger cell, such as one that holds
 many equal vectors, is dealt over several buckets by a hash of the id. Entries
-of a bucket travel as one block, queries as blocks of ``QUERIES`` with a mask of
-the cells that each of them visits; a task multiplies one pair of blocks at a
-time and passes on the best of each query, so it never holds a group.
+and queries meet in the order of their buckets, entries first: a task keeps the
+entries of one bucket, queries stream by in blocks of at most ``QUERIES`` with
+the cells that each of them visits, and the best of each query go on. Nothing is
+repeated for what it meets, so neither a task nor the driver holds a group.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ TARGET = 0.95
 IN_CELL = 50
 BLOCK = 4096
 QUERIES = 256
+#: Rows of the sample whose distances to a codebook are held at once.
+ROWS = 1024
 #: Pairs of a query and a cell that a task holds at once, and how far beyond the nearest pair a run of cells is taken, as a share of all distances.
 PAIRS, STEP = 1 << 20, 1 / 128
 
@@ -61,8 +64,7 @@ class Index:
         return squared(x[:, : self.half], self.first), squared(x[:, self.half :], self.second)
 
     def cells(self, x: np.ndarray) -> np.ndarray:
-        a, b = self.distances(x)
-        return a.argmin(axis=1) * len(self.second) + b.argmin(axis=1)
+        return nearest_of(x[:, : self.half], self.first) * len(self.second) + nearest_of(x[:, self.half :], self.second)
 
     def visited(self, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
         """The cells of one query, nearest first, until they hold ``least`` entries; empty cells are left out.
@@ -112,6 +114,11 @@ def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0.0)
 
 
+def nearest_of(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each row, ROWS of them at a time."""
+    return np.concatenate([squared(x[k : k + ROWS], centres).argmin(axis=1) for k in range(0, len(x), ROWS)]) if len(x) else np.zeros(0, np.int64)
+
+
 def codebook(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Lloyd's algorithm from seeds spread over the sorted sample; an empty cluster keeps its centroid."""
     if not x.shape[1]:  # vectors of one component have an empty half
@@ -120,7 +127,7 @@ def codebook(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     k = min(k, len(x))
     centres = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
     for _ in range(rounds):
-        own = squared(x, centres).argmin(axis=1)
+        own = nearest_of(x, centres)
         n = np.bincount(own, minlength=k)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, x)
@@ -178,34 +185,17 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _assign(index: Index, dim: int):
+    """(id, cell, x) of each row; once cells are laid out, also the first bucket of its cell and how many it is dealt over."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 x = matrix(b.column(1), dim)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(index.cells(x).astype(np.int32)), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "cell", "x"])
-
-    return run
-
-
-def _blocks(index: Index, dim: int, block: int):
-    """Rows sorted by bucket: blocks of at most ``block`` entries."""
-
-    def made(bucket: int, ids: list, cells: list, xs: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.array(cells, np.int32).tobytes()], pa.binary()), pa.array([b"".join(xs)], pa.binary())], ["bucket", "ids", "cells", "xs"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, cells, xs = None, [], [], []
-        for b in batches:
-            for bucket, i, c, x in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                if ids and (bucket != at or len(ids) >= block):
-                    yield made(at, ids, cells, xs)
-                    ids, cells, xs = [], [], []
-                at = bucket
-                ids.append(i)
-                cells.append(c)
-                xs.append(x)
-        if ids:
-            yield made(at, ids, cells, xs)
+                cells = index.cells(x)
+                cols = [b.column(0), pa.array(cells.astype(np.int32)), pa.array([r.tobytes() for r in x], pa.binary())]
+                if index.bucket is not None:
+                    cols += [pa.array(index.bucket[cells].astype(np.int32)), pa.array(index.salts[cells].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "cell", "x", "first", "salts"][: len(cols)])
 
     return run
 
@@ -258,30 +248,49 @@ def _walk(index: Index, dim: int, least: int):
     return run
 
 
-def _rerank(dim: int, k: int):
-    """The k best of each query in each pair of blocks, by the exact distance."""
+def best_of(ids: np.ndarray, local: np.ndarray, x: np.ndarray, have: np.ndarray, qids: np.ndarray, pairs: np.ndarray, q: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k best of each query among the entries of a bucket, by the exact distance. ``have`` are the bucket's cells in order, ``local`` each entry's place among them."""
+    near = squared(q, x)
+    at = np.minimum(np.searchsorted(have, pairs[:, 1]), len(have) - 1)
+    there = have[at] == pairs[:, 1]
+    visits = np.zeros((len(q), len(have)), dtype=bool)
+    visits[pairs[there, 0], at[there]] = True
+    near[~visits[:, local] | (qids[:, None] == ids[None])] = np.inf
+    slack = 1e-9 * (1 + (q * q).sum(1) + (x * x).sum(1).max())
+    out = []
+    for i in range(len(q)):
+        d = near[i]
+        limit = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf
+        some = np.flatnonzero((d <= limit + slack[i]) & np.isfinite(d))
+        exact = np.sqrt(((x[some] - q[i]) ** 2).sum(axis=1))
+        best = np.lexsort((ids[some], exact))[:k]
+        out.append((np.full(len(best), qids[i]), ids[some][best], exact[best]))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+
+
+def _rerank(dim: int, k: int, block: int):
+    """Rows in order of bucket, and in it entries (id, cell, xs) before blocks of queries (qids, qcells, xs): the k best of each query among at most ``2 * block`` entries of a bucket; a bucket of more, by a rare hash, gives its best in parts."""
+
+    def parts(ids: list, cells: list, xs: list):
+        for at in range(0, len(ids), 2 * block):
+            have, local = np.unique(np.array(cells[at : at + 2 * block], np.int64), return_inverse=True)
+            yield np.array(ids[at : at + 2 * block], np.int64), local, np.frombuffer(b"".join(xs[at : at + 2 * block])).reshape(-1, dim), have
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, cells, xs, held = None, [], [], [], None
         for b in batches:
-            for r in range(b.num_rows):
-                ids, cells, xs, qids, qcells, qxs = (np.frombuffer(b.column(i)[r].as_py(), dtype=t) for i, t in enumerate((np.int64, np.int32, np.float64, np.int64, np.int32, np.float64)))
-                x, q, pairs = xs.reshape(-1, dim), qxs.reshape(-1, dim), qcells.reshape(-1, 2)
-                near = squared(q, x)
-                top = int(max(cells.max(), pairs[:, 1].max())) + 1
-                visits = np.zeros((len(q), top), dtype=bool)
-                visits[pairs[:, 0], pairs[:, 1]] = True
-                near[~visits[:, cells] | (qids[:, None] == ids[None])] = np.inf
-                slack = 1e-9 * (1 + (q * q).sum(1) + (x * x).sum(1).max())
-                out = []
-                for i in range(len(q)):
-                    d = near[i]
-                    limit = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf
-                    some = np.flatnonzero((d <= limit + slack[i]) & np.isfinite(d))
-                    exact = np.sqrt(((x[some] - q[i]) ** 2).sum(axis=1))
-                    best = np.lexsort((ids[some], exact))[:k]
-                    out.append((np.full(len(best), qids[i]), ids[some][best], exact[best]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+            for bucket, kind, i, c, x, qids, qcells in zip(*(b.column(k) for k in range(7)), strict=True):
+                if bucket.as_py() != at:
+                    at, ids, cells, xs, held = bucket.as_py(), [], [], [], None
+                if kind.as_py() == 0:
+                    ids.append(i.as_py())
+                    cells.append(c.as_py())
+                    xs.append(x.as_py())
+                    continue
+                if held is None:
+                    held, ids, cells, xs = list(parts(ids, cells, xs)), [], [], []
+                for part in held:
+                    yield best_of(*part, np.frombuffer(qids.as_py(), np.int64), np.frombuffer(qcells.as_py(), np.int32).reshape(-1, 2), np.frombuffer(x.as_py()).reshape(-1, dim), k)
 
     return run
 
@@ -314,17 +323,17 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
     if not drawn.num_rows:
         drawn = rows.limit(1).select("id", "x").toArrow()
     index = fit(matrix(drawn["x"].combine_chunks(), dim), codewords(n, sample), k, target)
-    entries = rows.mapInArrow(_assign(index, dim), "id long, cell int, x binary")
     index.counts = np.zeros(len(index.first) * len(index.second), dtype=np.int64)
-    for cell, count in entries.groupBy("cell").count().collect():  # as many rows as cells
-        index.counts[cell] = count
+    seen = rows.mapInArrow(_assign(index, dim), "id long, cell int, x binary").groupBy("cell").count().toArrow()  # as many rows as cells
+    index.counts[seen["cell"].to_numpy()] = seen["count"].to_numpy()
     lay_out(index, block)
-    where = spark.createDataFrame([(c, int(index.bucket[c]), int(index.salts[c])) for c in np.flatnonzero(index.counts).tolist()], "cell int, first int, salts int")
-    dealt = entries.join(F.broadcast(where), "cell").select((F.col("first") + F.pmod(F.xxhash64("id"), F.col("salts"))).cast("int").alias("bucket"), "id", "cell", "x")
-    blocks = dealt.repartition(width(rows), "bucket").sortWithinPartitions("bucket", "id").mapInArrow(_blocks(index, dim, block), "bucket int, ids binary, cells binary, xs binary")
+    entries = rows.mapInArrow(_assign(index, dim), "id long, cell int, x binary, first int, salts int")
+    none = lambda kind: F.lit(None).cast(kind)
+    dealt = entries.select((F.col("first") + F.pmod(F.xxhash64("id"), F.col("salts"))).cast("int").alias("bucket"), F.lit(0).alias("kind"), "id", "cell", F.col("x").alias("xs"), none("binary").alias("qids"), none("binary").alias("qcells"))
     asked = rows.filter(F.col("id") % every == 0).repartition(width(rows), "id").mapInArrow(_walk(index, dim, min(n, max(int(np.ceil(index.share * n)), k + 1))), "bucket int, qids binary, qcells binary, qxs binary")
-    pairs = blocks.join(asked, "bucket").select("ids", "cells", "xs", "qids", "qcells", "qxs")
-    best = pairs.mapInArrow(_rerank(dim, k), "query_id long, vec_id long, score double")
+    asked = asked.select("bucket", F.lit(1).alias("kind"), none("long").alias("id"), none("int").alias("cell"), F.col("qxs").alias("xs"), "qids", "qcells")
+    met = dealt.union(asked).repartition(width(rows), "bucket").sortWithinPartitions("bucket", "kind", "id")
+    best = met.mapInArrow(_rerank(dim, k, block), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

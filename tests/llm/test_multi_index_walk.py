@@ -63,3 +63,53 @@ def test_memory_at_a_large_index():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert pairs > 12 * 100_000 and peak < 300 << 20
+
+
+def test_entries_and_queries_meet_without_a_join(spark):
+    """A join repeated a block of entries for each block of queries that met it, all of them in an executor's heap at once."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate((rng.normal(size=(300, 6)), np.repeat(rng.normal(size=(1, 6)), 60, axis=0)))
+    ids = np.arange(len(x))
+    vectors = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = M.nearest(vectors, k=3, every=7, target=1.0, block=16)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    want = []
+    for q in ids[ids % 7 == 0]:
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        best = [i for i in np.lexsort((ids, d)) if i != q][:3]
+        want += [(int(q), r + 1, int(i)) for r, i in enumerate(best)]
+    rows = [(r.query_id, r["rank"], r.vec_id) for r in got.collect()]
+    hits = len(set(rows) & set(want)) / len(want)
+    assert len(rows) == len(want) and hits > 0.9
+
+
+def test_a_bucket_is_ranked_as_a_whole():
+    """The stream of entries and queries against all distances, with cells that a query doesn't visit and more entries than are held at once."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    x, cells, ids = rng.normal(size=(90, 4)), rng.integers(0, 6, 90), np.arange(90) + 1000
+    q, qids = x[:5], ids[:5]
+    pairs = np.array([(i, c) for i in range(5) for c in ((0, 1, 2, 3) if i % 2 else (2, 5, 9))], dtype=np.int32)
+    rows = [(7, 0, int(i), int(c), v.tobytes(), None, None) for i, c, v in zip(ids, cells, x, strict=True)] + [(7, 1, None, None, q.tobytes(), qids.astype(np.int64).tobytes(), pairs.tobytes())]
+    names = ["bucket", "kind", "id", "cell", "xs", "qids", "qcells"]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    for block in (16, 4096):
+        out = [r for b in M._rerank(4, 3, block)(iter([batch.slice(0, 40), batch.slice(40)])) for r in b.to_pylist()]
+        for i in range(5):
+            seen = [j for j in range(90) if j != i and cells[j] in {c for a, c in pairs.tolist() if a == i}]
+            best = sorted((float(np.sqrt(((x[j] - q[i]) ** 2).sum())), int(ids[j])) for j in seen)[:3]
+            got = sorted((r["score"], r["vec_id"]) for r in out if r["query_id"] == qids[i])[:3]
+            assert [j for _, j in got] == [j for _, j in best] and [s for s, _ in got] == pytest.approx([s for s, _ in best])
+
+
+def test_the_fit_holds_few_distances_at_once():
+    rng = np.random.default_rng(5)
+    sample = rng.normal(size=(8192, 8))
+    tracemalloc.start()
+    M.codebook(sample[:, :4], 512, rounds=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 << 20
