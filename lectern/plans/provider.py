@@ -86,6 +86,40 @@ def answered(requests: DataFrame, call: Callable[[str], str], concurrency: int =
     return requests.repartition(concurrency).mapInArrow(run, f"{schema}, raw string, error string")
 
 
+def _rule_id(r: Column) -> Column:
+    return F.trim(J.text(r, "$.ruleId")).alias("rule_id")
+
+
+def _said(r: Column) -> list[Column]:
+    return [J.text(r, f"$.{name}").alias(name) for name in ("status", "explanation", "fix")]
+
+
+def _claim(e: Column) -> list[Column]:
+    return [F.trim(J.text(e, "$.blockId")).alias("block_id"), J.text(e, "$.quote").alias("quote")]
+
+
+def _coverage(r: Column) -> list[Column]:
+    return [J.value(r, "$.absenceCheck.complete", "boolean").alias("claims_complete"), J.value(r, "$.absenceCheck.checkedBlockCount", "int").alias("checked_blocks")]
+
+
+def _cell(i: Column) -> list[Column]:
+    return [F.trim(J.text(i, "$.name")).alias("item"), J.text(i, "$.status").alias("status")]
+
+
+def nested_checks(answers: DataFrame, body: Callable[[Column], Column]) -> DataFrame:
+    """The answers with ``results``, an array in their order: what ``parse_checks`` gives as rows, kept where the answer lies, for what is asked of each answer alone. Results hold rule_id, status, explanation, fix, ``claims``, claims_complete, checked_blocks and ``cells``."""
+    kept = [c for c in answers.columns if c != "raw"]
+    # each step is a column of its own, as an expression that is read twice would run twice
+    rows = answers.select(*kept, body(F.col("raw")).alias("_body")).select(*kept, J.parsed(F.col("_body")).alias("_v")).select(*kept, J.objects(F.col("_v"), "$.results").alias("_r"))
+
+    def result(r: Column) -> Column:
+        claims = F.transform(J.objects(r, "$.evidence"), lambda e: F.struct(*_claim(e)))
+        cells = F.transform(J.objects(r, "$.absenceCheck.items"), lambda i: F.struct(*_cell(i)))
+        return F.struct(_rule_id(r), *_said(r), claims.alias("claims"), *_coverage(r), cells.alias("cells"))
+
+    return rows.select(*kept, F.transform("_r", result).alias("results"))
+
+
 def parse_checks(answers: DataFrame, body: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(statuses, claims, cells) of answers (doc_id, fragment_id, raw), in the forms that the result plans take.
 
@@ -95,8 +129,8 @@ def parse_checks(answers: DataFrame, body: Callable[[Column], Column]) -> tuple[
     """
     rows = answers.select("doc_id", "fragment_id", F.posexplode(J.objects(J.parsed(body(F.col("raw"))), "$.results")).alias("answer_idx", "r"))
     r = F.col("r")
-    key = ["doc_id", "fragment_id", F.trim(J.text(r, "$.ruleId")).alias("rule_id")]
-    statuses = rows.select(*key, "answer_idx", *(J.text(r, f"$.{name}").alias(name) for name in ("status", "explanation", "fix")))
-    claims = rows.select(*key, F.posexplode(J.objects(r, "$.evidence")).alias("evidence_idx", "e")).select("doc_id", "fragment_id", "rule_id", "evidence_idx", F.trim(J.text(F.col("e"), "$.blockId")).alias("block_id"), J.text(F.col("e"), "$.quote").alias("quote"))
-    cells = rows.select(*key, J.value(r, "$.absenceCheck.complete", "boolean").alias("claims_complete"), J.value(r, "$.absenceCheck.checkedBlockCount", "int").alias("checked_blocks"), F.explode(J.objects(r, "$.absenceCheck.items")).alias("i"))
-    return statuses, claims, cells.select("doc_id", "fragment_id", "rule_id", "claims_complete", "checked_blocks", F.trim(J.text(F.col("i"), "$.name")).alias("item"), J.text(F.col("i"), "$.status").alias("status"))
+    key = ["doc_id", "fragment_id", _rule_id(r)]
+    statuses = rows.select(*key, "answer_idx", *_said(r))
+    claims = rows.select(*key, F.posexplode(J.objects(r, "$.evidence")).alias("evidence_idx", "e")).select("doc_id", "fragment_id", "rule_id", "evidence_idx", *_claim(F.col("e")))
+    cells = rows.select(*key, *_coverage(r), F.explode(J.objects(r, "$.absenceCheck.items")).alias("i"))
+    return statuses, claims, cells.select("doc_id", "fragment_id", "rule_id", "claims_complete", "checked_blocks", *_cell(F.col("i")))
