@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -289,32 +293,52 @@ def document_lexicons(b: DataFrame, by: str = "doc_id", word: str = "[А-ЯЁа-
     return counts.groupBy(by).agg(F.collect_list(F.struct("word", "n")).cast(_WORDS).alias("words"))
 
 
+#: Bytes of texts and lexicons that are cut together; a longer text is cut alone. Words as Python has them take ten times that and more.
+CUT_BYTES = 2 << 20
+
+
+def _few(batch: pa.RecordBatch, columns: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about CUT_BYTES of texts and lexicons, or of one row."""
+    size = 16 * pc.fill_null(pc.list_value_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for c in columns:
+        size = size + pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(c))), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CUT_BYTES, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _cut_texts(columns: tuple[str, ...], regex: str, common: tuple[str, ...]):
-    """Rows whose last columns are the document and its words: the long tokens of a batch are cut together, by one trie with a root for each document."""
+    """Rows whose last columns are the document and its words: the long tokens of a slice of a batch are cut together, by one trie with a root for each document."""
     import re
 
     long_token = re.compile(regex)
 
+    def cut_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        docs, lexicons = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1)
+        roots: dict[object, int] = {}
+        words: list[tuple[int, str, int, bool]] = []
+        for k, doc in enumerate(docs):
+            if doc in roots:
+                continue
+            root = roots.setdefault(doc, len(roots))
+            counts = {w["word"]: w["n"] for w in lexicons[k].as_py() or ()}
+            words += [(root, w, max(n, 20) if w in common else n, w in common) for w, n in counts.items()]
+            words += [(root, w, 20, True) for w in common if w not in counts]
+        texts = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns}
+        asked = sorted({(roots[d], t) for c in columns for d, text in zip(docs, texts[c], strict=True) if text for t in long_token.findall(text)})
+        cut = dict(zip(asked, cut_tokens(Trie(words, len(roots)), [t for _, t in asked], [g for g, _ in asked]), strict=True))
+        cols = list(batch.columns[:-2])
+        for c in columns:
+            made = [None if t is None else long_token.sub(lambda m, g=roots[d]: cut[g, m[0]] or m[0], t) for d, t in zip(docs, texts[c], strict=True)]
+            cols[batch.schema.get_field_index(c)] = pa.array(made, pa.string())
+        return pa.RecordBatch.from_arrays(cols, batch.schema.names[:-2])
+
     def run(batches):
         for batch in batches:
-            docs, lexicons = (batch.column(batch.num_columns - k).to_pylist() for k in (2, 1))
-            roots: dict[object, int] = {}
-            words: list[tuple[int, str, int, bool]] = []
-            for doc, own in zip(docs, lexicons, strict=True):
-                if doc in roots:
-                    continue
-                root = roots.setdefault(doc, len(roots))
-                counts = {w["word"]: w["n"] for w in own or ()}
-                words += [(root, w, max(n, 20) if w in common else n, w in common) for w, n in counts.items()]
-                words += [(root, w, 20, True) for w in common if w not in counts]
-            texts = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns}
-            asked = sorted({(roots[d], t) for c in columns for d, text in zip(docs, texts[c], strict=True) if text for t in long_token.findall(text)})
-            cut = dict(zip(asked, cut_tokens(Trie(words, len(roots)), [t for _, t in asked], [g for g, _ in asked]), strict=True))
-            cols = list(batch.columns[:-2])
-            for c in columns:
-                made = [None if t is None else long_token.sub(lambda m, g=roots[d]: cut[g, m[0]] or m[0], t) for d, t in zip(docs, texts[c], strict=True)]
-                cols[batch.schema.get_field_index(c)] = pa.array(made, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, batch.schema.names[:-2])
+            for some in _few(batch, columns):
+                yield cut_batch(some)
 
     return run
 
