@@ -120,3 +120,33 @@ def test_texts_with_many_fingerprints_go_out_in_bounded_batches():
     assert sum(sizes) > 3 * K.OUT_BYTES and max(sizes) <= K.OUT_BYTES + 2_000
     want = {(k, t[i : i + 4]) for k, t in enumerate(texts) for i in range(len(t) - 3)}
     assert sum(b.num_rows for b in out) == len(want)
+
+
+@pytest.mark.parametrize("room", [0, 3_000, 10**9])
+def test_quotes_that_are_sent_and_quotes_that_are_joined(spark, monkeypatch, room):
+    monkeypatch.setattr(containment, "SENT_BYTES", room)
+    quotes, bodies = cases()
+    quotes += ["ab" * 90, "x" * 64 + "y" * 70, "same"]
+    bodies += ["x" * 64 + "y" * 70 + "ab" * 500 + "x" * 64 + "y" * 69, "y" * 70 + "x" * 64]
+    got = sorted((r.item_id, r.doc_id) for r in texts_with_quotes(*frames(spark, quotes, bodies), "item_id", "doc_id").collect())
+    assert got == sorted((i, d) for i, q in enumerate(quotes) for d, b in enumerate(bodies) if q and b and q in b)
+
+
+def test_a_long_text_sends_what_is_around_a_fingerprint():
+    """Whole texts were sent, once for each of their fingerprints, so what was exchanged grew with the square of a text's length."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    text = "".join(chr(rng.randrange(97, 123)) for _ in range(200_000))
+    quotes = [text[at : at + 200] for at in range(1_000, 199_000, 20_000)]
+    bands, keys = winnow.quote_keys(pa.array(quotes))
+    assert set(bands) == {8}
+    bits = 1 << 16
+    table = np.zeros(bits >> 6, np.uint64)
+    for place in winnow.probes(np.array(keys, np.int64).view(np.uint64), bits):
+        np.bitwise_or.at(table, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([text])], ["id", "body"])
+    out = [r for b in containment._met({8: (bits, table.tobytes())}, {8: 200})(iter([batch])) for r in b.to_pylist()]
+    held = {r["key"]: r["body"] for r in out}
+    assert all(q.encode() in held[k] for q, k in zip(quotes, keys, strict=True))
+    assert sum(len(r["body"]) for r in out) < 20_000
